@@ -14,6 +14,7 @@ each; an empty table gives an empty result; very long texts are cut, so no piece
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 
@@ -26,8 +27,9 @@ from gneiss.llm.common import Scratch
 
 CAPACITY = 2048
 CLOSING_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 VOCABULARY = "word_bpe_49k.json"
+LETTERS_THEN_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-;=?-@\[-`{-~]+)")  # no apostrophe or angle bracket
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, local_rank long"
 _encoders: dict[str, "WordIds"] = {}
@@ -40,11 +42,19 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        self.encode, self.bpe = self.tokenizer.encode, self.tokenizer.model.tokenize
+        # byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        shifted = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.alphabet = {b: chr(shifted.get(b, b)) for b in range(256)}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in ".,;:!?" and chunk[-2].isalpha():
-            ids = self[chunk[:-1]] + self[chunk[-1]]  # a letter and a mark after it are never one pre-token
+        if chunk.isalpha() and chunk.islower() and max(chunk) < "\u0100":  # one normalised pre-token
+            word = chunk if chunk.isascii() else "".join(map(self.alphabet.__getitem__, chunk.encode()))
+            ids = array("I", [t.id for t in self.bpe(word)]).tobytes()
+        elif m := LETTERS_THEN_MARKS.fullmatch(chunk):  # letters and marks after them are never one pre-token
+            ids = self[m[1]] + self[m[2]]
         else:
             ids = array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
         if len(chunk) <= 64:
