@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.llm.common import Scratch
+
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
@@ -61,16 +63,20 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights=WE
 
 def mix(docs: DataFrame, seed: str = "mix", share: float = SHARE, weights=WEIGHTS, strata: int = STRATA) -> DataFrame:
     """Every row of docs with struct ``_mix``: size, source_size, target, copies, taken."""
-    size = word_count(F.col("text"))
-    bits = F.length(F.bin(size))
-    level = (bits * 16 + F.floor(size * CLASSES_PER_OCTAVE / F.pow(F.lit(2.0), bits - 1))).cast("int")
-    stratum = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 6), 16, 10).cast("long"), F.lit(strata)).cast("int")
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    row = F.struct(size.alias("size"), key.alias("key"), level.alias("level"), stratum.alias("stratum"))
-    base = docs.withColumn("_mix", row).withColumns({"_mk": F.col("_mix.key"), "_ml": F.col("_mix.level"), "_ms": F.col("_mix.stratum")})
-
-    cells = docs.select("source", row.alias("r")).select("source", "r.*")
-    cells = cells.groupBy("key", "source", "level", "stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    def placed(df: DataFrame) -> DataFrame:
+        """df with its size, source key, size class and stratum; each is computed once, in a projection of its own."""
+        df = df.withColumn("_mz", word_count(F.col("text")))
+        bits = F.length(F.bin("_mz"))
+        level = (bits * 16 + F.floor(F.col("_mz") * CLASSES_PER_OCTAVE / F.pow(F.lit(2.0), bits - 1))).cast("int")
+        digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        stratum = F.pmod(F.conv(F.substring(digest, 1, 6), 16, 10).cast("long"), F.lit(strata)).cast("int")
+        key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+        return df.withColumns({"_mk": key, "_ml": level, "_ms": stratum})
+
+    base = placed(docs)
+    cells = placed(docs.select("doc_id", "text", "source")).select("source", F.col("_mk").alias("key"), F.col("_ml").alias("level"), F.col("_ms").alias("stratum"), "_mz")
+    cells = cells.groupBy("key", "source", "level", "stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("_mz").alias("words"))
+    cells = Scratch(docs.sparkSession, "mixing").save(cells, "cells")  # at most classes * strata rows a source
     upto = Window.partitionBy("key").orderBy("level", "stratum").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.withColumn("offset", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     sizes = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -80,7 +86,7 @@ def mix(docs: DataFrame, seed: str = "mix", share: float = SHARE, weights=WEIGHT
         F.col("key").alias("_ok"), F.col("level").alias("_ol"), F.col("stratum").alias("_os"),
         F.struct("offset", "source_size", "target").alias("_cell"))
 
-    within = Window.partitionBy("_mk", "_ml", "_ms").orderBy("_mix.size", "doc_id")
+    within = Window.partitionBy("_mk", "_ml", "_ms").orderBy("_mz", "doc_id")
     ranked = base.withColumn("_mr", F.row_number().over(within))
     on = (F.col("_mk") == F.col("_ok")) & (F.col("_ml") == F.col("_ol")) & (F.col("_ms") == F.col("_os"))
     ranked = ranked.join(offsets, on)
@@ -90,9 +96,9 @@ def mix(docs: DataFrame, seed: str = "mix", share: float = SHARE, weights=WEIGHT
     u = F.conv(hex8, 16, 10).cast("double") / F.lit(4294967296.0)
     copies = (F.floor(rate * rank + u) - F.floor(rate * (rank - 1) + u)).cast("long")
     out = F.struct(
-        F.col("_mix.size").alias("size"), F.col("_cell.source_size").alias("source_size"), F.col("_cell.target").alias("target"),
-        copies.alias("copies"), (copies * F.col("_mix.size")).alias("taken"))
-    return ranked.withColumn("_mix", out).drop("_mk", "_ml", "_ms", "_mr", "_ok", "_ol", "_os", "_cell")
+        F.col("_mz").alias("size"), F.col("_cell.source_size").alias("source_size"), F.col("_cell.target").alias("target"),
+        copies.alias("copies"), (copies * F.col("_mz")).alias("taken"))
+    return ranked.withColumn("_mix", out).drop("_mk", "_ml", "_ms", "_mz", "_mr", "_ok", "_ol", "_os", "_cell")
 
 
 def emit(docs: DataFrame, **kw) -> DataFrame:
