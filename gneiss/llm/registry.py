@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from gneiss.llm import langid, media, mixing, packing, topk
+from gneiss.llm import jaccard, langid, media, mixing, packing, repeats, topk
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op3_jaccard": jaccard.op3_jaccard,
     "op4_media": media.op4_media,
     "op5_packing": packing.op5_packing,
+    "op6_repeats": repeats.op6_repeats,
     "op7_topk": topk.op7_topk,
     "op8_mixing": mixing.op8_mixing,
 }
