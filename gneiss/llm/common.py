@@ -20,6 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """At most eight partitions a core: shuffles of small tables leave no swarm of tiny files, and no data move."""
+    return df.coalesce(8 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 class Scratch:
     """Tables written once and read again: they cut lineage and outlive lost executors."""
 
@@ -32,7 +37,7 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        few_files(df).write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def remove(self, name: str = "") -> None:

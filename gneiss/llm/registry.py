@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from gneiss.llm import jaccard, langid, media, mixing, packing, repeats, topk
+from gneiss.llm import jaccard, langid, licences, lines, media, mixing, packing, repeats, surrogates, topk
+from gneiss.llm.common import few_files
+
+
+def tidy(query):
+    return lambda spark, sf_dir: few_files(query(spark, sf_dir))
+
 
 QUERIES = {
-    "op1_langid": langid.op1_langid,
-    "op3_jaccard": jaccard.op3_jaccard,
-    "op4_media": media.op4_media,
-    "op5_packing": packing.op5_packing,
-    "op6_repeats": repeats.op6_repeats,
-    "op7_topk": topk.op7_topk,
-    "op8_mixing": mixing.op8_mixing,
+    name: tidy(query)
+    for name, query in {
+        "op1_langid": langid.op1_langid,
+        "op2_surrogates": surrogates.op2_surrogates,
+        "op3_jaccard": jaccard.op3_jaccard,
+        "op4_media": media.op4_media,
+        "op5_packing": packing.op5_packing,
+        "op6_repeats": repeats.op6_repeats,
+        "op7_topk": topk.op7_topk,
+        "op8_mixing": mixing.op8_mixing,
+        "op9_licences": licences.op9_licences,
+        "op10_lines": lines.op10_lines,
+    }.items()
 }
 
 ORACLES = {
