@@ -27,7 +27,7 @@ from gneiss.llm.common import Scratch
 
 CAPACITY = 2048
 CLOSING_ID = 1
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 VOCABULARY = "word_bpe_49k.json"
 LETTERS_THEN_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-;=?-@\[-`{-~]+)")  # no apostrophe or angle bracket
 
