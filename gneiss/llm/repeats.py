@@ -36,7 +36,8 @@ LENGTH = 400
 GRAM = 100
 GROUP = 1000
 REST = LENGTH - GRAM
-BUCKET_ENTRIES = 4_000_000
+BUCKET_ENTRIES = 1_000_000
+HELD_ENTRIES = 300_000
 _powers_down = np.ones(1, np.uint64)
 
 
@@ -114,14 +115,37 @@ ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("start", "<i4"), ("dup", "<i4")
 def contexts(rows: DataFrame, buckets: int) -> DataFrame:
     """rows(key, text, at: array<struct<pos, h, hot>>) -> contexts of anchors, window entries of hot ones."""
 
+    def settle(hot: list[tuple[bytes, np.ndarray]]) -> list[tuple]:
+        """Window entries of some texts: repeats among them are known starts, and leave one entry for the others."""
+        keys = [k for k, _ in hot]
+        owner = np.concatenate([np.full(len(e), i, np.int32) for i, (_, e) in enumerate(hot)])
+        e = np.concatenate([e for _, e in hot])
+        order = np.lexsort((owner, e["h2"], e["h1"]))
+        owner, e = owner[order], e[order]
+        first = np.ones(len(e), bool)
+        first[1:] = (e["h1"][1:] != e["h1"][:-1]) | (e["h2"][1:] != e["h2"][:-1])
+        last = np.append(first[1:], True)
+        e["dup"] = ~(first & last)
+        out = []
+        for kind, keep in ((START_KIND, e["dup"] == 1), (WINDOW_KIND, first)):
+            o, x = owner[keep], e[keep]
+            to = (x["h1"] % np.uint64(buckets)).astype(np.int64) if kind == WINDOW_KIND else np.zeros(len(x), np.int64)
+            order = np.lexsort((to, o))
+            o, x, to = o[order], x[order], to[order]
+            cuts = np.flatnonzero((o[1:] != o[:-1]) | (to[1:] != to[:-1])) + 1
+            for s, t in zip([0, *cuts], [*cuts, len(o)], strict=True):
+                if s < t:
+                    body = x[s:t] if kind == WINDOW_KIND else np.sort(x["start"][s:t])
+                    out.append((kind, int(to[s]), keys[o[s]], 0, 0, body.tobytes()))
+        return out
+
     def cut(batches):
+        out, hot, held = [], [], 0
         for b in batches:
-            out, hot = [], []
-            keys, places = b.column(0).to_pylist(), b.column(2).to_pylist()
-            for i, text in enumerate(b.column(1)):
-                raw, key = text.as_py().encode(), keys[i]
+            for k in range(b.num_rows):
+                raw, key = b.column(1)[k].as_py().encode(), b.column(0)[k].as_py()
                 starts = []
-                for p in places[i]:
+                for p in b.column(2)[k].as_py():
                     pos = p["pos"]
                     lo, hi = max(0, pos - REST), min(len(raw), pos + LENGTH)
                     if p["hot"]:
@@ -134,30 +158,17 @@ def contexts(rows: DataFrame, buckets: int) -> DataFrame:
                     data = np.frombuffer(raw, np.uint8)[a:z]
                     e = np.zeros(len(s), ENTRY)
                     e["h1"], e["h2"], e["start"] = rolling(data, LENGTH)[s - a], rolling(data, LENGTH, 77)[s - a], s
-                    hot.append((i, e))
+                    hot.append((key, e))
+                    held += len(e)
+                if held >= HELD_ENTRIES:
+                    out += settle(hot)
+                    hot, held = [], 0
                 if len(out) >= 4000:
                     yield batch(out, FIELDS)
                     out = []
-            if hot:
-                owner = np.concatenate([np.full(len(e), i) for i, e in hot])
-                e = np.concatenate([e for _, e in hot])
-                order = np.lexsort((owner, e["h2"], e["h1"]))
-                owner, e = owner[order], e[order]
-                first = np.ones(len(e), bool)
-                first[1:] = (e["h1"][1:] != e["h1"][:-1]) | (e["h2"][1:] != e["h2"][:-1])
-                last = np.append(first[1:], True)
-                e["dup"] = ~(first & last)
-                for kind, keep in ((START_KIND, e["dup"] == 1), (WINDOW_KIND, first)):
-                    o, x = owner[keep], e[keep]
-                    to = (x["h1"] % np.uint64(buckets)).astype(np.int64) if kind == WINDOW_KIND else np.zeros(len(x), np.int64)
-                    order = np.lexsort((to, o))
-                    o, x, to = o[order], x[order], to[order]
-                    cuts = np.flatnonzero((o[1:] != o[:-1]) | (to[1:] != to[:-1])) + 1
-                    for s, t in zip([0, *cuts], [*cuts, len(o)], strict=True):
-                        if s < t:
-                            body = x[s:t] if kind == WINDOW_KIND else np.sort(x["start"][s:t])
-                            out.append((kind, int(to[s]), keys[o[s]], 0, 0, body.tobytes()))
-            yield batch(out, FIELDS)
+        if hot:
+            out += settle(hot)
+        yield batch(out, FIELDS)
 
     return rows.select("key", "text", "at").mapInArrow(cut, CONTEXT)
 
@@ -304,7 +315,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     used = found.join(repeated.select("h", "hot"), "h").join(of_key.select("key", "id"), ["key", "id"], "left_semi")
     # repeated rows give the same places twice
     used = used.groupBy("key", "id").agg(F.collect_set(F.struct("pos", "h", "hot")).alias("at"))
-    used = scratch.save(used, "used")
     texts = scratch.save(base.select("key", "id", "text").join(used, ["key", "id"]).dropDuplicates(["key"]).select("key", "text", "at"), "texts")
     scratch.remove("anchors")
 
@@ -318,11 +328,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield batch(rows, COVER_FIELDS)
 
     settled = ctx.where(F.col("kind") == START_KIND).select("key", "body").mapInArrow(known, COVER)
-    covers = scratch.save(plain.unionByName(spread).unionByName(settled), "covers")
+    covers = plain.unionByName(spread).unionByName(settled)
     runs = covers.groupBy("key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    runs = scratch.save(runs, "runs")
     removed = scratch.save(texts.select("key", "text").join(runs, "key").mapInArrow(strip, REMOVED), "removed")
-    for name in ("contexts", "texts", "covers", "runs", "used"):
+    for name in ("contexts", "texts"):
         scratch.remove(name)
 
     per_key = scratch.save(of_key.select("key", "n").join(removed, "key", "left"), "per_key")
