@@ -1 +1 @@
-"""See README."""
+"""Scalar functions, all as column expressions."""

@@ -1 +1 @@
-"""See README."""
+"""Relational operators over findings, ledgers, symbols and graphs: DataFrame in, DataFrame out."""

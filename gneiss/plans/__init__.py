@@ -1 +1 @@
-"""See README."""
+"""Whole queries: operators put together over tables."""
