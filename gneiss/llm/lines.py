@@ -33,20 +33,30 @@ def text_key() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
 
-def tokens_of(line: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.regexp_replace(line, VARIABLE, "<*>"), r"\s+", " ")), " ", -1)
+def exploded(docs: DataFrame) -> DataFrame:
+    """key, pos, line of every line that is not blank."""
+    lines = docs.where("text is not null").select(text_key().alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return lines.where(F.length(F.trim("line")) > 0)
+
+
+def normalised(lines: DataFrame) -> DataFrame:
+    """lines with `form` in place of line: variable tokens masked, single blanks.  Most lines need no rewriting, so tests come first."""
+    out = lines.withColumn("form", F.when(F.col("line").rlike('[0-9@"]'), F.regexp_replace("line", VARIABLE, "<*>")).otherwise(F.col("line"))).drop("line")
+    out = out.withColumn("form", F.when(F.col("form").rlike(r"\s\s|[^\S ]"), F.regexp_replace("form", r"\s+", " ")).otherwise(F.col("form")))
+    return out.withColumn("form", F.trim("form")).where("form <> ''")
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """key, pos, tokens, leaf (null where lines are not generalised) of every line that is not blank."""
-    lines = docs.where("text is not null").select(text_key().alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.where(F.col("line").rlike(r"\S")).select("key", "pos", tokens_of(F.col("line")).alias("tokens"))
-    n = F.size("tokens")
-    return lines.withColumn("leaf", F.when(n >= MIN_TOKENS, F.xxhash64(n, F.slice("tokens", 1, LEAD))))
+    """key, pos, line (hash of the form), leaf (null where lines are not generalised)."""
+    lines = normalised(exploded(docs))
+    n = F.length("form") - F.length(F.replace(F.col("form"), F.lit(" "), F.lit(""))) + 1
+    leaf = F.when(n >= MIN_TOKENS, F.xxhash64(n, F.substring_index("form", " ", LEAD)))
+    return lines.select("key", "pos", leaf.alias("leaf"), F.unhex(F.md5(F.col("form").cast("binary"))).alias("line"))
 
 
-def line_hash() -> Column:
-    return F.unhex(F.md5(F.array_join("tokens", " ").cast("binary")))
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df, marked for broadcast if it is a written table of few rows; else it is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def templates(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -54,7 +64,13 @@ def templates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     counts = scratch.spark.read.parquet(scratch.path("counts"))
     busy = counts.where("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TEXTS)
     busy = scratch.save(busy.select("leaf"), "busy")
-    shapes = parsed(docs).where("leaf is not null").join(busy, "leaf", "left_semi").select("leaf", line_hash().alias("line"), "tokens").dropDuplicates(["line"])
+    # one place of each line of a busy leaf: only those lines are cut into tokens
+    lines = scratch.spark.read.parquet(scratch.path("lines"))
+    place = F.min(F.struct("key", "pos")).alias("at")
+    places = lines.where("leaf is not null").join(small(busy), "leaf", "left_semi").groupBy("leaf", "line").agg(place)
+    places = scratch.save(places.select("leaf", F.col("line").alias("hash"), "at.key", "at.pos"), "places")
+    shapes = exploded(docs).join(small(places), ["key", "pos"]).select("leaf", "hash", "line")
+    shapes = normalised(shapes).select("leaf", F.col("hash").alias("line"), F.split("form", " ", -1).alias("tokens")).dropDuplicates(["line"])
     shapes = scratch.save(shapes, "shapes")
     placed = shapes.select("leaf", "line", F.posexplode("tokens").alias("at", "token"))
     common = scratch.save(placed.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TEXTS), "common")
@@ -67,7 +83,7 @@ def templates(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def dropped_positions(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, gone): the 0-based lines that go from each text."""
-    lines = scratch.save(parsed(docs).select("key", "pos", "leaf", line_hash().alias("line")), "lines")
+    lines = scratch.save(parsed(docs), "lines")
     counts = scratch.save(lines.groupBy("leaf", "line").agg(F.countDistinct("key").alias("n")), "counts")
     general = templates(docs, scratch)
     frequent = counts.where(F.col("n") >= MIN_TEXTS).select("line")
@@ -77,7 +93,7 @@ def dropped_positions(docs: DataFrame, scratch: Scratch) -> DataFrame:
     bad = scratch.save(frequent.union(general.join(texts, "template", "left_semi").select("line")).distinct(), "bad")
     gone = lines.join(bad, "line", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("gone"))
     gone = scratch.save(gone, "gone")
-    for name in ("lines", "counts", "busy", "shapes", "common", "templates"):
+    for name in ("lines", "counts", "busy", "places", "shapes", "common", "templates"):
         scratch.remove(name)
     return gone
 
