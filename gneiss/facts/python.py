@@ -1,0 +1,467 @@
+"""Facts about Python sources, one row per fact, from one parse per file.
+
+Schema: path, kind, line, name, scope (qualified name of the enclosing definition), fn (its function), cls (its class),
+flags (what holds), args (name -> value text), names (a list whose meaning depends on the kind), n (a count), sig (a hash).
+
+kinds: module, call, function, class, import, assign, except, raise, if, await, comment, literal, block, symbol_def, symbol_ref,
+subscript, test, return.  A file that does not parse yields one fact of kind error.
+"""
+
+from __future__ import annotations
+
+import ast
+import hashlib
+import io
+import tokenize
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+SCHEMA = (
+    "path string, kind string, line int, name string, scope string, fn string, cls string, flags array<string>, "
+    "args map<string,string>, names array<string>, n int, sig string"
+)
+FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
+BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.Assert, ast.match_case)
+FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+MUTABLE = (ast.List, ast.Dict, ast.Set, ast.ListComp, ast.DictComp, ast.SetComp)
+
+
+def text(node: ast.AST | None, most: int = 400) -> str | None:
+    return None if node is None else ast.unparse(node)[:most]
+
+
+def dotted(node: ast.AST) -> str:
+    """a.b.c for names and attributes; calls and subscripts inside are shown as ()."""
+    parts: list[str] = []
+    while True:
+        if isinstance(node, ast.Attribute):
+            parts.append(node.attr)
+            node = node.value
+        elif isinstance(node, ast.Name):
+            parts.append(node.id)
+            break
+        else:
+            parts.append("()")
+            break
+    return ".".join(reversed(parts))
+
+
+def shape_of(node: ast.AST) -> str:
+    """What kind of value an expression is, for taint rules."""
+    if isinstance(node, ast.Constant):
+        return "const"
+    if isinstance(node, ast.JoinedStr):
+        return "built" if any(isinstance(v, ast.FormattedValue) for v in node.values) else "const"
+    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add | ast.Mod):
+        sides = {shape_of(node.left), shape_of(node.right)}
+        textual = any(isinstance(x, ast.JoinedStr) or isinstance(x, ast.Constant) and isinstance(x.value, str) for x in ast.walk(node))
+        return "const" if sides == {"const"} else "built" if textual else "expr"
+    if isinstance(node, ast.Call):
+        return "built" if isinstance(node.func, ast.Attribute) and node.func.attr in ("format", "join") and shape_of(node.func.value) == "const" else "call"
+    if isinstance(node, MUTABLE):
+        return "mutable"
+    return {ast.Name: "name", ast.Subscript: "subscript", ast.Attribute: "attribute", ast.Lambda: "lambda", ast.Tuple: "tuple", ast.Await: "await"}.get(type(node), "expr")
+
+
+def used_names(node: ast.AST) -> set[str]:
+    return {x.id for x in ast.walk(node) if isinstance(x, ast.Name)}
+
+
+def digest(value: str) -> str:
+    return hashlib.sha256(value.encode()).hexdigest()[:16]
+
+
+class Blank(ast.NodeTransformer):
+    """Names and constants blanked, called names and attributes kept: what is left is a definition's shape."""
+
+    def __init__(self, keep_constants: bool = False):
+        self.keep_constants = keep_constants
+        self.constants: list[str] = []
+
+    def visit_Name(self, node):
+        return ast.copy_location(ast.Name("_", node.ctx), node)
+
+    def visit_arg(self, node):
+        return ast.copy_location(ast.arg("_", None), node)
+
+    def visit_Constant(self, node):
+        self.constants.append(repr(node.value))
+        return node if self.keep_constants else ast.copy_location(ast.Constant(0), node)
+
+    def visit_Call(self, node):
+        self.generic_visit(node)
+        return node
+
+    def visit_FunctionDef(self, node):
+        node.name, node.decorator_list = "_", []
+        self.generic_visit(node)
+        return node
+
+    visit_AsyncFunctionDef = visit_FunctionDef
+
+
+def skeleton(nodes: list[ast.stmt]) -> tuple[str, tuple[str, ...], int]:
+    """(shape, constants in order, size) of statements."""
+    copy = ast.parse(ast.unparse(ast.Module(nodes, [])))
+    heads = [c.func.id for c in ast.walk(copy) if isinstance(c, ast.Call) and isinstance(c.func, ast.Name)]
+    blank = Blank()
+    blank.visit(copy)
+    return ast.dump(copy) + "|" + ",".join(heads), tuple(blank.constants), sum(1 for _ in ast.walk(copy))
+
+
+class Extractor(ast.NodeVisitor):
+    def __init__(self, path: str, source: str):
+        self.path, self.source, self.rows = path, source, []
+        self.stack: list[ast.AST] = []
+        self.parents: dict[ast.AST, ast.AST] = {}
+        self.alias: dict[str, str] = {}
+
+    # -------------------------------------------------- plumbing
+
+    def add(self, kind: str, line: int, name: str = "", flags=(), args=None, names=(), n: int = 0, sig: str | None = None) -> None:
+        defs = [d for d in self.stack if isinstance(d, (*FUNCTIONS, ast.ClassDef))]
+        fns, classes = [d.name for d in defs if isinstance(d, FUNCTIONS)], [d.name for d in defs if isinstance(d, ast.ClassDef)]
+        self.rows.append((self.path, kind, line, name, ".".join(d.name for d in defs), fns[-1] if fns else None, classes[-1] if classes else None, sorted(set(flags)),
+                          {k: v for k, v in (args or {}).items() if v is not None}, list(names), n, sig))
+
+    def resolved(self, name: str) -> str:
+        head, _, rest = name.partition(".")
+        full = self.alias.get(head, head)
+        return f"{full}.{rest}" if rest else full
+
+    def function(self) -> ast.AST | None:
+        return next((d for d in reversed(self.stack) if isinstance(d, (*FUNCTIONS, ast.Lambda))), None)
+
+    def generic_visit(self, node: ast.AST) -> None:
+        for child in ast.iter_child_nodes(node):
+            self.parents[child] = node
+        super().generic_visit(node)
+
+    def inside(self, node: ast.AST, kinds) -> bool:
+        while (node := self.parents.get(node)) is not None and not isinstance(node, (*FUNCTIONS, ast.Lambda, ast.ClassDef)):
+            if isinstance(node, kinds):
+                return True
+        return False
+
+    # -------------------------------------------------- whole file
+
+    def run(self) -> list[tuple]:
+        try:
+            tree = ast.parse(self.source)
+        except (SyntaxError, ValueError, RecursionError):
+            self.add("error", 1)
+            return self.rows
+        for node in ast.walk(tree):
+            if isinstance(node, ast.Import):
+                self.alias |= {a.asname or a.name.split(".")[0]: a.name if a.asname else a.name.split(".")[0] for a in node.names}
+            elif isinstance(node, ast.ImportFrom) and not node.level:
+                self.alias |= {a.asname or a.name: f"{node.module}.{a.name}" for a in node.names}
+        main = any(isinstance(s, ast.If) and "__name__" in used_names(s.test) for s in tree.body)
+        tests = any(isinstance(x, FUNCTIONS) and x.name.startswith("test_") or isinstance(x, ast.ClassDef) and x.name.startswith("Test") for x in ast.walk(tree))
+        self.add("module", 1, flags=[*["script"] * main, *["defines_tests"] * tests], n=self.source.count("\n") + (not self.source.endswith("\n")))
+        self.comments()
+        self.symbols(tree)
+        self.blocks(tree)
+        self.visit(tree)
+        return self.rows
+
+    def comments(self) -> None:
+        start, code = None, set()
+        try:
+            for t in tokenize.generate_tokens(io.StringIO(self.source).readline):
+                if t.type == tokenize.COMMENT:
+                    alone = not t.line[: t.start[1]].strip()
+                    self.add("comment", t.start[0], t.string[:400], ["alone"] if alone else [], n=start or t.start[0])
+                elif t.type == tokenize.NEWLINE:
+                    start = None
+                elif t.type not in (tokenize.NL, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER):
+                    code.add(t.start[0])
+                    start = start or t.start[0]
+        except (tokenize.TokenError, IndentationError, SyntaxError):
+            return
+
+    def symbols(self, tree: ast.Module) -> None:
+        for s in tree.body:
+            if isinstance(s, (*FUNCTIONS, ast.ClassDef)):
+                self.add("symbol_def", s.lineno, s.name, ["decorated"] * bool(s.decorator_list), {"what": "class" if isinstance(s, ast.ClassDef) else "function"})
+            for t in s.targets if isinstance(s, ast.Assign) else [s.target] if isinstance(s, ast.AnnAssign) else []:
+                if isinstance(t, ast.Name):
+                    self.add("symbol_def", s.lineno, t.id, [], {"what": "constant"})
+        seen: dict[str, int] = {}
+        for x in ast.walk(tree):
+            found = []
+            if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load):
+                found = [x.id]
+            elif isinstance(x, ast.Attribute):
+                found = [x.attr]
+            elif isinstance(x, ast.ImportFrom):
+                found = [a.name for a in x.names]
+            elif isinstance(x, ast.Constant) and isinstance(x.value, str) and len(x.value) < 200:
+                parts = x.value.replace(":", ".").split(".")
+                found = parts if all(p.isidentifier() for p in parts) else []
+            for name in found:
+                seen.setdefault(name, getattr(x, "lineno", 1))
+        for name, line in seen.items():
+            self.add("symbol_ref", line, name)
+
+    def blocks(self, tree: ast.Module) -> None:
+        for node in ast.walk(tree):
+            body = getattr(node, "body", None)
+            if not isinstance(body, list) or isinstance(node, ast.Module | ast.ClassDef) or len(body) < 3:
+                continue
+            for i in range(len(body) - 2):
+                part = body[i : i + 3]
+                code = "\n".join(ast.unparse(s) for s in part)
+                tokens = sum(1 for x in ast.walk(ast.Module(part, [])) if isinstance(x, ast.Name | ast.Constant | ast.Attribute | ast.Call | ast.operator))
+                if tokens >= 12:
+                    self.add("block", part[0].lineno, n=tokens, sig=digest(code))
+
+    # -------------------------------------------------- nodes
+
+    def visit_Import(self, node):
+        self.imports(node, [a.name for a in node.names], None)
+
+    def visit_ImportFrom(self, node):
+        self.imports(node, [a.name for a in node.names], "." * node.level + (node.module or ""))
+
+    def imports(self, node, names, module):
+        guard = self.parents.get(node)
+        flags = ["in_function"] if self.function() else []
+        if isinstance(guard, ast.If) and isinstance(guard.test, ast.Constant) and guard.test.value is False:
+            flags.append("if_false")
+        if isinstance(guard, ast.If) and "TYPE_CHECKING" in ast.unparse(guard.test):
+            flags.append("type_checking")
+        for name in names if module is None else [module]:
+            self.add("import", node.lineno, name, flags, names=names)
+
+    def visit_Constant(self, node):
+        if isinstance(node.value, str) and node.value:
+            parent = self.parents.get(node)
+            self.add("literal", node.lineno, node.value[:100_000], ["doc"] * isinstance(parent, ast.Expr), n=len(node.value))
+
+    def visit_Call(self, node):
+        name = dotted(node.func)
+        parent, fn = self.parents.get(node), self.function()
+        flags = []
+        if isinstance(parent, ast.Await):
+            flags.append("awaited")
+        if isinstance(parent, ast.Expr):
+            flags.append("bare")
+        if isinstance(fn, ast.AsyncFunctionDef):
+            flags.append("in_async")
+        if fn is None:
+            flags.append("module_scope" if not any(isinstance(d, ast.ClassDef) for d in self.stack) else "class_scope")
+        if isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Call):
+            flags.append("chained")
+        params = {a.arg for f in self.stack if isinstance(f, FUNCTIONS) for a in [*f.args.posonlyargs, *f.args.args, *f.args.kwonlyargs]} - {"self", "cls"}
+        args: dict[str, str | None] = {"attr": node.func.attr if isinstance(node.func, ast.Attribute) else name, "full": self.resolved(name), "code": text(node, 200)}
+        for i, a in enumerate(node.args[:3]):
+            args |= {f"arg{i}": text(a), f"arg{i}_kind": shape_of(a)}
+            if used_names(a) & params:
+                flags.append(f"arg{i}_param")
+            if any(isinstance(x, ast.Subscript) for x in ast.walk(a)):
+                flags.append(f"arg{i}_subscript")
+            if used_names(a):
+                flags.append(f"arg{i}_names")
+        for k in node.keywords:
+            if k.arg:
+                args |= {f"kw:{k.arg}": text(k.value, 200), f"kw_kind:{k.arg}": shape_of(k.value)}
+        if any(k.arg is None for k in node.keywords) or any(isinstance(a, ast.Starred) for a in node.args):
+            flags.append("star")
+        target = next((p for p in self.ancestors(node) if isinstance(p, ast.Assign | ast.AnnAssign)), None)
+        if target is not None:
+            args["target"] = text(target.targets[0] if isinstance(target, ast.Assign) else target.target)
+            args["annotation"] = text(getattr(target, "annotation", None))
+        args["receiver"] = text(node.func.value, 120) if isinstance(node.func, ast.Attribute) else None
+        nested = [self.resolved(dotted(c.func)) for a in [*node.args, *(k.value for k in node.keywords)] for c in ast.walk(a) if isinstance(c, ast.Call)]
+        if self.inside(node, ast.For | ast.AsyncFor | ast.While):
+            flags.append("in_loop")
+        self.add("call", node.lineno, name, flags, args, nested, len(node.keywords))
+        self.generic_visit(node)
+
+    def ancestors(self, node) -> Iterator[ast.AST]:
+        while (node := self.parents.get(node)) is not None and not isinstance(node, (*FUNCTIONS, ast.ClassDef, ast.Module)):
+            yield node
+
+    def visit_Await(self, node):
+        loop = next((p for p in self.ancestors(node) if isinstance(p, ast.For | ast.AsyncFor)), None)
+        if loop is not None:
+            held = {x.optional_vars.id for d in self.stack if isinstance(d, ast.With | ast.AsyncWith) for x in d.items if isinstance(x.optional_vars, ast.Name)}
+            receiver = dotted(node.value.func).split(".")[0] if isinstance(node.value, ast.Call) else ""
+            self.add("await", node.lineno, dotted(node.value.func) if isinstance(node.value, ast.Call) else "", ["in_for", *["with_bound"] * (receiver in held)], n=loop.lineno)
+        self.generic_visit(node)
+
+    def visit_With(self, node):
+        self.stack.append(node)
+        self.generic_visit(node)
+        self.stack.pop()
+
+    visit_AsyncWith = visit_With
+
+    def visit_Assign(self, node):
+        for t in node.targets:
+            self.add("assign", node.lineno, text(t, 200), ["module_scope"] * (not self.stack), {"value": text(node.value), "value_kind": shape_of(node.value), "text": node.value.value if isinstance(node.value, ast.Constant) and isinstance(node.value.value, str) else None})
+        self.generic_visit(node)
+
+    def visit_AnnAssign(self, node):
+        value = node.value
+        self.add("assign", node.lineno, text(node.target, 200), ["module_scope"] * (not self.stack), {"value": text(value), "value_kind": shape_of(value) if value else None, "annotation": text(node.annotation), "text": value.value if isinstance(value, ast.Constant) and isinstance(value.value, str) else None})
+        self.generic_visit(node)
+
+    def visit_Subscript(self, node):
+        self.add("subscript", node.lineno, self.resolved(dotted(node.value)), ["store"] * isinstance(node.ctx, ast.Store), {"key": text(node.slice), "key_kind": shape_of(node.slice)})
+        self.generic_visit(node)
+
+    def visit_Assert(self, node):
+        self.add("assert", node.lineno, text(node.test))
+        self.generic_visit(node)
+
+    def visit_Return(self, node):
+        self.add("return", node.lineno, text(node.value) or "", args={"value_kind": shape_of(node.value) if node.value else None, "head": text(node.value.elts[0]) if isinstance(node.value, ast.Tuple) and node.value.elts else None})
+        self.generic_visit(node)
+
+    def visit_ExceptHandler(self, node):
+        types = [dotted(t) for t in (node.type.elts if isinstance(node.type, ast.Tuple) else [node.type])] if node.type else []
+        flags = ["bare"] * (node.type is None)
+        own = [x for s in node.body for x in ast.walk(s)]
+        flags += ["raises"] * any(isinstance(x, ast.Raise) for x in own)
+        flags += ["uses_name"] * bool(node.name and any(isinstance(x, ast.Name) and x.id == node.name for x in own))
+        flags += ["silent"] * all(isinstance(s, ast.Pass) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) for s in node.body)
+        self.add("except", node.lineno, node.name or "", flags, names=types)
+        for s in own:
+            if isinstance(s, ast.Raise) and s.exc is not None and s.cause is None and not (isinstance(s.exc, ast.Name) and s.exc.id == node.name):
+                self.add("raise", s.lineno, text(s.exc, 120), ["in_except", "no_cause"])
+        self.generic_visit(node)
+
+    def visit_If(self, node):
+        chain, tests, x = 1, [node.test], node
+        while len(x.orelse) == 1 and isinstance(x.orelse[0], ast.If):
+            x = x.orelse[0]
+            chain += 1
+            tests.append(x.test)
+        keys = [ast.unparse(t.left) if isinstance(t, ast.Compare) and isinstance(t.ops[0], ast.Eq | ast.Is) else ast.unparse(t.args[0]) if isinstance(t, ast.Call) and dotted(t.func) == "isinstance" and t.args else None for t in tests]
+        first = not (isinstance(self.parents.get(node), ast.If) and node in self.parents[node].orelse)
+        lazy = isinstance(node.test, ast.Compare) and isinstance(node.test.ops[0], ast.Is) and text(node.test.comparators[0]) == "None" and any(isinstance(s, ast.Assign) and text(s.targets[0]) == text(node.test.left) for s in node.body)
+        lazy = lazy or isinstance(node.test, ast.UnaryOp) and isinstance(node.test.op, ast.Not) and any(isinstance(s, ast.Assign) and text(s.targets[0]) == text(node.test.operand) for s in node.body)
+        locked = any("lock" in ast.unparse(i.context_expr).lower() for d in self.stack if isinstance(d, ast.With | ast.AsyncWith) for i in d.items)
+        awaits = any(isinstance(y, ast.Await) for s in node.body for y in ast.walk(s))
+        flags = [*["first"] * first, *["lazy_init"] * lazy, *["locked"] * locked, *["awaits"] * awaits, *["one_key"] * (keys[0] is not None and len(set(keys)) == 1)]
+        flags += ["in_async"] * isinstance(self.function(), ast.AsyncFunctionDef)
+        self.add("if", node.lineno, text(node.test), flags, {"key": keys[0], "target": text(node.test.left) if isinstance(node.test, ast.Compare) else None}, n=chain)
+        self.generic_visit(node)
+
+    def visit_ClassDef(self, node):
+        self.add_class(node)
+        self.stack.append(node)
+        self.generic_visit(node)
+        self.stack.pop()
+
+    def add_class(self, node):
+        methods = [s for s in node.body if isinstance(s, FUNCTIONS)]
+        marks = lambda f: {dotted(d.func if isinstance(d, ast.Call) else d).split(".")[-1] for d in f.decorator_list}
+        attrs = {t.attr for m in methods for x in ast.walk(m) if isinstance(x, ast.Assign | ast.AnnAssign) for t in (x.targets if isinstance(x, ast.Assign) else [x.target]) if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self"}
+        public = [m for m in methods if not m.name.startswith("_")]
+        fields = sorted(f"{s.target.id}:{ast.unparse(s.annotation)}" for s in node.body if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name))
+        bases = [dotted(b.value if isinstance(b, ast.Subscript) else b) for b in node.bases]
+        flags = [f"decorator:{d}" for d in marks(node)]
+        flags += ["inner_config"] * any(isinstance(s, ast.ClassDef) and s.name == "Config" for s in node.body)
+        flags += ["all_static"] * bool(methods and all("staticmethod" in marks(m) for m in methods))
+        flags += ["has_init"] * any(m.name == "__init__" for m in methods)
+        producer = len(public) == 1 and not marks(public[0]) & {"classmethod", "staticmethod"}
+        args = {"producer": public[0].name if producer else None, "n_attrs": str(len(attrs)), "n_fields": str(len(fields)), "n_methods": str(len(methods))}
+        self.add("class", node.lineno, node.name, flags, args, bases, len(methods), digest("|".join(fields)) if len(fields) >= 2 else None)
+
+    def visit_FunctionDef(self, node):
+        self.add_function(node)
+        self.stack.append(node)
+        self.generic_visit(node)
+        self.stack.pop()
+
+    visit_AsyncFunctionDef = visit_FunctionDef
+
+    def visit_Lambda(self, node):
+        self.stack.append(node)
+        self.generic_visit(node)
+        self.stack.pop()
+
+    def add_function(self, node):
+        own = list(walk_own(node))
+        params = [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]
+        method = bool(self.stack) and isinstance(self.stack[-1], ast.ClassDef)
+        marks = [dotted(d.func if isinstance(d, ast.Call) else d) for d in node.decorator_list]
+        if method and params and "staticmethod" not in marks:
+            params = params[1:]
+        body = node.body[1:] if node.body and isinstance(node.body[0], ast.Expr) and isinstance(node.body[0].value, ast.Constant) and isinstance(node.body[0].value.value, str) else node.body
+        branch = sum(isinstance(x, BRANCHES) for x in own) + sum(len(x.values) - 1 for x in own if isinstance(x, ast.BoolOp)) + sum(1 + len(x.ifs) for x in own if isinstance(x, ast.comprehension))
+        stub = all(isinstance(s, ast.Pass | ast.Raise) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) for s in body) if body else True
+        flags = [f"decorator:{m.split('.')[-1]}" for m in marks]
+        flags += ["async"] * isinstance(node, ast.AsyncFunctionDef) + ["method"] * method + ["stub"] * stub + ["nested"] * (self.function() is not None)
+        flags += ["awaits"] * any(isinstance(x, ast.Await | ast.AsyncWith | ast.AsyncFor) for x in own)
+        flags += ["yields"] * any(isinstance(x, ast.Yield | ast.YieldFrom) for x in own)
+        flags += ["control"] * any(isinstance(x, ast.If | ast.For | ast.While | ast.Try) for x in own)
+        flags += ["asserts"] * any(isinstance(x, ast.Assert) or isinstance(x, ast.Call) and (dotted(x.func).split(".")[-1].lower().startswith("assert") or dotted(x.func).split(".")[-1] in ("raises", "warns", "fail", "deprecated_call")) for x in own)
+        flags += ["unannotated"] * any(a.annotation is None for a in params)
+        flags += ["no_return_type"] * (node.returns is None and node.name not in ("__init__", "__post_init__"))
+        if len(body) == 1 and isinstance(body[0], ast.Return) and isinstance(body[0].value, ast.Call):
+            call = body[0].value
+            passed = [a.id if isinstance(a, ast.Name) else None for a in call.args] + [k.value.id if isinstance(k.value, ast.Name) and k.value.id == k.arg else None for k in call.keywords]
+            if passed and passed == [a.arg for a in params] and not node.decorator_list:
+                flags.append("forwards")
+        stored = {x.value.id for x in own if isinstance(x, ast.Subscript) and isinstance(x.ctx, ast.Store) and isinstance(x.value, ast.Name) and isinstance(x.slice, ast.Constant)}
+        returned = {x.value.id for x in own if isinstance(x, ast.Return) and isinstance(x.value, ast.Name)}
+        flags += ["mutates_param"] * bool(stored & returned & {a.arg for a in params})
+        copies: dict[str, int] = {}
+        for x in own:
+            if isinstance(x, ast.Assign) and isinstance(x.targets[0], ast.Attribute) and isinstance(x.value, ast.Attribute) and x.targets[0].attr == x.value.attr:
+                copies[dotted(x.value.value)] = copies.get(dotted(x.value.value), 0) + 1
+            if isinstance(x, ast.Call):
+                for k in x.keywords:
+                    if k.arg and isinstance(k.value, ast.Attribute) and k.value.attr == k.arg:
+                        copies[dotted(k.value.value)] = copies.get(dotted(k.value.value), 0) + 1
+        mocks = sum(isinstance(x, ast.Call) and dotted(x.func).split(".")[-1] in ("Mock", "MagicMock", "AsyncMock", "patch", "object") and ("ock" in dotted(x.func) or "patch" in dotted(x.func)) for x in own) + sum("patch" in m for m in marks)
+        guards = {}
+        for s in node.body:
+            if isinstance(s, ast.If) and isinstance(s.test, ast.Compare) and isinstance(s.test.ops[0], ast.Eq) and s.body and isinstance(s.body[-1], ast.Return | ast.Raise | ast.Continue):
+                guards[ast.unparse(s.test.left)] = guards.get(ast.unparse(s.test.left), 0) + 1
+        shape, constants, size = skeleton(body) if body else ("", (), 0)
+        whole = "\n".join(ast.unparse(s) for s in body)
+        setup = "\n".join(ast.unparse(s) for s in body[:2])
+        annotations = [text(a.annotation) for a in params if a.annotation is not None] + [text(node.returns)] * (node.returns is not None)
+        returns = [x for x in own if isinstance(x, ast.Return)]
+        flags += ["returns_mutable"] * any(isinstance(r.value, MUTABLE) or isinstance(r.value, ast.Call) and dotted(r.value.func) in ("list", "dict", "set") for r in returns)
+        args = {
+            "complexity": str(1 + branch), "n_params": str(len(params)), "n_statements": str(len(body)), "copies": str(max(copies.values(), default=0)), "mocks": str(mocks), "guards": str(max(guards.values(), default=0)),
+            "size": str(size), "literals": digest(repr(constants)), "body": digest(whole), "setup": digest(setup) if len(body) >= 2 else None, "annotations": "; ".join(a for a in annotations if a) or None,
+            "params": ",".join(a.arg for a in params), "decorators": "; ".join(text(d, 200) for d in node.decorator_list) or None, "returns": text(node.returns),
+        }
+        self.add("function", node.lineno, node.name, flags, args, [self.resolved(dotted(x.func)) for x in own if isinstance(x, ast.Call)], len(body), digest(shape))
+        for d in node.decorator_list:
+            if isinstance(d, ast.Call):
+                self.parents[d] = node
+
+
+def walk_own(node: ast.AST) -> Iterator[ast.AST]:
+    """Everything in a function but what nested definitions hold."""
+    todo = list(node.body)
+    while todo:
+        x = todo.pop()
+        yield x
+        if not isinstance(x, (*FUNCTIONS, ast.ClassDef, ast.Lambda)):
+            todo += ast.iter_child_nodes(x)
+
+
+def facts_of(path: str, source: str) -> list[tuple]:
+    return Extractor(path, source or "").run()
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """The facts of files(path, text)."""
+
+    def extract(batches):
+        for pdf in batches:
+            rows = [r for p, t in zip(pdf["path"], pdf["text"], strict=True) for r in facts_of(p, t)]
+            yield pd.DataFrame(rows, columns=FIELDS)
+
+    return files.select("path", "text").mapInPandas(extract, SCHEMA)
