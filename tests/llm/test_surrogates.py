@@ -1,0 +1,44 @@
+import re
+
+from gneiss.llm import surrogates as s
+
+
+def run(spark, texts, **kw):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r for _, r in sorted((r["doc_id"], r) for r in s.replace_entities(df, keep_counts=True, **kw).collect())]
+
+
+def test_kinds_keep_their_form(spark):
+    texts = ["mail ann.lee@mail5.example.com or Ann.Lee@mail5.example.com", "ip 10.20.30.255 and 4.0. and 1.2.3", "call +1 (017) 555-7713 or +1-017-555-7713", "card 4111 1111 1111 1111",
+             'token = "908038b7daaf91e730d2f64001c52934d43d9336"', "Mr. John Smith met Mrs Anna Smith; Smith's", "Господин Иван Петров, Мария Иванова", "nothing at all: 3 of 7, 2.0"]
+    out = [r["text"] for r in run(spark, texts)]
+    assert out[7] == texts[7] and all(a != b for a, b in zip(out[:7], texts[:7], strict=True))
+    assert [len(x) for x in out[:5]] == [len(x) for x in texts[:5]]
+    a, b = re.findall(r"\S+@\S+", out[0])
+    assert a.lower() == b.lower() and b[0].isupper() and a.endswith(".com")
+    octets = re.search(r"ip (\S+) and", out[1])[1].split(".")
+    assert [len(o) for o in octets] == [2, 2, 2, 3] and all(0 < int(o) < 256 for o in octets) and out[1].endswith("and 4.0. and 1.2.3")
+    p, q = re.findall(r"\+1[ (\-\d)]+\d", out[2])
+    assert re.sub(r"\D", "", p) == re.sub(r"\D", "", q) and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", p)
+    digits = [int(c) for c in re.sub(r"\D", "", out[3])][::-1]
+    assert sum(d if i % 2 == 0 else (d * 2 - 9 * (d > 4)) for i, d in enumerate(digits)) % 10 == 0
+    assert re.search(r'token = "[0-9a-f]{40}"', out[4])
+    m = re.match(r"Mr\. (\w+) (\w+) met Mrs (\w+) (\w+)", out[5])
+    assert m[1] in s.NAMES[("latin", "m")] and m[3] in s.NAMES[("latin", "f")] and m[2] == m[4] != "Smith"
+    names = out[6].replace(",", "").split()
+    assert names[1] in s.NAMES[("cyrillic", "m")] and names[3] in s.NAMES[("cyrillic", "f")] and all(re.fullmatch(r"[А-Яа-яё]+", x) for x in names)
+
+
+def test_distinct_entities_stay_distinct_and_the_key_matters(spark):
+    numbers = [f"{i // 100 % 1000:03d}-{i * 37 % 10000:04d}" for i in range(3000)]
+    one = run(spark, [f"call {n} now" for n in numbers])
+    new = [r["text"].split()[1] for r in one]
+    assert len(set(new)) == len(set(numbers)) and not set(new) & set(numbers)
+    assert [r["text"] for r in run(spark, [f"call {n} now" for n in numbers[:50]], key="other")] != [r["text"] for r in one[:50]]
+
+
+def test_odd_rows(spark, odd, none):
+    out = s.replace_entities(odd)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    assert sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))  # no entity: unchanged
+    assert s.replace_entities(none).count() == 0
