@@ -35,15 +35,15 @@ def text_key() -> Column:
 
 def exploded(docs: DataFrame) -> DataFrame:
     """key, pos, line of every line that is not blank."""
-    lines = docs.where("text is not null").select(text_key().alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return lines.where(F.length(F.trim("line")) > 0)
+    keyed = docs.where("text is not null").select(text_key().alias("key"), "text")  # below the generator: once a text
+    return keyed.select("key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
 
 
 def normalised(lines: DataFrame) -> DataFrame:
     """lines with `form` in place of line: variable tokens masked, single blanks.  Most lines need no rewriting, so tests come first."""
     out = lines.withColumn("form", F.when(F.col("line").rlike('[0-9@"]'), F.regexp_replace("line", VARIABLE, "<*>")).otherwise(F.col("line"))).drop("line")
-    out = out.withColumn("form", F.when(F.col("form").rlike(r"\s\s|[^\S ]"), F.regexp_replace("form", r"\s+", " ")).otherwise(F.col("form")))
-    return out.withColumn("form", F.trim("form")).where("form <> ''")
+    out = out.withColumn("form", F.when(F.col("form").rlike(r"  |[\t\f\r\x0B]"), F.regexp_replace("form", r"\s+", " ")).otherwise(F.col("form")))
+    return out.withColumn("form", F.trim("form"))  # no filter on the form: it would be pushed down and computed twice
 
 
 def parsed(docs: DataFrame) -> DataFrame:

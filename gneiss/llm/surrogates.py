@@ -191,7 +191,7 @@ def replace_entities(docs: DataFrame, key: str = KEY, keep_counts: bool = False)
     """docs with entities in text replaced; with keep_counts also struct ``_pii``: n_found, kinds."""
     scratch = Scratch(docs.sparkSession, "surrogates")
     text_key = F.unhex(F.md5(F.col("text").cast("binary")))
-    mentions = docs.where("text is not null").select(text_key.alias("key"), F.posexplode(F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))).alias("at", "raw"))
+    mentions = docs.where("text is not null").select(text_key.alias("key"), "text").select("key", F.posexplode(F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))).alias("at", "raw"))
     mentions = mentions.withColumn("kind", kind_of(F.col("raw")))
     mentions = scratch.save(mentions.withColumn("norm", normal_form(F.col("kind"), F.col("raw"))), "mentions")
     chosen = scratch.save(distinct_surrogates(mentions, key, scratch), "surrogates")
