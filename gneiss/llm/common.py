@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -72,3 +73,34 @@ def slices(offsets: np.ndarray, budget: int, most: int = 1 << 30):
         j = min(max(j, i + 1), n, i + most)
         yield i, j
         i = j
+
+
+BATCH_ROWS = 512
+
+
+def small_batches(batches):
+    """The same rows in slices of at most BATCH_ROWS, without copying: Python objects are made for a slice at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, BATCH_ROWS):
+            yield b.slice(i, BATCH_ROWS)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers stay alive, and idle ones should not hold what a task has used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
+def lean(f):
+    """A mapInArrow function that gets small batches and gives memory back when its task ends."""
+
+    def run(batches):
+        try:
+            yield from f(small_batches(batches))
+        finally:
+            give_back()
+
+    return run

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Scratch, slices, utf8
+from gneiss.llm.common import Scratch, lean, slices, utf8
 from gneiss.llm.shingles import lower, mix64, shingle_hashes, shingle_sets, word_hashes
 
 WORDS = 5
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         for b in batches:
             data, off = utf8(lower(b.column(1)))
             ids = b.column(0)
-            for i, j in slices(off, 4 << 20):
+            for i, j in slices(off, 1 << 20):
                 s, so = shingle_hashes(*word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i]), WORDS)
                 sig = minhash(s, so)
                 n = np.diff(so)
@@ -123,7 +123,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 fixed = lambda a: pa.array([x.tobytes() for x in a], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids[i:j], fixed(key), pa.array(n, pa.int32()), fixed(sig), lists], names=["doc_id", "set_key", "n_shingles", "sig", "bands"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIG)
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(sign), SIG)
 
 
 def groups(batches, keys: list[str]):
@@ -205,7 +205,10 @@ def verify(batches):
     for g in groups(batches, ["unit"]):
         ids, pairs, copies = g.column("doc_id").to_pylist(), g.column("pairs").to_pylist(), g.column("copies").to_pylist()
         at = {d: k for k, d in enumerate(ids) if d is not None}
-        s, off = shingle_sets(g.column("text"), WORDS)
+        column, sets = g.column("text"), []
+        for i in range(0, g.num_rows, 32):  # the texts of a unit are turned into sets a few at a time
+            s, off = shingle_sets(column.slice(i, 32), WORDS)
+            sets += [s[x:y].copy() for x, y in zip(off[:-1], off[1:], strict=True)]
         todo = [np.frombuffer(p, np.int64).reshape(-1, 2) for p in pairs if p is not None]
         links: dict[int, int] = {}
         root = {d: d for d in at}
@@ -222,8 +225,8 @@ def verify(batches):
         for a, b in todo.tolist():
             i, j = at[a], at[b]
             if previous != a:
-                previous, mine = a, s[off[i] : off[i + 1]]
-            other = s[off[j] : off[j + 1]]
+                previous, mine = a, sets[i]
+            other = sets[j]
             n, m = len(mine), len(other)
             if min(n, m) < THRESHOLD * max(n, m) - 1e-9:
                 continue
@@ -286,7 +289,7 @@ def classes(docs: DataFrame) -> DataFrame:
     members = members.join(sig.select("doc_id", "sig"), "doc_id")
     members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     units = members.select("bk", "band", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "doc_id", "sig")
-    found = units.repartition("bk", "x", "y").sortWithinPartitions("bk", "x", "y").mapInArrow(compare, "unit long, doc_id long, pairs binary")
+    found = units.repartition("bk", "x", "y").sortWithinPartitions("bk", "x", "y").mapInArrow(lean(compare), "unit long, doc_id long, pairs binary")
     found = scratch.save(found, "survivors")
 
     needed = found.where("doc_id is not null").select("unit", "doc_id")
@@ -295,7 +298,7 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = scratch.save(texts.join(wanted, "doc_id").dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "copies"), "texts")
     rows = needed.join(texts, "doc_id").select("unit", "doc_id", "text", "copies", F.lit(None).cast("binary").alias("pairs"))
     blobs = found.where("doc_id is null").select("unit", "doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("copies"), "pairs")
-    linked = rows.unionByName(blobs).repartition("unit").sortWithinPartitions("unit", "doc_id").mapInArrow(verify, "a long, b long, links long")
+    linked = rows.unionByName(blobs).repartition("unit").sortWithinPartitions("unit", "doc_id").mapInArrow(lean(verify), "a long, b long, links long")
     linked = scratch.save(linked, "links")
     scratch.remove("survivors")
     scratch.remove("texts")

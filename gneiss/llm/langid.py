@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import slices
+from gneiss.llm.common import lean, slices
 
 FEATURES = 1 << 12
 CENTROIDS = 4
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, per_label: int = PER_LABEL, max_labels: int = MAX_LABEL
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["lang", "u", "doc_id", "at", "n"])
 
-    got = picked.mapInArrow(vectors, "lang string, u long, doc_id long, at binary, n binary").collect()  # about 2 * per_label rows a label
+    got = picked.mapInArrow(lean(vectors), "lang string, u long, doc_id long, at binary, n binary").collect()  # about 2 * per_label rows a label
     by: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["u"], r["doc_id"] or 0, bytes(r["at"]), bytes(r["n"]))):
         if len(by.setdefault(r["lang"], [])) < per_label:
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             arrays = [b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.float64(), pa.bool_()), strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(label, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(label), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id) -> "F.Column":
@@ -210,4 +210,4 @@ def keep_recognised(docs: DataFrame, **kw) -> DataFrame:
                 out += [not r for _, _, r in m.predict(texts[i:j])]
             yield b.filter(pa.array(out, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

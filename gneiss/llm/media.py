@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Scratch
+from gneiss.llm.common import Scratch, lean
 
 WIDTH = 64
 SHARD_BYTES = 1 << 30
@@ -160,7 +160,7 @@ def store(docs: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
         w.close()
 
-    return scratch.save(docs.select("doc_id", "text").mapInArrow(write, INDEX), "index")
+    return scratch.save(docs.select("doc_id", "text").mapInArrow(lean(write), INDEX), "index")
 
 
 def fill_metadata(index: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def fill_metadata(index: DataFrame) -> DataFrame:
             extra = [pa.array([m[k] for m in metas], pa.int32()) for k in ("width", "height", "bit_depth", "colour_type")]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "width", "height", "bit_depth", "colour_type"])
 
-    return index.mapInArrow(heads, INDEX + ", width int, height int, bit_depth int, colour_type int")
+    return index.mapInArrow(lean(heads), INDEX + ", width int, height int, bit_depth int, colour_type int")
 
 
 def read_back(index: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def read_back(index: DataFrame) -> DataFrame:
             fields = [f.split() for f in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
-    return index.mapInArrow(decode, schema)
+    return index.mapInArrow(lean(decode), schema)
 
 
 def media_columns(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Scratch
+from gneiss.llm.common import Scratch, lean
 
 CAPACITY = 2048
 CLOSING_ID = 1
@@ -110,7 +110,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
             arrays = [pa.array(ids_of, pa.int64()), *(pa.array(c, pa.int64()) for c in cols)]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in PIECES.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(lean(cut), PIECES)
 
 
 class TightestFit:
@@ -214,7 +214,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + new, names=[*names, "sequence_id", "offset"])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(lean(place), schema)
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Scratch, slices, utf8
+from gneiss.llm.common import Scratch, lean, slices, utf8
 from gneiss.llm.jaccard import batch, groups
 from gneiss.llm.shingles import _inverse, _table, mix64, powers
 
@@ -97,13 +97,13 @@ def anchors(docs: DataFrame) -> DataFrame:
     def find(batches):
         for b in batches:
             data, off = utf8(b.column(2))
-            for i, j in slices(off, 2 << 20):
+            for i, j in slices(off, 1 << 20):
                 row, pos, h = anchor_positions(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 if len(row):
                     take = pa.array(row + i)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64))], names=[n for n, _ in fields])
 
-    return docs.select("key", "id", "text").mapInArrow(find, "key binary, id long, pos int, h long")
+    return docs.select("key", "id", "text").mapInArrow(lean(find), "key binary, id long, pos int, h long")
 
 
 CONTEXT = "kind int, h long, key binary, pos int, lead int, body binary"
@@ -170,7 +170,7 @@ def contexts(rows: DataFrame, buckets: int) -> DataFrame:
             out += settle(hot)
         yield batch(out, FIELDS)
 
-    return rows.select("key", "text", "at").mapInArrow(cut, CONTEXT)
+    return rows.select("key", "text", "at").mapInArrow(lean(cut), CONTEXT)
 
 
 def common(rows: list[bytes]) -> np.ndarray:
@@ -319,18 +319,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     scratch.remove("anchors")
 
     ctx = scratch.save(contexts(texts, buckets), "contexts")
-    plain = ctx.where(F.col("kind") == CONTEXT_KIND).select("h", "key", "pos", "lead", "body").repartition("h").sortWithinPartitions("h").mapInArrow(cover, COVER)
-    spread = ctx.where(F.col("kind") == WINDOW_KIND).select("h", "key", "body").repartition("h").sortWithinPartitions("h").mapInArrow(cover_hot, COVER)
+    plain = ctx.where(F.col("kind") == CONTEXT_KIND).select("h", "key", "pos", "lead", "body").repartition("h").sortWithinPartitions("h").mapInArrow(lean(cover), COVER)
+    spread = ctx.where(F.col("kind") == WINDOW_KIND).select("h", "key", "body").repartition("h").sortWithinPartitions("h").mapInArrow(lean(cover_hot), COVER)
 
     def known(batches):
         for b in batches:
             rows = [(r["key"], r["body"], (np.frombuffer(r["body"], "<i4") + LENGTH).astype("<i4").tobytes()) for r in b.to_pylist()]
             yield batch(rows, COVER_FIELDS)
 
-    settled = ctx.where(F.col("kind") == START_KIND).select("key", "body").mapInArrow(known, COVER)
+    settled = ctx.where(F.col("kind") == START_KIND).select("key", "body").mapInArrow(lean(known), COVER)
     covers = plain.unionByName(spread).unionByName(settled)
     runs = covers.groupBy("key").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    removed = scratch.save(texts.select("key", "text").join(runs, "key").mapInArrow(strip, REMOVED), "removed")
+    removed = scratch.save(texts.select("key", "text").join(runs, "key").mapInArrow(lean(strip), REMOVED), "removed")
     for name in ("contexts", "texts"):
         scratch.remove(name)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Scratch
+from gneiss.llm.common import Scratch, lean
 
 BLOCK = 4096
 QUERY_GROUP = 256
@@ -131,7 +131,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["query_id", "vec_id", "score"])
 
     both = c.unionByName(q).repartition(n_blocks, "b").sortWithinPartitions("b", "g", "id")
-    found = both.mapInArrow(search, "query_id long, vec_id long, score long")
+    found = both.mapInArrow(lean(search), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
