@@ -201,7 +201,7 @@ def replace_entities(docs: DataFrame, key: str = KEY, keep_counts: bool = False)
     new = new.select("key", F.struct("at", written(F.col("m.kind"), F.col("m.raw"), F.col("m.surrogate"), key).alias("w"), F.col("m.kind").alias("kind")).alias("m"))
     per_text = scratch.save(new.groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("_new")), "per_text")
 
-    hit = docs.withColumn("_key", text_key).join(per_text.withColumnRenamed("key", "_tk"), F.col("_key") == F.col("_tk"), "left")
+    hit = docs.withColumn("_key", text_key).join(per_text.withColumnRenamed("key", "_tk").hint("merge"), F.col("_key") == F.col("_tk"), "left")
     gaps = F.split("text", ANY, -1)
     woven = F.array_join(F.transform(gaps, lambda g, i: F.when(i == 0, g).otherwise(F.concat(F.element_at("_new.w", i), g))), "")
     some = F.col("_new").isNotNull()
