@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gneiss.facts import lines as L
 from gneiss.facts import python as P
+from gneiss.facts import typescript as T
 from gneiss.functions.core import RANKS, content_hash, severity_rank
 from gneiss.operators import findings as ops
 from gneiss.operators import ledger
@@ -21,6 +22,7 @@ def raw_findings(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     placed = files.withColumn("language", S.language(F.col("path")))
     py = facts if facts is not None else P.facts(placed.where("language = 'python'"))
     out = base.findings(py, "python")
+    out = out.unionByName(base.findings(T.facts(placed.where("language = 'typescript'")), "typescript"))
     out = out.unionByName(base.findings(L.code_lines(placed.where("language = 'shell'")), "shell"))
     out = out.unionByName(base.findings(L.lines(placed.where("language is null")), "config"))
     cols = out.columns
