@@ -127,3 +127,18 @@ def first_match(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def read_after_commit(events: DataFrame) -> DataFrame:
+    """Attribute reads after a commit that expired the object: as-of plus range, in one ordered pass per function.
+
+    events(path, fn, name, line, what): what is bind or refresh (of a name), access (of a name) or commit (name null).  For
+    each access the latest bind or refresh before it is found; it is reported if a commit lies between.
+    """
+    accesses = events.where("what <> 'commit'")
+    before = Window.partitionBy("path", "fn", "name").orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
+    bound = F.max(F.when(F.col("what").isin("bind", "refresh"), F.col("line"))).over(before)
+    a = accesses.withColumn("since", F.coalesce(bound, F.lit(0))).where("what = 'access'")
+    c = events.where("what = 'commit'").select("path", "fn", F.col("line").alias("committed"))
+    on = (a["path"] == c["path"]) & (a["fn"] == c["fn"]) & (c["committed"] > a["since"]) & (c["committed"] < a["line"])
+    return a.join(c, on, "left_semi").select("path", "fn", "name", "line")

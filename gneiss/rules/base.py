@@ -36,6 +36,7 @@ def rule(rule_id: str, category: str, severity: str, verdict: str = "auto", lang
 
 def load() -> dict[str, Rule]:
     """All rules.  Their predicates are column expressions, so a session must be running."""
+    import gneiss.rules.outside
     import gneiss.rules.python
     import gneiss.rules.shell
     import gneiss.rules.typescript  # noqa: F401

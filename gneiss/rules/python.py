@@ -382,3 +382,20 @@ def scattered_settings(facts):
     members = c.join(descendants(edges, roots).where("depth > 0").select("name"), "name", "left_semi").select("name", "line", "path", F.lit("production").alias("role"))
     homes = home(members, "role", "path")
     return outside_home(members, homes, "role", "path").withColumn("evidence", F.col("name"))
+
+
+@rule("SA-GREENLET-ATTR-AFTER-COMMIT", "async", "medium", "candidate", refs="fw:sqlalchemy", framework="sqlalchemy")
+def attribute_after_commit(facts):
+    from gneiss.operators.findings import read_after_commit
+
+    f = facts.where(F.col("fn").isNotNull()).join(imports_any(facts, r"^sqlalchemy\.ext\.asyncio"), "path", "left_semi")
+    commit = f.where(CALL & (ATTR == "commit") & flag("awaited")).select("path", "fn", F.lit(None).cast("string").alias("name"), "line", F.lit("commit").alias("what"))
+    bind = f.where(ASSIGN & F.col("name").rlike(r"^\w+$")).select("path", "fn", "name", "line", F.lit("bind").alias("what"))
+    fresh = f.where(CALL & (ATTR == "refresh")).select("path", "fn", arg("arg0").alias("name"), "line", F.lit("refresh").alias("what"))
+    # an access is an attribute of a local name in a return, an assignment's value or an argument
+    text = F.when(F.col("kind") == "return", F.col("name")).when(ASSIGN, arg("value")).when(CALL, arg("arg0"))
+    reads = f.where(F.col("kind").isin("return", "assign", "call")).select("path", "fn", "line", F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<![\w.])([a-z_]\w*)\.[a-z_]\w*(?!\w*\()"), F.lit(1))).alias("name"))
+    bound = bind.select("path", "fn", "name").distinct()
+    access = reads.join(bound, ["path", "fn", "name"], "left_semi").select("path", "fn", "name", "line", F.lit("access").alias("what"))
+    hits = read_after_commit(commit.unionByName(bind).unionByName(fresh).unionByName(access))
+    return hits.select("path", "line", F.col("name").alias("evidence")).distinct()
