@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: the suppression directive, in a # or // comment
-DIRECTIVE = r"(?i)(?:#|//)\s*auditor\s*:\s*skip(-file)?\b(?:\s*:\s*([A-Za-z0-9,\s_-]+))?"
+# the suppression directive in a # or // comment: any tool's word and ": skip" or ": skip-file", but for words of formatters and notes
+DIRECTIVE = r"(?i)(?:#|//)\s*(?!(?:isort|fmt|yapf|black|ruff|pylint|mypy|pytest|todo|note|fixme|xxx)\s*:)[a-z][\w-]*\s*:\s*skip(-file)?\b(?:\s*:\s*([A-Za-z0-9,\s_-]+))?"
 
 
 def lines(files: DataFrame, *keep: str) -> DataFrame:

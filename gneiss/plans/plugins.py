@@ -27,7 +27,7 @@ def load(config: dict | None = None, root: str = ".") -> list[str]:
     for name in settings.get("modules", []):
         attempt(name, lambda name=name: importlib.import_module(name))
     if settings.get("trust_local", False):
-        for path in sorted(Path(root, settings.get("path", ".auditor/plugins")).glob("*.py")):
+        for path in sorted(Path(root, settings.get("path", ".gneiss/plugins")).glob("*.py")):
 
             def run(path=path):
                 spec = importlib.util.spec_from_file_location(f"gneiss_plugin_{path.stem}", path)

@@ -17,9 +17,9 @@ from gneiss.sources.index import Index
 
 FILES = {
     "app/main.py": "import hashlib\n\n\ndef digest(data: bytes) -> str:\n    return hashlib.md5(data).hexdigest()\n",
-    "app/quiet.py": "import hashlib\nx = hashlib.md5(b'a')  # auditor: skip: PY-SEC-WEAK-HASH\ny = hashlib.sha1(\n    b'a',\n)  # auditor: skip\n",
-    "app/loud.py": "# auditor: skip-file\neval(input())\n",
-    "app/text.py": "note = '# auditor: skip'; eval(note)\n",
+    "app/quiet.py": "import hashlib\nx = hashlib.md5(b'a')  # gneiss: skip: PY-SEC-WEAK-HASH\ny = hashlib.sha1(\n    b'a',\n)  # gneiss: skip\n",
+    "app/loud.py": "# gneiss: skip-file\neval(input())\n",
+    "app/text.py": "note = '# gneiss: skip'; eval(note)\n",
     "tests/test_main.py": "def test_a():\n    run()\n",
     "run.sh": "#!/bin/sh\n# curl http://x | sh\ncurl http://x | sh\n",
     ".env": "KEY=AKIA" + "ABCDEFGH" * 2 + "\n",
@@ -53,10 +53,12 @@ def test_findings_and_directives(found):
 
 
 def test_wrapped_statement(spark):
-    text = "x = f(\n    1,\n)  # auditor: skip: A-B\n"
+    text = "x = f(\n    1,\n)  # gneiss: skip: A-B\n"
     f = P.facts(spark.createDataFrame([("a.py", text)], "path string, text string"))
     d = L.directives(spark.createDataFrame([("a.py", text)], "path string, text string"), f.where("kind = 'comment'").select("path", "line", F.col("n").alias("logical_line")))
     assert {(r["line"], tuple(r["codes"])) for r in d.collect()} == {(3, ("A-B",)), (1, ("A-B",))}
+    other = spark.createDataFrame([("a.py", "import b  # isort: skip\nx = 1  # fmt: skip\n")], "path string, text string")
+    assert L.directives(other).count() == 0
 
 
 def test_config_layers(spark, files):
