@@ -445,3 +445,113 @@ def behaviour_vectors(spark, sf):
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     share = lambda x: F.round(F.avg(x.cast("double")), 6)
     return c.groupBy(F.col("n_name").alias("verb")).agg(F.count(F.lit(1)).alias("n"), share(F.col("c_mktsegment") == "BUILDING").alias("building"), share(F.col("c_acctbal") < 0).alias("negative")).where("n >= 5")
+
+
+# ---------------------------------------------------------------- further operators
+
+
+@query(r"""SELECT p_partkey, list_filter(list_transform(regexp_extract_all(p_name || '_' || p_type, '[a-zA-Z]+|[0-9]+'), lambda t: lower(t)), lambda t: len(t) > 1).array_to_string(' ') AS tokens,
+  lower(string_split(replace(p_name, ' ', '_'), '_')[1]) AS verb, lower(regexp_extract(p_brand, '^[ \t]*([A-Za-z0-9_.-]+)', 1)) AS dependency, array_to_string(string_split(replace(replace(p_name, ' ', '.'), ':', '.'), '.'), '/') AS entry,
+  replace(regexp_replace(regexp_replace(concat('a/', replace(p_name, ' ', '/'), '.py'), '\.py$', ''), '/__init__$', ''), '/', '.') AS module, least(1.0, CASE WHEN p_size > 25 THEN 0.4 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 0.3 ELSE 0 END)::DOUBLE AS abstractness FROM part""")
+def identifier_functions(spark, sf):
+    p = table(spark, sf, "part")
+    snake = F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))
+    none = F.lit(False)
+    return p.select(
+        "p_partkey", F.array_join(C.meaningful(C.identifier_tokens(F.concat_ws("_", "p_name", F.lower("p_type"))), ()), " ").alias("tokens"), C.verb(snake).alias("verb"), C.dependency_name(F.col("p_brand")).alias("dependency"),
+        F.array_join(C.entry_point_names(F.replace(F.col("p_name"), F.lit(" "), F.lit("."))), "/").alias("entry"), C.module_name(F.concat(F.lit("a/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("/")), F.lit(".py"))).alias("module"),
+        F.round(C.abstractness(F.col("p_size") > 25, F.col("p_size") % 2 == 0, none, none), 6).alias("abstractness"))
+
+
+@query("""WITH v AS (SELECT concat('/', s_name, ': ', CASE WHEN s_suppkey % 3 = 0 THEN 'PUA.' WHEN s_suppkey % 3 = 1 THEN 'Heuristics.' ELSE 'Win.' END, s_nationkey, ' FOUND') AS line FROM supplier)
+SELECT regexp_extract(line, '^(.*): (.+) FOUND$', 1) AS path, regexp_extract(line, '^(.*): (.+) FOUND$', 2) AS signature, regexp_matches(line, ': (PUA|Heuristics)[.]') AS heuristic FROM v""")
+def antivirus_output(spark, sf):
+    from gneiss.sources.scanners import antivirus
+
+    name = F.when(F.col("s_suppkey") % 3 == 0, "PUA.").when(F.col("s_suppkey") % 3 == 1, "Heuristics.").otherwise("Win.")
+    return antivirus(table(spark, sf, "supplier").select(F.concat(F.lit("/"), "s_name", F.lit(": "), name, F.col("s_nationkey").cast("string"), F.lit(" FOUND")).alias("value")))
+
+
+@query("""SELECT concat('lock', s_nationkey) AS lockfile, s_name AS package, s_suppkey::VARCHAR AS version, concat(CASE WHEN s_suppkey % 4 = 0 THEN 'MAL-' ELSE 'CVE-' END, s_suppkey) AS ids, s_suppkey % 4 = 0 AS malicious FROM supplier""")
+def dependency_report(spark, sf):
+    from gneiss.sources.scanners import vulnerabilities
+
+    s = table(spark, sf, "supplier")
+    ids = F.array(F.struct(F.concat(F.when(F.col("s_suppkey") % 4 == 0, "MAL-").otherwise("CVE-"), F.col("s_suppkey").cast("string")).alias("id")))
+    package = F.struct(F.struct(F.col("s_name").alias("name"), F.col("s_suppkey").cast("string").alias("version")).alias("package"), ids.alias("vulnerabilities"))
+    result = F.struct(F.struct(F.concat(F.lit("lock"), F.col("s_nationkey").cast("string")).alias("path")).alias("source"), F.collect_list(package).alias("packages"))
+    doc = s.groupBy("s_nationkey").agg(F.to_json(F.struct(F.array(result).alias("results"))).alias("value"))
+    return vulnerabilities(doc).withColumn("ids", F.array_join("ids", ","))
+
+
+@query("""WITH e AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'bind' WHEN role = 'system' THEN 'refresh' ELSE 'access' END AS what FROM conversations UNION ALL SELECT conv_id, turn, 'commit' FROM conversations WHERE turn % 5 = 1),
+a AS (SELECT DISTINCT conv_id, turn, coalesce((SELECT max(b.turn) FROM e b WHERE b.conv_id = e.conv_id AND b.turn < e.turn AND b.what IN ('bind', 'refresh')), 0) AS since FROM e WHERE what = 'access')
+SELECT DISTINCT concat('c', conv_id) AS fn, turn AS line FROM a WHERE EXISTS (SELECT 1 FROM e c WHERE c.what = 'commit' AND c.conv_id = a.conv_id AND c.turn > a.since AND c.turn < a.turn)""")
+def read_after_commit(spark, sf):
+    c = table(spark, sf, "conversations")
+    what = F.when(F.col("turn") % 5 == 0, "bind").when(F.col("role") == "system", "refresh").otherwise("access")
+    fn = F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("fn")
+    e = c.select(F.lit("p").alias("path"), fn, F.lit("x").alias("name"), F.col("turn").alias("line"), what.alias("what"))
+    e = e.union(c.where("turn % 5 = 1").select(F.lit("p"), fn, F.lit(None).cast("string"), "turn", F.lit("commit")))
+    return findings.read_after_commit(e).select("fn", "line").distinct()
+
+
+@query("""WITH s AS (SELECT c_nationkey AS path, c_mktsegment AS h, round(c_acctbal / 1000) AS literals, c_custkey AS line FROM customer)
+SELECT path, h AS skeleton_hash, count(*) AS n, count(DISTINCT literals) AS variants, min(line) AS line FROM s GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT literals) >= 2""")
+def near_twins(spark, sf):
+    c = table(spark, sf, "customer")
+    return crossfile.near_twins(c.select(F.col("c_nationkey").alias("path"), F.col("c_mktsegment").alias("skeleton_hash"), F.round(F.col("c_acctbal") / 1000).alias("literals"), F.col("c_custkey").alias("line")), 3)
+
+
+@query(f"WITH {L_SQL}, b AS (SELECT doc_id, md5(line) AS h, list_sort(list(DISTINCT line_no)) AS lines FROM l WHERE length(line) > 20 GROUP BY 1, 2 HAVING count(DISTINCT line_no) >= 2) SELECT doc_id AS path, h AS block_hash, array_to_string(lines, ',') AS lines FROM b")
+def repeated_blocks(spark, sf):
+    b = document_lines(spark, sf).where(F.length("line") > 20).select(F.col("doc_id").alias("path"), F.md5("line").alias("block_hash"), F.col("line_no").alias("line"))
+    return crossfile.repeated_blocks(b).withColumn("lines", F.array_join(F.transform("lines", lambda x: x.cast("string")), ","))
+
+
+@query("""WITH m AS (SELECT o_orderstatus AS status, c_nationkey AS nation, c_custkey AS k, o_totalprice AS rank, o_orderkey AS o FROM orders JOIN customer ON o_custkey = c_custkey),
+c AS (SELECT CASE status WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS cluster_id, nation, rank, concat('o', o) AS id, k FROM m)
+SELECT cluster_id, count(DISTINCT nation) AS n_modules, count(*) AS n_members, arg_max(id, (rank, id)) AS node_id FROM c GROUP BY cluster_id HAVING count(DISTINCT nation) >= 5 AND count(DISTINCT nation) / count(*) >= 0.0001""")
+def scattered_concepts(spark, sf):
+    m = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    cluster = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    v = m.select(cluster.alias("cluster_id"), F.col("c_nationkey").cast("string").alias("module"), F.col("o_totalprice").alias("rank"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node_id"), F.lit("function").alias("kind"), F.lit("production").alias("role"), F.lit(1).alias("line"))
+    return graph.scattered_concepts(v, 5, 0.0001).select("cluster_id", "n_modules", "n_members", "node_id")
+
+
+@query(f"""WITH {EDGES_SQL}, {NODES_SQL}, d AS (SELECT node_id, (SELECT count(*) FROM e WHERE src = node_id) AS r FROM v), t AS (SELECT node_id FROM d ORDER BY r DESC, node_id LIMIT 30)
+SELECT src, dst FROM e WHERE src IN (SELECT node_id FROM t) AND dst IN (SELECT node_id FROM t)""")
+def top_nodes_induced(spark, sf):
+    v, e = star_graph(spark, sf)
+    top = graph.degrees(v, e).orderBy(F.desc("out_degree"), "node_id").limit(30)
+    return graph.induced(e, top).select("src", "dst")
+
+
+@query("""WITH e AS (SELECT o_custkey AS a, p_brand AS b, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+SELECT b AS other, '?' AS kind, round(w, 4) AS weight, 0.0::DOUBLE AS rank FROM e WHERE a = 1 ORDER BY w DESC, b LIMIT 10""")
+def related_symbols(spark, sf):
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    e = li.groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.col("p_brand").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight")).withColumn("kind", F.lit("usage_similar"))
+    none = spark.createDataFrame([], "node_id string, kind string, rank double")
+    return graph.related(none, e, "c1")
+
+
+@query("""WITH m AS (SELECT c_mktsegment AS label, count(*) AS member_count FROM customer GROUP BY 1) SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = (SELECT label FROM m WHERE contains(lower(label), 'build') ORDER BY member_count DESC, label LIMIT 1)""")
+def concept_members(spark, sf):
+    c = table(spark, sf, "customer")
+    labels = c.groupBy(F.col("c_mktsegment").alias("label")).agg(F.count(F.lit(1)).alias("member_count")).withColumn("cluster_id", F.col("label"))
+    return graph.concept(c.withColumn("cluster_id", F.col("c_mktsegment")).withColumn("name", F.col("c_name")), labels, "BUILD").select("c_custkey", "c_name")
+
+
+@query("""WITH p AS (SELECT sum(o_totalprice) AS t, count(*) FILTER (o_orderstatus = 'F') AS s, count(*) FILTER (o_orderpriority LIKE '1%') AS g, count(*) AS n FROM orders) SELECT n AS files, n AS n_findings, s AS suppressed, g AS ignored FROM p""")
+def scan_totals(spark, sf):
+    o = table(spark, sf, "orders").select(F.lit(1).alias("n_findings"), (F.col("o_orderstatus") == "F").cast("int").alias("suppressed"), F.col("o_orderpriority").startswith("1").cast("int").alias("ignored"))
+    return findings.scan_totals(o)
+
+
+@query(f"WITH {L_SQL}, w AS (SELECT doc_id, line_no FROM l WHERE contains(line, '.')), f AS (SELECT doc_id, min(line_no) AS starts FROM w GROUP BY 1) SELECT l.doc_id, count(*) AS preamble FROM l JOIN f USING (doc_id) WHERE line_no < starts GROUP BY 1")
+def preamble_lines(spark, sf):
+    lines = document_lines(spark, sf)
+    first = Window.partitionBy("doc_id")
+    starts = F.min(F.when(F.col("line").contains("."), F.col("line_no"))).over(first)
+    return lines.withColumn("starts", starts).where("line_no < starts").groupBy("doc_id").agg(F.count(F.lit(1)).alias("preamble"))
