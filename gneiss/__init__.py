@@ -10,6 +10,13 @@ from pathlib import Path
 ROOT = Path(__file__).resolve().parent
 
 
+def checkpoints(spark) -> None:
+    """Checkpoints go to the folder the session names; a local one is made only where none is named."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gneiss-checkpoints-"))
+
+
 def ship(spark) -> None:
     """Lets Python workers import this package: nothing to do where PYTHONPATH has it, else it is sent as a zip."""
     have = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]

@@ -519,11 +519,11 @@ def scattered_concepts(spark, sf):
     return graph.scattered_concepts(v, 5, 0.0001).select("cluster_id", "n_modules", "n_members", "node_id")
 
 
-@query(f"""WITH {EDGES_SQL}, {NODES_SQL}, d AS (SELECT node_id, (SELECT count(*) FROM e WHERE src = node_id) AS r FROM v), t AS (SELECT node_id FROM d ORDER BY r DESC, node_id LIMIT 30)
+@query(f"""WITH {EDGES_SQL}, {NODES_SQL}, d AS (SELECT node_id, (SELECT count(*) FROM e WHERE src = node_id) AS r FROM v), t AS (SELECT node_id FROM d ORDER BY r DESC, node_id LIMIT 120)
 SELECT src, dst FROM e WHERE src IN (SELECT node_id FROM t) AND dst IN (SELECT node_id FROM t)""")
 def top_nodes_induced(spark, sf):
     v, e = star_graph(spark, sf)
-    top = graph.degrees(v, e).orderBy(F.desc("out_degree"), "node_id").limit(30)
+    top = graph.degrees(v, e).orderBy(F.desc("out_degree"), "node_id").limit(120)
     return graph.induced(e, top).select("src", "dst")
 
 
