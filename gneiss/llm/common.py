@@ -21,9 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """At most eight partitions a core: shuffles of small tables leave no swarm of tiny files, and no data move."""
-    return df.coalesce(8 * df.sparkSession.sparkContext.defaultParallelism)
+def few_files(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """A few partitions a core at most: shuffles of small tables leave no swarm of tiny files, and no data move."""
+    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
 
 
 class Scratch:
@@ -37,8 +37,8 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        few_files(df).write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, per_core: int = 4) -> DataFrame:
+        few_files(df, per_core).write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def remove(self, name: str = "") -> None:

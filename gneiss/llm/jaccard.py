@@ -250,18 +250,18 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Each round every node takes the smallest label of its neighbours and then its label's label; labels are written and
     read again.  Aggregations combine before they shuffle, so a hub costs no more than its edges.
     """
-    both = scratch.save(edges.union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct().toDF("node", "other"), "edges")
-    label = scratch.save(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), "label0")
+    both = scratch.save(edges.union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct().toDF("node", "other"), "edges", 2)
+    label = scratch.save(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), "label0", 2)
     k = 0
     while True:
         k += 1
         near = both.join(label.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
         step = label.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
-        step = scratch.save(step, f"step{k}")
+        step = scratch.save(step, f"step{k}", 2)
         # pointer jumping: the label of the label
         up = step.select(F.col("node").alias("low"), F.col("low").alias("up"))
         new = step.join(up, "low", "left").select("node", F.least("low", F.coalesce("up", "low")).alias("root"), F.col("root").alias("old"))
-        new = scratch.save(new, f"label{k}")
+        new = scratch.save(new, f"label{k}", 2)
         changed = new.where("root <> old").limit(1).count()
         scratch.remove(f"step{k}")
         scratch.remove(f"label{k - 1}")
@@ -275,14 +275,14 @@ def classes(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "jaccard")
     signed = scratch.save(signatures(docs), "signatures")
     one = signed.select("doc_id", "set_key", "n_shingles").groupBy("doc_id").agg(F.min(F.struct("set_key", "n_shingles")).alias("s"))
-    one = scratch.save(one.select("doc_id", "s.set_key", (F.col("s.n_shingles") > 0).alias("full")), "sets")
-    reps = scratch.save(one.where("full").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "reps")
+    one = scratch.save(one.select("doc_id", "s.set_key", (F.col("s.n_shingles") > 0).alias("full")), "sets", 2)
+    reps = scratch.save(one.where("full").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "reps", 2)
     sig = signed.join(reps.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"])
     sig = scratch.save(sig.select("doc_id", "sig", "bands"), "rep_signatures")
     scratch.remove("signatures")
 
     banded = sig.select("doc_id", F.posexplode("bands").alias("band", "bk"))
-    n_of = scratch.save(banded.groupBy("bk").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared_bands")
+    n_of = scratch.save(banded.groupBy("bk").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared_bands", 2)
     m = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     block = F.pmod(F.xxhash64("doc_id"), m).cast("int")
     members = banded.join(n_of, "bk").select("bk", "band", "doc_id", m.alias("m"), block.alias("block"))
@@ -294,7 +294,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     needed = found.where("doc_id is not null").select("unit", "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    wanted = scratch.save(needed.select("doc_id").distinct().join(reps.select(F.col("rep").alias("doc_id"), "copies"), "doc_id"), "wanted")
+    wanted = scratch.save(needed.select("doc_id").distinct().join(reps.select(F.col("rep").alias("doc_id"), "copies"), "doc_id"), "wanted", 2)
     texts = scratch.save(texts.join(wanted, "doc_id").dropDuplicates(["doc_id", "h"]).select("doc_id", "text", "copies"), "texts")
     rows = needed.join(texts, "doc_id").select("unit", "doc_id", "text", "copies", F.lit(None).cast("binary").alias("pairs"))
     blobs = found.where("doc_id is null").select("unit", "doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("copies"), "pairs")
@@ -305,9 +305,9 @@ def classes(docs: DataFrame) -> DataFrame:
 
     root = components(linked.select("a", "b"), scratch)
     degree = linked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    of_rep = scratch.save(degree.join(root, "node", "full").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "of_rep")
+    of_rep = scratch.save(degree.join(root, "node", "full").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "of_rep", 2)
     by_set = reps.join(of_rep, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    by_set = scratch.save(by_set, "by_set")
+    by_set = scratch.save(by_set, "by_set", 2)
     out = one.join(by_set, "set_key", "left")
     own = F.col("full") & F.col("class_id").isNotNull()
     return out.select("doc_id", F.when(own, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(own, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
@@ -316,7 +316,7 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs of which no linked row with a smaller doc_id exists in its class; null doc_ids stay."""
     scratch = Scratch(docs.sparkSession, "keep-one")
-    gone = scratch.save(classes(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")), "gone")
+    gone = scratch.save(classes(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")), "gone", 2)
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 

@@ -63,22 +63,22 @@ def templates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(line, template) hashes of generalised lines."""
     counts = scratch.spark.read.parquet(scratch.path("counts"))
     busy = counts.where("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TEXTS)
-    busy = scratch.save(busy.select("leaf"), "busy")
+    busy = scratch.save(busy.select("leaf"), "busy", 1)
     # one place of each line of a busy leaf: only those lines are cut into tokens
     lines = scratch.spark.read.parquet(scratch.path("lines"))
     place = F.min(F.struct("key", "pos")).alias("at")
     places = lines.where("leaf is not null").join(small(busy), "leaf", "left_semi").groupBy("leaf", "line").agg(place)
-    places = scratch.save(places.select("leaf", F.col("line").alias("hash"), "at.key", "at.pos"), "places")
+    places = scratch.save(places.select("leaf", F.col("line").alias("hash"), "at.key", "at.pos"), "places", 1)
     shapes = exploded(docs).join(small(places), ["key", "pos"]).select("leaf", "hash", "line")
     shapes = normalised(shapes).select("leaf", F.col("hash").alias("line"), F.split("form", " ", -1).alias("tokens")).dropDuplicates(["line"])
-    shapes = scratch.save(shapes, "shapes")
+    shapes = scratch.save(shapes, "shapes", 1)
     placed = shapes.select("leaf", "line", F.posexplode("tokens").alias("at", "token"))
-    common = scratch.save(placed.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TEXTS), "common")
+    common = scratch.save(placed.groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TEXTS), "common", 1)
     marked = placed.join(common, ["leaf", "at", "token"], "left")
     field = F.struct("at", F.when(F.col("n").isNull(), "<*>").otherwise(F.col("token")).alias("token"))
     lines = marked.groupBy("line").agg(F.sort_array(F.collect_list(field)).alias("f"), F.count("n").alias("kept"), F.count(F.lit(1)).alias("all"))
     lines = lines.where((F.col("kept") < F.col("all")) & (F.col("kept") >= F.col("all") * KEPT))
-    return scratch.save(lines.select("line", F.unhex(F.md5(F.array_join("f.token", " ").cast("binary"))).alias("template")), "templates")
+    return scratch.save(lines.select("line", F.unhex(F.md5(F.array_join("f.token", " ").cast("binary"))).alias("template")), "templates", 1)
 
 
 def dropped_positions(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -89,11 +89,11 @@ def dropped_positions(docs: DataFrame, scratch: Scratch) -> DataFrame:
     frequent = counts.where(F.col("n") >= MIN_TEXTS).select("line")
     texts = lines.join(general, "line").groupBy("template").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= MIN_TEXTS)
     # a line that occurs as often by itself has its own form as template, too
-    texts = scratch.save(texts.select("template"), "recurring")
-    bad = scratch.save(frequent.union(general.join(texts, "template", "left_semi").select("line")).distinct(), "bad")
+    texts = scratch.save(texts.select("template"), "recurring", 1)
+    bad = scratch.save(frequent.union(general.join(texts, "template", "left_semi").select("line")).distinct(), "bad", 1)
     gone = lines.join(bad, "line", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("gone"))
-    gone = scratch.save(gone, "gone")
-    for name in ("lines", "counts", "busy", "places", "shapes", "common", "templates"):
+    gone = scratch.save(gone, "gone", 1)
+    for name in ("lines", "counts", "busy", "places", "shapes", "common", "templates", 1):
         scratch.remove(name)
     return gone
 
