@@ -273,3 +273,44 @@ def cluster_labels(members: DataFrame) -> DataFrame:
     scored = counts.join(df, "token").join(F.broadcast(k)).withColumn("score", score)
     place = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("score"), "token"))
     return scored.withColumn("place", place).where("place = 1").select("cluster_id", F.col("token").alias("label"), "score")
+
+
+def overview(nodes: DataFrame, edges: DataFrame, named: DataFrame, hubs: DataFrame, top: int = 8, first: int = 5) -> dict:
+    """Counts, the largest clusters, and the first hubs by direction: a few rows."""
+    big = named.orderBy(F.desc("member_count"), "cluster_id").limit(top).collect()
+    h = hubs.orderBy("node_id")
+    return {
+        "nodes": nodes.count(), "edges": edges.count(), "clusters": named.count(), "largest": [r.asDict() for r in big],
+        "god_concepts": [r["node_id"] for r in h.where("why = 'fan-out'").limit(first).collect()], "bottlenecks": [r["node_id"] for r in h.where("why = 'fan-in'").limit(first).collect()],
+    }
+
+
+def outline(nodes: list[dict], edges: list[dict]) -> str:
+    """The contains-tree in pre-order with each node's other relations; for subgraphs that were collected under a bound."""
+    children: dict[str, list[str]] = {}
+    inner, names = set(), {n["node_id"]: n for n in nodes}
+    for e in edges:
+        if e["kind"] == "contains" and e["src"] in names and e["dst"] in names:
+            children.setdefault(e["src"], []).append(e["dst"])
+            inner.add(e["dst"])
+    out: list[str] = []
+
+    def walk(i: str, depth: int) -> None:
+        out.append("  " * depth + f"{names[i].get('kind', '?')} {i}")
+        groups: dict[str, list[str]] = {}
+        for e in edges:
+            if e["src"] == i and e["kind"] != "contains":
+                groups.setdefault(e["kind"], []).append(e["dst"])
+        out.extend("  " * (depth + 1) + f"{k}: {', '.join(sorted(v))}" for k, v in sorted(groups.items()))
+        for c in sorted(children.get(i, [])):
+            walk(c, depth + 1)
+
+    for i in sorted(set(names) - inner):
+        walk(i, 0)
+    return "\n".join(out)
+
+
+def breadcrumb(nodes: DataFrame, named: DataFrame, node: str) -> list[str]:
+    """overview, the node's cluster, the node."""
+    r = nodes.where(F.col("node_id") == node).join(named.select("cluster_id", "label"), "cluster_id", "left").first()
+    return ["overview"] if r is None else ["overview", *([r["label"]] if r["label"] else []), node]

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Rule:
+    """run maps facts to hits.  A rule that is one condition on a fact also has it in `when`, with the evidence and, in
+    `needs`, the pattern of an import that the file must have; such rules share one pass."""
+
     rule_id: str
     category: str
     severity: str
@@ -19,16 +22,18 @@ class Rule:
     run: Callable[[DataFrame], DataFrame]
     refs: tuple[str, ...] = field(default=())
     framework: str | None = None
+    when: Callable[[], tuple[Column, Column]] | None = None
+    needs: str | None = None
 
 
 RULES: dict[str, Rule] = {}
 
 
-def rule(rule_id: str, category: str, severity: str, verdict: str = "auto", language: str = "python", refs: str = "", framework: str | None = None):
+def rule(rule_id: str, category: str, severity: str, verdict: str = "auto", language: str = "python", refs: str = "", framework: str | None = None, when=None, needs: str | None = None):
     def add(f):
         if rule_id in RULES:
             raise ValueError(f"{rule_id} is registered twice")
-        RULES[rule_id] = Rule(rule_id, category, severity, verdict, language, f, tuple(refs.split()), framework)
+        RULES[rule_id] = Rule(rule_id, category, severity, verdict, language, f, tuple(refs.split()), framework, when, needs)
         return f
 
     return add
@@ -44,16 +49,36 @@ def load() -> dict[str, Rule]:
     return RULES
 
 
+def one_pass(facts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """path, line, rule_id, evidence of rules that are one condition each: facts are read once for all of them."""
+    items = []
+    for r in rules:
+        condition, evidence = r.when()
+        items.append(F.when(condition, F.struct(F.lit(r.rule_id).alias("rule_id"), evidence.cast("string").alias("evidence"))))
+    hits = facts.select("path", "line", F.explode(F.array_compact(F.array(*items))).alias("h")).select("path", "line", "h.*")
+    needy = [r for r in rules if r.needs]
+    if not needy:
+        return hits
+    imports = F.array_compact(F.array(*[F.when(F.col("name").rlike(r.needs), F.lit(r.rule_id)) for r in needy]))
+    have = facts.where("kind = 'import'").select("path", F.explode(imports).alias("rule_id")).distinct()
+    asks = F.col("rule_id").isin([r.rule_id for r in needy])
+    return hits.where(~asks).unionByName(hits.where(asks).join(have, ["path", "rule_id"], "left_semi"))
+
+
 def findings(facts: DataFrame, language: str = "python", only: list[str] | None = None) -> DataFrame:
-    """path, line, evidence, rule_id, category, severity, verdict_kind of all rules of a language, in one union."""
+    """path, line, evidence, rule_id, category, severity, verdict_kind of all rules of a language."""
+    chosen = [r for r in load().values() if r.language == language and (only is None or r.rule_id in only)]
+    simple, parts = [r for r in chosen if r.when is not None], []
+    if simple:
+        parts.append(one_pass(facts, simple))
+    parts += [r.run(facts).select("path", "line", "evidence", F.lit(r.rule_id).alias("rule_id")) for r in chosen if r.when is None]
     out = None
-    for r in load().values():
-        if r.language != language or only is not None and r.rule_id not in only:
-            continue
-        hits = r.run(facts).select("path", F.col("line").cast("int").alias("line"), F.substring(F.coalesce("evidence", F.lit("")), 1, 400).alias("evidence"))
-        hits = hits.select("*", F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(r.verdict).alias("verdict_kind"))
-        out = hits if out is None else out.unionByName(hits)
-    return out.distinct()
+    for p in parts:
+        p = p.select("path", F.col("line").cast("int").alias("line"), F.substring(F.coalesce("evidence", F.lit("")), 1, 400).alias("evidence"), "rule_id")
+        out = p if out is None else out.unionByName(p)
+    meta = facts.sparkSession.createDataFrame([(r.rule_id, r.category, r.severity, r.verdict) for r in chosen], "rule_id string, category string, severity string, verdict_kind string")
+    out = out.distinct().join(F.broadcast(meta), "rule_id")  # one row a rule
+    return out.select("path", "line", "evidence", "rule_id", "category", "severity", "verdict_kind")
 
 
 def catalogue(spark: SparkSession) -> DataFrame:

@@ -76,11 +76,13 @@ def imports_any(facts: DataFrame, pattern: str) -> DataFrame:
 def predicate(rule_id: str, category: str, severity: str, verdict: str, condition: Column, refs: str = "", evidence: Column | None = None, needs: str | None = None, framework: str | None = None):
     """A rule that is one condition on a fact, in files that import `needs` if that is given."""
 
+    shown = evidence if evidence is not None else F.coalesce(arg("code"), F.col("name"))
+
     def run(facts):
         rows = facts if needs is None else facts.join(imports_any(facts, needs), "path", "left_semi")
-        return pick(rows, condition, evidence)
+        return pick(rows, condition, shown)
 
-    rule(rule_id, category, severity, verdict, "python", refs, framework)(run)
+    rule(rule_id, category, severity, verdict, "python", refs, framework, lambda: (condition, shown), needs)(run)
 
 
 SA, PYDANTIC = r"^sqlalchemy(\.|$)", r"^pydantic"

@@ -47,8 +47,13 @@ CREDENTIALS = (
 )
 
 
-def over(pattern: str, column: str = "text"):
-    return lambda rows: rows.where(F.col(column).rlike(pattern)).withColumn("evidence", F.col(column))
+def lines_with(rule_id: str, category: str, severity: str, verdict: str, language: str, pattern: str) -> None:
+    """A rule that is one pattern over lines."""
+
+    def run(rows):
+        return rows.where(F.col("text").rlike(pattern)).withColumn("evidence", F.col("text"))
+
+    rule(rule_id, category, severity, verdict, language, when=lambda: (F.col("text").rlike(pattern), F.col("text")))(run)
 
 
 for _id, _severity, _verdict, _pattern in (
@@ -62,10 +67,10 @@ for _id, _severity, _verdict, _pattern in (
     ("SH-MAL-CRYPTO-MINER", "high", "auto", MINER),
     ("SH-MAL-EXFIL-URL", "medium", "candidate", EXFIL_URL),
 ):
-    rule(_id, "malware", _severity, _verdict, "shell")(over(_pattern))
+    lines_with(_id, "malware", _severity, _verdict, "shell", _pattern)
 
-rule("SH-SECRET-DETECTED", "secrets", "high", "auto", "shell")(over(CREDENTIALS))
-rule("CFG-SECRET-DETECTED", "secrets", "high", "auto", "config")(over(CREDENTIALS))
+lines_with("SH-SECRET-DETECTED", "secrets", "high", "auto", "shell", CREDENTIALS)
+lines_with("CFG-SECRET-DETECTED", "secrets", "high", "auto", "config", CREDENTIALS)
 
 
 @rule("SH-MAL-CREDENTIAL-EXFIL", "malware", "high", "candidate", "shell")

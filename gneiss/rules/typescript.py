@@ -47,7 +47,7 @@ def last(c: Column) -> Column:
 
 def ts(rule_id: str, category: str, severity: str, verdict: str, condition: Column, evidence: Column | None = None, refs: str = "") -> None:
     shown = evidence if evidence is not None else F.coalesce(ARGS["all"], NAME)
-    rule(rule_id, category, severity, verdict, "typescript", refs)(lambda facts: facts.where(condition).withColumn("evidence", shown))
+    rule(rule_id, category, severity, verdict, "typescript", refs, when=lambda: (condition, shown))(lambda facts: facts.where(condition).withColumn("evidence", shown))
 
 
 EVAL = CALL & (NAME.isin("eval", "window.eval") | (NAME == "Function"))
