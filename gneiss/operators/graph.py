@@ -209,13 +209,19 @@ def _pagerank_local(base: DataFrame, edges: DataFrame, damping: float, iteration
 
 
 def usage_similar(items: DataFrame, threshold: float = 0.5, k: int = 8) -> DataFrame:
-    """src, dst, weight from items(node_id, callees, types): pairs that share a token, scored, k best per node."""
-    tokens = items.select("node_id", F.explode(F.array_distinct(F.concat("callees", "types"))).alias("token"))
-    pairs = tokens.withColumnRenamed("node_id", "a").join(tokens.withColumnRenamed("node_id", "b"), "token").where("a < b").select("a", "b").distinct()
-    left = items.select(F.col("node_id").alias("a"), F.col("callees").alias("ca"), F.col("types").alias("ta"))
-    right = items.select(F.col("node_id").alias("b"), F.col("callees").alias("cb"), F.col("types").alias("tb"))
-    weight = F.round(jaccard(F.col("ca"), F.col("cb")) * 0.6 + jaccard(F.col("ta"), F.col("tb")) * 0.4, 6)
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", weight.alias("weight")).where(F.col("weight") >= threshold)
+    """src, dst, weight from items(node_id, callees, types): pairs that share a token, scored, k best per node.
+
+    The weight is 0.6 * Jaccard of callees + 0.4 * Jaccard of types.  Above 0.4 a pair must share a callee, so types, of which
+    there are few, need not bring pairs together.  A pair is scored where its smallest common token is, once.
+    """
+    callees = F.array_distinct("callees")
+    keys = callees if threshold > 0.4 else F.array_distinct(F.concat("callees", "types"))
+    rows = items.select("node_id", "callees", "types", keys.alias("keys")).withColumn("token", F.explode("keys"))
+    a, b = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns]), rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
+    both = a.join(b, F.col("a_token") == F.col("b_token")).where("a_node_id < b_node_id")
+    both = both.where(F.col("a_token") == F.array_min(F.array_intersect("a_keys", "b_keys")))
+    weight = F.round(jaccard(F.col("a_callees"), F.col("b_callees")) * 0.6 + jaccard(F.col("a_types"), F.col("b_types")) * 0.4, 6)
+    scored = both.select(F.col("a_node_id").alias("a"), F.col("b_node_id").alias("b"), weight.alias("weight")).where(F.col("weight") >= threshold)
     return best_neighbours(scored, k)
 
 
