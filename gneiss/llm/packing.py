@@ -1,7 +1,7 @@
 """Best-fit-decreasing packing of tokenised documents into windows of fixed capacity.
 
-1. ``pieces``: each document is tokenised in its own task; its ids are cut into full windows and one remainder.  The
-   task numbers the pieces of each length as it goes, so no shuffle is needed to rank them.  The rows are written.
+1. ``pieces``: each document is tokenised in its own partition; its ids are cut into full windows and one remainder.  The
+   pieces of each length are numbered within the partition, so no shuffle is needed to rank them.  The rows are written.
 2. ``plan_windows``: best-fit decreasing depends on lengths only, and there are at most `capacity` of them.  The driver
    gets one count per length (a fixed bound), keeps open windows as counted runs in a segment tree indexed by
    remaining capacity, and places whole runs of equal pieces into the tightest windows.  That is global best-fit
@@ -86,16 +86,20 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, closing_id: int = CLOSING_ID) -> DataFrame:
-    """Pieces of every row of docs(doc_id, text), numbered within their length and task."""
+    """Pieces of every row of docs(doc_id, text), numbered within their length and part.
+
+    A part is one partition of docs, as `cut` sees it.  A task can run several of them where the result is coalesced, so
+    its id is taken from the rows and not from the task.
+    """
     closing = array("I", [closing_id]).tobytes()
 
     def cut(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
         words = encoder(vocabulary or vocabulary_path())
         seen = [0] * (capacity + 1)
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column(2)[0].as_py()
             ids_of, cols = [], [array("q") for _ in range(6)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = words.ids(text.as_py() or "") + closing
@@ -110,7 +114,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
             arrays = [pa.array(ids_of, pa.int64()), *(pa.array(c, pa.int64()) for c in cols)]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in PIECES.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(lean(cut), PIECES)
+    return docs.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(lean(cut), PIECES)
 
 
 class TightestFit:
@@ -192,7 +196,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     cut = scratch.save(pieces(docs, capacity, vocabulary, closing_id), "pieces")
-    # one row per task and length: a task's pieces of one length are numbered 0..n-1
+    # one row per part and length: a part's pieces of one length are numbered 0..n-1
     tally = scratch.save(cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "tally")
     counts = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
     plan = plan_windows(counts, capacity)

@@ -40,6 +40,15 @@ def test_packs_all_ids_once(spark, odd):
     assert sum(r["length"] for r in rows) / (len(sequences) * 256) > 0.98
 
 
+def test_more_partitions_than_scratch_tables_have(spark):
+    n = 4 * spark.sparkContext.defaultParallelism
+    docs = spark.range(0, 6 * n, 1, 3 * n + 1).selectExpr("id as doc_id", "repeat('some words ', cast(1 + id % 5 as int)) as text")
+    assert docs.rdd.getNumPartitions() > n
+    rows = packing.pack(docs, capacity=64).collect()
+    assert len(rows) == 6 * n and len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+    check([(r["doc_id"], r["text"]) for r in docs.collect()], rows, 64)
+
+
 def test_plan_equals_best_fit_decreasing():
     r = random.Random(5)
     for capacity in (10, 64, 2048):
