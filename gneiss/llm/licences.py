@@ -1,10 +1,12 @@
 """Licence scans: sparse TF-IDF cosine against templates, then inheritance from the nearest ancestor directory.
 
-Every unit of a text that names a licence at all (each line, each paragraph and the text as a whole) becomes a sparse TF-IDF
-vector over words; the idf is that of the templates, words no template has weigh as much as the rarest.  Its cosine to each
-template is an equi-join on words and a sum.  A line or paragraph at or above HEADER is a header of its file; a text that is
-at or above WHOLE as a whole is a licence file.  A file without header takes the licence of the nearest ancestor directory
-that has a licence file: ancestors are path prefixes, joined by equality, and the longest wins.
+Every unit of a text (each line, each paragraph and the text as a whole) is a sparse TF-IDF vector over words; the idf is that
+of the templates, words no template has weigh as much as the rarest.  There are two sets of templates: short notices, to which
+all units are compared, and the full licence texts in ``licence_texts``, to which paragraphs and whole texts are.  A line or
+paragraph at or above HEADER (FULL for full texts) is a header of its file; a text that is at or above WHOLE (FULL) as a whole
+is a licence file.  A text's own licence is that of the whole text before that of a header, and 'All rights reserved' counts
+only where nothing else is found.  A file without header takes the licence of the nearest ancestor directory that has a
+licence file: ancestors are path prefixes, joined by equality, and the longest wins.
 
 Defined cases: null or empty text has no licence of its own; ties go to the template that comes first by name, between
 licence files of one directory to the higher score, then to the smaller path; rows with equal paths are kept apart and get
@@ -14,15 +16,29 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+from collections import Counter
+from importlib import resources
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Scratch
+from gneiss.llm.common import Scratch, lean
 
 HEADER = 0.6
 WHOLE = 0.6
+FULL = 0.7
 NAMES_A_LICENCE = r"(?i)licen[cs]|copyright|spdx|public domain|redistribut|all rights reserved|permission is hereby"
 
+NO_WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details. You should have received a copy of the {0} along with this program. If not, see <https://www.gnu.org/licenses/>."
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+GNU_KINDS = [
+    ("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License", "3"), ("AGPL-3.0", "GNU Affero General Public License", "3"),
+]
+
 # (SPDX id, text): short notices as they stand in headers, and the sentences that open the licence texts
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -45,60 +61,100 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has dedicated this work to the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "Copyright. All rights reserved."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    *[(i, GNU.format(n, v)) for i, n, v in GNU_KINDS if i != "GPL-3.0"],
+    *[(i, GNU.format(n, v) + " " + NO_WARRANTY.format(n)) for i, n, v in GNU_KINDS],
 ]
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
-def template_weights(spark: SparkSession, templates=TEMPLATES) -> tuple[DataFrame, float]:
-    """(template, licence, word, idf, weight) with unit vectors; the idf of a word no template has.  Templates are few."""
-    rows = [(i, name, text) for i, (name, text) in enumerate(sorted(templates))]
-    t = spark.createDataFrame(rows, "template int, licence string, text string")
-    tf = t.select("template", "licence", F.explode(words(F.col("text"))).alias("word")).groupBy("template", "licence", "word").count()
-    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.select("word", (F.log(F.lit(1.0 + len(rows)) / (F.col("df") + 1)) + 1).alias("idf"))
-    w = tf.join(idf, "word").withColumn("w", (F.log("count") + 1) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))
-    import math
-
-    return w.select("template", "licence", "word", "idf", (F.col("w") / norm).alias("weight")), math.log(1.0 + len(rows)) + 1
-
-
-def units(files: DataFrame) -> DataFrame:
-    """rid, unit, whole, text of the parts that name a licence."""
-    some = files.where(F.col("text").rlike(NAMES_A_LICENCE))
-    line = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("part")))
-    para = F.transform(F.filter(F.split("text", r"\n\s*\n", -1), lambda x: x.contains("\n")), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("part")))
-    whole = F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("part")))
-    parts = some.select("rid", F.posexplode(F.concat(line, para, whole)).alias("unit", "p"))
-    return parts.select("rid", "unit", "p.whole", F.col("p.part").alias("text")).where(F.col("text").rlike(NAMES_A_LICENCE))
-
-
-def scores(parts: DataFrame, spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """rid, unit, whole, licence, score: the best template of each unit."""
-    weights, rare = template_weights(spark, templates)
-    tf = parts.select("rid", "unit", "whole", F.explode(words(F.col("text"))).alias("word")).groupBy("rid", "unit", "whole", "word").count()
-    # a vocabulary of the templates' few hundred words: its size does not grow with the corpus
-    idf = F.broadcast(weights.select("word", "idf").distinct())
-    tf = tf.join(idf, "word", "left").withColumn("w", (F.log("count") + 1) * F.coalesce("idf", F.lit(rare)))
-    entries = tf.groupBy("rid", "unit", "whole").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("word", "w"))).alias("e"))
-    flat = entries.select("rid", "unit", "whole", "norm", F.explode("e").alias("x")).select("rid", "unit", "whole", "norm", "x.word", "x.w")
-    dots = flat.join(F.broadcast(weights.select("template", "licence", "word", "weight")), "word")
-    cos = dots.groupBy("rid", "unit", "whole", "template", "licence").agg(F.round(F.sum(F.col("w") * F.col("weight")) / F.first("norm"), 6).alias("score"))
-    best = F.max(F.struct("score", (-F.col("template")).alias("order"), "licence")).alias("b")
-    return cos.groupBy("rid", "unit", "whole").agg(best).select("rid", "unit", "whole", "b.licence", "b.score")
+def words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(SPDX id, text) of the licence texts: a fixed number of files of this package."""
+    found = [f for f in resources.files("gneiss.llm").joinpath("licence_texts").iterdir() if f.name.endswith(".txt")]
+    return [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in sorted(found, key=lambda f: f.name)]
+
+
+class Templates:
+    """Unit TF-IDF vectors of a few templates, and the best cosine of a unit to one of them."""
+
+    def __init__(self, templates: list[tuple[str, str]], least: float):
+        templates, self.least = sorted(templates), least
+        counts = [Counter(words(text)) for _, text in templates]
+        df = Counter(w for c in counts for w in c)
+        self.names, self.at = [name for name, _ in templates], {w: i for i, w in enumerate(sorted(df))}
+        self.rare = float(np.log(1.0 + len(templates)) + 1)
+        self.idf = np.array([np.log((1.0 + len(templates)) / (df[w] + 1)) + 1 for w in self.at])
+        self.weight = np.zeros((len(self.at), len(templates)))
+        for t, c in enumerate(counts):
+            for w, n in c.items():
+                self.weight[self.at[w], t] = (np.log(n) + 1) * self.idf[self.at[w]]
+        self.weight /= np.linalg.norm(self.weight, axis=0)
+
+    def best(self, found: Counter) -> tuple[float, str] | None:
+        """(score, licence) of the best template at or above least, for the word counts of a unit."""
+        known = [w for w in found if w in self.at]
+        if not known:
+            return None
+        at = [self.at[w] for w in known]
+        w = (np.log([found[x] for x in known]) + 1) * self.idf[at]
+        other = np.log([n for x, n in found.items() if x not in self.at] or [1.0]) + 1 if len(known) < len(found) else np.zeros(1)
+        cos = np.round(w @ self.weight[at] / np.sqrt((w * w).sum() + (other * other).sum() * self.rare**2), 6)
+        t = int(np.argmax(cos))
+        return (float(cos[t]), self.names[t]) if cos[t] >= self.least else None
+
+
+def own_licence(text: str, notices: Templates, full: Templates) -> tuple[bool, float, int, str, bool] | None:
+    """(not proprietary, score, -unit, licence, whole) of the unit that gives the text its licence; see the module."""
+    if not re.search(NAMES_A_LICENCE, text):
+        return None
+    lines = text.split("\n")
+    paragraphs = [p for p in re.split(r"\n[ \t\n\x0b\f\r]*\n", text) if "\n" in p]
+    found = []
+    for unit, part in enumerate([*lines, *paragraphs, text]):
+        if not re.search(NAMES_A_LICENCE, part):
+            continue
+        whole, counts = unit == len(lines) + len(paragraphs), Counter(words(part))
+        for templates in (notices, full) if unit >= len(lines) else (notices,):
+            if b := templates.best(counts):
+                found.append((b[1] != "proprietary", whole, b[0], -unit, b[1]))
+    if not found:
+        return None
+    named, _, score, unit, licence = max(found)
+    return named, score, unit, licence, any(x[1] for x in found)
+
+
+def scores(files: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """rid, named, score, unit, licence, whole of the texts that have a licence of their own."""
+    notices, full = Templates(templates, HEADER), Templates(full_texts(), FULL)
+    shared = files.sparkSession.sparkContext.broadcast((notices, full))
+    columns = ["named", "score", "unit", "licence", "whole"]
+    kinds = [pa.bool_(), pa.float64(), pa.int64(), pa.string(), pa.bool_()]
+
+    def look(batches):
+        notices, full = shared.value
+        for b in batches:
+            got = [own_licence(t.as_py() or "", notices, full) for t in b.column(1)]
+            mine = [i for i, g in enumerate(got) if g]
+            cols = list(zip(*[got[i] for i in mine], strict=True)) or [()] * len(kinds)
+            arrays = [b.column(0).take(pa.array(mine, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["rid", *columns])
+
+    schema = f"rid {files.schema['rid'].dataType.simpleString()}, named boolean, score double, unit long, licence string, whole boolean"
+    return files.select("rid", "text").mapInArrow(lean(look), schema)
 
 
 def scan(files: DataFrame, templates=TEMPLATES) -> DataFrame:
     """files(rid, path, text) -> rid, path, licence, how (file, header, inherited, none), score, from_path."""
     spark = files.sparkSession
     scratch = Scratch(spark, "licences")
-    found = scratch.save(scores(units(files.select("rid", "text")), spark, templates), "scores")
-    good = found.where(F.when(F.col("whole"), F.col("score") >= WHOLE).otherwise(F.col("score") >= HEADER))
-    top = F.max(F.struct("score", (-F.col("unit")).alias("order"), "licence"))
-    own = good.groupBy("rid").agg(top.alias("b"), F.bool_or("whole").alias("file")).select("rid", F.col("b.licence").alias("licence"), F.col("b.score").alias("score"), "file")
+    found = scratch.save(scores(files, templates), "scores")
+    top = F.max(F.struct("named", "whole", "score", "unit", "licence"))
+    own = found.groupBy("rid").agg(top.alias("b"), F.bool_or("whole").alias("file")).select("rid", "b.licence", "b.score", "file")
     paths = files.select("rid", "path")
     known = scratch.save(paths.join(own, "rid", "left"), "known")
     directory = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))

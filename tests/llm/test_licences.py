@@ -23,3 +23,27 @@ def test_templates_find_themselves(spark):
     got = {r["rid"]: (r["licence"], r["score"]) for r in licences.scan(spark.createDataFrame(rows, "rid long, path string, text string")).collect()}
     named = [i for i, (_, t) in enumerate(licences.TEMPLATES) if __import__("re").search(licences.NAMES_A_LICENCE, t)]
     assert named and all(got[i] == (licences.TEMPLATES[i][0], 1.0) for i in named)
+
+
+def test_full_texts_are_licence_files(spark):
+    full = dict(licences.full_texts())
+    rows = []
+    for i, (name, text) in enumerate(sorted(full.items())):
+        text = "Copyright (c) 2021 Some Person\nAll rights reserved.\n\n" + text
+        rows += [(2 * i, f"{name}/LICENSE", text), (2 * i + 1, f"{name}/src/x.py", "some code")]
+    got = {r["path"]: (r["licence"], r["how"], r["from_path"]) for r in licences.scan(spark.createDataFrame(rows, "rid long, path string, text string")).collect()}
+    assert {"MIT", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "AGPL-3.0", "ISC", "MPL-2.0"} <= set(full)
+    for name in full:
+        assert got[f"{name}/LICENSE"] == (name, "file", None) and got[f"{name}/src/x.py"] == (name, "inherited", f"{name}/LICENSE")
+
+
+def test_headers_with_full_notices(spark):
+    comment = lambda text: "".join(f"# {line}\n" for line in text.split("\n")) + "\n\n" + "def f(x): return x\n" * 300
+    full = dict(licences.full_texts())
+    want = {n: comment(full[n]) for n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause")}
+    for name, title, version in licences.GNU_KINDS:
+        text = licences.GNU.format(title, version) + " " + licences.NO_WARRANTY.format(title)
+        want[name] = comment("Copyright (C) 2021 Some Person\n" + text.replace(" the ", " the\n"))
+    rows = [(i, f"{name}/x.py", text) for i, (name, text) in enumerate(want.items())]
+    got = {r["path"]: (r["licence"], r["how"]) for r in licences.scan(spark.createDataFrame(rows, "rid long, path string, text string")).collect()}
+    assert got == {f"{name}/x.py": (name, "header") for name in want}
