@@ -30,7 +30,6 @@ from gneiss.llm.common import Scratch, lean
 HEADER = 0.6
 WHOLE = 0.6
 FULL = 0.7
-NAMES_A_LICENCE = r"(?i)licen[cs]|copyright|spdx|public domain|redistribut|all rights reserved|permission is hereby"
 
 NO_WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details. You should have received a copy of the {0} along with this program. If not, see <https://www.gnu.org/licenses/>."
 GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
@@ -69,8 +68,11 @@ TEMPLATES = [
 ]
 
 
+WORD = re.compile(r"[^\W_]+")
+
+
 def words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", text.lower())
+    return WORD.findall(text.lower())
 
 
 def full_texts() -> list[tuple[str, str]]:
@@ -94,6 +96,19 @@ class Templates:
             for w, n in c.items():
                 self.weight[self.at[w], t] = (np.log(n) + 1) * self.idf[self.at[w]]
         self.weight /= np.linalg.norm(self.weight, axis=0)
+        self.square = self.weight**2
+        # a unit without any of a template's heavy words, where the others have a norm below least, can't reach least
+        self.heavy = set()
+        vocabulary = list(self.at)
+        for w in self.square.T:
+            order = np.argsort(w, kind="stable")
+            self.heavy |= {vocabulary[i] for i in order[np.cumsum(w[order]) >= (self.least - 1e-6) ** 2]}
+
+    def possible(self, found: set[str]) -> bool:
+        """False only where no unit of these words reaches least: a cosine is at most the norm of the shared words' weights."""
+        if self.heavy.isdisjoint(found):
+            return False
+        return self.square[[self.at[w] for w in found & self.at.keys()]].sum(0).max() >= (self.least - 1e-6) ** 2
 
     def best(self, found: Counter) -> tuple[float, str] | None:
         """(score, licence) of the best template at or above least, for the word counts of a unit."""
@@ -110,16 +125,21 @@ class Templates:
 
 def own_licence(text: str, notices: Templates, full: Templates) -> tuple[bool, float, int, str, bool] | None:
     """(not proprietary, score, -unit, licence, whole) of the unit that gives the text its licence; see the module."""
-    if not re.search(NAMES_A_LICENCE, text):
+    all_words = words(text)
+    vocabulary = set(all_words)
+    sets = [t for t in (notices, full) if t.possible(vocabulary)]
+    if not sets:
         return None
     lines = text.split("\n")
     paragraphs = [p for p in re.split(r"\n[ \t\n\x0b\f\r]*\n", text) if "\n" in p]
     found = []
     for unit, part in enumerate([*lines, *paragraphs, text]):
-        if not re.search(NAMES_A_LICENCE, part):
-            continue
-        whole, counts = unit == len(lines) + len(paragraphs), Counter(words(part))
-        for templates in (notices, full) if unit >= len(lines) else (notices,):
+        whole = unit == len(lines) + len(paragraphs)
+        here = [t for t in sets if t is notices or unit >= len(lines)]
+        have = all_words if whole else words(part) if here else []
+        here = [t for t in here if t.possible(set(have))]
+        counts = Counter(have) if here else None
+        for templates in here:
             if b := templates.best(counts):
                 found.append((b[1] != "proprietary", whole, b[0], -unit, b[1]))
     if not found:
@@ -128,6 +148,10 @@ def own_licence(text: str, notices: Templates, full: Templates) -> tuple[bool, f
     return named, score, unit, licence, any(x[1] for x in found)
 
 
+# words of which each unit that a notice is found in has one; derived, so no template is left out
+NAMES_A_LICENCE = rf"(?i)\b(?:{'|'.join(sorted(Templates(TEMPLATES, HEADER).heavy))})\b"
+
+
 def scores(files: DataFrame, templates=TEMPLATES) -> DataFrame:
     """rid, named, score, unit, licence, whole of the texts that have a licence of their own."""
     notices, full = Templates(templates, HEADER), Templates(full_texts(), FULL)

@@ -47,3 +47,22 @@ def test_headers_with_full_notices(spark):
     rows = [(i, f"{name}/x.py", text) for i, (name, text) in enumerate(want.items())]
     got = {r["path"]: (r["licence"], r["how"]) for r in licences.scan(spark.createDataFrame(rows, "rid long, path string, text string")).collect()}
     assert got == {f"{name}/x.py": (name, "header") for name in want}
+
+
+def test_every_template_is_found_as_line_paragraph_and_file(spark):
+    forms = {"file": lambda t: t, "line": lambda t: "x = 1\n" * 200 + t + "\n" + "y = 2\n" * 200, "paragraph": lambda t: "x = 1\n" * 200 + "\n" + t.replace(" ", "\n") + "\n\n" + "y = 2\n" * 200}
+    rows = [(name, form(t)) for name, t in licences.TEMPLATES for form in forms.values()]
+    files = spark.createDataFrame([(i, f"d{i}/f", t) for i, (_, t) in enumerate(rows)], "rid long, path string, text string")
+    got = {r["rid"]: (r["licence"], r["score"]) for r in licences.scan(files).collect()}
+    assert all(got[i] == (name, 1.0) for i, (name, _) in enumerate(rows))
+
+
+def test_the_bound_excludes_no_unit_at_the_threshold():
+    for templates in (licences.Templates(licences.TEMPLATES, licences.HEADER), licences.Templates(licences.full_texts(), licences.FULL)):
+        vocabulary = list(templates.at)
+        for t in range(len(templates.names)):
+            weight = templates.weight[:, t]
+            own = sorted((v for v in vocabulary if weight[templates.at[v]]), key=lambda v: weight[templates.at[v]])
+            for n in range(1, len(own) + 1):
+                if templates.best(licences.Counter(own[:n])):
+                    assert templates.possible(set(own[:n]))
