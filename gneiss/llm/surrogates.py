@@ -3,8 +3,11 @@
 Entities are found by one pattern over the whole text.  Each distinct entity gets a keyed replacement of its own kind:
 a digit stands for a digit and a letter for a letter of its script, case and class (vowel or consonant); separators stay; an
 address keeps its top-level domain and equal domains stay equal; octets keep their width and range; a phone number keeps
-its country code, a card number its check digit if it had a right one; a given name becomes another one of the same
-gender and script; a surname is rewritten letter by letter.  The key makes replacements reproducible and secret.
+its country code, a card number its check digit if it had a right one; a given name of the lists becomes another one of the same
+gender and script; other given names and surnames are rewritten letter by letter, in their script.  The key makes replacements reproducible and secret.
+
+A person's given name and surname are entities of their own, so that a surname alone and a full name corefer; as neither two
+given names nor two surnames share a replacement, no two full names do.
 
 Entities are compared in normal form (case and separators do not count), so mentions that differ only in form get one
 replacement, written in each mention's form: coreference.  Replacements that meet each other or any real entity are drawn
@@ -42,7 +45,7 @@ CAPITAL = r"\p{Lu}\p{Ll}+"
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,254}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
     "credential": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}|xox[abpr]-[0-9A-Za-z-]{10,64})(?![\p{L}\p{N}])",
-    "ipv6": r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
+    "ipv6": r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*\d)[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\p{L}\p{N}:])",
     "hex": r"(?<![\p{L}\p{N}])(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,128}(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![\p{L}\p{N}])",
     "phone": rf"(?<![\p{{N}}+])\+\d{{1,3}}{GAP}\d{{2,4}}{GAP}\d{{3}}{GAP}\d{{4}}(?!\p{{N}})",
@@ -129,23 +132,39 @@ def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
     phone = F.concat(code, F.lit(":"), rewrite(F.substring_index(norm, ":", -1), hexes))
     digits = rewrite(norm, hexes)
     stem = F.substring(digits, F.lit(1), F.length(digits) - 1)
+    name = rewrite(F.substring(F.repeat(norm, 3), F.lit(1), F.greatest(F.length(norm), F.lit(5))), hexes)  # short names have too few forms
     check = F.pmod(F.lit(10) - luhn(F.concat(stem, F.lit("0"))) % 10, F.lit(10)).cast("string")
     card = F.when(luhn(norm) % 10 == 0, F.concat(stem, check)).otherwise(digits)
     return (
-        F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "phone", phone).when(kind == "card", card)
+        F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "phone", phone).when(kind == "card", card).when(kind == "given", name)
         .when(kind.isin("hex", "ipv6"), rewrite(norm, hexes, HEXES)).otherwise(digits)
     )
 
 
+def given_name(raw: Column) -> Column:
+    title = F.regexp_extract(raw, rf"^(?:{TITLE})\.? ", 0)
+    return F.regexp_extract(F.substring(raw, F.length(title) + 1, F.length(raw)), rf"^({CAPITAL}) ", 1)
+
+
+def unlisted(mentions: DataFrame) -> DataFrame:
+    """mentions with the normal form of a given name that is on no list, else null."""
+    given = given_name(F.col("raw"))
+    listed = [n for names in NAMES.values() for n in names]
+    return mentions.withColumn("given", F.when((F.col("kind") == "person") & (given != "") & ~given.isin(*listed), F.lower(given)))
+
+
 def distinct_surrogates(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """(kind, norm, surrogate): no two entities of a kind share one, and none is an entity itself."""
-    entities = scratch.save(entities.select("kind", "norm").distinct(), "entities")
+    """(kind, norm, surrogate): no two entities of a kind share one, and none is an entity itself or a listed given name."""
+    given = entities.where("given is not null").select(F.lit("given").alias("kind"), F.col("given").alias("norm"))
+    entities = scratch.save(entities.select("kind", "norm").union(given).distinct(), "entities")
+    listed = entities.sparkSession.createDataFrame([("given", n.lower()) for names in NAMES.values() for n in names], "kind string, norm string")
+    taken = entities.union(listed)
     drawn = entities.withColumn("draw", F.lit(0))
     for k in range(MOST_DRAWS):
         drawn = scratch.save(drawn.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("draw"), key)), f"draw{k}")
         shared = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "norm")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         late = drawn.join(shared, ["kind", "surrogate"]).where(F.struct("draw", "norm") != F.col("first")).select("kind", "norm")
-        real = drawn.join(entities.withColumnRenamed("norm", "surrogate"), ["kind", "surrogate"], "left_semi").select("kind", "norm")
+        real = drawn.join(taken.withColumnRenamed("norm", "surrogate"), ["kind", "surrogate"], "left_semi").select("kind", "norm")
         again = scratch.save(late.union(real).distinct(), f"again{k}")
         if not again.limit(1).count():
             return drawn.select("kind", "norm", "surrogate")
@@ -165,7 +184,7 @@ def rotated(key: str) -> dict[str, str]:
     return out
 
 
-def written(kind: Column, raw: Column, new: Column, key: str) -> Column:
+def written(kind: Column, raw: Column, new: Column, new_given: Column, key: str) -> Column:
     """The surrogate in the form of the mention: its separators, its capitals, its title."""
     chars = F.split(raw, "")
     digit_at = lambda i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda c: c.rlike(r"^\d$")))
@@ -174,15 +193,9 @@ def written(kind: Column, raw: Column, new: Column, key: str) -> Column:
     cased = lambda old, s: F.array_join(F.transform(F.split(old, ""), lambda c, i: F.when(c == F.lower(c), F.substring(s, i + 1, F.lit(1))).otherwise(F.upper(F.substring(s, i + 1, F.lit(1))))), "")
     last = F.regexp_extract(raw, r"(\p{L}+)$", 1)
     title = F.regexp_extract(raw, rf"^(?:{TITLE})\.? ", 0)
-    given = F.regexp_extract(F.substring(raw, F.length(title) + 1, F.length(raw)), rf"^({CAPITAL}) ", 1)
+    given = given_name(raw)
     names = F.create_map(*[F.lit(x) for pair in rotated(key).items() for x in pair])
-    fits = [(g, s) for s, g in NAMES]
-    pick = lambda g, s: F.element_at(F.array(*[F.lit(n) for n in NAMES[(s, g)]]), F.pmod(F.xxhash64(given, F.lit(key)), F.lit(len(NAMES[(s, g)]))).cast("int") + 1)
-    unknown = given
-    for g, s in fits:
-        script = given.rlike(r"^\p{IsCyrillic}") if s == "cyrillic" else ~given.rlike(r"^\p{IsCyrillic}")
-        unknown = F.when(script & title.rlike("^(?:" + "|".join(TITLES[g]) + ")"), pick(g, s)).otherwise(unknown)
-    first = F.when(given == "", F.lit("")).otherwise(F.concat(F.coalesce(F.element_at(names, given), unknown), F.lit(" ")))
+    first = F.when(given == "", F.lit("")).otherwise(F.concat(F.coalesce(F.element_at(names, given), F.concat(F.upper(F.substring(new_given, 1, 1)), F.substring(new_given, F.lit(2), F.length(new_given)))), F.lit(" ")))
     person = F.concat(title, first, cased(last, new))
     return F.when(kind.isin(*DIGITS_ONLY), by_digit).when(kind == "person", person).otherwise(cased(raw, new))
 
@@ -193,12 +206,13 @@ def replace_entities(docs: DataFrame, key: str = KEY, keep_counts: bool = False)
     text_key = F.unhex(F.md5(F.col("text").cast("binary")))
     mentions = docs.where("text is not null").select(text_key.alias("key"), "text").select("key", F.posexplode(F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))).alias("at", "raw"))
     mentions = mentions.withColumn("kind", kind_of(F.col("raw")))
-    mentions = scratch.save(mentions.withColumn("norm", normal_form(F.col("kind"), F.col("raw"))), "mentions")
+    mentions = scratch.save(unlisted(mentions.withColumn("norm", normal_form(F.col("kind"), F.col("raw")))), "mentions")
     chosen = scratch.save(distinct_surrogates(mentions, key, scratch), "surrogates")
-    new = mentions.join(chosen, ["kind", "norm"])
+    given = chosen.where("kind = 'given'").select(F.col("norm").alias("given"), F.col("surrogate").alias("new_given"))
+    new = mentions.join(chosen, ["kind", "norm"]).join(given, "given", "left")
     # equal texts have equal mentions: one array a text
-    new = new.groupBy("key", "at").agg(F.first(F.struct("kind", "raw", "surrogate")).alias("m"))
-    new = new.select("key", F.struct("at", written(F.col("m.kind"), F.col("m.raw"), F.col("m.surrogate"), key).alias("w"), F.col("m.kind").alias("kind")).alias("m"))
+    new = new.groupBy("key", "at").agg(F.first(F.struct("kind", "raw", "surrogate", "new_given")).alias("m"))
+    new = new.select("key", F.struct("at", written(F.col("m.kind"), F.col("m.raw"), F.col("m.surrogate"), F.col("m.new_given"), key).alias("w"), F.col("m.kind").alias("kind")).alias("m"))
     per_text = scratch.save(new.groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("_new")), "per_text")
 
     hit = docs.withColumn("_key", text_key).join(per_text.withColumnRenamed("key", "_tk").hint("merge"), F.col("_key") == F.col("_tk"), "left")

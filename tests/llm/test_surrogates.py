@@ -37,6 +37,25 @@ def test_distinct_entities_stay_distinct_and_the_key_matters(spark):
     assert [r["text"] for r in run(spark, [f"call {n} now" for n in numbers[:50]], key="other")] != [r["text"] for r in one[:50]]
 
 
+def test_persons_of_one_surname_stay_distinct(spark):
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    given = [(a + b + c).capitalize() for a in syllables[::3] for b in syllables for c in ("n", "ra")][:3000]
+    given = given[:-3] + ["Al", "Bo", "Ty"]
+    given += s.NAMES[("latin", "f")] + ["Ξένια", "Κλειώ", "Зинаида"]
+    out = [r["text"] for r in run(spark, [f"Mrs {g} Smith" for g in given])]
+    new = [x.split()[1] for x in out]
+    assert len(set(given)) == len(given) == len(set(new)) and not set(new) & set(given[:3000])
+    assert len({x.split()[2] for x in out}) == 1 and "Smith" not in out[0]
+    assert re.fullmatch("[Α-Ωα-ωά-ώ]+", new[-3][1:]) and re.fullmatch("[А-Яа-яё]+", new[-1])
+
+
+def test_compressed_ipv6(spark):
+    a, b = [r["text"] for r in run(spark, ["from 2001:db8::1 to fe80::a1:2.", "not one: std::abs, a::b, 12:30"])]
+    m = re.fullmatch(r"from (\S+) to (\S+)\.", a)
+    assert re.fullmatch(r"[0-9]{4}:[a-f]{2}[0-9]::[0-9]", m[1]) and re.fullmatch(r"[a-f]{2}[0-9]{2}::[a-f][0-9]:[0-9]", m[2])
+    assert m[1] != "2001:db8::1" and m[2] != "fe80::a1:2" and b == "not one: std::abs, a::b, 12:30"
+
+
 def test_odd_rows(spark, odd, none):
     out = s.replace_entities(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
