@@ -2,8 +2,10 @@
 
 Text is lower-cased; letters and marks are kept, all else is one boundary.  Its trigrams (and boundary trigrams) are
 hashed to `FEATURES` cells; weights are (1 + ln tf) * idf, normalised.  Each language has several centroids from
-spherical k-means.  The best cosine wins; ties go to the first label in order.  A text is rejected if its distance
-1 - cosine exceeds the radius of the winning centroid, which is set from training distances and widened by RADIUS.
+spherical k-means.  The best cosine wins; ties go to the first label in order.  Cells are shared by
+chance, the more the longer a text is, so the cosine expected of a text with its weights in random cells is taken off first;
+a text is rejected if its distance 1 - (cosine - chance) exceeds the radius of the winning centroid, which is set from the
+same distances of training texts and widened by RADIUS.
 
 The classifier is fitted on a bounded sample: for each label the PER_LABEL training rows with the smallest hash of
 doc_id (one label holding most rows costs no more than another), of at most MAX_LABELS labels.  Prediction covers every
@@ -81,6 +83,11 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / np.where(norm > 0, norm, 1)
 
 
+def by_chance(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The cosine of each row to each centroid that is expected if the row's weights stood in random cells."""
+    return x.sum(1, keepdims=True) * centroids.mean(1)
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     """Deterministic: starts at the row nearest the mean, then the farthest rows in turn."""
     unit = lambda v: v / max(float(np.linalg.norm(v)), 1e-12)
@@ -106,10 +113,11 @@ class Model:
         counts, has = count_ngrams(texts)
         if not self.labels:
             return [(UNKNOWN, 0.0, True)] * len(texts)
-        cos = np.round(weigh(counts, self.idf) @ self.centroids.T, 5)
+        x = weigh(counts, self.idf)
+        cos = np.round(x @ self.centroids.T, 5)
         best = np.argmax(cos, axis=1)
         top = np.clip(cos[np.arange(len(texts)), best], 0, 1)
-        out = 1 - top > self.radius[best]
+        out = 1 - (top - by_chance(x, self.centroids)[np.arange(len(texts)), best]) > self.radius[best]
         return [(self.labels[self.owner[b]], round(float(s), 5), bool(r)) if ok else (UNKNOWN, 0.0, True) for b, s, r, ok in zip(best, top, out, has, strict=True)]
 
 
@@ -160,7 +168,7 @@ def fit(docs: DataFrame, per_label: int = PER_LABEL, max_labels: int = MAX_LABEL
     for i, name in enumerate(labels):
         x = weigh(np.array(by[name]), idf)
         c = spherical_kmeans(x, centroids)
-        near = np.max(x @ c.T, axis=1)
+        near = np.max(x @ c.T - by_chance(x, c), axis=1)
         floor = float(np.quantile(near, QUANTILE)) * RADIUS
         cents.append(c)
         owner += [i] * len(c)

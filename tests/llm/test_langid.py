@@ -29,3 +29,11 @@ def test_odd_rows(spark, odd, none):
     kept = langid.keep_recognised(odd)
     assert kept.columns == odd.columns and kept.count() <= odd.count()
     assert langid.keep_recognised(none).count() == 0
+
+
+def test_long_random_letters_are_rejected_and_clean_documents_kept(spark, rng):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out(docs["doc_id"])))
+    junk = [" ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 9))) for _ in range(n)) for a in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя") for n in (10, 200, 1000, 5000)]
+    assert all(r for _, _, r in model.predict(junk))
+    assert not any(r for _, _, r in model.predict([r["text"] for r in docs.collect() if r["text"]]))
