@@ -13,17 +13,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder every executor shares: spark.checkpoint.dir.  Where it is unset, a local one on a local master (tests); an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gneiss-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+PART_BYTES = 16 << 20
+SIZE_UNKNOWN = 1 << 60
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """What the optimizer knows of the size of the tables that df reads; None where it knows of no table."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = [n for n in sizes if n < SIZE_UNKNOWN]
+    return sum(known) if known else None
+
+
 def few_files(df: DataFrame, per_core: int = 4) -> DataFrame:
-    """A few partitions a core at most: shuffles of small tables leave no swarm of tiny files, and no data move."""
-    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
+    """One partition per PART_BYTES of input, or a few a core if those are more: small tables leave no swarm of tiny files,
+    and a task's share does not grow with the input.  Partitions are joined without moving data, and never where no size is known."""
+    size = input_bytes(df)
+    return df if size is None else df.coalesce(max(per_core * df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until df has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 class Scratch:
