@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Scratch
+from gneiss.llm.common import Scratch, fresh
 
 LEAD = 3
 MIN_TOKENS = 5
@@ -93,25 +93,26 @@ def dropped_positions(docs: DataFrame, scratch: Scratch) -> DataFrame:
     bad = scratch.save(frequent.union(general.join(texts, "template", "left_semi").select("line")).distinct(), "bad", 1)
     gone = lines.join(bad, "line", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("gone"))
     gone = scratch.save(gone, "gone", 1)
-    for name in ("lines", "counts", "busy", "places", "shapes", "common", "templates", 1):
+    for name in ("lines", "counts", "busy", "places", "shapes", "common", "templates"):
         scratch.remove(name)
     return gone
 
 
-def drop_templates(docs: DataFrame, keep_counts: bool = False) -> DataFrame:
-    """docs with recurring lines taken out of text; with keep_counts also struct ``_lines``: n_lines, n_dropped."""
+def drop_templates(docs: DataFrame, counts_as: str | None = None) -> DataFrame:
+    """docs with recurring lines taken out of text; with counts_as also a struct of that name: n_lines, n_dropped."""
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = dropped_positions(docs.select("text"), scratch).select(F.col("key").alias("_lk"), F.col("gone").alias("_gone"))
-    joined = docs.withColumn("_key", text_key()).join(gone, F.col("_key") == F.col("_lk"), "left")
+    key, of, gone = fresh(docs, "key", "of", "gone")
+    places = dropped_positions(docs.select("text"), scratch).toDF(of, gone)
+    joined = docs.withColumn(key, text_key()).join(places, F.col(key) == F.col(of), "left")
     lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    info = F.struct(n.cast("long").alias("n_lines"), F.when(F.col("text").isNull() | F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"))
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(left)
-    out = joined.withColumn("_lines", info).withColumn("text", text)
-    return out.select(*docs.columns, *(["_lines"] if keep_counts else []))
+    some = F.col(gone).isNotNull() & F.col("text").isNotNull()
+    info = F.struct(n.cast("long").alias("n_lines"), F.when(some, F.size(gone)).otherwise(0).cast("long").alias("n_dropped"))
+    columns = [F.when(some, left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*columns, *([info.alias(counts_as)] if counts_as else []))
 
 
 def op10_lines(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return drop_templates(docs, keep_counts=True).select("doc_id", "_lines.n_lines", "_lines.n_dropped", "text")
+    return drop_templates(docs, counts_as="lines").select("doc_id", "lines.n_lines", "lines.n_dropped", "text")

@@ -8,12 +8,12 @@ def test_recurring_lines_and_variable_fields_go(spark, rng):
         body = [prose(rng, 12) for _ in range(4)]
         rows.append((i, "\n".join(["Home About Contact Us", body[0], f"Posted on 2024-01-{i:02d} by user{i}", "", body[1], f"Read more about our {prose(rng, 1)[:4]}{chr(97 + i)} recipes from the north side", body[2], body[3]])))
     rows += [(100, "A line of its own\nHome About Contact Us"), (101, None), (102, "")]
-    got = {r["doc_id"]: r for r in lines.drop_templates(spark.createDataFrame(rows, "doc_id long, text string"), keep_counts=True).collect()}
+    got = {r["doc_id"]: r for r in lines.drop_templates(spark.createDataFrame(rows, "doc_id long, text string"), counts_as="n").collect()}
     for i in range(12):
         kept = got[i]["text"].split("\n")
         assert "Home About Contact Us" not in kept and not any(x.startswith(("Posted on", "Read more")) for x in kept)
         assert [x for x in rows[i][1].split("\n") if x in kept] == kept and len(kept) == 5
-        assert got[i]["_lines"]["n_lines"] == 8 and got[i]["_lines"]["n_dropped"] == 3
+        assert got[i]["n"]["n_lines"] == 8 and got[i]["n"]["n_dropped"] == 3
     assert got[100]["text"] == "A line of its own" and got[101]["text"] is None and got[102]["text"] == ""
 
 
