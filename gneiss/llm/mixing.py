@@ -5,9 +5,9 @@ Within a source every document expects ``rate = target / source_size`` copies.
 per source a document is emitted once for each integer in ``(rate * (r - 1) + u, rate * r + u]``.  Ordering by size
 makes the sample stratified by size, so the words taken stay near the target although sizes have a long tail.
 
-Ranks need no task that holds a source: size classes are logarithmic and each is cut into ``strata`` hashed strata, so
-a cell (source, class, stratum) is ranked by itself and cell counts, at most ``classes * strata`` per source, are
-prefix-summed.  A document size shared by a third of all rows is spread over the strata.
+Ranks need no task that holds a source: size classes are logarithmic and each is cut into hashed strata, whose number is
+in proportion to the rows, so a cell (source, class, stratum) is ranked by itself; cell counts are prefix-summed within
+their class and classes within their source.  A document size shared by a third of all rows is spread over the strata.
 
 Defined cases: null text has size 0; size-0 documents are taken 0 times or more but always take 0 words; a null source
 is a source of its own and comes last; equal rows are ranked separately, in any order, so their sum does not depend on
@@ -19,12 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Scratch
+from gneiss.llm.common import Scratch, fresh
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 STRATA = 16
+STRATA_ROWS = 50_000_000  # so many rows have STRATA strata, twice as many have twice as many
 CLASSES_PER_OCTAVE = 8
 
 
@@ -61,56 +62,66 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights=WE
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", share: float = SHARE, weights=WEIGHTS, strata: int = STRATA) -> DataFrame:
-    """Every row of docs with struct ``_mix``: size, source_size, target, copies, taken."""
+def strata_for(docs: DataFrame) -> int:
+    """In proportion to the rows: a cell that held every row would have STRATA_ROWS / STRATA of them at any scale."""
+    return STRATA * max(1, -(-docs.select("doc_id").count() // STRATA_ROWS))
+
+
+def mix(docs: DataFrame, seed: str = "mix", share: float = SHARE, weights=WEIGHTS, strata: int | None = None, into: str = "mix") -> DataFrame:
+    """Every row of docs with struct `into` (in place of a column of that name): size, source_size, target, copies, taken."""
+    size, key, level, stratum, place = fresh(docs, "size", "key", "level", "stratum", "place")
+    strata = strata or strata_for(docs)
+
     def placed(df: DataFrame) -> DataFrame:
         """df with its size, source key, size class and stratum; each is computed once, in a projection of its own."""
-        df = df.withColumn("_mz", word_count(F.col("text")))
-        bits = F.length(F.bin("_mz"))
-        level = (bits * 16 + F.floor(F.col("_mz") * CLASSES_PER_OCTAVE / F.pow(F.lit(2.0), bits - 1))).cast("int")
+        df = df.withColumn(size, word_count(F.col("text")))
+        bits = F.length(F.bin(size))
         digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-        stratum = F.pmod(F.conv(F.substring(digest, 1, 6), 16, 10).cast("long"), F.lit(strata)).cast("int")
-        key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-        return df.withColumns({"_mk": key, "_ml": level, "_ms": stratum})
-
-    base = placed(docs)
-    cells = placed(docs.select("doc_id", "text", "source")).select("source", F.col("_mk").alias("key"), F.col("_ml").alias("level"), F.col("_ms").alias("stratum"), "_mz")
-    cells = cells.groupBy("key", "source", "level", "stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("_mz").alias("words"))
-    cells = Scratch(docs.sparkSession, "mixing").save(cells, "cells")  # at most classes * strata rows a source
-    upto = Window.partitionBy("key").orderBy("level", "stratum").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.withColumn("offset", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+        return df.withColumns({
+            key: F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
+            level: (bits * 16 + F.floor(F.col(size) * CLASSES_PER_OCTAVE / F.pow(F.lit(2.0), bits - 1))).cast("int"),
+            stratum: F.pmod(F.conv(F.substring(digest, 1, 6), 16, 10).cast("long"), F.lit(strata)).cast("int"),
+        })
+
+    cells = placed(docs.select("doc_id", "text", "source")).select("source", F.col(key).alias("key"), F.col(level).alias("level"), F.col(stratum).alias("stratum"), F.col(size).alias("size"))
+    cells = cells.groupBy("key", "source", "level", "stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    cells = Scratch(docs.sparkSession, "mixing").save(cells, "cells")
+    # counts are summed over classes first, then within a class: neither window holds more than a source's classes or a class's strata
+    by_class = cells.groupBy("key", "level").agg(F.sum("n").alias("n"))
+    lower = Window.partitionBy("key").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    by_class = by_class.select("key", "level", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("below"))
+    upto = Window.partitionBy("key", "level").orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.withColumn("inside", F.coalesce(F.sum("n").over(upto), F.lit(0))).join(by_class, ["key", "level"]).withColumn("offset", F.col("below") + F.col("inside"))
     sizes = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
-    goal = targets(sizes, share, weights=weights).withColumn("gk", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    goal = goal.select("gk", "source_size", "target")
-    offsets = offsets.join(goal, F.col("key") == F.col("gk")).select(
-        F.col("key").alias("_ok"), F.col("level").alias("_ol"), F.col("stratum").alias("_os"),
-        F.struct("offset", "source_size", "target").alias("_cell"))
-
-    within = Window.partitionBy("_mk", "_ml", "_ms").orderBy("_mz", "doc_id")
-    ranked = base.withColumn("_mr", F.row_number().over(within))
-    on = (F.col("_mk") == F.col("_ok")) & (F.col("_ml") == F.col("_ol")) & (F.col("_ms") == F.col("_os"))
-    ranked = ranked.join(offsets, on)
-    rank = F.col("_cell.offset") + F.col("_mr")
-    rate = F.when(F.col("_cell.source_size") > 0, F.col("_cell.target") / F.col("_cell.source_size")).otherwise(0.0)
-    hex8 = F.substring(F.md5(F.concat(F.lit(seed), F.col("_mk"))), 1, 8)
+    goal = targets(sizes, share, weights=weights).withColumn("goal_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
+    goal = goal.select("goal_key", "source_size", "target")
+    of_key, of_level, of_stratum, cell = fresh(docs.select("*", *[F.lit(0).alias(c) for c in (size, key, level, stratum, place)]), "of_key", "of_level", "of_stratum", "cell")
+    offsets = offsets.join(goal, F.col("key") == F.col("goal_key")).select(
+        F.col("key").alias(of_key), F.col("level").alias(of_level), F.col("stratum").alias(of_stratum), F.struct("offset", "source_size", "target").alias(cell))
+
+    within = Window.partitionBy(key, level, stratum).orderBy(size, "doc_id")
+    ranked = placed(docs).withColumn(place, F.row_number().over(within))
+    ranked = ranked.join(offsets, (F.col(key) == F.col(of_key)) & (F.col(level) == F.col(of_level)) & (F.col(stratum) == F.col(of_stratum)))
+    c = F.col(cell)
+    rank = c["offset"] + F.col(place)
+    rate = F.when(c["source_size"] > 0, c["target"] / c["source_size"]).otherwise(0.0)
+    hex8 = F.substring(F.md5(F.concat(F.lit(seed), F.col(key))), 1, 8)
     u = F.conv(hex8, 16, 10).cast("double") / F.lit(4294967296.0)
     copies = (F.floor(rate * rank + u) - F.floor(rate * (rank - 1) + u)).cast("long")
-    out = F.struct(
-        F.col("_mz").alias("size"), F.col("_cell.source_size").alias("source_size"), F.col("_cell.target").alias("target"),
-        copies.alias("copies"), (copies * F.col("_mz")).alias("taken"))
-    return ranked.withColumn("_mix", out).drop("_mk", "_ml", "_ms", "_mz", "_mr", "_ok", "_ol", "_os", "_cell")
+    out = F.struct(F.col(size).alias("size"), c["source_size"].alias("source_size"), c["target"].alias("target"), copies.alias("copies"), (copies * F.col(size)).alias("taken"))
+    return ranked.select(*[F.col(f"`{x}`") for x in docs.columns if x.lower() != into.lower()], out.alias(into))
 
 
 def emit(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: each row repeated as often as it was taken, with the columns of docs."""
-    mixed = mix(docs, **kw).where(F.col("_mix.copies") > 0)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix.copies")))).select(*[mixed[c] for c in docs.columns])
+    into, copy = fresh(docs, "mix", "copy")
+    mixed = mix(docs, into=into, **kw).where(F.col(into)["copies"] > 0)
+    return mixed.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(into)["copies"]))).select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    m = "_mix"
-    return mix(docs).select("doc_id", *[F.col(f"{m}.{c}").alias(c) for c in ("size", "source_size", "target", "taken", "copies")])
+    return mix(docs).select("doc_id", *[f"mix.{c}" for c in ("size", "source_size", "target", "taken", "copies")])
 
 
 ORACLE = r"""

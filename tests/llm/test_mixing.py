@@ -26,7 +26,7 @@ def water(sizes):
 def test_targets_and_taken(spark, rng):
     rows = [(i, prose(rng, rng.choice([1, 5, 30, 200])), rng.choice(["a", "a", "a", "a", "b", "c", "d", None])) for i in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.mix(df).select("doc_id", "source", "_mix.*").collect()
+    got = mixing.mix(df).select("doc_id", "source", "mix.*").collect()
     sizes = defaultdict(int)
     for _, t, s in rows:
         sizes[s] += size(t)
@@ -37,20 +37,20 @@ def test_targets_and_taken(spark, rng):
         assert 0 <= r["copies"] <= 2 and r["taken"] == r["copies"] * r["size"]
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - want[s]) < 0.03 * want[s] + 200 for s in want)
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(df.repartition(5)).select("doc_id", "source", "_mix.*").collect())) if None not in sizes else True
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(df.repartition(5)).select("doc_id", "source", "mix.*").collect())) if None not in sizes else True
     out = mixing.emit(df)
     assert out.columns == df.columns and out.count() == sum(r["copies"] for r in got)
 
 
 def test_one_offset_gives_each_boundary_once(spark):
     df = spark.createDataFrame([(i, "one two", "a" if i < 90 else "b") for i in range(100)], "doc_id long, text string, source string")
-    got = mixing.mix(df).groupBy("source").sum("_mix.copies").collect()
-    want = {r["source"]: r["target"] / 2 for r in mixing.mix(df).select("source", "_mix.target").distinct().collect()}
+    got = mixing.mix(df).groupBy("source").sum("mix.copies").collect()
+    want = {r["source"]: r["target"] / 2 for r in mixing.mix(df).select("source", "mix.target").distinct().collect()}
     assert all(abs(r[1] - want[r[0]]) <= 1 for r in got)
 
 
 def test_odd_rows(spark, odd, none):
     got = mixing.mix(odd)
-    assert got.count() == odd.count() and got.drop("_mix").columns == odd.columns
-    assert all(r["t"] == 0 for r in got.where("text is null or trim(text) = ''").select(got["_mix.taken"].alias("t")).collect())
+    assert got.count() == odd.count() and got.drop("mix").columns == odd.columns
+    assert all(r["t"] == 0 for r in got.where("text is null or trim(text) = ''").select(got["mix.taken"].alias("t")).collect())
     assert mixing.mix(none).count() == 0 and mixing.emit(none).count() == 0
