@@ -3,11 +3,15 @@
 Entities are found by one pattern over the whole text.  Each distinct entity gets a keyed replacement of its own kind:
 a digit stands for a digit and a letter for a letter of its script, case and class (vowel or consonant); separators stay; an
 address keeps its top-level domain and equal domains stay equal; octets keep their width and range; a phone number keeps
-its country code, a card number its check digit if it had a right one; a given name of the lists becomes another one of the same
-gender and script; other given names and surnames are rewritten letter by letter, in their script.  The key makes replacements reproducible and secret.
+its country code, a credential the prefix of its issuer, an IBAN its country; a card number and an IBAN keep right check
+digits if they had them; a given name of the lists becomes another one of the same gender and script, in an order drawn from
+the key; other given names and surnames are rewritten letter by letter, in their script.  The key makes replacements
+reproducible and secret; the caller brings it.
 
-A person's given name and surname are entities of their own, so that a surname alone and a full name corefer; as neither two
-given names nor two surnames share a replacement, no two full names do.
+A person is found by a title, a listed given name or a phrase that introduces a name; from then on the surname and the given
+name are looked for in the whole text by themselves, in their form and in capitals, so no later bare mention stays.  Given name
+and surname are entities of their own, so that a surname alone and a full name corefer; as neither two given names nor two
+surnames share a replacement, no two full names do.
 
 Entities are compared in normal form (case and separators do not count), so mentions that differ only in form get one
 replacement, written in each mention's form: coreference.  Replacements that meet each other or any real entity are drawn
@@ -15,17 +19,19 @@ anew until none do: distinctness.  The check joins written tables of distinct en
 
 Defined cases: null and empty texts pass through; a text without an entity is unchanged, byte for byte; repeated rows are
 treated alike; a very long text has as many replacements as entities; an empty table gives an empty result; other columns
-pass through.  More than MOST_DRAWS draws (a kind with too few forms) is an error, not a collision.
+pass through, whatever their names.  More than MOST_DRAWS draws (a kind with too few forms) is an error, not a collision.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Scratch
+from gneiss.llm.common import Scratch, fresh
 
-KEY = "change-me"
 MOST_DRAWS = 60
 
 # given names by script and gender
@@ -35,10 +41,12 @@ NAMES = {
     ("cyrillic", "f"): "Анна Вера Дарья Елена Ирина Мария Наталья Ольга Светлана Татьяна".split(),
     ("cyrillic", "m"): "Андрей Борис Виктор Дмитрий Иван Михаил Николай Олег Павел Сергей".split(),
 }
-TITLES = {"f": "Mrs Ms Miss Madam Frau Señora Madame госпожа".split(), "m": "Mr Sir Herr Señor Monsieur господин".split()}
+TITLES = "Mrs Ms Miss Madam Frau Señora Madame Κυρία госпожа Mr Sir Herr Señor Monsieur Κύριος господин Dr Prof Professor Doctor Доктор".split()
+INTRODUCTIONS = ("my name is", "My name is", "ich heiße", "Ich heiße", "mein Name ist", "Mein Name ist", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "меня зовут", "Меня зовут")
+PREFIX = r"^(akia|gh[pousr]_|sk-|xox[abpr]-)"
 
 GAP = r"[^\p{L}\p{N}\n]{0,6}"
-TITLE = "|".join(TITLES["f"] + TITLES["m"])
+TITLE = "|".join(TITLES)
 GIVEN = "|".join(n for names in NAMES.values() for n in names)
 CAPITAL = r"\p{Lu}\p{Ll}+"
 # the kinds in the order in which they are tried
@@ -47,13 +55,13 @@ KINDS = {
     "credential": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}|xox[abpr]-[0-9A-Za-z-]{10,64})(?![\p{L}\p{N}])",
     "ipv6": r"(?<![\p{L}\p{N}:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*\d)[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\p{L}\p{N}:])",
     "hex": r"(?<![\p{L}\p{N}])(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,128}(?![\p{L}\p{N}])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![\p{L}\p{N}])",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])",
     "phone": rf"(?<![\p{{N}}+])\+\d{{1,3}}{GAP}\d{{2,4}}{GAP}\d{{3}}{GAP}\d{{4}}(?!\p{{N}})",
     "ipv4": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\p{N}|\.\p{N})",
     "ssn": r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
     "card": r"(?<!\p{N})\d(?:[ -]?\d){12,18}(?!\p{N})",
     "local_phone": r"(?<![\p{N}-])(?:\(?\d{3}\)?[-. ])?\d{3}-\d{4}(?![\p{N}-])",
-    "person": rf"(?<!\p{{L}})(?:(?:{TITLE})\.? {CAPITAL}(?: {CAPITAL})?|(?:{GIVEN}) {CAPITAL})(?!\p{{L}})",
+    "person": rf"(?<!\p{{L}})(?:(?:{TITLE})\.? {CAPITAL}(?: {CAPITAL})?|(?:{GIVEN}) {CAPITAL}|(?<=(?:{'|'.join(INTRODUCTIONS)}) ){CAPITAL} {CAPITAL})(?!\p{{L}})",
 }
 # what an entity of a kind can begin with: tested first, so most places in a text cost one look at one character
 BEGINS = {
@@ -78,6 +86,7 @@ def normal_form(kind: Column, raw: Column) -> Column:
     return (
         F.when(kind == "phone", F.concat(code, F.lit(":"), F.substring(digits, F.length(code) + 1, F.length(digits))))
         .when(kind.isin(*DIGITS_ONLY), digits)
+        .when(kind == "iban", F.lower(F.regexp_replace(raw, " ", "")))
         .when(kind == "person", F.lower(F.regexp_extract(raw, r"(\p{L}+)$", 1)))
         .otherwise(plain)
     )
@@ -121,6 +130,13 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
 
 
+def mod_97(account: Column) -> Column:
+    """Remainder by 97 of an account number in lower case whose first four characters are put last; letters count from 10."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 87)
+    chars = F.split(F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4)), "")
+    return F.aggregate(chars, F.lit(0), lambda a, c: F.when(c == "", a).otherwise((a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97))
+
+
 def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
     hexes = stream(F.lit(key), kind, norm, draw.cast("string"))
     domain = F.substring_index(norm, "@", -1)
@@ -135,8 +151,13 @@ def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
     name = rewrite(F.substring(F.repeat(norm, 3), F.lit(1), F.greatest(F.length(norm), F.lit(5))), hexes)  # short names have too few forms
     check = F.pmod(F.lit(10) - luhn(F.concat(stem, F.lit("0"))) % 10, F.lit(10)).cast("string")
     card = F.when(luhn(norm) % 10 == 0, F.concat(stem, check)).otherwise(digits)
+    prefix = F.regexp_extract(norm, PREFIX, 1)
+    credential = F.concat(prefix, F.substring(digits, F.length(prefix) + 1, F.length(digits)))
+    country, account = F.substring(norm, 1, 2), F.substring(digits, F.lit(5), F.length(digits))
+    right = F.lpad((F.lit(98) - mod_97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0")
+    iban = F.concat(country, F.when(mod_97(norm) == 1, right).otherwise(F.substring(digits, 3, 2)), account)
     return (
-        F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "phone", phone).when(kind == "card", card).when(kind == "given", name)
+        F.when(kind == "email", email).when(kind == "credential", credential).when(kind == "iban", iban).when(kind == "ipv4", ipv4).when(kind == "phone", phone).when(kind == "card", card).when(kind == "given", name)
         .when(kind.isin("hex", "ipv6"), rewrite(norm, hexes, HEXES)).otherwise(digits)
     )
 
@@ -146,18 +167,38 @@ def given_name(raw: Column) -> Column:
     return F.regexp_extract(F.substring(raw, F.length(title) + 1, F.length(raw)), rf"^({CAPITAL}) ", 1)
 
 
-def unlisted(mentions: DataFrame) -> DataFrame:
-    """mentions with the normal form of a given name that is on no list, else null."""
-    given = given_name(F.col("raw"))
-    listed = [n for names in NAMES.values() for n in names]
-    return mentions.withColumn("given", F.when((F.col("kind") == "person") & (given != "") & ~given.isin(*listed), F.lower(given)))
+LISTED = [n for names in NAMES.values() for n in names]
+
+
+def found_in(docs: DataFrame) -> DataFrame:
+    """key, pattern, at, raw, kind, norm, given of every mention in the texts of docs(text); equal texts have one key.
+
+    The pattern is the text's own: with the names of its persons by themselves, if it has any.  given is the normal form of a
+    given name that is on no list; kind given_name is a given name by itself.
+    """
+    first = docs.where("text is not null").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text", F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1)).alias("first"))
+    persons = F.filter("first", lambda r: r.rlike(r"^[\p{L}\p{M}. ]+$"))
+    surnames = F.array_distinct(F.transform(persons, lambda r: F.regexp_extract(r, r"(\p{L}+)$", 1)))
+    givens = F.array_distinct(F.filter(F.transform(persons, given_name), lambda g: g != ""))
+    names = first.select("*", surnames.alias("surnames"), givens.alias("givens"))
+    bare = F.array_distinct(F.concat("surnames", "givens", F.transform("surnames", F.upper), F.transform("givens", F.upper)))
+    pattern = F.when(F.size("surnames") > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?=\p{Lu})(?:"), F.array_join(bare, "|"), F.lit(r")(?!\p{L})")))
+    names = names.withColumn("pattern", pattern)
+    raws = F.when(F.col("pattern").isNull(), F.col("first")).otherwise(F.regexp_extract_all("text", F.concat(F.lit("("), "pattern", F.lit(")")), F.lit(1)))
+    out = names.select("key", "pattern", "surnames", "givens", F.posexplode(raws).alias("at", "raw"))
+    same = lambda names: F.exists(names, lambda n: (n == F.col("raw")) | (F.upper(n) == F.col("raw")))
+    alone = F.col("pattern").isNotNull() & same("givens") & ~same("surnames")
+    out = out.withColumn("kind", F.when(alone, "given_name").otherwise(kind_of(F.col("raw"))))
+    given = F.when(F.col("kind") == "given_name", F.col("raw")).when(F.col("kind") == "person", given_name(F.col("raw"))).otherwise("")
+    given = F.when((given != "") & ~F.lower(given).isin([n.lower() for n in LISTED]), F.lower(given))
+    return out.select("key", "pattern", "at", "raw", "kind", normal_form(F.col("kind"), F.col("raw")).alias("norm"), given.alias("given"))
 
 
 def distinct_surrogates(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """(kind, norm, surrogate): no two entities of a kind share one, and none is an entity itself or a listed given name."""
     given = entities.where("given is not null").select(F.lit("given").alias("kind"), F.col("given").alias("norm"))
-    entities = scratch.save(entities.select("kind", "norm").union(given).distinct(), "entities")
-    listed = entities.sparkSession.createDataFrame([("given", n.lower()) for names in NAMES.values() for n in names], "kind string, norm string")
+    entities = scratch.save(entities.where("kind <> 'given_name'").select("kind", "norm").union(given).distinct(), "entities")
+    listed = entities.sparkSession.createDataFrame([("given", n.lower()) for n in LISTED], "kind string, norm string")
     taken = entities.union(listed)
     drawn = entities.withColumn("draw", F.lit(0))
     for k in range(MOST_DRAWS):
@@ -173,57 +214,69 @@ def distinct_surrogates(entities: DataFrame, key: str, scratch: Scratch) -> Data
     raise RuntimeError(f"some kind has too few forms to keep its entities apart in {MOST_DRAWS} draws")
 
 
-def rotated(key: str) -> dict[str, str]:
-    """Each given name's replacement: the next but s of its gender and script, s from the key."""
-    import hashlib
-
+def exchanged(key: str) -> dict[str, str]:
+    """Each listed given name's replacement, in lower case: the next one of its gender and script in an order drawn from the key."""
     out = {}
-    for (script, gender), names in NAMES.items():
-        s = 1 + int(hashlib.sha256(f"{key}{script}{gender}".encode()).hexdigest(), 16) % (len(names) - 1)
-        out |= {n: names[(i + s) % len(names)] for i, n in enumerate(names)}
+    for names in NAMES.values():
+        order = sorted(names, key=lambda n: hashlib.sha256(f"{key}\x1f{n}".encode()).digest())
+        out |= {n.lower(): m.lower() for n, m in zip(order, [*order[1:], order[0]], strict=True)}
     return out
 
 
 def written(kind: Column, raw: Column, new: Column, new_given: Column, key: str) -> Column:
     """The surrogate in the form of the mention: its separators, its capitals, its title."""
     chars = F.split(raw, "")
-    digit_at = lambda i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda c: c.rlike(r"^\d$")))
-    digits = F.regexp_replace(new, r"\D", "")
-    by_digit = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"^\d$"), F.substring(digits, digit_at(i), F.lit(1))).otherwise(c)), "")
-    cased = lambda old, s: F.array_join(F.transform(F.split(old, ""), lambda c, i: F.when(c == F.lower(c), F.substring(s, i + 1, F.lit(1))).otherwise(F.upper(F.substring(s, i + 1, F.lit(1))))), "")
-    last = F.regexp_extract(raw, r"(\p{L}+)$", 1)
+
+    def in_turn(shown: Column, pattern: str) -> Column:
+        """raw with its characters of the pattern replaced by those of `shown` in turn, in raw's case."""
+        at = lambda i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda c: c.rlike(pattern)))
+        here = lambda c, i: F.when(c == F.upper(c), F.upper(F.substring(shown, at(i), F.lit(1)))).otherwise(F.substring(shown, at(i), F.lit(1)))
+        return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(pattern), here(c, i)).otherwise(c)), "")
+
+    def cased(old: Column, shown: Column) -> Column:
+        """shown in the case of old; what is longer goes on in the case of old's last letter."""
+        low = F.substring(old, F.length(old), F.lit(1)) == F.lower(F.substring(old, F.length(old), F.lit(1)))
+        letter = lambda c, i: F.when(c == F.lower(c), F.substring(shown, i + 1, F.lit(1))).otherwise(F.upper(F.substring(shown, i + 1, F.lit(1))))
+        rest = F.substring(shown, F.length(old) + 1, F.length(shown))
+        return F.concat(F.array_join(F.transform(F.split(old, ""), letter), ""), F.when(low, rest).otherwise(F.upper(rest)))
+
+    names = F.create_map(*[F.lit(x) for pair in exchanged(key).items() for x in pair])
+    called = lambda g: cased(g, F.coalesce(F.element_at(names, F.lower(g)), new_given))
+    last, given = F.regexp_extract(raw, r"(\p{L}+)$", 1), given_name(raw)
     title = F.regexp_extract(raw, rf"^(?:{TITLE})\.? ", 0)
-    given = given_name(raw)
-    names = F.create_map(*[F.lit(x) for pair in rotated(key).items() for x in pair])
-    first = F.when(given == "", F.lit("")).otherwise(F.concat(F.coalesce(F.element_at(names, given), F.concat(F.upper(F.substring(new_given, 1, 1)), F.substring(new_given, F.lit(2), F.length(new_given)))), F.lit(" ")))
-    person = F.concat(title, first, cased(last, new))
-    return F.when(kind.isin(*DIGITS_ONLY), by_digit).when(kind == "person", person).otherwise(cased(raw, new))
+    person = F.concat(title, F.when(given == "", F.lit("")).otherwise(F.concat(called(given), F.lit(" "))), cased(last, new))
+    return (
+        F.when(kind.isin(*DIGITS_ONLY), in_turn(F.regexp_replace(new, r"\D", ""), r"^\d$")).when(kind == "iban", in_turn(new, r"^[\p{L}\p{N}]$"))
+        .when(kind == "person", person).when(kind == "given_name", called(raw)).otherwise(cased(raw, new))
+    )
 
 
-def replace_entities(docs: DataFrame, key: str = KEY, keep_counts: bool = False) -> DataFrame:
-    """docs with entities in text replaced; with keep_counts also struct ``_pii``: n_found, kinds."""
+def replace_entities(docs: DataFrame, key: str, counts_as: str | None = None) -> DataFrame:
+    """docs with entities in text replaced; with counts_as also a struct of that name: n_found, kinds."""
     scratch = Scratch(docs.sparkSession, "surrogates")
-    text_key = F.unhex(F.md5(F.col("text").cast("binary")))
-    mentions = docs.where("text is not null").select(text_key.alias("key"), "text").select("key", F.posexplode(F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))).alias("at", "raw"))
-    mentions = mentions.withColumn("kind", kind_of(F.col("raw")))
-    mentions = scratch.save(unlisted(mentions.withColumn("norm", normal_form(F.col("kind"), F.col("raw")))), "mentions")
+    mentions = scratch.save(found_in(docs.select("text")), "mentions")
     chosen = scratch.save(distinct_surrogates(mentions, key, scratch), "surrogates")
     given = chosen.where("kind = 'given'").select(F.col("norm").alias("given"), F.col("surrogate").alias("new_given"))
-    new = mentions.join(chosen, ["kind", "norm"]).join(given, "given", "left")
+    new = mentions.join(chosen, ["kind", "norm"], "left").join(given, "given", "left")
     # equal texts have equal mentions: one array a text
-    new = new.groupBy("key", "at").agg(F.first(F.struct("kind", "raw", "surrogate", "new_given")).alias("m"))
-    new = new.select("key", F.struct("at", written(F.col("m.kind"), F.col("m.raw"), F.col("m.surrogate"), F.col("m.new_given"), key).alias("w"), F.col("m.kind").alias("kind")).alias("m"))
-    per_text = scratch.save(new.groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("_new")), "per_text")
-
-    hit = docs.withColumn("_key", text_key).join(per_text.withColumnRenamed("key", "_tk").hint("merge"), F.col("_key") == F.col("_tk"), "left")
-    gaps = F.split("text", ANY, -1)
-    woven = F.array_join(F.transform(gaps, lambda g, i: F.when(i == 0, g).otherwise(F.concat(F.element_at("_new.w", i), g))), "")
-    some = F.col("_new").isNotNull()
-    n, kinds = F.when(some, F.size("_new")).otherwise(0), F.when(some, F.array_join(F.array_sort(F.array_distinct("_new.kind")), ",")).otherwise("")
-    hit = hit.withColumn("_pii", F.struct(n.cast("long").alias("n_found"), kinds.alias("kinds"))).withColumn("text", F.when(some, woven).otherwise(F.col("text")))
-    return hit.select(*docs.columns, *(["_pii"] if keep_counts else []))
+    new = new.groupBy("key", "at").agg(F.first(F.struct("kind", "raw", "surrogate", "new_given", "pattern")).alias("m"))
+    shown = written(F.col("m.kind"), F.col("m.raw"), F.col("m.surrogate"), F.col("m.new_given"), key)
+    new = new.select("key", "m.pattern", F.struct("at", shown.alias("w"), F.when(F.col("m.kind") == "given_name", "person").otherwise(F.col("m.kind")).alias("kind")).alias("m"))
+    per_text = new.groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("new"), F.first("pattern").alias("pattern"))
+    own, of, found, pattern = fresh(docs, "own", "of", "found", "pattern")
+    per_text = scratch.save(per_text.toDF(of, found, pattern), "per_text")
+
+    hit = docs.withColumn(own, F.unhex(F.md5(F.col("text").cast("binary")))).join(per_text.hint("merge"), F.col(own) == F.col(of), "left")
+    gaps = F.split("text", F.coalesce(pattern, F.lit(ANY)), F.lit(-1))
+    woven = F.array_join(F.transform(gaps, lambda g, i: F.when(i == 0, g).otherwise(F.concat(F.element_at(F.col(found)["w"], i), g))), "")
+    some, kind = F.col(found).isNotNull(), F.col(found)["kind"]
+    n, kinds = F.when(some, F.size(found)).otherwise(0), F.when(some, F.array_join(F.array_sort(F.array_distinct(kind)), ",")).otherwise("")
+    columns = [F.when(some, woven).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return hit.select(*columns, *([F.struct(n.cast("long").alias("n_found"), kinds.alias("kinds")).alias(counts_as)] if counts_as else []))
 
 
 def op2_surrogates(spark, sf_dir: str) -> DataFrame:
+    """The key is the session's spark.gneiss.surrogates.key; where none is set, one is drawn for this run and not kept."""
+    key = spark.conf.get("spark.gneiss.surrogates.key", None) or secrets.token_hex(32)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return replace_entities(docs, keep_counts=True).select("doc_id", "_pii.n_found", "_pii.kinds", "text")
+    return replace_entities(docs, key, counts_as="pii").select("doc_id", "pii.n_found", "pii.kinds", "text")
