@@ -40,3 +40,21 @@ def test_empty_and_few(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["vec_id"]) for r in topk.topk(df, df.where("vec_id = 0")).collect()] == [(0, 1)]
     assert topk.topk(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_components_of_any_size_and_clashing_columns(spark):
+    r = random.Random(4)
+    rows = [(i, [r.choice([1e9, -3e9, 1.5, 7e15]) * r.random() for _ in range(6)]) for i in range(40)] + [(40, [1e300] * 6), (41, [-1e300] * 6)]
+    df = spark.createDataFrame([(i, v, 0, 0, 0, 0.0) for i, v in rows], "vec_id long, embedding array<double>, id int, v int, b int, floor double")
+    low, high = -(2**63), 2**63 - 1
+    ints = {i: [min(max(math.floor(256 * x), low), high) for x in v] for i, v in rows}
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk.topk(df, df, k=3, block=8, group=4).collect()}
+    for q in ints:
+        best = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)[:3]
+        assert [got[q, k + 1] for k in range(3)] == [(i, min(max(-x, low), high)) for x, i in best]
+
+
+def test_a_repeated_query_is_one(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "vec_id long, embedding array<double>")
+    twice = df.where("vec_id = 3").unionByName(df.where("vec_id = 3"))
+    assert [r["vec_id"] for r in topk.topk(df, twice, block=4).orderBy("rank").collect()] == [19, 18, 17, 16, 15]
