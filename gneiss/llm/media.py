@@ -1,11 +1,12 @@
 """Media columns: content-addressed payloads in tar shards, with metadata read from headers by byte range.
 
-``store``: each task appends its payloads to tar shards in the shared folder.  A payload is kept as an 8-bit greyscale
-PNG, 64 samples wide (lossless), under a name that is the digest of the stored bytes; a task writes equal payloads
-once.  Rows carry digest, shard, offset and length and are written as a table; only shards that this table names count, so
+``store``: each task appends its payloads to tar shards under `root`, where they stay: the column's digest, shard, offset and
+length resolve as long as that folder exists.  A payload is kept as an 8-bit greyscale PNG, 64 samples wide (lossless), under
+a name that is the digest of the stored bytes; a task writes equal payloads once.  Rows carry digest, shard, offset and length and are written as a table; only shards that this table names count, so
 a lost or repeated task leaves at most an unnamed file.
 ``fill_metadata``: reads just the first 33 bytes of each payload (signature and IHDR) by range.
-``read_back``: reads payload ranges, checks digests, decodes and computes features.
+``read_back``: reads payload ranges, checks digests, decodes and computes features.  Rows are dealt by shard and offset, in
+tasks of about READ_BYTES of payload, so a task reads few shards in order however small the index is.
 
 Defined cases: null text is the empty payload, 64 zero bytes; equal texts give equal values wherever stored; repeated
 rows give a row each; an empty table writes nothing and gives an empty result; other columns are not read.
@@ -25,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Scratch, lean
+from gneiss.llm.common import Scratch, lean, shared_dir
 
 WIDTH = 64
 SHARD_BYTES = 1 << 30
+READ_BYTES = 16 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 INDEX = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
@@ -141,9 +143,8 @@ class RangeReader:
         return self.open[shard].read_at(length, offset)
 
 
-def store(docs: DataFrame, scratch: Scratch, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes the shards and returns the written index table (INDEX)."""
-    root = scratch.path("shards")
+def store(docs: DataFrame, scratch: Scratch, root: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes the shards under root and returns the written index table (INDEX)."""
 
     def write(batches):
         w = ShardWriter(root, shard_bytes)
@@ -207,10 +208,14 @@ def read_back(index: DataFrame) -> DataFrame:
     return index.mapInArrow(lean(decode), schema)
 
 
-def media_columns(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    scratch = Scratch(docs.sparkSession, "media")
-    return read_back(fill_metadata(store(docs, scratch, shard_bytes)))
+def media_columns(docs: DataFrame, root: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The media columns of docs(doc_id, text); the payloads stay in the shards under root."""
+    index = store(docs, Scratch(docs.sparkSession, "media"), root, shard_bytes)
+    n = -(-(index.agg(F.sum("length").alias("n")).first()["n"] or 0) // READ_BYTES)
+    return read_back(fill_metadata(index.repartitionByRange(max(1, n), "shard", "offset")))
 
 
 def op4_media(spark, sf_dir: str) -> DataFrame:
-    return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("shard").withColumn("stored_as", F.lit("png-grey8-w64"))
+    """The shards stay in the shared folder, below gneiss/media."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return media_columns(docs, f"{shared_dir(spark)}/gneiss/media/{uuid.uuid4().hex}").withColumn("stored_as", F.lit("png-grey8-w64"))
