@@ -8,8 +8,9 @@ a text is rejected if its distance 1 - (cosine - chance) exceeds the radius of t
 same distances of training texts and widened by RADIUS.
 
 The classifier is fitted on a bounded sample: for each label the PER_LABEL training rows with the smallest hash of
-doc_id (one label holding most rows costs no more than another), of at most MAX_LABELS labels.  Prediction covers every
-whole text.
+doc_id (one label holding most rows costs no more than another).  Each label is fitted in a task of its own; the driver gets
+its centroids and one document count per cell.  More than `max_labels` labels are an error, as the model that every task holds
+grows with them (64 kB a label): none is left out in silence.  Prediction covers every whole text.
 
 Defined cases: null text or text without a letter is `und`, score 0, rejected; if there is no training row at all every
 text is `und`; rows with equal texts get equal values; extra columns are not read.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import lean, slices
+from gneiss.llm.common import Scratch, lean, slices
 
 FEATURES = 1 << 12
 CENTROIDS = 4
@@ -127,6 +128,96 @@ def runs(texts: list[str | None]):
     return slices(ends, 1 << 20, 128)
 
 
+SAMPLE = "lang string, u long, doc_id long, at binary, n binary"
+
+
+def vectors(batches):
+    """SAMPLE rows of (lang, u, doc_id, text): the counts of each text that has a letter."""
+    for b in batches:
+        langs, us, ids, texts = (b.column(i).to_pylist() for i in range(4))
+        rows = []
+        for i, j in runs(texts):
+            counts, has = count_ngrams(texts[i:j])
+            for k in np.flatnonzero(has):
+                at = np.flatnonzero(counts[k])
+                rows.append((langs[i + k], us[i + k], ids[i + k], at.astype(np.uint16).tobytes(), counts[k][at].astype(np.float32).tobytes()))
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["lang", "u", "doc_id", "at", "n"])
+
+
+def dense(pdf, per_label: int) -> np.ndarray:
+    """Counts of the label's sample, in the order of its hashes."""
+    rows = sorted(zip(pdf.u, pdf.doc_id.fillna(0), map(bytes, pdf["at"]), map(bytes, pdf.n), strict=True))[:per_label]
+    out = np.zeros((len(rows), FEATURES), np.float32)
+    for x, (_, _, at, n) in zip(out, rows, strict=True):
+        x[np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.float32)
+    return out
+
+
+def fit(docs: DataFrame, per_label: int = PER_LABEL, max_labels: int = MAX_LABELS, centroids: int = CENTROIDS) -> Model:
+    """A model from docs(doc_id, text, lang); rows without text or lang teach nothing."""
+    train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    sizes = train.groupBy("lang").count().limit(max_labels + 1).collect()
+    if len(sizes) > max_labels:
+        raise ValueError(f"there are more than {max_labels} labels; pass a larger max_labels if workers can hold 64 kB for each")
+    if not sizes:
+        return Model([], None, None, None, None)
+    share = F.create_map(*[x for r in sorted(sizes) for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * per_label / r["count"] + 20.0 / r["count"])))])
+    u = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 40))
+    picked = train.where(u / float(1 << 40) < F.element_at(share, F.col("lang"))).select("lang", u.alias("u"), "doc_id", "text")
+    sample = Scratch(docs.sparkSession, "langid").save(picked.mapInArrow(lean(vectors), SAMPLE), "sample")  # about 2 * per_label rows a label
+
+    def count(pdf):
+        import pandas as pd
+
+        x = dense(pdf, per_label)
+        return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "n": [len(x)], "df": [(x > 0).sum(0).astype(np.int64)]})
+
+    counted = sample.groupBy("lang").applyInPandas(count, "lang string, n long, df array<long>")
+    found = counted.select("n", F.posexplode("df").alias("cell", "df")).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).collect()  # FEATURES rows
+    if not found:
+        return Model([], None, None, None, None)
+    df = np.zeros(FEATURES)
+    for r in found:
+        df[r["cell"]] = r["df"]
+    idf = (np.log((1 + found[0]["n"]) / (1 + df)) + 1).astype(np.float32)
+
+    def learn(pdf):
+        import pandas as pd
+
+        x = weigh(dense(pdf, per_label), idf)
+        c = spherical_kmeans(x, centroids)
+        floor = float(np.quantile(np.max(x @ c.T - by_chance(x, c), axis=1), QUANTILE)) * RADIUS
+        return pd.DataFrame({"lang": pdf.lang.iloc[0], "i": range(len(c)), "centroid": [v.tobytes() for v in c], "radius": 1 - floor})
+
+    got = sample.groupBy("lang").applyInPandas(learn, "lang string, i int, centroid binary, radius double").collect()
+    got = sorted(got, key=lambda r: (r["lang"], r["i"]))
+    labels = sorted({r["lang"] for r in got})
+    at = {name: i for i, name in enumerate(labels)}
+    stacked = np.stack([np.frombuffer(bytes(r["centroid"]), np.float32) for r in got])
+    return Model(labels, idf, stacked, [at[r["lang"]] for r in got], np.array([r["radius"] for r in got], np.float32))
+
+
+def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """(label, score, rejected) of each text."""
+        counts, has = count_ngrams(texts)
+        if not self.labels:
+            return [(UNKNOWN, 0.0, True)] * len(texts)
+        x = weigh(counts, self.idf)
+        cos = np.round(x @ self.centroids.T, 5)
+        best = np.argmax(cos, axis=1)
+        top = np.clip(cos[np.arange(len(texts)), best], 0, 1)
+        out = 1 - (top - by_chance(x, self.centroids)[np.arange(len(texts)), best]) > self.radius[best]
+        return [(self.labels[self.owner[b]], round(float(s), 5), bool(r)) if ok else (UNKNOWN, 0.0, True) for b, s, r, ok in zip(best, top, out, has, strict=True)]
+
+
+def runs(texts: list[str | None]):
+    """Runs of texts that are small enough to count together; a long text is a run of its own."""
+    ends = np.concatenate([[0], np.cumsum([len(t or "") + 1 for t in texts])])
+    return slices(ends, 1 << 20, 128)
+
+
 def fit(docs: DataFrame, per_label: int = PER_LABEL, max_labels: int = MAX_LABELS, centroids: int = CENTROIDS) -> Model:
     """A model from docs(doc_id, text, lang); rows without text or lang teach nothing."""
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
