@@ -77,6 +77,7 @@ def survivors(sig: np.ndarray, bands: np.ndarray, own_band: int, split: int | No
     out_i, out_j = [], []
     for i in left:
         j = np.arange(i + 1 if split is None else split, n)
+        j = j[(bands[j] == bands[i]).argmax(1) == own_band]  # the pairs that this unit handles
         for c, m in enumerate(LEAST):
             k = c * CHUNK
             if c == 0:
@@ -88,8 +89,6 @@ def survivors(sig: np.ndarray, bands: np.ndarray, own_band: int, split: int | No
             if not len(j):
                 break
         if len(j):
-            first = (bands[j] == bands[i]).argmax(1) == own_band
-            j = j[first]
             out_i.append(np.full(len(j), i))
             out_j.append(j)
     if not out_i:
