@@ -350,4 +350,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op6_repeats(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return out.select("doc_id", "n_removed", "n_spans", "n_bytes", "kept_sha256", "spans")  # the decisions first
