@@ -60,7 +60,7 @@ class Scanner:
             j += 1
         value = s[i + 1 : j]
         if value:
-            self.add("literal", i, value[:100_000], ["template"] * (quote == "`"), n=len(value))
+            self.add("literal", i, value, ["template"] * (quote == "`"), n=len(value))
         self.spans.append((i, j))
         if quote != "`":
             self.blank(i + 1, j)
@@ -146,7 +146,7 @@ class Scanner:
                 elif s[j : j + 1] == "{":
                     j = self.code(j + 1, "}", depth + 1, -1)
                     value = s[begin:j]
-            me["attrs"][a[0]] = value[:1000]
+            me["attrs"][a[0]] = value
         while j < len(s):
             if s.startswith("</", j):
                 end = s.find(">", j)
@@ -225,7 +225,7 @@ class Scanner:
             arg = self.argument(i)
             kind = "none" if not arg else "template" if arg[0] == "`" and "${" in arg else "string" if arg[0] in "'\"`" and arg[-1] == arg[0] and "+" not in text[i:end] else "async_function" if re.match(r"async\b", arg) else "other"
             inside = [x[2] for x in CALL.finditer(text, i + 1, end)]
-            self.add("call", m.start(), m[2].replace("?.", "."), ["new"] * bool(m[1]), {"arg0": arg[:500], "arg0_kind": kind, "all": s[i:end][:1000]}, inside)
+            self.add("call", m.start(), m[2].replace("?.", "."), ["new"] * bool(m[1]), {"arg0": arg, "arg0_kind": kind, "all": s[i:end][:1000]}, inside)
         for k, e in enumerate(self.elements):
             flags = e["flags"] | ({"code"} if e["code"] else set())
             names = [self.elements[c]["tag"] for c in e["children"]]

@@ -16,17 +16,40 @@ from gneiss.sources import config as C
 from gneiss.sources import files as S
 from gneiss.sources import scanners
 
+COLUMNS = [f.split()[0] for f in base.FOUND.split(", ")]
+
+
+def in_language(files: DataFrame, *names: str) -> DataFrame:
+    return files.where(S.language(F.col("path")).isin(*names))
+
+
+def facts_of(files: DataFrame) -> DataFrame:
+    """The facts of files(path, text), Python and TypeScript, with `language`."""
+    python = P.facts(in_language(files, "python")).withColumn("language", F.lit("python"))
+    return python.unionByName(T.facts(in_language(files, "typescript")).withColumn("language", F.lit("typescript")))
+
+
+def of_facts(facts: DataFrame, across: bool | None = None) -> DataFrame:
+    """Findings of the rules over facts; across: only those of rules that look across files, or only the others."""
+    out = None
+    for language in ("python", "typescript"):
+        found = base.findings(facts.where(F.col("language") == language).drop("language"), language, across=across).select(*COLUMNS)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def of_lines(files: DataFrame) -> DataFrame:
+    """Findings of the rules over lines and manifests: shell, configuration, install hooks."""
+    placed = files.withColumn("language", S.language(F.col("path")))
+    shell = base.findings(L.code_lines(placed.where("language = 'shell'")), "shell")
+    plain = base.findings(L.lines(placed.where("language is null")), "config")
+    out = shell.select(*COLUMNS).unionByName(plain.select(*COLUMNS))
+    return out.unionByName(scanners.install_hooks(files).select(*COLUMNS)).unionByName(long_shell_comments(placed).select(*COLUMNS))
+
 
 def raw_findings(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Findings of all rules on files(path, text), before any policy."""
-    placed = files.withColumn("language", S.language(F.col("path")))
-    py = facts if facts is not None else P.facts(placed.where("language = 'python'"))
-    out = base.findings(py, "python")
-    out = out.unionByName(base.findings(T.facts(placed.where("language = 'typescript'")), "typescript"))
-    out = out.unionByName(base.findings(L.code_lines(placed.where("language = 'shell'")), "shell"))
-    out = out.unionByName(base.findings(L.lines(placed.where("language is null")), "config"))
-    cols = out.columns
-    return out.unionByName(scanners.install_hooks(files).select(*cols)).unionByName(long_shell_comments(placed).select(*cols))
+    return of_facts(facts if facts is not None else facts_of(files)).unionByName(of_lines(files))
 
 
 def long_shell_comments(placed: DataFrame, most: int = 3) -> DataFrame:
@@ -37,21 +60,65 @@ def long_shell_comments(placed: DataFrame, most: int = 3) -> DataFrame:
     return blocks.select("path", F.col("first").alias("line"), F.col("prose").cast("string").alias("evidence"), F.lit("SH-STYLE-LONG-COMMENT").alias("rule_id"), F.lit("style").alias("category"), F.lit("low").alias("severity"), F.lit("candidate").alias("verdict_kind"))
 
 
-def audit(spark: SparkSession, files: DataFrame, config: dict | None = None, ignores: DataFrame | None = None, baseline: DataFrame | None = None) -> DataFrame:
-    """Findings on files(path, text) after directives, configuration, ignores and baseline, in that order."""
+def directives_of(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """Skip directives: in Python only those of real comments."""
+    comments = facts.where("language = 'python' and kind = 'comment'").select("path", "line", F.col("n").alias("logical_line"))
+    python = S.language(F.col("path")).eqNullSafe("python")
+    return L.directives(files.where(python), comments).unionByName(L.directives(files.where(~python)))
+
+
+def roles_of(files: DataFrame, facts: DataFrame, config: dict) -> DataFrame:
+    flags = facts.where("kind = 'module' and language = 'python'").select("path", "flags")
+    found = S.role(F.col("path"), F.col("text"), F.coalesce("flags", F.expr("cast(array() as array<string>)")), config.get("role_globs"))
+    return files.join(flags, "path", "left").select("path", found.alias("role"))
+
+
+def settings(config: dict) -> None:
+    base.ENTRY_POINTS[:] = sorted(config.get("entry_points", ()))
+
+
+def plan_of(spark: SparkSession, roles: DataFrame, config: dict) -> DataFrame:
+    return C.plan(roles, C.matrix(spark, base.load(), config), [o.get("path", "*") for o in config.get("overrides", [])])
+
+
+def under_plan(found: DataFrame, plan: DataFrame, known: DataFrame) -> DataFrame:
+    """Findings of rules that run, with the plan's severity and verdict; files not in known(path) (lockfiles, scanned trees) keep their own."""
+    p = plan.select("path", "rule_id", F.col("severity").alias("s"), F.col("verdict").alias("v"))
+    placed = found.join(p, ["path", "rule_id"]).select("path", "line", "evidence", "rule_id", "category", F.col("s").alias("severity"), F.col("v").alias("verdict_kind"))
+    return placed.unionByName(found.join(known.select("path").distinct(), "path", "left_anti").select(*placed.columns))
+
+
+def outside_findings(files: DataFrame, facts: DataFrame, roles: DataFrame, antivirus: DataFrame | None, dependencies: DataFrame | None, graph: bool) -> list[DataFrame]:
+    """Findings of scanners, from their output, and of the code graph."""
+    out = []
+    if antivirus is not None:
+        out.append(scanners.antivirus_findings(scanners.antivirus(antivirus)))
+    if dependencies is not None:
+        out.append(scanners.dependency_findings(scanners.vulnerabilities(dependencies), files, True))
+    if graph:
+        from gneiss.plans import codegraph
+
+        python = facts.where("language = 'python'").drop("language")
+        nodes, edges, _ = codegraph.build(python, roles)
+        out.append(codegraph.findings(nodes, edges, python))
+    return [f.select(*COLUMNS) for f in out]
+
+
+def audit(spark: SparkSession, files: DataFrame, config: dict | None = None, ignores: DataFrame | None = None, baseline: DataFrame | None = None,
+          antivirus: DataFrame | None = None, dependencies: DataFrame | None = None, graph: bool = False) -> DataFrame:
+    """Findings on files(path, text) after directives, configuration, ignores and baseline, in that order.
+
+    antivirus: lines of a scanner's output; dependencies: reports of a dependency scanner in JSON; graph: build the code graph
+    and report what it shows.
+    """
     config = config or {}
-    facts = P.facts(files.where(S.language(F.col("path")) == "python")).checkpoint()
-    comments = facts.where("kind = 'comment'").select("path", "line", F.col("n").alias("logical_line"))
-    python = S.language(F.col("path")) == "python"
-    dirs = L.directives(files.where(python), comments).unionByName(L.directives(files.where(~python | S.language(F.col("path")).isNull())))
-    found = L.unsuppressed(raw_findings(files, facts), dirs)
-    flags = facts.where("kind = 'module'").select("path", "flags")
-    roles = files.join(flags, "path", "left").select("path", S.role(F.col("path"), F.col("text"), F.coalesce("flags", F.expr("cast(array() as array<string>)")), config.get("role_globs")).alias("role"))
-    overrides = config.get("overrides", [])
-    run = C.plan(roles, C.matrix(spark, base.load(), config), [o.get("path", "*") for o in overrides])
-    known = found.join(run.select("path", "rule_id", F.col("severity").alias("s"), F.col("verdict").alias("v")), ["path", "rule_id"])
-    listed = found.join(spark.createDataFrame([(r,) for r in base.load()], "rule_id string"), "rule_id", "left_anti")  # scanner rules have no matrix row
-    out = known.select("path", "line", "evidence", "rule_id", "category", F.col("s").alias("severity"), F.col("v").alias("verdict_kind")).unionByName(listed.select("path", "line", "evidence", "rule_id", "category", "severity", "verdict_kind"))
+    settings(config)
+    facts = facts_of(files).checkpoint()
+    roles = roles_of(files, facts, config)
+    found = L.unsuppressed(raw_findings(files, facts), directives_of(files, facts))
+    for more in outside_findings(files, facts, roles, antivirus, dependencies, graph):
+        found = found.unionByName(more)
+    out = under_plan(found, plan_of(spark, roles, config), files)
     out = out.withColumn("file", F.col("path")).withColumn("seq", F.struct("path", "line", "rule_id"))
     out = out if ignores is None else ops.not_ignored(out, ignores)
     return out if baseline is None else ops.beyond_baseline(ops.fingerprinted(out), baseline).drop("fingerprint")
@@ -60,31 +127,70 @@ def audit(spark: SparkSession, files: DataFrame, config: dict | None = None, ign
 def audit_tree(spark: SparkSession, root: str, target: str = "", **kw) -> DataFrame:
     """The audit of the tracked files under root."""
     tree = S.read_tree(spark, root, S.tracked_files(root))
-    return audit(spark, S.audited(tree.select("path", "text"), target=target), C.load(root), **kw)
+    return audit(spark, S.audited(tree.select("path", "text"), target=target), C.of_project(root), **kw)
+
+
+def audit_edit(spark: SparkSession, root: str, path: str, floor: str = "high", config: dict | None = None) -> DataFrame:
+    """After an edit: the findings of one file at or above a floor, of the rules that need no other file."""
+    files = S.read_files(spark, root, [path])
+    facts = facts_of(files)
+    found = of_facts(facts, across=False).unionByName(of_lines(files))
+    found = L.unsuppressed(found, directives_of(files, facts))
+    config = C.of_project(root) if config is None else config
+    return displayed(under_plan(found, plan_of(spark, roles_of(files, facts, config), config), files), floor).orderBy(severity_rank(F.col("severity")).desc(), "line", "rule_id")
 
 
 def blocks(found: DataFrame, floor: str = "high") -> bool:
     return bool(ops.gate(found, floor).first()["failed"])
 
 
-def incremental(spark: SparkSession, index, repo: str, files: DataFrame, config: dict | None = None) -> DataFrame:
-    """Runs only rules whose file or fingerprint changed, writes files, ledger and findings, prunes what is gone.
+def incremental(spark: SparkSession, index, repo: str, files: DataFrame, config: dict | None = None, whole: bool = True, versions: dict[str, str] | None = None) -> DataFrame:
+    """Runs only what has changed, and returns the repository's findings: those that a full audit would give.
 
-    Returns the repository's findings.  Rules that look across files run over all files each time.
+    A rule of one file runs on it again if the file or the rule's fingerprint changed.  Rules that look across files run over
+    the facts of all files each time, which the index keeps, so only changed files are parsed; all their rows are replaced.
+    whole: files are the whole repository, and what is not among them is pruned; else they are added to what is known.
+    versions: what else a rule's results depend on, as {rule: version of a scanner and its signatures}.
     """
-    roles = files.select("path", content_hash(F.col("text")).alias("sha"), S.role(F.col("path"), F.col("text")).alias("role"))
-    plan = C.plan(roles, C.matrix(spark, base.load(), config or {}), [o.get("path", "*") for o in (config or {}).get("overrides", [])])
+    config = config or {}
+    settings(config)
+    base.load()
+    hashes = files.select("path", content_hash(F.col("text")).alias("sha"))
+    stale = ledger.stale_facts(hashes, index.read("files", repo).select("path", F.col("sha256").alias("content_hash"))).checkpoint()
+    changed = files.join(stale, "path", "left_semi")
+    known = files.select("path") if whole else files.select("path").union(index.read("files", repo).select("path")).distinct()
+    fresh = facts_of(changed).checkpoint()
+    new_directives = directives_of(changed, fresh)
+    for table, rows in (("facts", fresh), ("directives", new_directives)):
+        old = index.read(table, repo).drop("repo").join(known, "path", "left_semi").join(stale, "path", "left_anti")
+        index.replace(table, repo, old.unionByName(rows.select(*old.columns)))
+    facts, dirs = index.read("facts", repo).drop("repo"), index.read("directives", repo).drop("repo")
+
+    roles = roles_of(files, facts, config)
+    plan = ledger.with_versions(plan_of(spark, roles, config), versions)
     seen = index.read("files", repo).select("path", F.col("sha256").alias("sha"))
-    todo = ledger.missed_rules(roles, plan, seen, index.read("file_rules", repo)).checkpoint()
-    changed = files.join(todo.select("path").distinct(), "path", "left_semi")
-    fresh = raw_findings(changed).join(todo.select("path", "rule_id"), ["path", "rule_id"], "left_semi")
-    kept = index.read("findings", repo).join(todo.select("path", "rule_id"), ["path", "rule_id"], "left_anti").drop("repo")
-    index.replace("findings", repo, kept.unionByName(fresh.select(*kept.columns)))
+    todo = ledger.missed_rules(hashes, plan, seen, index.read("file_rules", repo)).checkpoint()
+    again = todo.select("path").distinct()
+    mine = of_facts(facts.join(again, "path", "left_semi"), across=False).unionByName(of_lines(files.join(again, "path", "left_semi")))
+    mine = mine.join(todo.select("path", "rule_id"), ["path", "rule_id"], "left_semi")
+    columns = ["path", "rule_id", "severity", "verdict"]
+    done = index.read("file_rules", repo).join(known, "path", "left_semi").join(hashes, "path", "left_anti").select(*columns)
+    in_force = plan.select(*columns).unionByName(done)
+    shared = of_facts(facts, across=True)
+    across = [r.rule_id for r in base.load().values() if r.across]
+    found = under_plan(L.unsuppressed(mine.unionByName(shared), dirs), in_force, known)
+    kept = index.read("findings", repo).drop("repo").join(known, "path", "left_semi").where(~F.col("rule_id").isin(*across)).join(todo.select("path", "rule_id"), ["path", "rule_id"], "left_anti")
+    disabled = hashes.select("path").join(plan.select("path", "rule_id").distinct(), "path").select("path", "rule_id")
+    kept = kept.join(hashes.select("path"), "path", "left_anti").unionByName(kept.join(disabled, ["path", "rule_id"], "left_semi"))
+    index.replace("findings", repo, kept.unionByName(found.select(*kept.columns)))
+
     now = F.current_timestamp()
-    index.upsert("file_rules", repo, plan.join(todo.select("path", "rule_id"), ["path", "rule_id"]).select("path", "rule_id", "fingerprint", now.alias("last_scanned")))
-    meta = files.select("path", content_hash(F.col("text")).alias("sha256"), F.size(F.split("text", "\n")).alias("lines"), S.language(F.col("path")).alias("language"), S.role(F.col("path"), F.col("text")).alias("role"), now.alias("last_scanned"))
+    index.upsert("file_rules", repo, plan.join(todo.select("path", "rule_id"), ["path", "rule_id"]).select("path", "rule_id", "fingerprint", "severity", "verdict", now.alias("last_scanned")))
+    role = roles.select("path", "role")
+    meta = files.select("path", content_hash(F.col("text")).alias("sha256"), F.size(F.split("text", "\n")).alias("lines"), S.language(F.col("path")).alias("language"), now.alias("last_scanned")).join(role, "path")
     index.upsert("files", repo, meta)
-    index.prune(repo, files.select("path"))
+    if whole:
+        index.prune(repo, files.select("path"))
     return index.read("findings", repo)
 
 

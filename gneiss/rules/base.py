@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Rule:
     """run maps facts to hits.  A rule that is one condition on a fact also has it in `when`, with the evidence and, in
-    `needs`, the pattern of an import that the file must have; such rules share one pass."""
+    `needs`, the pattern of an import that the file must have; such rules share one pass.  `across`: what it finds in one file
+    depends on others."""
 
     rule_id: str
     category: str
@@ -24,16 +25,18 @@ class Rule:
     framework: str | None = None
     when: Callable[[], tuple[Column, Column]] | None = None
     needs: str | None = None
+    across: bool = False
 
 
 RULES: dict[str, Rule] = {}
+ENTRY_POINTS: list[str] = []  # names that the project's entry points reach; set by the audit
 
 
-def rule(rule_id: str, category: str, severity: str, verdict: str = "auto", language: str = "python", refs: str = "", framework: str | None = None, when=None, needs: str | None = None):
+def rule(rule_id: str, category: str, severity: str, verdict: str = "auto", language: str = "python", refs: str = "", framework: str | None = None, when=None, needs: str | None = None, across: bool = False):
     def add(f):
         if rule_id in RULES:
             raise ValueError(f"{rule_id} is registered twice")
-        RULES[rule_id] = Rule(rule_id, category, severity, verdict, language, f, tuple(refs.split()), framework, when, needs)
+        RULES[rule_id] = Rule(rule_id, category, severity, verdict, language, f, tuple(refs.split()), framework, when, needs, across)
         return f
 
     return add
@@ -65,16 +68,21 @@ def one_pass(facts: DataFrame, rules: list[Rule]) -> DataFrame:
     return hits.where(~asks).unionByName(hits.where(asks).join(have, ["path", "rule_id"], "left_semi"))
 
 
-def findings(facts: DataFrame, language: str = "python", only: list[str] | None = None) -> DataFrame:
-    """path, line, evidence, rule_id, category, severity, verdict_kind of all rules of a language."""
-    chosen = [r for r in load().values() if r.language == language and (only is None or r.rule_id in only)]
+FOUND = "path string, line int, evidence string, rule_id string, category string, severity string, verdict_kind string"
+
+
+def findings(facts: DataFrame, language: str = "python", only: list[str] | None = None, across: bool | None = None) -> DataFrame:
+    """path, line, evidence, rule_id, category, severity, verdict_kind of all rules of a language, or of those that look across files, or not."""
+    chosen = [r for r in load().values() if r.language == language and (only is None or r.rule_id in only) and across in (None, r.across)]
+    if not chosen:
+        return facts.sparkSession.createDataFrame([], FOUND)
     simple, parts = [r for r in chosen if r.when is not None], []
     if simple:
         parts.append(one_pass(facts, simple))
     parts += [r.run(facts).select("path", "line", "evidence", F.lit(r.rule_id).alias("rule_id")) for r in chosen if r.when is None]
     out = None
     for p in parts:
-        p = p.select("path", F.col("line").cast("int").alias("line"), F.substring(F.coalesce("evidence", F.lit("")), 1, 400).alias("evidence"), "rule_id")
+        p = p.select("path", F.col("line").cast("int").alias("line"), F.coalesce("evidence", F.lit("")).alias("evidence"), "rule_id")
         out = p if out is None else out.unionByName(p)
     meta = facts.sparkSession.createDataFrame([(r.rule_id, r.category, r.severity, r.verdict) for r in chosen], "rule_id string, category string, severity string, verdict_kind string")
     out = out.distinct().join(F.broadcast(meta), "rule_id")  # one row a rule

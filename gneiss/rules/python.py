@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.rules import shell as sig
-from gneiss.rules.base import rule
+from gneiss.rules.base import ENTRY_POINTS, rule
 
 # fixed values: names the rules look for
 WEAK_HASHES = ("hashlib.md5", "hashlib.sha1")
@@ -87,6 +87,7 @@ def predicate(rule_id: str, category: str, severity: str, verdict: str, conditio
 
 SA, PYDANTIC = r"^sqlalchemy(\.|$)", r"^pydantic"
 FUNCTION, CLASS, ASSIGN = F.col("kind") == "function", F.col("kind") == "class", F.col("kind") == "assign"
+TEST_PLACE = r"(^|/)tests?/|(^|/)test_[^/]*\.py$|_test\.py$|(^|/)conftest\.py$"
 TEST = FUNCTION & F.col("name").startswith("test") & F.col("path").rlike(r"(^|/)tests?/|(^|/)test_[^/]*\.py$|_test\.py$|conftest\.py$")
 ROUTE = F.exists("flags", lambda x: x.rlike(r"^decorator:(get|post|put|delete|patch|route|websocket|head|options)$"))
 SEC = "security"
@@ -213,7 +214,7 @@ def long_comment(facts, most: int = 3):
     return blocks.where(F.col("first") > F.coalesce("starts", F.lit(1 << 30))).select("path", F.col("first").alias("line"), F.col("prose").cast("string").alias("evidence"))
 
 
-@rule("PY-STYLE-STALE-COMMENT", "style", "low", "candidate")
+@rule("PY-STYLE-STALE-COMMENT", "style", "low", "candidate", across=True)
 def stale_comment(facts):
     named = facts.where(F.col("kind") == "comment").select("path", "line", F.explode(F.regexp_extract_all("name", F.lit(r"[\w/]+\.py"), F.lit(0))).alias("evidence"))
     named = named.where(~F.element_at(F.split("evidence", "/"), -1).isin("setup.py", "conftest.py", "__init__.py", "__main__.py", "manage.py"))
@@ -226,6 +227,7 @@ def stale_comment(facts):
 OOP = "oop-composition"
 BASE_MODEL = F.exists("names", lambda x: last(x) == "BaseModel")
 predicate("PY-OOP-BUILDER-CLASS", OOP, "low", "candidate", CLASS & arg("producer").isin("build", "create", "make", "construct", "produce") & (flag("has_init") | F.col("name").endswith("Builder")))
+predicate("PY-OOP-CLOSURE-CAPTURE", OOP, "suggestion", "candidate", FUNCTION & flag("captures") & ~F.col("path").rlike(TEST_PLACE), evidence=F.concat_ws(": ", "name", arg("captured")))
 predicate("PY-OOP-CONSTRUCTOR-WALL", OOP, "low", "candidate", CALL & (F.col("n") >= 12) & last(F.col("name")).rlike("^[A-Z]"))
 predicate("PY-OOP-DATACLASS-IN-PYDANTIC", OOP, "medium", "auto", CLASS & flag("decorator:dataclass"), needs=PYDANTIC)
 predicate("PY-OOP-DICT-MUTATION-BUILDER", OOP, "suggestion", "candidate", FUNCTION & flag("mutates_param") & ~F.exists("flags", lambda x: x.rlike("^decorator:.*validator$")))
@@ -330,16 +332,22 @@ def duplicate_setup(facts):
 
 
 # ---------------------------------------------------------------- repository level, over symbol facts
+# fixed values: module names that a framework reads
+MAGIC_NAMES = ("revision", "down_revision", "branch_labels", "depends_on", "pytestmark")
 
 
-@rule("PY-DEAD-SYMBOL", "dead-code", "low", "candidate")
+@rule("PY-DEAD-SYMBOL", "dead-code", "low", "candidate", across=True)
 def dead_symbol(facts):
-    defs = facts.where((F.col("kind") == "symbol_def") & F.col("name").rlike("^_[^_]") & ~flag("decorated") & ~F.col("path").rlike(r"(^|/)__init__\.py$|(^|/)tests?/|(^|/)test_"))
-    used = facts.where(F.col("kind") == "symbol_ref").select("name").distinct()
-    return defs.join(used, "name", "left_anti").withColumn("evidence", F.col("name"))
+    from gneiss.operators.crossfile import dead_symbols
+    from gneiss.sources.files import role
 
+    private = F.col("name").rlike("^_") & arg("what").isin("function", "class")
+    defs = facts.where((F.col("kind") == "symbol_def") & ~flag("registers") & (private | (arg("what") == "constant")) & ~F.col("name").isin(*MAGIC_NAMES, *ENTRY_POINTS, ""))
+    roles = facts.where(F.col("kind") == "module").select("path", role(F.col("path"), F.lit(""), F.col("flags")).alias("role"))
+    return dead_symbols(defs.join(roles, "path"), facts.where(F.col("kind") == "symbol_ref")).withColumn("evidence", F.col("name"))
 
-@rule("PY-XFILE-PRIVATE-USED", OOP, "low", "candidate")
+
+@rule("PY-XFILE-PRIVATE-USED", OOP, "low", "candidate", across=True)
 def private_used(facts):
     from gneiss.operators.crossfile import leaked_private
 
@@ -350,7 +358,7 @@ def private_used(facts):
     return hits.join(defs.groupBy("name", "path").agg(F.min("line").alias("line")), ["name", "path"]).select("path", "line", F.concat_ws(": ", "name", "files").alias("evidence"))
 
 
-@rule("PY-TEST-UNUSED-FIXTURE", T, "low", "candidate", refs="fw:pytest", framework="pytest")
+@rule("PY-TEST-UNUSED-FIXTURE", T, "low", "candidate", refs="fw:pytest", framework="pytest", across=True)
 def unused_fixture(facts):
     fixtures = facts.where(FUNCTION & flag("decorator:fixture") & ~F.coalesce(arg("decorators"), F.lit("")).contains("autouse"))
     requested = facts.where(FUNCTION).select(F.explode(F.split(arg("params"), ",")).alias("name"))
@@ -364,17 +372,17 @@ def _duplicates(facts, condition, key="sig"):
     return shapes.join(often, "shape_hash").withColumn("evidence", F.col("name"))
 
 
-@rule("PY-XFILE-DUP-MODEL", OOP, "low", "candidate")
+@rule("PY-XFILE-DUP-MODEL", OOP, "low", "candidate", across=True)
 def duplicate_model(facts):
     return _duplicates(facts, CLASS & BASE_MODEL)
 
 
-@rule("PY-XFILE-DUP-FUNCTION", OOP, "low", "candidate")
+@rule("PY-XFILE-DUP-FUNCTION", OOP, "low", "candidate", across=True)
 def duplicate_function(facts):
     return _duplicates(facts, FUNCTION & (number("n_statements") >= 3) & ~F.col("name").startswith("test") & ~F.exists("flags", lambda x: x.rlike("^decorator:(command|callback)$")))
 
 
-@rule("PY-CONFIG-SCATTERED-SETTINGS", "config", "low", "candidate")
+@rule("PY-CONFIG-SCATTERED-SETTINGS", "config", "low", "candidate", across=True)
 def scattered_settings(facts):
     from gneiss.operators.crossfile import descendants, home, outside_home
 

@@ -153,9 +153,9 @@ def across(facts: DataFrame, condition: Column) -> DataFrame:
     return shapes.join(often, "shape_hash").withColumn("evidence", F.col("name"))
 
 
-rule("TS-XFILE-DUP-COMPONENT", R, "low", "candidate", "typescript")(lambda facts: across(facts, COMPONENT & (number("size") >= 40)))
-rule("TS-XFILE-DUP-FUNCTION", R, "low", "candidate", "typescript")(lambda facts: across(facts, (F.col("kind") == "function") & (F.col("n") >= 3)))
-rule("TS-XFILE-DUP-JSX-BLOCK", R, "low", "candidate", "typescript")(lambda facts: across(facts, ELEMENT & (number("size") >= 5)))
+rule("TS-XFILE-DUP-COMPONENT", R, "low", "candidate", "typescript", across=True)(lambda facts: across(facts, COMPONENT & (number("size") >= 40)))
+rule("TS-XFILE-DUP-FUNCTION", R, "low", "candidate", "typescript", across=True)(lambda facts: across(facts, (F.col("kind") == "function") & (F.col("n") >= 3)))
+rule("TS-XFILE-DUP-JSX-BLOCK", R, "low", "candidate", "typescript", across=True)(lambda facts: across(facts, ELEMENT & (number("size") >= 5)))
 
 # design system: silent until configured
 DESIGN: dict = {"ui_paths": (), "components": (), "primitives": {}}

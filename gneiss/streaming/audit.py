@@ -17,29 +17,14 @@ def file_stream(spark: SparkSession, root: str, most_files: int = 1000) -> DataF
 
 
 def audit_stream(files: DataFrame, index, repo: str, checkpoint: str):
-    """Starts the query; a batch's files join those known before, so pruning sees the whole repository."""
+    """Starts the query; a batch's files join those known before, and nothing is pruned."""
 
     def step(batch: DataFrame, _id: int) -> None:
-        spark = batch.sparkSession
-        latest = batch.groupBy("path").agg(F.last("text").alias("text"))
-        incremental_batch(spark, index, repo, latest)
+        incremental(batch.sparkSession, index, repo, batch.groupBy("path").agg(F.last("text").alias("text")), whole=False)
 
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def incremental_batch(spark, index, repo: str, latest: DataFrame) -> None:
-    class Unpruned:
-        """The index, but a batch does not remove files that it does not contain."""
-
-        def __getattr__(self, name):
-            return getattr(index, name)
-
-        def prune(self, *_args, **_kw):
-            return None
-
-    incremental(spark, Unpruned(), repo, latest)
-
-
 def windowed_hits(lines: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Counts of shell rules per window over a stream of lines(ts, path, line, text), late data up to the watermark."""
     hits = None

@@ -154,6 +154,72 @@ def test_incremental_and_stream(spark, files, tmp_path):
     assert pairs(index.read("findings", "s")) >= {("go.sh", "SH-MAL-CURL-BASH"), ("b.sh", "SH-MAL-FORK-BOMB")}
 
 
+CROSS = {
+    "app/a.py": "def _helper():\n    return 1\n\n\n_left = 3\n",
+    "app/b.py": "from app.a import _helper\n\n\ndef go():\n    return _helper()\n",
+    "app/c.py": "# see gone.py\nclass Item(BaseModel):\n    a: int\n    b: int\n",
+    "app/d.py": "class Other(BaseModel):\n    a: int\n    b: int\n",
+    "app/e.py": "def work(x):\n    y = x + 1\n    z = y * 2\n    return z\n",
+    "app/f.py": "def other(x):\n    y = x + 1\n    z = y * 2\n    return z\n",
+    "app/g.py": "class S(BaseSettings):\n    a: int = 1\nclass T(BaseSettings):\n    a: int = 1\n",
+    "app/h.py": "class U(BaseSettings):\n    a: int = 1\n",
+    "tests/conftest.py": "import pytest\n\n\n@pytest.fixture\ndef thing():\n    return 1\n",
+    "tests/test_x.py": "def test_x(thing):\n    assert thing\n",
+}
+EDITS = [
+    # the definition alone; what is defined twice, alone; a new file
+    {"app/a.py": "def _helper():\n    return 2\n\n\n_left = 3\n", "app/d.py": "class Other(BaseModel):\n    a: int\n    c: int\n", "gone.py": "x = 1\n"},
+    # uses go, so what they used is dead; homes change; a directive comes
+    {"app/b.py": "def go():\n    return 0\n", "app/h.py": "x = 1\n", "tests/test_x.py": "def test_x():\n    assert 1\n", "app/e.py": "def work(x):  # gneiss: skip\n    y = x + 1\n    z = y * 2\n    return z\n"},
+]
+
+
+def test_an_edit_gives_what_a_full_audit_gives(spark, tmp_path):
+    frame = lambda d: spark.createDataFrame(sorted(d.items()), "path string, text string")
+    columns = ["path", "line", "rule_id", "severity", "verdict_kind", "evidence"]
+    rows = lambda df: sorted(map(tuple, df.select(*columns).collect()))
+    index, now = Index(spark, f"file://{tmp_path}/index"), dict(CROSS)
+    config = {"rules": {"PY-XFILE-DUP-MODEL": {"severity": "high"}}}
+    full = rows(A.audit(spark, frame(now), config))
+    across = {r for r, x in base.load().items() if x.across and x.language == "python"}
+    assert across <= {r[2] for r in full} | {"PY-TEST-UNUSED-FIXTURE"} and ("app/a.py", "PY-XFILE-PRIVATE-USED") in {(r[0], r[2]) for r in full}
+    assert rows(A.incremental(spark, index, "r", frame(now), config)) == full
+    for edit, whole in zip(EDITS, (False, True), strict=True):
+        now |= edit
+        full = rows(A.audit(spark, frame(now), config))
+        assert rows(A.incremental(spark, index, "r", frame(now if whole else edit), config, whole)) == full, edit
+    assert {"PY-DEAD-SYMBOL", "PY-TEST-UNUSED-FIXTURE"} <= {r[2] for r in full}
+
+
+def test_scanner_versions_are_part_of_the_ledger(spark):
+    from gneiss.operators import ledger
+
+    plan = spark.createDataFrame([("a", "AV-MAL-MATCH", "x"), ("a", "R", "y")], "path string, rule_id string, fingerprint string")
+    one, two = (dict(ledger.with_versions(plan, {"AV-MAL-MATCH": v}).select("rule_id", "fingerprint").collect()) for v in ("1", "2"))
+    assert one["R"] == two["R"] == "y" and one["AV-MAL-MATCH"] != two["AV-MAL-MATCH"]
+
+
+def test_scanners_and_graph_join_the_audit(spark):
+    files = spark.createDataFrame([("a.py", "x = 1\n"), ("uv.lock", "name = evil 1\n")], "path string, text string")
+    av = spark.createDataFrame([("a.py: Win.X FOUND",), ("elsewhere/b: PUA.Y FOUND",)], "value string")
+    osv = spark.createDataFrame([(json.dumps({"results": [{"source": {"path": "uv.lock"}, "packages": [{"package": {"name": "evil", "version": "1"}, "vulnerabilities": [{"id": "MAL-1"}]}]}]}),)], "value string")
+    got = pairs(A.audit(spark, files, antivirus=av, dependencies=osv))
+    assert {("a.py", "AV-MAL-MATCH"), ("elsewhere/b", "AV-MAL-HEURISTIC"), ("uv.lock", "DEP-MAL-KNOWN")} <= got
+    off = {"rules": {"AV-MAL-MATCH": {"enabled": False}}}
+    assert ("a.py", "AV-MAL-MATCH") not in pairs(A.audit(spark, files, off, antivirus=av))
+
+
+def test_edit_of_one_file(spark, tmp_path):
+    (tmp_path / "a.py").write_text("import hashlib\nx = hashlib.md5(b'a')\neval(x)\n")
+    got = [r["rule_id"] for r in A.audit_edit(spark, str(tmp_path), "a.py", "medium").collect()]
+    assert "PY-SEC-DANGEROUS-EVAL" in got and "PY-DEAD-SYMBOL" not in got
+
+
+def test_invalid_bytes_are_replaced_alone(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("né ".encode() + b"\xff" + "ü\n".encode())
+    assert S.read_files(spark, str(tmp_path), ["a.txt"]).first()["text"] == "né \ufffdü\n"
+
+
 def test_shell_rules(spark):
     from shell_cases import CASES
 
