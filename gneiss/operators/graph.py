@@ -42,14 +42,18 @@ def related(nodes: DataFrame, edges: DataFrame, node: str, limit: int = 10) -> D
 
 
 def neighbors(edges: DataFrame, seeds: DataFrame, depth: int, kinds=STRUCTURAL) -> DataFrame:
-    """node_id, hops: everything within `depth` of seeds(node_id), both directions; breadth first."""
-    e = edges.where(F.col("kind").isin(*kinds)).select("src", "dst")
-    both = e.union(e.select("dst", "src")).distinct()
-    seen = seeds.select("node_id", F.lit(0).alias("hops"))
+    """node_id, hops, kind, direction: everything within `depth` of seeds(node_id), both directions, breadth first.
+
+    kind and direction are those of the edge by which a node was first met: out edges before in edges, then by kind; null for seeds.
+    """
+    e = edges.where(F.col("kind").isin(*kinds)).select("src", "dst", "kind")
+    both = e.withColumn("way", F.lit(0)).union(e.select(F.col("dst"), F.col("src"), "kind", F.lit(1))).distinct()
+    seen = seeds.select("node_id", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("direction"))
     frontier = seen
     for hop in range(1, depth + 1):
-        step = both.join(frontier.select(F.col("node_id").alias("src")), "src").select(F.col("dst").alias("node_id")).distinct()
-        frontier = step.join(seen, "node_id", "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
+        step = both.join(frontier.select(F.col("node_id").alias("src")), "src").groupBy(F.col("dst").alias("node_id")).agg(F.min(F.struct("way", "kind")).alias("by"))
+        step = step.join(seen, "node_id", "left_anti")
+        frontier = step.select("node_id", F.lit(hop).alias("hops"), F.col("by.kind").alias("kind"), F.when(F.col("by.way") == 0, "out").otherwise("in").alias("direction")).checkpoint()
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -59,7 +63,7 @@ def neighbors(edges: DataFrame, seeds: DataFrame, depth: int, kinds=STRUCTURAL)
 def ego(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """Nodes within depth and the edges among them."""
     near = neighbors(edges, seeds, depth)
-    return nodes.join(near, "node_id"), induced(edges, near)
+    return nodes.join(near.select("node_id", "hops"), "node_id"), induced(edges, near)
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -154,10 +158,27 @@ def naming_inconsistencies(nodes: DataFrame, attributes, least: int = 5, overlap
     share = F.array(*[F.avg(F.array_contains("profile", a).cast("double")) for a in attributes])
     verbs = prod.groupBy("verb").agg(F.count(F.lit(1)).alias("n"), share.alias("vector")).where(F.col("n") >= least).select("verb", "vector")
     m = prod.where("cluster_id is not null").join(verbs, "verb").withColumn("objects", object_tokens(F.col("name"))).where(F.size("objects") > 0)
-    side = lambda p: m.select("cluster_id", F.explode("objects").alias("token"), F.struct("node_id", "name", "module", "line", "verb", "vector", "objects").alias(p))
-    pairs = side("a").join(side("b"), ["cluster_id", "token"]).where("a.node_id < b.node_id and a.verb <> b.verb")
+    keyed = rare_first(m.select("node_id", F.transform("objects", lambda o: F.concat_ws("\x1f", F.col("cluster_id").cast("string"), o)).alias("tokens")), overlap)
+    side = lambda p: keyed.select("token", "before", "node_id").join(m.select("node_id", F.struct("cluster_id", "node_id", "name", "module", "line", "verb", "vector", "objects").alias(p)), "node_id").select("token", F.col("before").alias(f"{p}_before"), p)
+    # a pair is handled at its rarest common word
+    pairs = side("a").join(side("b"), "token").where("a.node_id < b.node_id and a.verb <> b.verb").where(~F.arrays_overlap("a_before", "b_before"))
     ok = (jaccard(F.col("a.objects"), F.col("b.objects")) >= overlap) & (squared_distance(F.col("a.vector"), F.col("b.vector")) <= distance)
-    return pairs.where(ok).select("cluster_id", F.col("a.node_id").alias("first"), F.col("b.node_id").alias("second"), F.col("a.module").alias("module"), F.col("a.line").alias("line")).distinct()
+    return pairs.where(ok).select(F.col("a.cluster_id").alias("cluster_id"), F.col("a.node_id").alias("first"), F.col("b.node_id").alias("second"), F.col("a.module").alias("module"), F.col("a.line").alias("line"))
+
+
+def rare_first(sets: DataFrame, least: float) -> DataFrame:
+    """node_id, token, before from sets(node_id, tokens): the tokens of each set by which it can be found by a set with Jaccard >= least.
+
+    Tokens are ordered by the number of sets that have them, then by name; two sets that are alike enough share one of the first
+    size - ceil(least * size) + 1.  `before` holds the rarer tokens of the same set.
+    """
+    each = sets.select("node_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    n = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    ordered = each.join(n, "token").groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
+    size = F.size("t")
+    kept = F.least(size, size - F.ceil(F.lit(least) * size - 1e-9) + 1).cast("int")
+    found = ordered.select("node_id", F.col("t.token").alias("t"), F.posexplode(F.slice("t.token", F.lit(1), kept)).alias("at", "token"))
+    return found.select("node_id", "token", F.slice("t", F.lit(1), F.col("at")).alias("before"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, kinds=RANKED, damping: float = 0.85, iterations: int = 50, personal: DataFrame | None = None) -> DataFrame:
@@ -172,7 +193,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, kinds=RANKED, damping: float =
         base = ids.join(chosen, "node_id", "left").select("node_id", F.coalesce("own", F.lit(0.0)).alias("p"))
         if base.where("p > 0").isEmpty():
             base = ids.withColumn("p", F.lit(1.0))
-    if e.count() <= LOCAL_EDGES:
+    if e.count() + ids.count() <= LOCAL_EDGES:
         return _pagerank_local(base, e, damping, iterations)
     total = base.agg(F.sum("p").alias("t"))
     has_out = e.select(F.col("src").alias("node_id"), F.lit(True).alias("has_out")).distinct()
@@ -189,7 +210,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, kinds=RANKED, damping: float =
 
 
 def _pagerank_local(base: DataFrame, edges: DataFrame, damping: float, iterations: int) -> DataFrame:
-    """The same recurrence over arrays in one task, for graphs of at most LOCAL_EDGES distinct edges."""
+    """The same recurrence over arrays in one task, for graphs of at most LOCAL_EDGES nodes and distinct edges; the sum is the same."""
     rows = base.select("node_id", F.lit(None).cast("string").alias("dst"), "p").unionByName(edges.select(F.col("src").alias("node_id"), "dst", F.col("share").alias("p")))
 
     def rank(pdf):
@@ -208,29 +229,105 @@ def _pagerank_local(base: DataFrame, edges: DataFrame, damping: float, iteration
     return rows.groupBy().applyInPandas(rank, "node_id string, rank double")
 
 
-def usage_similar(items: DataFrame, threshold: float = 0.5, k: int = 8) -> DataFrame:
-    """src, dst, weight from items(node_id, callees, types): pairs that share a token, scored, k best per node.
+UNIT_ITEMS = 2048
+UNIT = "node {0}, other {0}, weight double"
 
-    The weight is 0.6 * Jaccard of callees + 0.4 * Jaccard of types.  Above 0.4 a pair must share a callee, so types, of which
-    there are few, need not bring pairs together.  A pair is scored where its smallest common token is, once.
-    """
-    callees = F.array_distinct("callees")
-    keys = callees if threshold > 0.4 else F.array_distinct(F.concat("callees", "types"))
-    rows = items.select("node_id", "callees", "types", keys.alias("keys")).withColumn("token", F.explode("keys"))
-    a, b = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns]), rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
-    both = a.join(b, F.col("a_token") == F.col("b_token")).where("a_node_id < b_node_id")
-    both = both.where(F.col("a_token") == F.array_min(F.array_intersect("a_keys", "b_keys")))
-    weight = F.round(jaccard(F.col("a_callees"), F.col("b_callees")) * 0.6 + jaccard(F.col("a_types"), F.col("b_types")) * 0.4, 6)
-    scored = both.select(F.col("a_node_id").alias("a"), F.col("b_node_id").alias("b"), weight.alias("weight")).where(F.col("weight") >= threshold)
-    return best_neighbours(scored, k)
 
+def usage_similar(items: DataFrame, threshold: float = 0.5, k: int = 8) -> DataFrame:
+    """src, dst, weight from items(node_id, callees, types): the k best partners of each node by weight.
 
-def best_neighbours(scored: DataFrame, k: int) -> DataFrame:
-    """Undirected pairs that are among the k best of either end; ties prefer the larger id."""
-    both = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), F.desc("b")))
-    kept = both.withColumn("place", place).where(F.col("place") <= k)
-    return kept.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "weight").distinct()
+    The weight is 0.6 * Jaccard of callees + 0.4 * Jaccard of types, so the Jaccard of callees is at least (threshold - 0.4) / 0.6
+    and pairs meet at the rarer tokens of their callees (types, of which there are few, bring pairs together only at thresholds up
+    to 0.4).  The items of a token are cut into blocks, and each pair of blocks is one unit of work: it scores each pair whose
+    rarest common token it is and hands on the k best of each node only.
+    """
+    least = (threshold - 5e-7 - 0.4) / 0.6
+    hashed = lambda c: F.transform(F.array_distinct(c), lambda x: F.xxhash64(x))
+    sets = items.select("node_id", "callees", "types", hashed("callees").alias("c"), hashed("types").alias("t"))
+    words = sets.select(F.explode(F.concat("callees", "types")).alias("w")).agg(F.countDistinct("w").alias("w"), F.countDistinct(F.xxhash64("w")).alias("h")).first()
+    if words["w"] != words["h"]:  # one of 10**7 in a million runs
+        raise RuntimeError("two tokens have one hash")
+    tokens = F.col("c") if least > 0 else F.concat("c", F.transform("t", lambda x: F.xxhash64(x, F.lit("type"))))
+    keyed = rare_first(sets.select("node_id", tokens.alias("tokens")), max(least, 0.0) or 1e-9).join(sets.select("node_id", "c", "t"), "node_id")
+    m = keyed.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(UNIT_ITEMS)).cast("int").alias("m"))
+    rows = keyed.join(m, "token").withColumn("blk", F.pmod(F.xxhash64("node_id"), F.col("m")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("token", F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), "blk", "node_id", "before", "c", "t")
+    kind = dict(items.dtypes)["node_id"]
+
+    def score(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        x, y = key[1].as_py(), key[2].as_py()
+        blk = table.column("blk").to_numpy()
+        order = np.argsort(blk, kind="stable")
+        split = len(blk) if x == y else int((blk == x).sum())
+        table = table.take(pa.array(order)).combine_chunks()
+        n = len(blk)
+        ids = table.column("node_id").to_pylist()
+        rank = np.empty(n, np.int64)
+        rank[sorted(range(n), key=ids.__getitem__)] = np.arange(n)
+
+        def incidence(name):
+            lists = table.column(name).combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            off = lists.offsets.to_numpy()
+            size = np.diff(off)
+            values, code, often = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+            row, shared = np.repeat(np.arange(n), size), often[code] > 1  # a token of one item adds to its size only
+            _, code = np.unique(code[shared], return_inverse=True)
+            out = np.zeros((n, int(code.max(initial=-1)) + 1), np.float32)
+            out[row[shared], code] = 1
+            return out, size.astype(np.float32)
+
+        (c, nc), (t, nt), (b, _) = incidence("c"), incidence("t"), incidence("before")
+        right = np.arange(n) if x == y else np.arange(split, n)
+        cr, tr, br = c[right].T.copy(), t[right].T.copy(), b[right].T.copy()
+        found: list[tuple] = []
+        best_w, best_i = np.full((len(right), 0), -1.0), np.zeros((len(right), 0), np.int64)
+
+        def top(w, other):
+            """Positions of the k best of each row: largest weight, then largest id."""
+            k_ = min(k, w.shape[1])
+            edge = -np.partition(-w, k_ - 1, axis=1)[:, k_ - 1 : k_]
+            out = []
+            for i in np.flatnonzero((w >= max(threshold, 0.0)).any(axis=1)):
+                j = np.flatnonzero((w[i] >= edge[i]) & (w[i] >= threshold))
+                out.append((i, j[np.lexsort((-rank[other[i][j]], -w[i][j]))][:k]))
+            return out
+
+        for i in range(0, split, 256):
+            left = np.arange(i, min(i + 256, split))
+            both, kinds = (c[left] @ cr).astype(np.float64), (t[left] @ tr).astype(np.float64)
+            every = nc[left][:, None] + nc[right][None, :] - both
+            types = nt[left][:, None] + nt[right][None, :] - kinds
+            w = np.divide(both, every, out=np.zeros(both.shape), where=every > 0) * 0.6 + np.divide(kinds, types, out=np.zeros(both.shape), where=types > 0) * 0.4
+            w = np.floor(w * 1e6 + 0.5) / 1e6
+            w[(b[left] @ br > 0) | (left[:, None] == right[None, :])] = -1
+            others = np.broadcast_to(right, w.shape)
+            found += [(left[r], right[p], w[r][p]) for r, p in top(w, others)]
+            if x != y:  # the same for the right side, kept over the strips
+                w = np.concatenate([best_w, w.T], axis=1)
+                others = np.concatenate([best_i, np.broadcast_to(left, (len(right), len(left)))], axis=1)
+                best_w, best_i = np.full((len(right), k), -1.0), np.zeros((len(right), k), np.int64)
+                for r, p in top(w, others):
+                    best_w[r, : len(p)], best_i[r, : len(p)] = w[r][p], others[r][p]
+        if x != y:
+            found += [(right[r], best_i[r][best_w[r] >= threshold], best_w[r][best_w[r] >= threshold]) for r in range(len(right))]
+        node = np.concatenate([np.full(len(p), i) for i, p, _ in found]) if found else np.zeros(0, np.int64)
+        other = np.concatenate([p for _, p, _ in found]) if found else np.zeros(0, np.int64)
+        weight = np.concatenate([v for _, _, v in found]) if found else np.zeros(0)
+        column = table.column("node_id")
+        return pa.table([column.take(pa.array(node)), column.take(pa.array(other)), pa.array(weight)], names=["node", "other", "weight"])
+
+    return best_neighbours(rows.groupBy("token", "x", "y").applyInArrow(score, UNIT.format(kind)), k)
+
+
+def best_neighbours(found: DataFrame, k: int) -> DataFrame:
+    """src, dst, weight from found(node, other, weight): undirected pairs that are among the k best of either end; ties prefer the larger id."""
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight"), F.desc("other")))
+    kept = found.withColumn("place", place).where(F.col("place") <= k)
+    return kept.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst"), "weight").distinct()
 
 
 def tf_idf(tokens: DataFrame, document: str = "node_id", token: str = "token") -> DataFrame:
@@ -243,8 +340,8 @@ def tf_idf(tokens: DataFrame, document: str = "node_id", token: str = "token") -
     return w.join(norm, document).select(document, token, (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def cosine_neighbours(vectors: DataFrame, threshold: float = 0.45, k: int = 8, block: int = 512) -> DataFrame:
-    """src, dst, weight from vectors(node_id, v): exact, block against block; a task holds two blocks."""
+def cosine_neighbours(vectors: DataFrame, threshold: float = 0.45, k: int = 8, block: int = 2048) -> DataFrame:
+    """src, dst, weight from vectors(node_id, v): exact, block against block; a task holds two blocks and hands on the k best of each row."""
     n = max(1, -(-vectors.count() // block))
     unit = vectors.select("node_id", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("norm")).where("norm > 0")
     unit = unit.select("node_id", F.transform("v", lambda x: x.cast("double") / F.col("norm")).alias("v"), F.pmod(F.xxhash64("node_id"), F.lit(n)).cast("int").alias("blk"))
@@ -257,17 +354,23 @@ def cosine_neighbours(vectors: DataFrame, threshold: float = 0.45, k: int = 8, b
         x, y = key
         a, b = pdf[pdf.blk == x], pdf[pdf.blk == y]
         if not len(a) or not len(b):
-            return pd.DataFrame({"a": pdf.node_id[:0], "b": pdf.node_id[:0], "weight": pd.Series(dtype="float64")})
-        s = np.stack(a.v.to_list()) @ np.stack(b.v.to_list()).T
-        i, j = np.nonzero(s >= threshold - 1e-9)
-        ia, jb = a.node_id.to_numpy()[i], b.node_id.to_numpy()[j]
-        keep = ia < jb if x == y else np.ones(len(i), bool)
-        lo, hi = np.minimum(ia, jb), np.maximum(ia, jb)
-        return pd.DataFrame({"a": lo[keep], "b": hi[keep], "weight": np.round(s[i, j][keep], 6)})
+            return pd.DataFrame({"node": pdf.node_id[:0], "other": pdf.node_id[:0], "weight": pd.Series(dtype="float64")})
+        s = np.round(np.stack(a.v.to_list()) @ np.stack(b.v.to_list()).T, 6)
+        ia, ib = a.node_id.to_numpy(), b.node_id.to_numpy()
+        if x == y:
+            np.fill_diagonal(s, -2)
+        sides = [(s, ia, ib)] if x == y else [(s, ia, ib), (s.T, ib, ia)]
+        out = []
+        for w, mine, others in sides:  # the k best of each row: largest weight, then largest id
+            by_id = np.argsort(others)[::-1]
+            best = by_id[np.argsort(-w[:, by_id], axis=1, kind="stable")[:, :k]]
+            top = np.take_along_axis(w, best, 1)
+            i, j = np.nonzero(top >= threshold)
+            out.append(pd.DataFrame({"node": mine[i], "other": others[best[i, j]], "weight": top[i, j]}))
+        return pd.concat(out)
 
     kind = dict(vectors.dtypes)["node_id"]
-    scored = rows.groupBy("x", "y").applyInPandas(compare, f"a {kind}, b {kind}, weight double").where(F.col("weight") >= threshold)
-    return best_neighbours(scored, k)
+    return best_neighbours(rows.groupBy("x", "y").applyInPandas(compare, UNIT.format(kind)), k)
 
 
 def cluster_labels(members: DataFrame) -> DataFrame:

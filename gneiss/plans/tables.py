@@ -323,7 +323,7 @@ def class_closure(spark, sf):
 
 EDGES_SQL = """e AS (SELECT concat('reg::', r_name) AS src, concat('nat::', n_name) AS dst, 'contains' AS kind, 1.0::DOUBLE AS weight FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL SELECT concat('nat::', n_name), concat('sup::', s_name), 'calls', 1.0 FROM supplier JOIN nation ON s_nationkey = n_nationkey
-UNION ALL SELECT DISTINCT concat('sup::', s_name), concat('brand::', p_brand), 'references_type', 1.0 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 45)"""
+UNION ALL SELECT DISTINCT concat('sup::', s_name), concat('brand::', p_brand), 'references_type', 1.0 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"""
 NODES_SQL = "v AS (SELECT DISTINCT node_id, string_split(node_id, '::')[1] AS kind, string_split(node_id, '::')[2] AS name FROM (SELECT src AS node_id FROM e UNION ALL SELECT dst FROM e))"
 
 
@@ -334,7 +334,7 @@ def star_graph(spark, sf) -> tuple[DataFrame, DataFrame]:
     nation = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     e = nation.select(tag("reg", "r_name").alias("src"), tag("nat", "n_name").alias("dst"), F.lit("contains").alias("kind"), one)
     e = e.union(s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(tag("nat", "n_name"), tag("sup", "s_name"), F.lit("calls"), one))
-    li = li.where("l_quantity >= 45").join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    li = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
     e = e.union(li.select(tag("sup", "s_name"), tag("brand", "p_brand"), F.lit("references_type"), one).distinct())
     v = e.select(F.col("src").alias("node_id")).union(e.select("dst")).distinct()
     part = F.split("node_id", "::")
@@ -345,7 +345,7 @@ def star_graph(spark, sf) -> tuple[DataFrame, DataFrame]:
 SELECT node_id, min(hops)::INT AS hops FROM w GROUP BY node_id""")
 def bfs_depth(spark, sf):
     _, e = star_graph(spark, sf)
-    return graph.neighbors(e, spark.createDataFrame([("reg::ASIA",)], "node_id string"), 3)
+    return graph.neighbors(e, spark.createDataFrame([("reg::ASIA",)], "node_id string"), 3).select("node_id", "hops")
 
 
 @query(f"""WITH {EDGES_SQL}, h AS (SELECT 'out' AS direction, kind, dst AS other FROM e WHERE src = 'nat::NATION_3' UNION SELECT 'in', kind, src FROM e WHERE dst = 'nat::NATION_3')
@@ -384,12 +384,12 @@ def pagerank(spark, sf):
     return graph.pagerank(v, e, iterations=50).select("node_id", F.round("rank", 8).alias("rank"))
 
 
-@query("""WITH t AS (SELECT o_custkey AS node_id, list(DISTINCT p_brand) AS c, list(DISTINCT l_shipmode_like) AS t FROM (SELECT o_custkey, p_brand, concat(l_returnflag, l_linestatus) AS l_shipmode_like FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 48) GROUP BY 1),
+@query("""WITH t AS (SELECT o_custkey AS node_id, list(DISTINCT p_brand) AS c, list(DISTINCT l_shipmode_like) AS t FROM (SELECT o_custkey, p_brand, concat(l_returnflag, l_linestatus) AS l_shipmode_like FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey) GROUP BY 1),
 p AS (SELECT a.node_id AS a, b.node_id AS b, a.c AS ca, b.c AS cb, a.t AS ta, b.t AS tb FROM t a JOIN t b ON a.node_id < b.node_id AND (list_has_any(a.c, b.c) OR list_has_any(a.t, b.t))),
 s AS (SELECT a, b, round(0.6 * len(list_intersect(ca, cb)) / len(list_distinct(list_concat(ca, cb))) + 0.4 * len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 6) AS weight FROM p), x AS (SELECT a, b, weight FROM s WHERE weight >= 0.5 UNION ALL SELECT b, a, weight FROM s WHERE weight >= 0.5),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b DESC) AS place FROM x) SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst, weight FROM r WHERE place <= 8""")
 def usage_similar(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_quantity >= 48").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     items = li.groupBy(F.col("o_custkey").alias("node_id")).agg(F.collect_set("p_brand").alias("callees"), F.collect_set(F.concat("l_returnflag", "l_linestatus")).alias("types"))
     return graph.usage_similar(items)
 
