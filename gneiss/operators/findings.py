@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.core import RANKS, SEVERITIES, evidence_hash, finding_fingerprint, severity_rank
+from gneiss.operators.ranks import numbered
 
 
 def counts_per_file(findings: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -42,8 +43,8 @@ def worst_first(findings: DataFrame) -> list[Column]:
 def ranked_files(findings: DataFrame) -> DataFrame:
     """Files with their place, most severe first (lexicographic over severities), ties by name."""
     counts = counts_per_file(findings)
-    key = F.struct(*[(-F.col(s)).alias(s) for s in SEVERITIES], F.col("file").alias("file"))
-    return counts.select("file", *SEVERITIES, F.row_number().over(Window.orderBy(key)).cast("int").alias("place"))
+    placed = numbered(counts, [*worst_first(counts), F.col("file")], "place")
+    return placed.select("file", *SEVERITIES, F.col("place").cast("int").alias("place"))
 
 
 def worst_files(findings: DataFrame, n: int) -> DataFrame:
@@ -92,11 +93,11 @@ def ignored_mask(findings: DataFrame, ignores: DataFrame) -> DataFrame:
     A rule covers by rule id, then by file if it has one, then by line: by the evidence's hash where the rule has
     one, else by number.
     """
-    i = ignores.select(F.col("rule_id").alias("i_rule"), F.col("file").alias("i_file"), F.col("line").alias("i_line"), F.col("evidence_hash").alias("i_hash"))
-    here = F.when(F.col("i_hash").isNotNull(), F.col("i_hash") == evidence_hash(F.col("evidence"))).otherwise(F.col("i_line") == F.col("line"))
-    on = (F.col("rule_id") == F.col("i_rule")) & (F.col("i_file").isNull() | (F.col("i_file") == F.col("file"))) & (F.col("i_line").isNull() | here)
-    kept = findings.join(i, on, "left_anti").withColumn("ignored", F.lit(False))
-    return kept.unionByName(findings.join(i, on, "left_semi").withColumn("ignored", F.lit(True)))
+    entry = F.struct("file", "line", "evidence_hash")
+    i = ignores.groupBy("rule_id").agg(F.collect_set(entry).alias("_covers"))  # written by hand: few a rule
+    here = lambda e: F.when(e["evidence_hash"].isNotNull(), e["evidence_hash"] == evidence_hash(F.col("evidence"))).otherwise(e["line"] == F.col("line"))
+    covers = F.exists("_covers", lambda e: (e["file"].isNull() | (e["file"] == F.col("file"))) & (e["line"].isNull() | here(e)))
+    return findings.join(i, "rule_id", "left").withColumn("ignored", F.coalesce(covers, F.lit(False))).select(*findings.columns, "ignored")
 
 
 def not_ignored(findings: DataFrame, ignores: DataFrame) -> DataFrame:

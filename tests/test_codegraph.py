@@ -30,7 +30,7 @@ def test_structural_edges(spark):
     assert not any(a == b for a, b, _ in e)
     nodes, edges, named = codegraph.build(f)
     assert abs(nodes.agg(F.sum("rank")).first()[0] - 1) < 1e-9
-    assert named.count() >= 1 and codegraph.findings(nodes, edges, 1.0).columns == ["path", "line", "evidence", "rule_id"]
+    assert named.count() >= 1 and set(codegraph.findings(nodes, edges, f, 1.0).columns) == {"path", "line", "evidence", "rule_id", "category", "severity", "verdict_kind"}
     assert graph.search(nodes, "LOAD_item").count() == 2
     assert {r["node_id"] for r in graph.resolve(nodes, "helper").collect()} == {"app/util.py::helper"}
     assert graph.usages(nodes, edges, "app/util.py::helper").where("direction = 'in' and kind = 'calls'").first()["n"] == 2
@@ -65,7 +65,9 @@ def test_greedy_modularity_finds_cliques(spark):
         far = {r["node_id"]: r["cluster_id"] for r in communities.clusters(v, e).collect()}
     finally:
         communities.LOCAL_EDGES = old
-    assert len({far[n] for n in nodes if n[0] == "c"}) == 1
+    assert far == label
+    alone = v.union(spark.createDataFrame([("zz",)], "node_id string"))
+    assert {r["node_id"]: r["cluster_id"] for r in communities.clusters(alone, e).collect()} == {**label, "zz": 3}
 
 
 def test_latent_vectors_both_ways(spark):
@@ -100,3 +102,52 @@ def test_plugins(spark, tmp_path):
         assert plugins.load({"plugins": {"path": str(tmp_path), "trust_local": True}}) == ["good.py"]
     assert any("bad.py" in str(x.message) for x in w)
     assert base.RULES.pop("X-HOUSE").category == "style"
+
+
+IMPORTS = {
+    "pkg/__init__.py": "from .core import thing as renamed\nfrom .star import *\n",
+    "pkg/core.py": "def thing():\n    return 1\n\n\nclass Base:\n    def go(self):\n        return thing()\n",
+    "pkg/star.py": "from pkg.deep import *\n",
+    "pkg/deep.py": "def far():\n    return 2\n",
+    "use.py": "from pkg import renamed, far\n\n\ndef a():\n    return renamed()\n\n\ndef b():\n    return far()\n",
+    "wide.py": "from pkg import *\n\n\ndef c():\n    return far()\n",
+    "chain.py": "from pkg.core import Base\nclass A(Base):\n    x = 1\nclass B(A):\n    x = 1\nclass C(B):\n    x = 1\nclass D(C):\n    x = 1\nclass E(D):\n    x = 1\nclass F(E):\n    def run(self):\n        return self.go()\n",
+    "typed.py": "from pkg.core import Base\n\n\ndef on(item: Base | None):\n    return item.go()\n\n\ndef made():\n    one = Base()\n    return one.go()\n",
+    "back.py": "from pkg.core import thing\n\n\ndef give(run):\n    return run(thing)\n",
+    "app/main.py": "app = make()\n",
+    "app/routes.py": "from app.main import app\n\n\n@app.get('/')\ndef home():\n    return 1\n",
+    "same_a.py": "def twice():\n    return 1\n",
+    "same_b.py": "def twice():\n    return 2\n",
+    "both.py": "import same_a\nimport same_b\n\n\ndef z():\n    return twice()\n",
+    "circle.py": "class X(Y):\n    x = 1\nclass Y(X):\n    def m(self):\n        return self.nothing()\n",
+}
+
+
+def test_imports_stars_chains_receivers_callbacks_and_registries(spark):
+    f = facts(spark.createDataFrame(list(IMPORTS.items()), "path string, text string")).checkpoint()
+    e = {(r["src"], r["dst"], r["kind"]) for r in resolve.edges(f, resolve.nodes(f).checkpoint()).collect()}
+    assert {
+        ("use.py::a", "pkg/core.py::thing", "calls"), ("use.py::b", "pkg/deep.py::far", "calls"), ("wide.py::c", "pkg/deep.py::far", "calls"),
+        ("chain.py::F.run", "pkg/core.py::Base.go", "calls"), ("typed.py::on", "pkg/core.py::Base.go", "calls"), ("typed.py::made", "pkg/core.py::Base.go", "calls"),
+        ("typed.py::made", "pkg/core.py::Base", "references_type"), ("back.py::give", "pkg/core.py::thing", "callback_arg"), ("app/routes.py::home", "app/main.py", "registered_in"),
+        ("pkg/star.py", "pkg/deep.py", "imports"), ("pkg/__init__.py", "pkg/core.py", "imports"),
+    } <= e
+    assert not any(a == "both.py::z" for a, _, _ in e)  # two modules in reach have the name
+
+
+def test_united_definitions(spark):
+    rows = [("n", 3, ["b", "a"], True, True), ("n", 1, ["a", "c"], False, False), ("m", 2, [], False, True)]
+    got = {r["node_id"]: tuple(r)[1:] for r in resolve.united(spark.createDataFrame(rows, "node_id string, line int, callees array<string>, hof boolean, stub boolean"), ["callees"], ["hof"], ["stub"]).collect()}
+    assert got == {"n": (1, ["a", "c", "b"], True, False), "m": (2, [], False, True)}
+
+
+def test_words_are_stemmed(spark):
+    from gneiss.functions.stem import stem
+
+    words = {"consigned": "consign", "consistency": "consist", "knackeries": "knackeri", "hopping": "hop", "hoping": "hope", "ties": "tie", "cries": "cri", "happy": "happi", "relational": "relat", "controlling": "control"}
+    assert {w: stem(w) for w in words} == words
+    f = facts(spark.createDataFrame([("a.py", "def load_items(path):\n    return path\n\n\ndef loading_item(paths):\n    return paths\n")], "path string, text string"))
+    by = {}
+    for r in resolve.documents(f).collect():
+        by.setdefault(r["node_id"], set()).add(r["token"])
+    assert by["a.py::load_items"] == by["a.py::loading_item"] == {"load", "item", "path"}
