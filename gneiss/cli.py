@@ -53,12 +53,13 @@ def known_rules(spark, names: list[str]) -> list[str]:
 
 
 def scan(spark, args) -> int:
-    config = C.load(args.root)
+    config = C.of_project(args.root)
     plugins.load(config, args.root)
     index = Index(spark, args.index) if args.index else None
     ignores = index.read("ignores", args.repo) if index else None
     baseline = spark.read.parquet(args.baseline) if args.baseline else None
-    found = A.audit(spark, tree(spark, args), config, ignores, baseline).drop("seq").checkpoint()
+    outside = {"antivirus": spark.read.text(args.antivirus) if args.antivirus else None, "dependencies": spark.read.text(args.dependencies, wholetext=True) if args.dependencies else None}
+    found = A.audit(spark, tree(spark, args), config, ignores, baseline, graph=args.graph, **outside).drop("seq").checkpoint()
     if index:
         index.replace("findings", args.repo, found.select("path", "rule_id", "category", "severity", "verdict_kind", "line", "evidence"))
     if args.write_baseline:
@@ -74,6 +75,21 @@ def scan(spark, args) -> int:
     return int(failed)
 
 
+def edit(spark, args) -> int:
+    """One file after an edit: its findings at or above a floor; the exit code says whether there are any."""
+    found = rows(A.audit_edit(spark, args.root, args.path, args.min_severity))
+    print(json.dumps(found))
+    return int(bool(found))
+
+
+def detail(spark, args) -> int:
+    """What is known of a finding: from the index, else from a new look at the file."""
+    known_rules(spark, [args.rule])
+    found = rows(ops.detail(Index(spark, args.index).read("findings", args.repo), args.path, args.rule, args.line))
+    print(json.dumps(found or rows(ops.detail(A.audit_edit(spark, args.root, args.path, SEVERITIES[-1]), args.path, args.rule, args.line))))
+    return 0
+
+
 def report(spark, args) -> int:
     f = Index(spark, args.index).read("findings", args.repo)
     print({"summary": lambda: json.dumps(R.summary(f)), "sarif": lambda: R.sarif(f), "markdown": lambda: R.markdown(f), "html": lambda: R.html_tree(f), "json": lambda: json.dumps(R.compact(f, args.limit))}[args.format]())
@@ -134,7 +150,7 @@ def index_command(spark, args) -> int:
 
 def graph_command(spark, args) -> int:
     files = tree(spark, args).where(S.language(F.col("path")) == "python")
-    nodes, edges, named = codegraph.build(P.facts(files).checkpoint())
+    nodes, edges, named = codegraph.current(spark, Index(spark, args.index), args.repo, files) if args.index else codegraph.build(P.facts(files).checkpoint())
     if args.action == "build":
         out = {"nodes": nodes.count(), "edges": edges.count(), "clusters": named.count()}
     elif args.action == "overview":
@@ -146,11 +162,11 @@ def graph_command(spark, args) -> int:
     elif args.action == "concept":
         out = rows(graph.concept(nodes, named, args.symbol), args.limit)
     elif args.action == "export":
-        payload = R.graph_payload(nodes, edges)
-        print(R.dot(payload) if args.format == "dot" else graph.outline(payload["nodes"], payload["edges"]))
+        payload = R.graph_payload(*graph.visible(nodes, edges, args.kind, args.symbol), args.most)
+        print({"dot": lambda: R.dot(payload), "text": lambda: graph.outline(payload["nodes"], payload["edges"]), "json": lambda: json.dumps(payload, default=str), "html": lambda: R.graph_page(payload)}[args.format]())
         return 0
     else:
-        found = [r["node_id"] for r in graph.resolve(nodes, args.symbol).orderBy(F.desc("rank"), "node_id").limit(20).collect()]
+        found = [r["node_id"] for r in graph.resolve(nodes, args.symbol).orderBy(F.desc("rank"), "node_id").select("node_id").collect()]
         if not found:
             out = {}
         elif args.action == "related":
@@ -187,6 +203,16 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--baseline")
     s.add_argument("--write-baseline")
     s.add_argument("--changed-since", nargs="?", const="")
+    s.add_argument("--antivirus", help="file with the output of a scanner")
+    s.add_argument("--dependencies", help="report of a dependency scanner in JSON")
+    s.add_argument("--graph", action="store_true", help="build the code graph and report what it shows")
+    s = add("edit", edit)
+    s.add_argument("path")
+    s.add_argument("--min-severity", choices=SEVERITIES, default="high")
+    s = add("detail", detail, index=True)
+    s.add_argument("path")
+    s.add_argument("rule")
+    s.add_argument("--line", type=int)
     add("report", report, index=True, target=False).add_argument("--format", choices=["json", "summary", "sarif", "markdown", "html"], default="markdown")
     add("discover", discover).add_argument("--role")
     add("manifest", manifest)
@@ -205,7 +231,9 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("action", choices=["build", "overview", "search", "usages", "neighbors", "related", "concept", "clusters", "export"])
     s.add_argument("symbol", nargs="?", default="")
     s.add_argument("--depth", type=int, default=1)
-    s.add_argument("--format", choices=["dot", "text"], default="dot")
+    s.add_argument("--format", choices=["dot", "text", "json", "html"], default="dot")
+    s.add_argument("--kind", action="append", default=[])
+    s.add_argument("--most", type=int, help="only the best ranked nodes")
     return p
 
 

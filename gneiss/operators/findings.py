@@ -104,6 +104,12 @@ def not_ignored(findings: DataFrame, ignores: DataFrame) -> DataFrame:
     return ignored_mask(findings, ignores).where(~F.col("ignored")).drop("ignored")
 
 
+def detail(findings: DataFrame, file: str, rule_id: str, line: int | None = None) -> DataFrame:
+    """The findings of a rule in a file, of one line if that is given."""
+    out = findings.where((F.col("path") == file) & (F.col("rule_id") == rule_id))
+    return (out if line is None else out.where(F.col("line") == line)).orderBy("line")
+
+
 def directory_rollup(findings: DataFrame) -> DataFrame:
     """Counts per severity for every directory above a finding; the root is the empty path."""
     parts = F.split("file", "/")

@@ -90,6 +90,12 @@ def visible(nodes: DataFrame, edges: DataFrame, kinds=None, query: str = "") ->
     return shown, induced(edges, shown)
 
 
+def with_findings(nodes: DataFrame, findings: DataFrame) -> DataFrame:
+    """nodes with the list of findings whose evidence is the node."""
+    item = F.struct("rule_id", "severity", "path", "line")
+    return nodes.join(findings.groupBy(F.col("evidence").alias("node_id")).agg(F.array_sort(F.collect_list(item)).alias("findings")), "node_id", "left")
+
+
 def search(nodes: DataFrame, term: str, limit: int = 20) -> DataFrame:
     hits = nodes.where(F.lower("node_id").contains(term.lower()))
     rank = F.coalesce("rank", F.lit(0.0))

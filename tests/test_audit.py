@@ -125,7 +125,13 @@ def test_reports(spark, found, files, tmp_path):
     doc = json.loads(R.sarif(found))
     assert len(doc["runs"][0]["results"]) == found.count()
     assert "app/main.py" in R.markdown(found) and "<table>" in R.html_tree(found)
-    assert "app/main.py" in R.roll_up(files, found)
+    assert "app/main.py" in R.roll_up(files, found) and "<section><h2>app/main.py" in R.html_tree(found)
+    R.write_sarif(found, str(tmp_path / "sarif"))
+    documents = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "sarif")).collect()]
+    both = lambda docs: sorted(json.dumps(x, sort_keys=True) for d in docs for x in d["runs"][0]["results"])
+    assert both(documents) == both([doc]) and all(d["version"] == "2.1.0" for d in documents)
+    one = found.first()
+    assert ops.detail(found, one["path"], one["rule_id"], one["line"]).count() >= 1
     R.json_lines(found, str(tmp_path / "full"))
     assert spark.read.json(str(tmp_path / "full")).count() == found.select("path").distinct().count()
     R.write_baseline(found, str(tmp_path / "base"))

@@ -151,3 +151,23 @@ def test_words_are_stemmed(spark):
     for r in resolve.documents(f).collect():
         by.setdefault(r["node_id"], set()).add(r["token"])
     assert by["a.py::load_items"] == by["a.py::loading_item"] == {"load", "item", "path"}
+
+
+def test_the_graph_is_stored_and_follows_the_files(spark, tmp_path):
+    from gneiss.sources import reports
+    from gneiss.sources.index import Index
+
+    index = Index(spark, f"file://{tmp_path}/index")
+    now = {"a.py": "def f():\n    return g()\n\n\ndef g():\n    return 1\n", "b.py": "def h():\n    return 2\n"}
+    frame = lambda: spark.createDataFrame(sorted(now.items()), "path string, text string")
+    nodes, edges, _ = codegraph.current(spark, index, "r", frame())
+    assert nodes.count() == 5 and ("a.py::f", "a.py::g", "calls") in {(r["src"], r["dst"], r["kind"]) for r in edges.collect()}
+    before = {r["node_id"]: r["rank"] for r in nodes.collect()}
+    assert {r["node_id"]: r["rank"] for r in codegraph.current(spark, index, "r", frame())[0].collect()} == before
+    now["b.py"] = "from a import g\n\n\ndef h():\n    return g()\n"
+    assert ("b.py::h", "a.py::g", "calls") in {(r["src"], r["dst"], r["kind"]) for r in codegraph.current(spark, index, "r", frame())[1].collect()}
+    hit = spark.createDataFrame([("a.py", 1, "a.py::f", "GRAPH-GOD-CONCEPT", "suggestion")], "path string, line int, evidence string, rule_id string, severity string")
+    nodes, edges, _ = codegraph.load(index, "r")
+    payload = reports.graph_payload(nodes, edges, 3, hit)
+    assert len(payload["nodes"]) == 3 and "a.py::g" in reports.graph_page(payload) and "digraph" in reports.dot(payload)
+    assert [n["findings"][0]["rule_id"] for n in reports.graph_payload(nodes, edges, None, hit)["nodes"] if n["findings"]] == ["GRAPH-GOD-CONCEPT"]
