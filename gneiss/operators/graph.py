@@ -155,14 +155,19 @@ def scattered_concepts(nodes: DataFrame, least_modules: int = 5, least_ratio: fl
     return g.select("cluster_id", "n_modules", "n_members", "anchor.node_id", "anchor.module", "anchor.line")
 
 
+def verb_vectors(functions: DataFrame, attributes, least: int = 5) -> DataFrame:
+    """verb, n, vector from functions(verb, profile): the share of a verb's functions that show each attribute; rare verbs are left out."""
+    share = F.array(*[F.avg(F.array_contains("profile", a).cast("double")) for a in attributes])
+    return functions.groupBy("verb").agg(F.count(F.lit(1)).alias("n"), share.alias("vector")).where(F.col("n") >= least)
+
+
 def naming_inconsistencies(nodes: DataFrame, attributes, least: int = 5, overlap: float = 0.6, distance: float = 0.15) -> DataFrame:
     """Pairs of one cluster with different verbs that behave alike on much the same object.
 
     nodes also have profile array<string>.  Pairs are blocked by cluster and shared object token.
     """
     prod = nodes.where(F.col("kind").isin(*FUNCTIONS) & ~F.coalesce("role", F.lit("production")).isin(*TEST_ROLES)).withColumn("verb", verb(F.col("name")))
-    share = F.array(*[F.avg(F.array_contains("profile", a).cast("double")) for a in attributes])
-    verbs = prod.groupBy("verb").agg(F.count(F.lit(1)).alias("n"), share.alias("vector")).where(F.col("n") >= least).select("verb", "vector")
+    verbs = verb_vectors(prod, attributes, least).select("verb", "vector")
     m = prod.where("cluster_id is not null").join(verbs, "verb").withColumn("objects", object_tokens(F.col("name"))).where(F.size("objects") > 0)
     keyed = rare_first(m.select("node_id", F.transform("objects", lambda o: F.concat_ws("\x1f", F.col("cluster_id").cast("string"), o)).alias("tokens")), overlap)
     side = lambda p: keyed.select("token", "before", "node_id").join(m.select("node_id", F.struct("cluster_id", "node_id", "name", "module", "line", "verb", "vector", "objects").alias(p)), "node_id").select("token", F.col("before").alias(f"{p}_before"), p)

@@ -275,9 +275,11 @@ def ledger_missed(spark, sf):
 
 @query("SELECT p_partkey AS path, p_brand AS brand FROM part WHERE starts_with(p_brand, 'Brand#1') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def stale_paths(spark, sf):
-    index = table(spark, sf, "part").select(F.col("p_partkey").alias("path"), F.col("p_brand").alias("brand"))
-    kept = table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("path"))
-    return index.where(F.col("brand").startswith("Brand#1")).join(kept, "path", "left_anti")
+    name = lambda c: F.concat_ws("/", "p_brand", F.col(c).cast("string")).alias("path")
+    part = table(spark, sf, "part")
+    kept = table(spark, sf, "lineitem").where("l_quantity > 49").join(part, F.col("l_partkey") == F.col("p_partkey")).select(name("p_partkey"))
+    stale = ledger.stale_paths(part.select(name("p_partkey"), F.col("p_brand").alias("brand")), kept, "Brand#1")
+    return stale.select(F.element_at(F.split("path", "/"), 2).cast("long").alias("path"), "brand")
 
 
 @query("""WITH new AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), old AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer)
@@ -378,10 +380,20 @@ def god_concepts(spark, sf):
     return graph.god_concepts(v, e, 1.5).select("node_id", "out_degree", "in_degree", "why")
 
 
-@query()  # fifty rounds with dangling mass: tested against a plain implementation
+ROUNDS = 50
+PAGERANK_SQL = f"""WITH {EDGES_SQL}, {NODES_SQL}, k AS (SELECT src, dst, count(*) AS n FROM e WHERE kind IN ('calls', 'overrides', 'references_type') GROUP BY 1, 2),
+s AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM k), c AS (SELECT count(*)::DOUBLE AS n FROM v), o AS MATERIALIZED (SELECT DISTINCT src FROM s),
+r0 AS MATERIALIZED (SELECT node_id, 1.0::DOUBLE / n AS rank FROM v, c), """ + ", ".join(
+    f"""r{i} AS MATERIALIZED (SELECT p.node_id, 0.15 / c.n + 0.85 * coalesce(f.inflow, 0) + 0.85 * d.lost / c.n AS rank FROM r{i - 1} p CROSS JOIN c CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM r{i - 1} WHERE node_id NOT IN (SELECT src FROM o)) d
+LEFT JOIN (SELECT s.dst, sum(q.rank * s.share) AS inflow FROM s JOIN r{i - 1} q ON q.node_id = s.src GROUP BY 1) f ON f.dst = p.node_id)"""
+    for i in range(1, ROUNDS + 1)
+) + f" SELECT node_id, round(rank / (SELECT sum(rank) FROM r{ROUNDS}), 8) AS rank FROM r{ROUNDS}"
+
+
+@query(PAGERANK_SQL)
 def pagerank(spark, sf):
     v, e = star_graph(spark, sf)
-    return graph.pagerank(v, e, iterations=50).select("node_id", F.round("rank", 8).alias("rank"))
+    return graph.pagerank(v, e, iterations=ROUNDS).select("node_id", F.round("rank", 8).alias("rank"))
 
 
 @query("""WITH t AS (SELECT o_custkey AS node_id, list(DISTINCT p_brand) AS c, list(DISTINCT l_shipmode_like) AS t FROM (SELECT o_custkey, p_brand, concat(l_returnflag, l_linestatus) AS l_shipmode_like FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey) GROUP BY 1),
@@ -443,14 +455,18 @@ def role_histogram(spark, sf):
 @query("""SELECT n_name AS verb, count(*) AS n, round(avg((c_mktsegment = 'BUILDING')::INT::DOUBLE), 6) AS building, round(avg((c_acctbal < 0)::INT::DOUBLE), 6) AS negative FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name HAVING count(*) >= 5""")
 def behaviour_vectors(spark, sf):
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    share = lambda x: F.round(F.avg(x.cast("double")), 6)
-    return c.groupBy(F.col("n_name").alias("verb")).agg(F.count(F.lit(1)).alias("n"), share(F.col("c_mktsegment") == "BUILDING").alias("building"), share(F.col("c_acctbal") < 0).alias("negative")).where("n >= 5")
+    shown = F.array_compact(F.array(F.when(F.col("c_mktsegment") == "BUILDING", "building"), F.when(F.col("c_acctbal") < 0, "negative")))
+    v = graph.verb_vectors(c.select(F.col("n_name").alias("verb"), shown.alias("profile")), ("building", "negative"), 5)
+    return v.select("verb", "n", F.round(F.col("vector")[0], 6).alias("building"), F.round(F.col("vector")[1], 6).alias("negative"))
 
 
 # ---------------------------------------------------------------- further operators
 
 
-@query(r"""SELECT p_partkey, list_filter(list_transform(regexp_extract_all(p_name || '_' || p_type, '[a-zA-Z]+|[0-9]+'), lambda t: lower(t)), lambda t: len(t) > 1).array_to_string(' ') AS tokens,
+STOP_SQL = ", ".join(f"'{w}'" for w in sorted({*C.STOPWORDS, "brass", "tin"}))
+
+
+@query(rf"""SELECT p_partkey, list_filter(list_transform(regexp_extract_all(p_name || '_' || p_type, '[a-zA-Z]+|[0-9]+'), lambda t: lower(t)), lambda t: len(t) > 1 AND t NOT IN ({STOP_SQL})).array_to_string(' ') AS tokens,
   lower(string_split(replace(p_name, ' ', '_'), '_')[1]) AS verb, lower(regexp_extract(p_brand, '^[ \t]*([A-Za-z0-9_.-]+)', 1)) AS dependency, array_to_string(string_split(replace(replace(p_name, ' ', '.'), ':', '.'), '.'), '/') AS entry,
   replace(regexp_replace(regexp_replace(concat('a/', replace(p_name, ' ', '/'), '.py'), '\.py$', ''), '/__init__$', ''), '/', '.') AS module, least(1.0, CASE WHEN p_size > 25 THEN 0.4 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 0.3 ELSE 0 END)::DOUBLE AS abstractness FROM part""")
 def identifier_functions(spark, sf):
@@ -458,7 +474,7 @@ def identifier_functions(spark, sf):
     snake = F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))
     none = F.lit(False)
     return p.select(
-        "p_partkey", F.array_join(C.meaningful(C.identifier_tokens(F.concat_ws("_", "p_name", F.lower("p_type"))), ()), " ").alias("tokens"), C.verb(snake).alias("verb"), C.dependency_name(F.col("p_brand")).alias("dependency"),
+        "p_partkey", F.array_join(C.meaningful(C.identifier_tokens(F.concat_ws("_", "p_name", F.lower("p_type"))), (*C.STOPWORDS, "brass", "tin")), " ").alias("tokens"), C.verb(snake).alias("verb"), C.dependency_name(F.col("p_brand")).alias("dependency"),
         F.array_join(C.entry_point_names(F.replace(F.col("p_name"), F.lit(" "), F.lit("."))), "/").alias("entry"), C.module_name(F.concat(F.lit("a/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("/")), F.lit(".py"))).alias("module"),
         F.round(C.abstractness(F.col("p_size") > 25, F.col("p_size") % 2 == 0, none, none), 6).alias("abstractness"))
 
@@ -503,9 +519,9 @@ def near_twins(spark, sf):
     return crossfile.near_twins(c.select(F.col("c_nationkey").alias("path"), F.col("c_mktsegment").alias("skeleton_hash"), F.round(F.col("c_acctbal") / 1000).alias("literals"), F.col("c_custkey").alias("line")), 3)
 
 
-@query(f"WITH {L_SQL}, b AS (SELECT doc_id, md5(line) AS h, list_sort(list(DISTINCT line_no)) AS lines FROM l WHERE length(line) > 20 GROUP BY 1, 2 HAVING count(DISTINCT line_no) >= 2) SELECT doc_id AS path, h AS block_hash, array_to_string(lines, ',') AS lines FROM b")
+@query(f"WITH {L_SQL}, b AS (SELECT doc_id, md5(line) AS h, list_sort(list(DISTINCT line_no)) AS lines FROM l GROUP BY 1, 2 HAVING count(DISTINCT line_no) >= 2) SELECT doc_id AS path, h AS block_hash, array_to_string(lines, ',') AS lines FROM b")
 def repeated_blocks(spark, sf):
-    b = document_lines(spark, sf).where(F.length("line") > 20).select(F.col("doc_id").alias("path"), F.md5("line").alias("block_hash"), F.col("line_no").alias("line"))
+    b = document_lines(spark, sf).select(F.col("doc_id").alias("path"), F.md5("line").alias("block_hash"), F.col("line_no").alias("line"))
     return crossfile.repeated_blocks(b).withColumn("lines", F.array_join(F.transform("lines", lambda x: x.cast("string")), ","))
 
 

@@ -224,13 +224,3 @@ def test_edit_of_one_file(spark, tmp_path):
 def test_invalid_bytes_are_replaced_alone(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("né ".encode() + b"\xff" + "ü\n".encode())
     assert S.read_files(spark, str(tmp_path), ["a.txt"]).first()["text"] == "né \ufffdü\n"
-
-
-def test_shell_rules(spark):
-    from shell_cases import CASES
-
-    rows = [(f"{r}/{k}.sh", t) for r, bad, good in CASES for k, t in (("bad", bad), ("good", good))]
-    got = pairs(base.findings(L.code_lines(spark.createDataFrame(rows, "path string, text string")), "shell"))
-    for r, _, _ in CASES:
-        assert (f"{r}/bad.sh", r) in got and (f"{r}/good.sh", r) not in got
-    assert {c[0] for c in CASES} == {r for r, x in base.load().items() if x.language == "shell"}

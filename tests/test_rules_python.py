@@ -1,42 +1,10 @@
-import pytest
 from pyspark.sql import functions as F
-from python_cases import CASES, PLACED
 
-from gneiss.facts.python import facts, facts_of
+from gneiss.cases.python_cases import CASES, PLACED
+from gneiss.facts.python import facts_of
 from gneiss.rules import base
 
-
-@pytest.fixture(scope="module")
-def hits(spark):
-    rows = []
-    for i, (rule, bad, good) in enumerate(CASES):
-        place = "tests/test_" if "-TEST-" in rule else "src/m"
-        rows += [(f"{place}{i}_bad.py" if "-TEST-" not in rule else f"{place}bad_{i}.py", bad), (f"{place}{i}_good.py" if "-TEST-" not in rule else f"{place}good_{i}.py", good)]
-    rows.append(("src/good_name.py", "x = 1\n"))
-    for _, bad, good in PLACED:
-        rows += [*bad.items(), *good.items()]
-    f = facts(spark.createDataFrame(rows, "path string, text string")).checkpoint()
-    out: dict[str, set] = {}
-    names = [r for r in base.load() if base.RULES[r].language == "python"]
-    for i in range(0, len(names), 12):  # a union of all rules is one large plan; a few at a time compile faster
-        for r in base.findings(f, only=names[i : i + 12]).select("rule_id", "path").distinct().collect():
-            out.setdefault(r["rule_id"], set()).add(r["path"])
-    return out
-
-
-@pytest.mark.parametrize("i", range(len(CASES)), ids=[c[0] for c in CASES])
-def test_bad_has_it_and_good_does_not(hits, i):
-    rule = CASES[i][0]
-    name = (lambda x: f"tests/test_{x}_{i}.py") if "-TEST-" in rule else (lambda x: f"src/m{i}_{x}.py")
-    assert name("bad") in hits.get(rule, set())
-    assert name("good") not in hits.get(rule, set())
-
-
-@pytest.mark.parametrize("i", range(len(PLACED)), ids=[c[0] for c in PLACED])
-def test_placed(hits, i):
-    rule, bad, good = PLACED[i]
-    assert hits.get(rule, set()) & set(bad)
-    assert not hits.get(rule, set()) & set(good)
+# that each case gives its finding and the other source does not: the rules_* queries, in test_tables
 
 
 def test_every_python_rule_has_a_case(spark):
@@ -44,12 +12,27 @@ def test_every_python_rule_has_a_case(spark):
     assert {c[0] for c in CASES} | {c[0] for c in PLACED} == known
 
 
+def test_every_other_rule_has_a_case_or_an_operator(spark):
+    from gneiss.plans import rule_tables
+
+    known = {r for r, x in base.load().items() if x.language in ("shell", "config")}
+    assert known <= {c[0] for c in rule_tables.shell_rule_cases() + rule_tables.LINE_CASES}
+
+
 def test_unparsable_and_empty():
     assert [r[1] for r in facts_of("a.py", "def (")] == ["error"]
     assert [r[1] for r in facts_of("a.py", "")] == ["module"]
     assert [r[1] for r in facts_of("a.py", None)] == ["module"]
 
 
+def test_evidence_is_whole(spark):
+    from gneiss.facts.python import facts
+
+    code = "eval(" + " + ".join(f"part_{i}" for i in range(200)) + ")\n"
+    found = base.findings(facts(spark.createDataFrame([("a.py", code)], "path string, text string")), only=["PY-SEC-DANGEROUS-EVAL"])
+    assert found.first()["evidence"] == code.strip()
+
+
 def test_catalogue(spark):
     c = base.catalogue(spark)
     assert base.listed(c, category="security").count() >= 20

@@ -1,44 +1,10 @@
 import pytest
-from typescript_cases import CASES, DESIGN, DESIGNED, PLACED
 
-from gneiss.facts.typescript import facts, facts_of
+from gneiss.cases.typescript_cases import CASES, DESIGNED, PLACED
+from gneiss.facts.typescript import facts_of
 from gneiss.rules import base
 
 
-@pytest.fixture(scope="module")
-def hits(spark):
-    base.load()
-    from gneiss.rules import typescript
-
-    rows = [(f"m{i}/{k}.tsx", t) for i, (_, bad, good) in enumerate(CASES + DESIGNED) for k, t in (("bad", bad), ("good", good))]
-    for _, bad, good in PLACED:
-        rows += [*bad.items(), *good.items()]
-    f = facts(spark.createDataFrame(rows, "path string, text string")).checkpoint()
-    names, out = [r for r, x in base.RULES.items() if x.language == "typescript"], {}
-    old = dict(typescript.DESIGN)
-    typescript.DESIGN.update(DESIGN)
-    for i in range(0, len(names), 12):
-        for r in base.findings(f, "typescript", names[i : i + 12]).select("rule_id", "path").distinct().collect():
-            out.setdefault(r["rule_id"], set()).add(r["path"])
-    typescript.DESIGN.clear()
-    typescript.DESIGN.update(old)
-    assert base.findings(f, "typescript", [d[0] for d in DESIGNED]).count() == 0
-    return out
-
-
-@pytest.mark.parametrize("i", range(len(CASES + DESIGNED)), ids=[c[0] for c in CASES + DESIGNED])
-def test_bad_has_it_and_good_does_not(hits, i):
-    rule = (CASES + DESIGNED)[i][0]
-    assert f"m{i}/bad.tsx" in hits.get(rule, set())
-    assert f"m{i}/good.tsx" not in hits.get(rule, set())
-
-
-@pytest.mark.parametrize("i", range(len(PLACED)), ids=[c[0] for c in PLACED])
-def test_placed(hits, i):
-    rule, bad, good = PLACED[i]
-    assert hits.get(rule, set()) >= set(bad) and not hits.get(rule, set()) & set(good)
-
-
 def test_every_rule_has_a_case(spark):
     known = {r for r, x in base.load().items() if x.language == "typescript"}
     assert {c[0] for c in CASES + DESIGNED + PLACED} == known

@@ -1,7 +1,7 @@
 import pytest
 from oracle import connect, differences
 
-from gneiss.plans import tables
+from gneiss.plans import more_tables, rule_tables, tables  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
