@@ -199,74 +199,6 @@ def fit(docs: DataFrame, per_label: int = PER_LABEL, max_labels: int = MAX_LABEL
     return Model(labels, idf, stacked, [at[r["lang"]] for r in got], np.array([r["radius"] for r in got], np.float32))
 
 
-def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
-        """(label, score, rejected) of each text."""
-        counts, has = count_ngrams(texts)
-        if not self.labels:
-            return [(UNKNOWN, 0.0, True)] * len(texts)
-        x = weigh(counts, self.idf)
-        cos = np.round(x @ self.centroids.T, 5)
-        best = np.argmax(cos, axis=1)
-        top = np.clip(cos[np.arange(len(texts)), best], 0, 1)
-        out = 1 - (top - by_chance(x, self.centroids)[np.arange(len(texts)), best]) > self.radius[best]
-        return [(self.labels[self.owner[b]], round(float(s), 5), bool(r)) if ok else (UNKNOWN, 0.0, True) for b, s, r, ok in zip(best, top, out, has, strict=True)]
-
-
-def runs(texts: list[str | None]):
-    """Runs of texts that are small enough to count together; a long text is a run of its own."""
-    ends = np.concatenate([[0], np.cumsum([len(t or "") + 1 for t in texts])])
-    return slices(ends, 1 << 20, 128)
-
-
-def fit(docs: DataFrame, per_label: int = PER_LABEL, max_labels: int = MAX_LABELS, centroids: int = CENTROIDS) -> Model:
-    """A model from docs(doc_id, text, lang); rows without text or lang teach nothing."""
-    train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()
-    if not sizes:
-        return Model([], None, None, None, None)
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * per_label / r["count"] + 20.0 / r["count"])))])
-    u = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 40))
-    picked = train.where(u / float(1 << 40) < F.element_at(share, F.col("lang"))).select("lang", u.alias("u"), "doc_id", "text")
-
-    def vectors(batches):
-        for b in batches:
-            langs, us, ids, texts = (b.column(i).to_pylist() for i in range(4))
-            rows = []
-            for i, j in runs(texts):
-                counts, has = count_ngrams(texts[i:j])
-                for k in np.flatnonzero(has):
-                    at = np.flatnonzero(counts[k])
-                    rows.append((langs[i + k], us[i + k], ids[i + k], at.astype(np.uint16).tobytes(), counts[k][at].astype(np.float32).tobytes()))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["lang", "u", "doc_id", "at", "n"])
-
-    got = picked.mapInArrow(lean(vectors), "lang string, u long, doc_id long, at binary, n binary").collect()  # about 2 * per_label rows a label
-    by: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: (r["lang"], r["u"], r["doc_id"] or 0, bytes(r["at"]), bytes(r["n"]))):
-        if len(by.setdefault(r["lang"], [])) < per_label:
-            dense = np.zeros(FEATURES, np.float32)
-            dense[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.float32)
-            by[r["lang"]].append(dense)
-    if not by:
-        return Model([], None, None, None, None)
-    n, df = 0, np.zeros(FEATURES)
-    for rows in by.values():
-        n += len(rows)
-        df += sum((x > 0).astype(np.int64) for x in rows)
-    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    labels, cents, owner, radius = sorted(by), [], [], []
-    for i, name in enumerate(labels):
-        x = weigh(np.array(by[name]), idf)
-        c = spherical_kmeans(x, centroids)
-        near = np.max(x @ c.T - by_chance(x, c), axis=1)
-        floor = float(np.quantile(near, QUANTILE)) * RADIUS
-        cents.append(c)
-        owner += [i] * len(c)
-        radius += [1 - floor] * len(c)
-    return Model(labels, idf, np.concatenate(cents), owner, np.array(radius, np.float32))
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected of every row of docs(doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -37,3 +37,29 @@ def test_long_random_letters_are_rejected_and_clean_documents_kept(spark, rng):
     junk = [" ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 9))) for _ in range(n)) for a in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя") for n in (10, 200, 1000, 5000)]
     assert all(r for _, _, r in model.predict(junk))
     assert not any(r for _, _, r in model.predict([r["text"] for r in docs.collect() if r["text"]]))
+
+
+def test_documents_against_plain_python(spark):
+    """Held-out accuracy, and every label, score and rejection computed character by character."""
+    import plain
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out(docs["doc_id"])))
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    rows = docs.withColumn("out", langid.held_out(docs["doc_id"])).collect()
+    held = [r for r in rows if r["out"] and r["text"] and r["lang"]]
+    assert sum(got[r["doc_id"]]["lang_pred"] == r["lang"] for r in held) / len(held) > 0.98
+    assert not any(got[r["doc_id"]]["rejected"] for r in held)
+    for r in rows[:150]:
+        label, score, rejected = plain.predict(model, r["text"])
+        g = got[r["doc_id"]]
+        assert (g["lang_pred"], g["rejected"]) == (label, rejected) and abs(g["score"] - score) < 2e-5
+
+
+def test_too_many_labels_are_an_error(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(i, "ein text", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.fit(docs, max_labels=4)
+    assert len(langid.fit(docs, max_labels=5).labels) == 5

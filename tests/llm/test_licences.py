@@ -66,3 +66,25 @@ def test_the_bound_excludes_no_unit_at_the_threshold():
             for n in range(1, len(own) + 1):
                 if templates.best(licences.Counter(own[:n])):
                     assert templates.possible(set(own[:n]))
+
+
+def test_whole_corpus_against_plain_python(spark):
+    import plain
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    files = docs.selectExpr("doc_id as rid", "concat_ws('/', source, lang, cast(doc_id as string)) as path", "text")
+    extra = spark.createDataFrame([(10**6, "src0/LICENSE", dict(licences.full_texts())["MIT"]), (10**6 + 1, "src1/en/LICENSE", dict(licences.full_texts())["ISC"])], files.schema)
+    files = files.unionByName(extra)
+    got = {r["rid"]: (r["licence"], r["how"], r["from_path"]) for r in licences.scan(files).collect()}
+    want = plain.scan([tuple(r) for r in files.collect()])
+    assert {k: v for k, v in got.items() if v != want[k]} == {} and {h for _, h, _ in got.values()} == {"file", "header", "inherited", "none"}
+
+
+def test_ties_very_long_texts_and_clashing_columns(spark):
+    mit = dict(licences.full_texts())["MIT"]
+    long = "some code\n" * 100_000 + "Released under the MIT License.\n" + "more code\n" * 100_000
+    rows = [(1, "a/LICENSE", mit), (2, "a/COPYING", mit), (3, "a/x.py", "code"), (4, "b/y.py", long), (5, "b/z.py", "")]
+    names = ["licence", "score", "dir", "i", "file", "how"]
+    df = spark.createDataFrame([(*r, *["k"] * len(names)) for r in rows], "rid long, path string, text string, " + ", ".join(f"{n} string" for n in names))
+    got = {r["rid"]: (r["licence"], r["how"], r["from_path"]) for r in licences.scan(df).collect()}
+    assert got == {1: ("MIT", "file", None), 2: ("MIT", "file", None), 3: ("MIT", "inherited", "a/COPYING"), 4: ("MIT", "header", None), 5: (None, "none", None)}

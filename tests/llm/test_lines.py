@@ -27,3 +27,23 @@ def test_odd_rows(spark, odd, none):
     out = lines.drop_templates(odd)
     assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
     assert lines.drop_templates(none).count() == 0
+
+
+def test_against_plain_python(spark):
+    import plain
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    got = {r["doc_id"]: r["text"] for r in lines.drop_templates(docs).collect()}
+    want = plain.drop_templates([r["text"] for r in rows])
+    assert [got[r["doc_id"]] for r in rows] == want and want != [r["text"] for r in rows]
+
+
+def test_very_long_texts_ties_and_clashing_columns(spark, rng):
+    names = ["key", "of", "gone", "line", "form", "leaf", "pos", "at", "n"]
+    long = "\n".join(f"{prose(rng, 6)} unique {i}" for i in range(20_000))
+    rows = [(i, f"Subscribe to our letter\n{long if i == 0 else prose(rng, 9)}\nSubscribe to our letter", *range(len(names))) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = {r["doc_id"]: r for r in lines.drop_templates(df).collect()}
+    assert all("Subscribe" not in got[i]["text"] and tuple(got[i])[2:] == tuple(range(len(names))) for i in range(5))
+    assert got[0]["text"].count("\n") == 19_999

@@ -54,3 +54,14 @@ def test_odd_rows(spark, odd, none):
     assert got.count() == odd.count() and got.drop("mix").columns == odd.columns
     assert all(r["t"] == 0 for r in got.where("text is null or trim(text) = ''").select(got["mix.taken"].alias("t")).collect())
     assert mixing.mix(none).count() == 0 and mixing.emit(none).count() == 0
+
+
+def test_null_sources_clashing_columns_and_many_strata(spark):
+    names = ["size", "key", "level", "stratum", "place", "mix", "copy", "cell", "of_key"]
+    rows = [(i, "word " * (1 + i % 7), None if i % 3 == 0 else f"s{i % 2}", *range(len(names))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    assert mixing.emit(df).columns == df.columns
+    assert {tuple(r) for r in mixing.emit(df).select(*names).collect()} == {tuple(range(len(names)))}
+    for strata in (1, 16, 64):
+        got = mixing.mix(df, strata=strata, into="m").groupBy("source").agg({"m.taken": "sum", "m.target": "max"}).collect()
+        assert len(got) == 3 and all(abs(taken - target) <= 0.05 * target for r in got for taken, target in [(r["sum(m.taken AS taken)"] if "sum(m.taken AS taken)" in r else r[1], r[2])])
