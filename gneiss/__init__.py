@@ -11,9 +11,11 @@ ROOT = Path(__file__).resolve().parent
 
 
 def checkpoints(spark) -> None:
-    """Checkpoints go to the folder the session names; a local one is made only where none is named."""
+    """Checkpoints go to the folder the session names; a local one is made only where none is named and the master is local."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gneiss-checkpoints-"))
 
 

@@ -22,7 +22,8 @@ CALL = re.compile(r"(?<![\w$.])(new\s+)?((?:[A-Za-z_$][\w$]*)(?:\??\.[A-Za-z_$][
 IMPORT = re.compile(r"^[ \t]*import\s+(type\s+)?([^;'\"]*?\s*from\s*)?(['\"])", re.M)
 COMPONENT = re.compile(r"(?P<ex>export\s+(?:default\s+)?)?(?:(?:async\s+)?function\s+(?P<a>[A-Z]\w*)\s*(?:<[^>]*>)?\(|const\s+(?P<b>[A-Z]\w*)\s*(?::[^=\n]+)?=\s*(?:React\.)?(?:memo\(|forwardRef\()?\s*(?:async\s*)?\()")
 FUNCTION = re.compile(r"(?:function\s+(?P<a>[a-z_$]\w*)\s*(?:<[^>]*>)?\(|const\s+(?P<b>[a-z_$]\w*)\s*(?::[^=\n]+)?=\s*(?:async\s*)?\()")
-HOOKS = ("useState", "useEffect", "useMemo", "useCallback", "useRef", "useReducer", "useContext", "useLayoutEffect", "useImperativeHandle")
+# fixed values: hooks that hold state or effects; reading a context is added
+HOOKS = ("useState", "useEffect", "useLayoutEffect", "useMemo", "useCallback", "useReducer", "useRef", "useImperativeHandle", "useTransition") + ("useContext",)
 WORD = re.compile(r"[A-Za-z_$][\w$]*")
 
 

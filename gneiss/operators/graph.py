@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gneiss.functions.core import dot, jaccard, object_tokens, smooth_idf, squared_distance, verb
 
 # fixed values: edge kinds by use
-STRUCTURAL = ("contains", "imports", "calls", "callback_arg", "references_type", "registered_in", "inherits", "overrides")
+STRUCTURAL = ("calls", "overrides", "inherits", "references_type", "callback_arg", "registered_in", "contains", "imports")
 SEMANTIC = ("name_similar", "usage_similar")
 RANKED = ("calls", "overrides", "references_type")
 DEGREE = ("calls", "references_type", "overrides", "contains", "registered_in")

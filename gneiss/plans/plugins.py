@@ -2,37 +2,33 @@
 
 from __future__ import annotations
 
-import importlib
-import importlib.util
+import runpy
 import warnings
-from importlib.metadata import entry_points
+from collections.abc import Callable
+from functools import partial
+from importlib import import_module, metadata
 from pathlib import Path
 
 GROUP = "gneiss.rules"
 
 
-def load(config: dict | None = None, root: str = ".") -> list[str]:
-    """Names of the plugins that loaded: entry points, then modules named in the configuration, then trusted local files."""
-    settings, done = (config or {}).get("plugins", {}), []
+def found(settings: dict, root: str) -> dict[str, Callable]:
+    """What could be loaded, by name, in order: entry points, modules that the configuration names, trusted local files."""
+    points = {p.name: p.load for p in metadata.entry_points(group=GROUP)}
+    modules = {name: partial(import_module, name) for name in settings.get("modules", ())}
+    folder = Path(root, settings.get("path", ".gneiss/plugins"))
+    local = {p.name: partial(runpy.run_path, str(p)) for p in sorted(folder.glob("*.py"))} if settings.get("trust_local") else {}
+    return points | modules | local
+
 
-    def attempt(name, f):
+def load(config: dict | None = None, root: str = ".") -> list[str]:
+    """Names of the plugins that loaded; what goes wrong in one is a warning and does not stop the audit."""
+    done = []
+    for name, start in found((config or {}).get("plugins", {}), root).items():
         try:
-            f()
+            start()
+        except Exception as e:
+            warnings.warn(f"plugin {name} failed: {e}", stacklevel=2)
+        else:
             done.append(name)
-        except Exception as e:  # a plugin must not stop the audit
-            warnings.warn(f"plugin {name} failed: {e}", stacklevel=3)
-
-    for p in entry_points(group=GROUP):
-        attempt(p.name, p.load)
-    for name in settings.get("modules", []):
-        attempt(name, lambda name=name: importlib.import_module(name))
-    if settings.get("trust_local", False):
-        for path in sorted(Path(root, settings.get("path", ".gneiss/plugins")).glob("*.py")):
-
-            def run(path=path):
-                spec = importlib.util.spec_from_file_location(f"gneiss_plugin_{path.stem}", path)
-                module = importlib.util.module_from_spec(spec)
-                spec.loader.exec_module(module)
-
-            attempt(path.name, run)
     return done

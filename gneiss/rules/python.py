@@ -15,26 +15,34 @@ SECURITY_CONTEXT = r"(?i)(token|password|passwd|secret|nonce|salt|otp|csrf|crede
 SECRET_NAME = r"(?i)(password|passwd|secret|token|api[_-]?key|apikey|private[_-]?key)"
 LOCATION_NAME = r"(?i)_(path|file|dir|folder|location)$"
 HTTP_CALL = r"^(requests|httpx)\.(get|post|put|delete|patch|head|options|request)$"
+# fixed values: arguments and functions that bind to an address
 HOST_ARGUMENTS = ("host", "hostname", "bind", "address", "addr", "interface", "server_address", "listen")
 BIND_FUNCTIONS = ("bind", "run", "serve", "create_server", "run_server", "make_server", "listen")
 HOST_NAME = r"(?i)host|bind|addr|interface|listen"
+# fixed values: loaders that run what they load
 UNSAFE_LOADERS = (
     "pickle.load", "pickle.loads", "_pickle.load", "_pickle.loads", "marshal.load", "marshal.loads", "cloudpickle.load", "cloudpickle.loads", "dill.load", "dill.loads", "joblib.load", "yaml.unsafe_load",
 )
+# fixed values: parsers of XML
 XML_MODULES = r"^(xml\.etree|xml\.dom|xml\.sax|lxml\.etree|ElementTree)"
 XML_PARSERS = ("parse", "fromstring", "XML", "iterparse", "parseString")
+# fixed values: words of checks, places of temporary files
 SECURITY_ASSERT = r"(?i)(auth|admin|permission|allowed|is_owner|authorized|can_)"
 TEMP_PATH = r"^/(var/)?tmp(/|$)"
 PATH_NAME = r"(?i)path|dir|tmp|temp|file|dest|output|target|cache|location"
 PATH_FUNCTIONS = ("open", "join", "makedirs", "mkdir", "Path", "NamedTemporaryFile", "TemporaryFile")
+# fixed values: functions that decode
 DECODERS = (
     "b64decode", "b85decode", "a85decode", "b32decode", "b16decode", "decodebytes", "urlsafe_b64decode", "unhexlify", "a2b_base64", "a2b_hex", "decompress",
 )
+# fixed values: functions that fetch, shells, and what runs or reads code
 FETCHERS = ("get", "post", "urlopen", "urlretrieve", "request")
 SHELLS = r"(^|[\s'\"/])(sh|bash|zsh|dash|ksh|csh|tcsh|ash|fish)(['\"\s]|$)"
 READ_SINKS = ("open", "fdopen", "Path", "PosixPath", "WindowsPath")
 CODE_EXECUTION = ("system", "popen", "Popen", "call", "run", "eval", "exec", "__import__")
+# fixed values: calls that make memory executable
 EXECUTABLE_MEMORY = ("VirtualAlloc", "VirtualAllocEx", "VirtualProtect", "VirtualProtectEx", "mprotect")
+# fixed values: what a setup script should not run
 SETUP_EXECUTION = ("system", "popen", "check_call", "check_output", "Popen", "eval", "exec", "compile", "urlopen", "urlretrieve")
 KNOWN_VARIABLES = ("PATH", "HOME", "USER", "SHELL", "LANG", "TERM", "PWD", "TMPDIR", "EDITOR", "DISPLAY", "CI")
 

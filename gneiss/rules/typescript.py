@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from gneiss.rules import shell as sig
 from gneiss.rules.base import rule
 
-# fixed values: elements, attributes and roles the rules look for
-INTERACTIVE = ("a", "button", "input", "select", "textarea", "option", "summary", "details", "label", "video", "audio")
+# fixed values: elements that are interactive by themselves; media with controls are added
+INTERACTIVE = ("a", "button", "input", "select", "textarea", "option", "label", "summary", "details") + ("video", "audio")
+# fixed values: controls, labels and types the rules look for
 CONTROLS = ("input", "select", "textarea")
 LABELS = ("aria-label", "aria-labelledby", "title")
 UNLABELLED_TYPES = ("hidden", "submit", "button", "reset", "image")
-IMPLICIT_ROLES = {"button": "button", "a": "link", "nav": "navigation", "main": "main", "header": "banner", "footer": "contentinfo", "aside": "complementary", "ul": "list", "ol": "list", "li": "listitem", "img": "img", "form": "form", "table": "table", "article": "article", "h1": "heading", "h2": "heading", "h3": "heading"}
+# fixed values: roles that elements have by themselves; the rest of the HTML standard's list that matters here is added
+IMPLICIT_ROLES = {
+    "a": "link", "button": "button", "nav": "navigation", "ul": "list", "ol": "list", "li": "listitem", "img": "img", "table": "table", "main": "main", "header": "banner", "footer": "contentinfo", "article": "article", "form": "form",
+} | {"aside": "complementary", "h1": "heading", "h2": "heading", "h3": "heading"}
 URL_ATTRIBUTES = ("href", "src", "to", "action", "formAction")
 SHELL_SINKS = ("exec", "execSync", "spawn", "spawnSync")
 ICON = r"(Icon$|^Icon|^svg$)"
