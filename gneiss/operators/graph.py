@@ -294,42 +294,47 @@ def usage_similar(items: DataFrame, threshold: float = 0.5, k: int = 8) -> DataF
         (c, nc), (t, nt), (b, _) = incidence("c"), incidence("t"), incidence("before")
         right = np.arange(n) if x == y else np.arange(split, n)
         cr, tr, br = c[right].T.copy(), t[right].T.copy(), b[right].T.copy()
-        found: list[tuple] = []
-        best_w, best_i = np.full((len(right), 0), -1.0), np.zeros((len(right), 0), np.int64)
-
-        def top(w, other):
-            """Positions of the k best of each row: largest weight, then largest id."""
-            k_ = min(k, w.shape[1])
-            edge = -np.partition(-w, k_ - 1, axis=1)[:, k_ - 1 : k_]
-            out = []
-            for i in np.flatnonzero((w >= max(threshold, 0.0)).any(axis=1)):
-                j = np.flatnonzero((w[i] >= edge[i]) & (w[i] >= threshold))
-                out.append((i, j[np.lexsort((-rank[other[i][j]], -w[i][j]))][:k]))
-            return out
+        def top(places, others):
+            """The k largest places of each row and whose they are; -1 is none."""
+            at = np.argpartition(-places, min(k, places.shape[1]) - 1, axis=1)[:, :k]
+            return np.take_along_axis(places, at, 1), np.take_along_axis(others, at, 1)
 
+        mine, theirs, places = [], [], []
+
+        def hand_on(rows, best, others):
+            i, j = np.nonzero(best >= 0)
+            mine.append(rows[i])
+            theirs.append(others[i, j])
+            places.append(best[i, j])
+
+        far, far_of = np.full((len(right), 0), -1), np.zeros((len(right), 0), np.int64)
         for i in range(0, split, 256):
             left = np.arange(i, min(i + 256, split))
-            both, kinds = (c[left] @ cr).astype(np.float64), (t[left] @ tr).astype(np.float64)
-            every = nc[left][:, None] + nc[right][None, :] - both
-            types = nt[left][:, None] + nt[right][None, :] - kinds
-            w = np.divide(both, every, out=np.zeros(both.shape), where=every > 0) * 0.6 + np.divide(kinds, types, out=np.zeros(both.shape), where=types > 0) * 0.4
-            w = np.floor(w * 1e6 + 0.5) / 1e6
-            w[(b[left] @ br > 0) | (left[:, None] == right[None, :])] = -1
-            others = np.broadcast_to(right, w.shape)
-            found += [(left[r], right[p], w[r][p]) for r, p in top(w, others)]
+            # each pair is scored in one unit only, so all units together score no more than all pairs
+            i_, j_ = np.nonzero((b[left] @ br == 0) & (left[:, None] != right[None, :]))
+            if not len(i_):
+                continue
+            both, kinds = (c[left] @ cr)[i_, j_].astype(np.float64), (t[left] @ tr)[i_, j_].astype(np.float64)
+            every, types = nc[left][i_] + nc[right][j_] - both, nt[left][i_] + nt[right][j_] - kinds
+            w = np.divide(both, every, out=np.zeros(len(i_)), where=every > 0) * 0.6 + np.divide(kinds, types, out=np.zeros(len(i_)), where=types > 0) * 0.4
+            w = np.floor(w * 1e6 + 0.5)
+            ok = w / 1e6 >= threshold
+            if not ok.any():
+                continue
+            i_, j_, w = i_[ok], j_[ok], w[ok].astype(np.int64) * n
+            # a pair's place: by weight, then by the partner's id
+            places_here = np.full((len(left), len(right)), -1)
+            places_here[i_, j_] = w + rank[right][j_]
+            some = np.unique(i_)
+            hand_on(left[some], *top(places_here[some], np.broadcast_to(right, (len(some), len(right)))))
             if x != y:  # the same for the right side, kept over the strips
-                w = np.concatenate([best_w, w.T], axis=1)
-                others = np.concatenate([best_i, np.broadcast_to(left, (len(right), len(left)))], axis=1)
-                best_w, best_i = np.full((len(right), k), -1.0), np.zeros((len(right), k), np.int64)
-                for r, p in top(w, others):
-                    best_w[r, : len(p)], best_i[r, : len(p)] = w[r][p], others[r][p]
-        if x != y:
-            found += [(right[r], best_i[r][best_w[r] >= threshold], best_w[r][best_w[r] >= threshold]) for r in range(len(right))]
-        node = np.concatenate([np.full(len(p), i) for i, p, _ in found]) if found else np.zeros(0, np.int64)
-        other = np.concatenate([p for _, p, _ in found]) if found else np.zeros(0, np.int64)
-        weight = np.concatenate([v for _, _, v in found]) if found else np.zeros(0)
+                places_here[i_, j_] = w + rank[left][i_]
+                far = np.concatenate([far, places_here.T], axis=1)
+                far, far_of = top(far, np.concatenate([far_of, np.broadcast_to(left, (len(right), len(left)))], axis=1))
+        hand_on(right, far, far_of)
+        node, other, place = (np.concatenate(v) for v in (mine, theirs, places))
         column = table.column("node_id")
-        return pa.table([column.take(pa.array(node)), column.take(pa.array(other)), pa.array(weight)], names=["node", "other", "weight"])
+        return pa.table([column.take(pa.array(node)), column.take(pa.array(other)), pa.array(place // n / 1e6)], names=["node", "other", "weight"])
 
     return best_neighbours(rows.groupBy("token", "x", "y").applyInArrow(score, UNIT.format(kind)), k)
 
