@@ -36,7 +36,8 @@ def session() -> SparkSession:
 
 
 def tree(spark: SparkSession, args) -> DataFrame:
-    return S.audited(S.read_tree(spark, args.root, S.tracked_files(args.root)).select("path", "text"), target=args.target or "")
+    only = None if args.all_files else S.tracked_files(args.root)
+    return S.audited(S.read_tree(spark, args.root, only).select("path", "text"), target=args.target or "", vendored=args.vendored)
 
 
 def rows(df: DataFrame, n: int = MOST_ROWS) -> list[dict]:
@@ -70,8 +71,7 @@ def scan(spark, args) -> int:
         changed = S.changed_files(args.root, args.changed_since or S.default_base(args.root) or "HEAD")
         only = S.paths_frame(spark, changed or [])
     shown = A.displayed(found, args.min_severity, tuple(known_rules(spark, args.rule)), only)
-    render = {"json": lambda f: json.dumps(R.compact(f, args.limit)), "summary": lambda f: json.dumps(R.summary(f)), "sarif": R.sarif, "markdown": R.markdown, "html": R.html_tree}
-    print(render[args.format](shown))
+    print(R.REPORTERS[args.format](shown, args.limit))
     return int(failed)
 
 
@@ -92,7 +92,7 @@ def detail(spark, args) -> int:
 
 def report(spark, args) -> int:
     f = Index(spark, args.index).read("findings", args.repo)
-    print({"summary": lambda: json.dumps(R.summary(f)), "sarif": lambda: R.sarif(f), "markdown": lambda: R.markdown(f), "html": lambda: R.html_tree(f), "json": lambda: json.dumps(R.compact(f, args.limit))}[args.format]())
+    print(R.REPORTERS[args.format](f, args.limit))
     return 0
 
 
@@ -105,7 +105,7 @@ def discover(spark, args) -> int:
 
 
 def manifest(spark, args) -> int:
-    print(json.dumps(rows(profile.manifest(P.facts(tree(spark, args).where(S.language(F.col("path")) == "python"))).orderBy("path", "line"))))
+    print(json.dumps(rows(profile.manifest(A.facts_of(tree(spark, args)).drop("language")).orderBy("path", "line"))))
     return 0
 
 
@@ -123,6 +123,14 @@ def rules(spark, args) -> int:
     return 0
 
 
+def registry(spark, args) -> int:
+    """What is registered: rules by language and category, languages with facts, reporters, plugins that load."""
+    config = C.load(args.root)
+    counts = base.catalogue(spark).groupBy("language", "category").count().orderBy("language", "category")
+    print(json.dumps({"rules": rows(counts), "languages": sorted(A.LANGUAGES), "reporters": sorted(R.REPORTERS), "plugins": plugins.load(config, args.root)}))
+    return 0
+
+
 def ignore(spark, args) -> int:
     index = Index(spark, args.index)
     if args.action == "add":
@@ -190,13 +198,15 @@ def parser() -> argparse.ArgumentParser:
         if target:
             s.add_argument("root")
             s.add_argument("--target", default="")
+            s.add_argument("--all-files", action="store_true", help="also files that git ignores")
+            s.add_argument("--vendored", action="store_true", help="also installed and built packages")
         s.add_argument("--index", required=index, default=None)
         s.add_argument("--repo", default="default")
         s.add_argument("--limit", type=int, default=50)
         return s
 
     s = add("scan", scan)
-    s.add_argument("--format", choices=["json", "summary", "sarif", "markdown", "html"], default="markdown")
+    s.add_argument("--format", choices=list(R.REPORTERS), default="markdown")
     s.add_argument("--min-severity", choices=SEVERITIES)
     s.add_argument("--fail-on", choices=SEVERITIES)
     s.add_argument("--rule", action="append", default=[])
@@ -213,13 +223,14 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("path")
     s.add_argument("rule")
     s.add_argument("--line", type=int)
-    add("report", report, index=True, target=False).add_argument("--format", choices=["json", "summary", "sarif", "markdown", "html"], default="markdown")
+    add("report", report, index=True, target=False).add_argument("--format", choices=list(R.REPORTERS), default="markdown")
     add("discover", discover).add_argument("--role")
     add("manifest", manifest)
     add("aggregate", aggregate, index=True, target=False)
     s = add("rules", rules, target=False)
     for o in ("category", "framework", "standard"):
         s.add_argument(f"--{o}")
+    add("registry", registry)
     s = add("ignore", ignore, index=True, target=False)
     s.add_argument("action", choices=["add", "list", "rm", "clear"])
     s.add_argument("rule", nargs="?")

@@ -1 +1,21 @@
-"""Facts: flat tables of what source files contain, so that rules are predicates that Catalyst can push and prune."""
+"""Facts: flat tables of what source files contain, so that rules are predicates that Catalyst can push and prune.
+
+LANGUAGES says how the files of a language become facts; a plugin adds a language by an entry of its own and rules registered for
+its name.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+LANGUAGES: dict[str, Callable] = {}
+
+
+def language(name: str):
+    """Registers facts(files(path, text)) -> rows of facts.python.SCHEMA for a language."""
+
+    def add(f):
+        LANGUAGES[name] = f
+        return f
+
+    return add

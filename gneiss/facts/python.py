@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from gneiss.facts import language
+
 SCHEMA = (
     "path string, kind string, line int, name string, scope string, fn string, cls string, flags array<string>, "
     "args map<string,string>, names array<string>, n int, sig string"
@@ -509,6 +511,7 @@ def facts_of(path: str, source: str) -> list[tuple]:
     return Extractor(path, source or "").run()
 
 
+@language("python")
 def facts(files: DataFrame) -> DataFrame:
     """The facts of files(path, text)."""
 

@@ -13,6 +13,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from gneiss.facts import language
 from gneiss.facts.python import FIELDS, SCHEMA, digest
 
 BEFORE_MARKUP = re.compile(r"(?:^|[(,=:?\[{}&|;>]|\breturn|\bdefault|=>)\s*$")
@@ -258,7 +259,8 @@ class Scanner:
             if "=>" not in self.text[m.end() - 1 : a] and not m["a"]:
                 continue
             skeleton, literals = self.skeleton(a, b)
-            self.add("function", m.start(), m["a"] or m["b"], [], {"literals": digest(repr(literals)), "size": str(len(skeleton))}, sig=digest(skeleton), n=self.text.count("\n", a, b))
+            given = [p for p in params.split(",") if p.strip()]
+            self.add("function", m.start(), m["a"] or m["b"], [], {"n_params": str(len(given)), "literals": digest(repr(literals)), "size": str(len(skeleton))}, sig=digest(skeleton), n=self.text.count("\n", a, b))
 
     def skeleton(self, a: int, b: int) -> tuple[str, list[str]]:
         """Code with names blanked but for called and member names; literals in order."""
@@ -272,6 +274,7 @@ def facts_of(path: str, source: str | None) -> list[tuple]:
     return Scanner(path, source or "").run()
 
 
+@language("typescript")
 def facts(files: DataFrame) -> DataFrame:
     """The facts of files(path, text)."""
 

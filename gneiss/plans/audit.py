@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.facts import LANGUAGES, python, typescript  # noqa: F401
 from gneiss.facts import lines as L
-from gneiss.facts import python as P
-from gneiss.facts import typescript as T
 from gneiss.functions.core import RANKS, content_hash, severity_rank
 from gneiss.operators import findings as ops
 from gneiss.operators import ledger
@@ -24,15 +23,18 @@ def in_language(files: DataFrame, *names: str) -> DataFrame:
 
 
 def facts_of(files: DataFrame) -> DataFrame:
-    """The facts of files(path, text), Python and TypeScript, with `language`."""
-    python = P.facts(in_language(files, "python")).withColumn("language", F.lit("python"))
-    return python.unionByName(T.facts(in_language(files, "typescript")).withColumn("language", F.lit("typescript")))
+    """The facts of files(path, text) in every registered language, with `language`."""
+    out = None
+    for name, facts in LANGUAGES.items():
+        found = facts(in_language(files, name)).withColumn("language", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def of_facts(facts: DataFrame, across: bool | None = None) -> DataFrame:
     """Findings of the rules over facts; across: only those of rules that look across files, or only the others."""
     out = None
-    for language in ("python", "typescript"):
+    for language in LANGUAGES:
         found = base.findings(facts.where(F.col("language") == language).drop("language"), language, across=across).select(*COLUMNS)
         out = found if out is None else out.unionByName(found)
     return out
@@ -63,8 +65,8 @@ def long_shell_comments(placed: DataFrame, most: int = 3) -> DataFrame:
 def directives_of(files: DataFrame, facts: DataFrame) -> DataFrame:
     """Skip directives: in Python only those of real comments."""
     comments = facts.where("language = 'python' and kind = 'comment'").select("path", "line", F.col("n").alias("logical_line"))
-    python = S.language(F.col("path")).eqNullSafe("python")
-    return L.directives(files.where(python), comments).unionByName(L.directives(files.where(~python)))
+    is_python = S.language(F.col("path")).eqNullSafe("python")
+    return L.directives(files.where(is_python), comments).unionByName(L.directives(files.where(~is_python)))
 
 
 def roles_of(files: DataFrame, facts: DataFrame, config: dict) -> DataFrame:
@@ -98,9 +100,9 @@ def outside_findings(files: DataFrame, facts: DataFrame, roles: DataFrame, antiv
     if graph:
         from gneiss.plans import codegraph
 
-        python = facts.where("language = 'python'").drop("language")
-        nodes, edges, _ = codegraph.build(python, roles)
-        out.append(codegraph.findings(nodes, edges, python))
+        mine = facts.where("language = 'python'").drop("language")
+        nodes, edges, _ = codegraph.build(mine, roles)
+        out.append(codegraph.findings(nodes, edges, mine))
     return [f.select(*COLUMNS) for f in out]
 
 

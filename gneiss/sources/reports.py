@@ -198,3 +198,10 @@ def graph_page(payload: dict) -> str:
 
 def worst_severity(findings: DataFrame) -> int:
     return findings.agg(F.max(severity_rank(F.col("severity")))).first()[0]
+
+
+# how findings are shown, by name; a plugin may add a format
+REPORTERS = {
+    "json": lambda findings, most=None: json.dumps(compact(findings, 50 if most is None else most)), "summary": lambda findings, most=None: json.dumps(summary(findings)),
+    "sarif": lambda findings, most=None: sarif(findings), "markdown": lambda findings, most=None: markdown(findings), "html": lambda findings, most=None: html_tree(findings),
+}

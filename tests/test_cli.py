@@ -31,6 +31,8 @@ def test_commands(spark, capsys, repo, tmp_path_factory):
         run(spark, capsys, "scan", repo, "--rule", "PY-SEC-WEAK-HASHES")
     assert json.loads(run(spark, capsys, "discover", repo)[1])["roles"] == {"production": 2}
     assert {r["symbol"] for r in json.loads(run(spark, capsys, "manifest", repo)[1])} == {"digest", "helper"}
+    known = json.loads(run(spark, capsys, "registry", repo)[1])
+    assert known["languages"] == ["python", "typescript"] and "sarif" in known["reporters"] and known["plugins"] == []
     assert len(json.loads(run(spark, capsys, "rules", "--standard", "bandit")[1])) > 10
     use = json.loads(run(spark, capsys, "graph", repo, "usages", "helper")[1])
     assert use["resolved"] == "app/util.py::helper" and any(u["kind"] == "calls" for u in use["usages"])

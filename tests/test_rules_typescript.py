@@ -17,3 +17,12 @@ def test_scanner_ends_on_odd_sources(source):
 
 def test_types_are_not_markup():
     assert not [r for r in facts_of("a.ts", "const m = new Map<string, number>()\nconst f = <T extends B>(x: T): Array<T> => [x]\n") if r[1] == "element"]
+
+
+def test_inventory(spark):
+    from gneiss.facts import profile
+    from gneiss.facts.typescript import facts
+
+    source = "export function Card({ a, b }) {\n  return <p>{a}</p>\n}\nfunction add(x, y) {\n  const z = x\n  return z + y\n}\n"
+    rows = profile.manifest(facts(spark.createDataFrame([("a.tsx", source)], "path string, text string"))).collect()
+    assert {(r["symbol"], r["kind"], r["arg_count"]) for r in rows} >= {("Card", "component", 2), ("add", "function", 2)}
