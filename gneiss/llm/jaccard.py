@@ -321,3 +321,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op3_jaccard(spark, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+k AS (SELECT doc_id, md5(array_to_string(list_sort(s), chr(10))) AS k, s FROM s),
+r AS MATERIALIZED (SELECT k, min(doc_id) AS rep, count(DISTINCT doc_id) AS copies, any_value(s) AS s, len(any_value(s)) AS n FROM k GROUP BY k),
+x AS MATERIALIZED (SELECT rep, n, copies, unnest(s) AS g FROM r),
+p AS (SELECT a.rep AS a, b.rep AS b, any_value(a.copies) AS ca, any_value(b.copies) AS cb FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9
+  GROUP BY a.rep, b.rep HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
+e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c(node, root) AS (SELECT rep, rep FROM r UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node),
+l AS (SELECT rep, min(root) AS class_id FROM (SELECT node AS rep, root FROM c) GROUP BY rep),
+d AS (SELECT rep, sum(n) AS n FROM (SELECT a AS rep, cb AS n FROM p UNION ALL SELECT b, ca FROM p) GROUP BY rep)
+SELECT w.doc_id, coalesce(l.class_id, w.doc_id) AS class_id, coalesce(coalesce(d.n, 0) + r.copies - 1, 0)::BIGINT AS n_links
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN r ON r.k = k.k LEFT JOIN l ON l.rep = r.rep LEFT JOIN d ON d.rep = r.rep
+"""

@@ -116,3 +116,24 @@ def drop_templates(docs: DataFrame, counts_as: str | None = None) -> DataFrame:
 def op10_lines(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return drop_templates(docs, counts_as="lines").select("doc_id", "lines.n_lines", "lines.n_dropped", "text")
+
+
+ORACLE = r"""
+WITH u AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL), s AS (SELECT text, string_split(text, chr(10)) AS x FROM u),
+l AS (SELECT text, unnest(x) AS line, unnest(generate_series(0, len(x) - 1)) AS pos FROM s),
+k AS (SELECT text, pos, list_transform(list_filter(string_split_regex(line, '[ \t\n\x0B\f\r]+'), lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9@"]') THEN '<*>' ELSE t END) AS tokens FROM l),
+f AS (SELECT text, pos, array_to_string(tokens, ' ') AS form, len(tokens) AS n, tokens FROM k WHERE len(tokens) > 0),
+c AS (SELECT form, n, any_value(tokens) AS tokens, count(DISTINCT text) AS texts, n || ' ' || array_to_string(any_value(tokens)[1:LEAD], ' ') AS leaf FROM f GROUP BY form, n),
+b AS (SELECT leaf FROM c WHERE n >= MIN_TOKENS GROUP BY leaf HAVING count(*) >= MIN_TEXTS),
+p AS (SELECT leaf, form, n, unnest(tokens) AS token, unnest(generate_series(1, n)) AS place FROM c WHERE n >= MIN_TOKENS AND leaf IN (SELECT leaf FROM b)),
+m AS (SELECT leaf, place, token FROM p GROUP BY ALL HAVING count(*) >= MIN_TEXTS),
+g AS (SELECT form, n, array_to_string(list(CASE WHEN m.token IS NULL THEN '<*>' ELSE p.token END ORDER BY p.place), ' ') AS template, count(m.token) AS kept FROM p LEFT JOIN m USING (leaf, place, token) GROUP BY form, n),
+t AS (SELECT form, template FROM g WHERE kept < n AND kept >= n * KEPT), r AS (SELECT template FROM t JOIN f USING (form) GROUP BY template HAVING count(DISTINCT text) >= MIN_TEXTS),
+bad AS (SELECT form FROM c WHERE texts >= MIN_TEXTS UNION SELECT form FROM t WHERE template IN (SELECT template FROM r)),
+gone AS (SELECT text, list(pos) AS gone FROM f WHERE form IN (SELECT form FROM bad) GROUP BY text)
+SELECT d.doc_id, coalesce(len(s.x), 0)::BIGINT AS n_lines, coalesce(len(gone.gone), 0)::BIGINT AS n_dropped,
+CASE WHEN gone.gone IS NULL THEN d.text ELSE array_to_string(list_transform(list_filter(generate_series(0, len(s.x) - 1), lambda i: NOT list_contains(gone.gone, i)), lambda i: s.x[i + 1]), chr(10)) END AS text
+FROM documents d LEFT JOIN s ON s.text = d.text LEFT JOIN gone ON gone.text = d.text
+"""
+for _name in ("MIN_TOKENS", "MIN_TEXTS", "LEAD", "KEPT"):
+    ORACLE = ORACLE.replace(_name, str(globals()[_name]))

@@ -27,6 +27,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_jaccard": jaccard.ORACLE,
     "op7_topk": topk.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op10_lines": lines.ORACLE,
 }
