@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_jaccard": jaccard.ORACLE,
+    "op6_repeats": repeats.ORACLE,
     "op7_topk": topk.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_lines": lines.ORACLE,

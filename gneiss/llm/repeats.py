@@ -351,4 +351,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op6_repeats(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", "n_removed", "n_spans", "n_bytes", "kept_sha256", "spans")  # the decisions first
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return out.select("doc_id", "n_removed", "n_spans", "n_bytes", "kept_sha256", spans.alias("spans"))  # the decisions first
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n, row_number() OVER () AS r FROM documents),
+p AS (SELECT r, b, unnest(generate_series(0, n - 400)) AS i FROM d WHERE n >= 400),
+w AS (SELECT r, i, md5(b[i + 1:i + 400]) AS h FROM p),
+q AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+s AS (SELECT r, i, i > coalesce(lag(i) OVER o, -1000) + 400 AS fresh FROM w WHERE h IN (SELECT h FROM q) WINDOW o AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM s),
+t AS (SELECT r, min(i) AS s, max(i) + 400 AS e FROM g GROUP BY r, g),
+k AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS f FROM t),
+a AS (SELECT r, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(s || '-' || e, ',' ORDER BY s) AS spans, string_agg(hex(d.b[f + 1:s]), '' ORDER BY s) || hex(any_value(d.b)[max(e) + 1:]) AS kept FROM k JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN a.r IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)
+"""
