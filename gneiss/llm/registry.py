@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gneiss.llm import jaccard, langid, licences, lines, media, mixing, packing, repeats, surrogates, topk
+from gneiss.llm import alignment, jaccard, langid, licences, lines, maintext, media, mixing, packing, repeats, spelling, surrogates, topk
 from gneiss.llm.common import few_files
 
 
@@ -23,6 +23,9 @@ QUERIES = {
         "op8_mixing": mixing.op8_mixing,
         "op9_licences": licences.op9_licences,
         "op10_lines": lines.op10_lines,
+        "op11_spelling": spelling.op11_spelling,
+        "op12_maintext": maintext.op12_maintext,
+        "op13_alignment": alignment.op13_alignment,
     }.items()
 }
 
@@ -32,4 +35,5 @@ ORACLES = {
     "op7_topk": topk.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_lines": lines.ORACLE,
+    "op11_spelling": spelling.ORACLE,
 }
