@@ -1,10 +1,36 @@
+import pytest
 from pyspark.sql import functions as F
 
 from gneiss.cases.python_cases import CASES, PLACED
 from gneiss.facts.python import facts_of
 from gneiss.rules import base
 
-# that each case gives its finding and the other source does not: the rules_* queries, in test_tables
+
+@pytest.fixture(scope="module")
+def verdicts(spark):
+    """Which files of the cases each rule reports: a case's file is named by its number and side."""
+    from gneiss.facts.python import facts
+
+    place = lambda rule, i, side: f"tests/test_{i}_{side}.py" if "-TEST-" in rule else f"src/m{i}_{side}.py"
+    files = {place(r, i, side): text for i, (r, *both) in enumerate(CASES) for side, text in zip(("bad", "good"), both)}
+    for _, bad, good in PLACED:
+        files |= bad | good
+    files["src/good_name.py"] = "x = 1\n"
+    found = base.findings(facts(spark.createDataFrame(sorted(files.items()), "path string, text string")).checkpoint())
+    return {(r["rule_id"], r["path"]) for r in found.select("rule_id", "path").distinct().collect()}, place
+
+
+@pytest.mark.parametrize("i", range(len(CASES)), ids=[c[0] for c in CASES])
+def test_rule(verdicts, i):
+    hits, place = verdicts
+    rule = CASES[i][0]
+    assert (rule, place(rule, i, "bad")) in hits and (rule, place(rule, i, "good")) not in hits
+
+
+@pytest.mark.parametrize("rule, bad, good", PLACED, ids=[c[0] for c in PLACED])
+def test_rule_of_several_files(verdicts, rule, bad, good):
+    hits, _ = verdicts
+    assert any((rule, p) in hits for p in bad) and not any((rule, p) in hits for p in good)
 
 
 def test_every_python_rule_has_a_case(spark):
@@ -16,7 +42,8 @@ def test_every_other_rule_has_a_case_or_an_operator(spark):
     from gneiss.plans import rule_tables
 
     known = {r for r, x in base.load().items() if x.language in ("shell", "config")}
-    assert known <= {c[0] for c in rule_tables.shell_rule_cases() + rule_tables.LINE_CASES}
+    cases = rule_tables.all_cases()
+    assert known <= {c[0] for c in cases["shell"] + cases["lines"]}
 
 
 def test_unparsable_and_empty():

@@ -1,6 +1,6 @@
 import pytest
 
-from gneiss.cases.typescript_cases import CASES, DESIGNED, PLACED
+from gneiss.cases.typescript_cases import CASES, DESIGN, DESIGNED, PLACED
 from gneiss.facts.typescript import facts_of
 from gneiss.rules import base
 
@@ -10,6 +10,42 @@ def test_every_rule_has_a_case(spark):
     assert {c[0] for c in CASES + DESIGNED + PLACED} == known
 
 
+def found(spark, files, rules=None):
+    from gneiss.facts.typescript import facts
+
+    hits = base.findings(facts(spark.createDataFrame(sorted(files.items()), "path string, text string")).checkpoint(), "typescript", rules)
+    return {(r["rule_id"], r["path"]) for r in hits.select("rule_id", "path").distinct().collect()}
+
+
+@pytest.fixture(scope="module")
+def verdicts(spark):
+    files = {f"m{i}/{side}.tsx": text for i, (_, *both) in enumerate(CASES) for side, text in zip(("bad", "good"), both)}
+    for _, bad, good in PLACED:
+        files |= bad | good
+    return found(spark, files)
+
+
+@pytest.mark.parametrize("i", range(len(CASES)), ids=[c[0] for c in CASES])
+def test_rule(verdicts, i):
+    assert (CASES[i][0], f"m{i}/bad.tsx") in verdicts and (CASES[i][0], f"m{i}/good.tsx") not in verdicts
+
+
+@pytest.mark.parametrize("rule, bad, good", PLACED, ids=[c[0] for c in PLACED])
+def test_rule_of_several_files(verdicts, rule, bad, good):
+    assert any((rule, p) in verdicts for p in bad) and not any((rule, p) in verdicts for p in good)
+
+
+def test_design_system_rules_are_silent_until_configured(spark, monkeypatch):
+    from gneiss.rules import typescript
+
+    files = {f"m{i}/{side}.tsx": text for i, (_, *both) in enumerate(DESIGNED) for side, text in zip(("bad", "good"), both)}
+    rules = [r for r, _, _ in DESIGNED]
+    assert not found(spark, files, rules)
+    for key, value in DESIGN.items():
+        monkeypatch.setitem(typescript.DESIGN, key, value)
+    assert found(spark, files, rules) == {(r, f"m{i}/bad.tsx") for i, r in enumerate(rules)}
+
+
 @pytest.mark.parametrize("source", ["", None, "<", "const a = b < c && d > e", "const f = <T,>(x: T) => x", "`${`${a}`}`", "'open", "/* open", "const A = () => <p>{/* c */}{'<b>'}</p>", "a = <div", "if (a<b) { c(d) }", "}}}))"])
 def test_scanner_ends_on_odd_sources(source):
     assert any(r[1] == "module" for r in facts_of("a.tsx", source))
