@@ -60,9 +60,13 @@ def scan(spark, args) -> int:
     ignores = index.read("ignores", args.repo) if index else None
     baseline = spark.read.parquet(args.baseline) if args.baseline else None
     outside = {"antivirus": spark.read.text(args.antivirus) if args.antivirus else None, "dependencies": spark.read.text(args.dependencies, wholetext=True) if args.dependencies else None}
-    found = A.audit(spark, tree(spark, args), config, ignores, baseline, graph=args.graph, **outside).drop("seq").checkpoint()
-    if index:
-        index.replace("findings", args.repo, found.select("path", "rule_id", "category", "severity", "verdict_kind", "line", "evidence"))
+    files = tree(spark, args)
+    if index:  # only changed files are parsed; a target is a part of the tree, so nothing is pruned then
+        raw = A.incremental(spark, index, args.repo, files, config, whole=not args.target, versions=dict(args.versions), graph=args.graph, **outside)
+        raw = raw.join(files.select("path").distinct(), "path", "left_semi") if args.target else raw
+        found = A.policed(raw.drop("repo", "unit"), ignores, baseline).drop("seq").checkpoint()
+    else:
+        found = A.audit(spark, files, config, ignores, baseline, graph=args.graph, **outside).drop("seq").checkpoint()
     if args.write_baseline:
         R.write_baseline(found, args.write_baseline)
     failed = bool(args.fail_on) and A.blocks(found, args.fail_on)
@@ -216,6 +220,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--antivirus", help="file with the output of a scanner")
     s.add_argument("--dependencies", help="report of a dependency scanner in JSON")
     s.add_argument("--graph", action="store_true", help="build the code graph and report what it shows")
+    s.add_argument("--versions", action="append", default=[], type=lambda x: tuple(x.split("=", 1)), metavar="RULE=VERSION", help="version of a scanner that a rule relies on")
     s = add("edit", edit)
     s.add_argument("path")
     s.add_argument("--min-severity", choices=SEVERITIES, default="high")

@@ -15,7 +15,7 @@ from gneiss.sources import config as C
 from gneiss.sources import files as S
 from gneiss.sources import scanners
 
-COLUMNS = [f.split()[0] for f in base.FOUND.split(", ")]
+COLUMNS = [f.split()[0] for f in base.FOUND.split(", ")][:-1]  # without the unit
 
 
 def in_language(files: DataFrame, *names: str) -> DataFrame:
@@ -86,7 +86,8 @@ def plan_of(spark: SparkSession, roles: DataFrame, config: dict) -> DataFrame:
 def under_plan(found: DataFrame, plan: DataFrame, known: DataFrame) -> DataFrame:
     """Findings of rules that run, with the plan's severity and verdict; files not in known(path) (lockfiles, scanned trees) keep their own."""
     p = plan.select("path", "rule_id", F.col("severity").alias("s"), F.col("verdict").alias("v"))
-    placed = found.join(p, ["path", "rule_id"]).select("path", "line", "evidence", "rule_id", "category", F.col("s").alias("severity"), F.col("v").alias("verdict_kind"))
+    more = [c for c in found.columns if c not in COLUMNS]
+    placed = found.join(p, ["path", "rule_id"]).select("path", "line", "evidence", "rule_id", "category", F.col("s").alias("severity"), F.col("v").alias("verdict_kind"), *more)
     return placed.unionByName(found.join(known.select("path").distinct(), "path", "left_anti").select(*placed.columns))
 
 
@@ -120,8 +121,12 @@ def audit(spark: SparkSession, files: DataFrame, config: dict | None = None, ign
     found = L.unsuppressed(raw_findings(files, facts), directives_of(files, facts))
     for more in outside_findings(files, facts, roles, antivirus, dependencies, graph):
         found = found.unionByName(more)
-    out = under_plan(found, plan_of(spark, roles, config), files)
-    out = out.withColumn("file", F.col("path")).withColumn("seq", F.struct("path", "line", "rule_id"))
+    return policed(under_plan(found, plan_of(spark, roles, config), files), ignores, baseline)
+
+
+def policed(found: DataFrame, ignores: DataFrame | None, baseline: DataFrame | None) -> DataFrame:
+    """Findings less those that are ignored, and those of a baseline."""
+    out = found.withColumn("file", F.col("path")).withColumn("seq", F.struct("path", "line", "rule_id"))
     out = out if ignores is None else ops.not_ignored(out, ignores)
     return out if baseline is None else ops.beyond_baseline(ops.fingerprinted(out), baseline).drop("fingerprint")
 
@@ -146,56 +151,89 @@ def blocks(found: DataFrame, floor: str = "high") -> bool:
     return bool(ops.gate(found, floor).first()["failed"])
 
 
-def incremental(spark: SparkSession, index, repo: str, files: DataFrame, config: dict | None = None, whole: bool = True, versions: dict[str, str] | None = None) -> DataFrame:
+def again_across(facts: DataFrame, units: DataFrame, whole: list[str]) -> DataFrame:
+    """Findings, with unit, of the rules across files for units(rule_id, unit): each rule reads the facts that share a unit, and of what it
+    finds there only those units count.  Rules named in `whole` run over all facts."""
+    near, out = base.sharing(facts, units).checkpoint(), None
+    for r in base.load().values():
+        if not r.across:
+            continue
+        mine = facts if r.rule_id in whole else near.where(F.col("rule_id") == r.rule_id).drop("rule_id")
+        found = base.findings(mine.where(F.col("language") == r.language).drop("language"), r.language, [r.rule_id])
+        found = found if r.rule_id in whole else found.join(units.where(F.col("rule_id") == r.rule_id).select("unit"), "unit", "left_semi")
+        found = found.select(*COLUMNS, "unit")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def incremental(spark: SparkSession, index, repo: str, files: DataFrame, config: dict | None = None, whole: bool = True, versions: dict[str, str] | None = None,
+                antivirus: DataFrame | None = None, dependencies: DataFrame | None = None, graph: bool = False) -> DataFrame:
     """Runs only what has changed, and returns the repository's findings: those that a full audit would give.
 
-    A rule of one file runs on it again if the file or the rule's fingerprint changed.  Rules that look across files run over
-    the facts of all files each time, which the index keeps, so only changed files are parsed; all their rows are replaced.
+    Changed files are parsed, and their facts take the place of the old ones.  A rule of one file runs on it again if the file or the
+    rule's fingerprint changed.  A rule across files compares facts by units (a name, a signature); the units of the changed files' old and
+    new facts are looked at again, over the facts of all files that share one, and their old findings are retracted.  So what is
+    shuffled grows with the units that a change touches, and a change of such a rule's fingerprint runs it over all facts.
     whole: files are the whole repository, and what is not among them is pruned; else they are added to what is known.
     versions: what else a rule's results depend on, as {rule: version of a scanner and its signatures}.
+    Findings of scanners and of the graph are those of this run.
     """
     config = config or {}
     settings(config)
-    base.load()
-    hashes = files.select("path", content_hash(F.col("text")).alias("sha"))
-    stale = ledger.stale_facts(hashes, index.read("files", repo).select("path", F.col("sha256").alias("content_hash"))).checkpoint()
+    rules = base.load()
+    hashes = files.select("path", content_hash(F.col("text")).alias("sha")).checkpoint()
+    seen = index.read("files", repo).select("path", F.col("sha256").alias("sha")).checkpoint()
+    stale = ledger.stale_facts(hashes, seen.withColumnRenamed("sha", "content_hash")).checkpoint()
+    gone = seen.select("path").join(hashes, "path", "left_anti").checkpoint() if whole else seen.select("path").limit(0)
+    touched = stale.unionByName(gone).distinct()
     changed = files.join(stale, "path", "left_semi")
-    known = files.select("path") if whole else files.select("path").union(index.read("files", repo).select("path")).distinct()
+    known = hashes.select("path") if whole else hashes.select("path").union(seen.select("path")).distinct()
+    before = index.read("facts", repo).drop("repo").join(touched, "path", "left_semi").checkpoint()
     fresh = facts_of(changed).checkpoint()
-    new_directives = directives_of(changed, fresh)
-    for table, rows in (("facts", fresh), ("directives", new_directives)):
-        old = index.read(table, repo).drop("repo").join(known, "path", "left_semi").join(stale, "path", "left_anti")
-        index.replace(table, repo, old.unionByName(rows.select(*old.columns)))
+    index.put("facts", repo, fresh, touched)
+    index.put("directives", repo, directives_of(changed, fresh), touched)
     facts, dirs = index.read("facts", repo).drop("repo"), index.read("directives", repo).drop("repo")
 
-    roles = roles_of(files, facts, config)
-    plan = ledger.with_versions(plan_of(spark, roles, config), versions)
-    seen = index.read("files", repo).select("path", F.col("sha256").alias("sha"))
-    todo = ledger.missed_rules(hashes, plan, seen, index.read("file_rules", repo)).checkpoint()
+    roles = roles_of(files, facts, config).checkpoint()
+    plan = ledger.with_versions(plan_of(spark, roles, config), versions).checkpoint()
+    done = index.read("file_rules", repo).drop("repo")
+    todo = ledger.missed_rules(hashes, plan, seen, done).checkpoint()
     again = todo.select("path").distinct()
-    mine = of_facts(facts.join(again, "path", "left_semi"), across=False).unionByName(of_lines(files.join(again, "path", "left_semi")))
-    mine = mine.join(todo.select("path", "rule_id"), ["path", "rule_id"], "left_semi")
-    columns = ["path", "rule_id", "severity", "verdict"]
-    done = index.read("file_rules", repo).join(known, "path", "left_semi").join(hashes, "path", "left_anti").select(*columns)
-    in_force = plan.select(*columns).unionByName(done)
-    shared = of_facts(facts, across=True)
-    across = [r.rule_id for r in base.load().values() if r.across]
-    found = under_plan(L.unsuppressed(mine.unionByName(shared), dirs), in_force, known)
-    kept = index.read("findings", repo).drop("repo").join(known, "path", "left_semi").where(~F.col("rule_id").isin(*across)).join(todo.select("path", "rule_id"), ["path", "rule_id"], "left_anti")
-    disabled = hashes.select("path").join(plan.select("path", "rule_id").distinct(), "path").select("path", "rule_id")
-    kept = kept.join(hashes.select("path"), "path", "left_anti").unionByName(kept.join(disabled, ["path", "rule_id"], "left_semi"))
-    index.replace("findings", repo, kept.unionByName(found.select(*kept.columns)))
+    mine = of_facts(facts.join(again, "path", "left_semi").checkpoint(), across=False).unionByName(of_lines(files.join(again, "path", "left_semi")))
+    mine = mine.join(todo.select("path", "rule_id"), ["path", "rule_id"], "left_semi").withColumn("unit", F.col("path"))
+
+    across = [r for r in rules.values() if r.across]
+    stored = index.read("findings", repo).drop("repo")
+    # rules that no longer run on a file, with what they had found or done there
+    off = lambda df: df.join(hashes.select("path"), "path", "left_semi").join(plan.select("path", "rule_id").distinct(), ["path", "rule_id"], "left_anti")
+    lost = off(stored).select("rule_id", "unit")
+    changed_rules = [r["rule_id"] for r in todo.where((F.col("reason") == "rule") & F.col("rule_id").isin([r.rule_id for r in across])).select("rule_id").distinct().collect()]  # at most one a rule
+    both = before.unionByName(fresh)
+    units = lost.where(F.col("rule_id").isin([r.rule_id for r in across])).unionByName(stored.where(F.col("rule_id").isin(changed_rules)).select("rule_id", "unit"))
+    units = units.unionByName(base.by_unit(both).select("rule_id", "unit")).distinct().checkpoint()
+    in_force = plan.select("path", "rule_id", "severity", "verdict")
+    in_force = in_force.unionByName(done.join(known, "path", "left_semi").join(hashes, "path", "left_anti").select(*in_force.columns))
+    found = L.unsuppressed(mine.unionByName(again_across(facts, units, changed_rules)), dirs)
+    outside = [r.rule_id for r in rules.values() if r.rule_id.split("-")[0] in OUTSIDE]
+    for more in outside_findings(files, facts, roles, antivirus, dependencies, graph):
+        found = found.unionByName(more.withColumn("unit", F.col("path")))
+    found = under_plan(found, in_force, known).checkpoint()
+    retracted = todo.select("rule_id", F.col("path").alias("unit")).unionByName(units).unionByName(lost)
+    retracted = retracted.unionByName(stored.join(gone, "path", "left_semi").select("rule_id", "unit")).unionByName(stored.where(F.col("rule_id").isin(outside)).select("rule_id", "unit")).checkpoint()
 
     now = F.current_timestamp()
-    index.upsert("file_rules", repo, plan.join(todo.select("path", "rule_id"), ["path", "rule_id"]).select("path", "rule_id", "fingerprint", "severity", "verdict", now.alias("last_scanned")))
-    role = roles.select("path", "role")
-    meta = files.select("path", content_hash(F.col("text")).alias("sha256"), F.size(F.split("text", "\n")).alias("lines"), S.language(F.col("path")).alias("language"), now.alias("last_scanned")).join(role, "path")
-    index.upsert("files", repo, meta)
-    if whole:
-        index.prune(repo, files.select("path"))
+    ran = plan.join(todo.select("path", "rule_id"), ["path", "rule_id"]).select("path", "rule_id", "fingerprint", "severity", "verdict", now.alias("last_scanned")).checkpoint()
+    idle = off(done).select("path", "rule_id").unionByName(done.join(gone, "path", "left_semi").select("path", "rule_id")).checkpoint()
+    meta = files.join(stale, "path", "left_semi").select("path", content_hash(F.col("text")).alias("sha256"), F.size(F.split("text", "\n")).alias("lines"), S.language(F.col("path")).alias("language"), now.alias("last_scanned"))
+    index.put("findings", repo, found, retracted)
+    index.put("file_rules", repo, ran, idle)
+    index.put("files", repo, meta.join(roles.select("path", "role"), "path"), gone)
     return index.read("findings", repo)
 
 
+OUTSIDE = ("AV", "DEP", "GRAPH")  # prefixes of rules whose findings come from scanners and the graph
+
+
 def displayed(found: DataFrame, floor: str | None = None, rules: tuple[str, ...] = (), only: DataFrame | None = None) -> DataFrame:
     """Display filters: they come after the gate and change nothing else."""
     out = found if floor is None else found.where(severity_rank(F.col("severity")) >= RANKS[floor])

@@ -231,16 +231,22 @@ def without_repository(spark, sf):
     return ledger.without_repo(c.select(F.col("c_custkey").alias("k"), F.col("n_name").alias("repo")), "NATION_3")
 
 
-ONE_SIDE = {
-    "app/a.py": "def _helper():\n    return 1\n", "app/b.py": "from app.a import _helper\n\n\ndef go() -> int:\n    return _helper()\n",
-    "app/c.py": "class Item(BaseModel):\n    a: int\n    b: int\n", "app/d.py": "class Other(BaseModel):\n    a: int\n    b: int\n",
-}
-AFTER = {"app/a.py": "def _helper():\n    return 2\n", "app/d.py": "class Other(BaseModel):\n    a: int\n    c: int\n"}
+# the second version: every seventh file is rewritten, every eleventh is gone
+REFERS = "def _f{k}():\n    return 1\n\n\nprint(_f{size}())\n"
+
+
+def refers(rows: DataFrame, size) -> DataFrame:
+    """path, text: a file per row of part that defines a private function and calls the one of the row that its size names."""
+    made = F.replace(F.replace(F.lit(REFERS), F.lit("{k}"), text("p_partkey")), F.lit("{size}"), size.cast("string"))
+    return rows.select(F.concat(F.lit("src/m"), "p_partkey", F.lit(".py")).alias("path"), made.alias("text"))
 
 
-@query(values("path, rule_id", [("app/a.py", "PY-TYPING-MISSING-HINTS"), ("app/a.py", "PY-XFILE-PRIVATE-USED")]))
+@query("""WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS s FROM part WHERE p_partkey % 11 <> 0)
+SELECT concat('src/m', k, '.py') AS path, 'PY-DEAD-SYMBOL' AS rule_id FROM p WHERE k NOT IN (SELECT s FROM p)
+UNION ALL SELECT concat('src/m', k, '.py'), 'PY-XFILE-PRIVATE-USED' FROM p WHERE k IN (SELECT q.s FROM p q WHERE q.k <> q.s)
+UNION ALL SELECT concat('src/m', k, '.py'), 'PY-TYPING-MISSING-HINTS' FROM p""")
 def incremental_audit(spark, sf):
-    """Two versions of a repository, the second as a batch of two changed files: the findings that a full audit of it gives."""
+    """Two versions of a tree drawn from part; only the second's changed files are given, and those that are gone pruned: its findings."""
     import uuid
 
     from gneiss.plans import audit
@@ -248,9 +254,18 @@ def incremental_audit(spark, sf):
 
     folder = spark.sparkContext.getCheckpointDir()
     index = Index(spark, f"{folder}/index-{uuid.uuid4().hex}")
-    frame = lambda d: spark.createDataFrame(sorted(d.items()), "path string, text string")
-    audit.incremental(spark, index, "r", frame(ONE_SIDE))
-    return audit.incremental(spark, index, "r", frame(AFTER), whole=False).select("path", "rule_id").checkpoint()
+    p, k = table(spark, sf, "part").select("p_partkey", "p_size"), F.col("p_partkey")
+    audit.incremental(spark, index, "r", refers(p, F.col("p_size")))
+    now = refers(p.where(k % 11 != 0), F.when(k % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    return audit.incremental(spark, index, "r", now).select("path", "rule_id").checkpoint()
+
+
+@query("""WITH later AS (SELECT o_custkey AS k, o_totalprice AS v, o_orderstatus = 'F' AS gone, 1 + o_orderkey % 5 AS seq FROM orders), last AS (SELECT k, max(seq) AS seq FROM later GROUP BY k)
+SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT k FROM last) UNION ALL SELECT k, v FROM later JOIN last USING (k, seq) WHERE NOT gone""")
+def merged_log(spark, sf):
+    """The index's read: customers as the base, their orders as five later writes, finished ones as retractions."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), (F.col("o_orderstatus") == "F").alias("gone"), (1 + F.col("o_orderkey") % 5).alias("seq"))
+    return ledger.merged(table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), o, ["k"])
 
 
 # ---------------------------------------------------------------- the graph

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 class Rule:
     """run maps facts to hits.  A rule that is one condition on a fact also has it in `when`, with the evidence and, in
     `needs`, the pattern of an import that the file must have; such rules share one pass.  `across`: what it finds in one file
-    depends on others."""
+    depends on others; `units` then gives the names by which a fact is compared with others, as an array, and the rule's rows say
+    theirs in `unit`, so that only what shares a name with a change is looked at again.  `beside`: kinds of facts that it also reads
+    in the files of those."""
 
     rule_id: str
     category: str
@@ -26,17 +28,19 @@ class Rule:
     when: Callable[[], tuple[Column, Column]] | None = None
     needs: str | None = None
     across: bool = False
+    units: Callable[[], Column] | None = None
+    beside: tuple[str, ...] = ()
 
 
 RULES: dict[str, Rule] = {}
 ENTRY_POINTS: list[str] = []  # names that the project's entry points reach; set by the audit
 
 
-def rule(rule_id: str, category: str, severity: str, verdict: str = "auto", language: str = "python", refs: str = "", framework: str | None = None, when=None, needs: str | None = None, across: bool = False):
+def rule(rule_id: str, category: str, severity: str, verdict: str = "auto", language: str = "python", refs: str = "", framework: str | None = None, when=None, needs: str | None = None, units=None, beside: tuple[str, ...] = ()):
     def add(f):
         if rule_id in RULES:
             raise ValueError(f"{rule_id} is registered twice")
-        RULES[rule_id] = Rule(rule_id, category, severity, verdict, language, f, tuple(refs.split()), framework, when, needs, across)
+        RULES[rule_id] = Rule(rule_id, category, severity, verdict, language, f, tuple(refs.split()), framework, when, needs, units is not None, units, beside)
         return f
 
     return add
@@ -68,25 +72,43 @@ def one_pass(facts: DataFrame, rules: list[Rule]) -> DataFrame:
     return hits.where(~asks).unionByName(hits.where(asks).join(have, ["path", "rule_id"], "left_semi"))
 
 
-FOUND = "path string, line int, evidence string, rule_id string, category string, severity string, verdict_kind string"
+def by_unit(facts: DataFrame) -> DataFrame:
+    """facts with rule_id and unit: a row for each name by which a rule across files compares a fact with others."""
+    named = lambda r: lambda u: F.struct(F.lit(r.rule_id).alias("rule_id"), u.alias("unit"))
+    items = [F.when(F.col("language") == r.language, F.transform(r.units(), named(r))) for r in load().values() if r.across]
+    return facts.withColumn("x", F.explode(F.flatten(F.array_compact(F.array(*items))))).select(*facts.columns, "x.rule_id", "x.unit")
+
+
+def sharing(facts: DataFrame, units: DataFrame) -> DataFrame:
+    """facts with rule_id: those that share one of units(rule_id, unit) under a rule, and those the rule reads beside them; one pass for all rules."""
+    near = by_unit(facts).join(units, ["rule_id", "unit"], "left_semi").select(*facts.columns, "rule_id").checkpoint()
+    out = near
+    for r in load().values():
+        if r.beside:
+            paths = near.where(F.col("rule_id") == r.rule_id).select("path").distinct()
+            out = out.unionByName(facts.where(F.col("kind").isin(*r.beside) & (F.col("language") == r.language)).join(paths, "path", "left_semi").withColumn("rule_id", F.lit(r.rule_id)))
+    return out
+
+
+FOUND = "path string, line int, evidence string, rule_id string, category string, severity string, verdict_kind string, unit string"
 
 
 def findings(facts: DataFrame, language: str = "python", only: list[str] | None = None, across: bool | None = None) -> DataFrame:
-    """path, line, evidence, rule_id, category, severity, verdict_kind of all rules of a language, or of those that look across files, or not."""
+    """path, line, evidence, rule_id, category, severity, verdict_kind, unit of all rules of a language, or of those that look across files, or not."""
     chosen = [r for r in load().values() if r.language == language and (only is None or r.rule_id in only) and across in (None, r.across)]
     if not chosen:
         return facts.sparkSession.createDataFrame([], FOUND)
     simple, parts = [r for r in chosen if r.when is not None], []
     if simple:
         parts.append(one_pass(facts, simple))
-    parts += [r.run(facts).select("path", "line", "evidence", F.lit(r.rule_id).alias("rule_id")) for r in chosen if r.when is None]
+    parts += [r.run(facts).withColumn("rule_id", F.lit(r.rule_id)) for r in chosen if r.when is None]
     out = None
     for p in parts:
-        p = p.select("path", F.col("line").cast("int").alias("line"), F.coalesce("evidence", F.lit("")).alias("evidence"), "rule_id")
+        p = p.select("path", F.col("line").cast("int").alias("line"), F.coalesce("evidence", F.lit("")).alias("evidence"), "rule_id", F.col("unit" if "unit" in p.columns else "path").alias("unit"))
         out = p if out is None else out.unionByName(p)
     meta = facts.sparkSession.createDataFrame([(r.rule_id, r.category, r.severity, r.verdict) for r in chosen], "rule_id string, category string, severity string, verdict_kind string")
     out = out.distinct().join(F.broadcast(meta), "rule_id")  # one row a rule
-    return out.select("path", "line", "evidence", "rule_id", "category", "severity", "verdict_kind")
+    return out.select("path", "line", "evidence", "rule_id", "category", "severity", "verdict_kind", "unit")
 
 
 def catalogue(spark: SparkSession) -> DataFrame:

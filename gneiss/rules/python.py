@@ -222,13 +222,22 @@ def long_comment(facts, most: int = 3):
     return blocks.where(F.col("first") > F.coalesce("starts", F.lit(1 << 30))).select("path", F.col("first").alias("line"), F.col("prose").cast("string").alias("evidence"))
 
 
-@rule("PY-STYLE-STALE-COMMENT", "style", "low", "candidate", across=True)
+def named_files():
+    return F.regexp_extract_all("name", F.lit(r"[\w/]+\.py"), F.lit(0))
+
+
+def file_names():
+    own = F.when(F.col("kind").isin("module", "error"), F.array("path", F.element_at(F.split("path", "/"), -1)))
+    return own.when(F.col("kind") == "comment", named_files())
+
+
+@rule("PY-STYLE-STALE-COMMENT", "style", "low", "candidate", units=file_names)
 def stale_comment(facts):
-    named = facts.where(F.col("kind") == "comment").select("path", "line", F.explode(F.regexp_extract_all("name", F.lit(r"[\w/]+\.py"), F.lit(0))).alias("evidence"))
+    named = facts.where(F.col("kind") == "comment").select("path", "line", F.explode(named_files()).alias("evidence"))
     named = named.where(~F.element_at(F.split("evidence", "/"), -1).isin("setup.py", "conftest.py", "__init__.py", "__main__.py", "manage.py"))
     known = facts.where(F.col("kind").isin("module", "error")).select(F.col("path").alias("known")).distinct()
     known = known.select(F.explode(F.array("known", F.element_at(F.split("known", "/"), -1))).alias("evidence")).distinct()
-    return named.withColumn("full", F.col("evidence")).join(known, "evidence", "left_anti").select("path", "line", "evidence")
+    return named.withColumn("full", F.col("evidence")).join(known, "evidence", "left_anti").select("path", "line", "evidence", F.col("evidence").alias("unit"))
 
 
 # ---------------------------------------------------------------- composition
@@ -344,7 +353,12 @@ def duplicate_setup(facts):
 MAGIC_NAMES = ("revision", "down_revision", "branch_labels", "depends_on", "pytestmark")
 
 
-@rule("PY-DEAD-SYMBOL", "dead-code", "low", "candidate", across=True)
+def names_of(*kinds):
+    """A rule's units: the names of facts of some kinds."""
+    return lambda: F.when(F.col("kind").isin(*kinds), F.array("name"))
+
+
+@rule("PY-DEAD-SYMBOL", "dead-code", "low", "candidate", units=names_of("symbol_def", "symbol_ref"), beside=("module",))
 def dead_symbol(facts):
     from gneiss.operators.crossfile import dead_symbols
     from gneiss.sources.files import role
@@ -352,10 +366,10 @@ def dead_symbol(facts):
     private = F.col("name").rlike("^_") & arg("what").isin("function", "class")
     defs = facts.where((F.col("kind") == "symbol_def") & ~flag("registers") & (private | (arg("what") == "constant")) & ~F.col("name").isin(*MAGIC_NAMES, *ENTRY_POINTS, ""))
     roles = facts.where(F.col("kind") == "module").select("path", role(F.col("path"), F.lit(""), F.col("flags")).alias("role"))
-    return dead_symbols(defs.join(roles, "path"), facts.where(F.col("kind") == "symbol_ref")).withColumn("evidence", F.col("name"))
+    return dead_symbols(defs.join(roles, "path"), facts.where(F.col("kind") == "symbol_ref")).withColumn("evidence", F.col("name")).withColumn("unit", F.col("name"))
 
 
-@rule("PY-XFILE-PRIVATE-USED", OOP, "low", "candidate", across=True)
+@rule("PY-XFILE-PRIVATE-USED", OOP, "low", "candidate", units=names_of("symbol_def", "symbol_ref"))
 def private_used(facts):
     from gneiss.operators.crossfile import leaked_private
 
@@ -363,34 +377,49 @@ def private_used(facts):
     defs = mine.where((F.col("kind") == "symbol_def") & F.col("name").rlike("^_[^_]"))
     refs = mine.where((F.col("kind") == "symbol_ref") & F.col("name").rlike("^_[^_]"))
     hits = leaked_private(defs.select("name", "path"), refs.select("name", "path"))
-    return hits.join(defs.groupBy("name", "path").agg(F.min("line").alias("line")), ["name", "path"]).select("path", "line", F.concat_ws(": ", "name", "files").alias("evidence"))
+    return hits.join(defs.groupBy("name", "path").agg(F.min("line").alias("line")), ["name", "path"]).select("path", "line", F.concat_ws(": ", "name", "files").alias("evidence"), F.col("name").alias("unit"))
 
 
-@rule("PY-TEST-UNUSED-FIXTURE", T, "low", "candidate", refs="fw:pytest", framework="pytest", across=True)
+def fixture_names():
+    own = F.when(FUNCTION, F.array_union(F.array("name"), F.split(F.coalesce(arg("params"), F.lit("")), ",")))
+    return own.when(LITERAL, F.array("name"))
+
+
+@rule("PY-TEST-UNUSED-FIXTURE", T, "low", "candidate", refs="fw:pytest", framework="pytest", units=fixture_names)
 def unused_fixture(facts):
     fixtures = facts.where(FUNCTION & flag("decorator:fixture") & ~F.coalesce(arg("decorators"), F.lit("")).contains("autouse"))
     requested = facts.where(FUNCTION).select(F.explode(F.split(arg("params"), ",")).alias("name"))
     named = facts.where(LITERAL).select("name")
-    return fixtures.join(requested.union(named).distinct(), "name", "left_anti").withColumn("evidence", F.col("name"))
+    return fixtures.join(requested.union(named).distinct(), "name", "left_anti").withColumn("evidence", F.col("name")).withColumn("unit", F.col("name"))
 
 
 def _duplicates(facts, condition, key="sig"):
     shapes = facts.where(condition & F.col(key).isNotNull()).select("path", "line", "name", F.col(key).alias("shape_hash"))
     often = shapes.groupBy("shape_hash").agg(F.countDistinct("path").alias("n_paths")).where("n_paths >= 2")
-    return shapes.join(often, "shape_hash").withColumn("evidence", F.col("name"))
+    return shapes.join(often, "shape_hash").withColumn("evidence", F.col("name")).withColumn("unit", F.col("shape_hash"))
+
+
+def shapes_of(condition):
+    """A rule's units: the signatures of facts that meet a condition."""
+    return lambda: F.when(condition() & F.col("sig").isNotNull(), F.array("sig"))
+
+
+def plain_function():
+    return FUNCTION & (number("n_statements") >= 3) & ~F.col("name").startswith("test") & ~F.exists("flags", lambda x: x.rlike("^decorator:(command|callback)$"))
 
 
-@rule("PY-XFILE-DUP-MODEL", OOP, "low", "candidate", across=True)
+@rule("PY-XFILE-DUP-MODEL", OOP, "low", "candidate", units=shapes_of(lambda: CLASS & BASE_MODEL))
 def duplicate_model(facts):
     return _duplicates(facts, CLASS & BASE_MODEL)
 
 
-@rule("PY-XFILE-DUP-FUNCTION", OOP, "low", "candidate", across=True)
+@rule("PY-XFILE-DUP-FUNCTION", OOP, "low", "candidate", units=shapes_of(plain_function))
 def duplicate_function(facts):
-    return _duplicates(facts, FUNCTION & (number("n_statements") >= 3) & ~F.col("name").startswith("test") & ~F.exists("flags", lambda x: x.rlike("^decorator:(command|callback)$")))
+    return _duplicates(facts, plain_function())
 
 
-@rule("PY-CONFIG-SCATTERED-SETTINGS", "config", "low", "candidate", across=True)
+# any class can join or split a hierarchy, so all classes are one unit
+@rule("PY-CONFIG-SCATTERED-SETTINGS", "config", "low", "candidate", units=lambda: F.when(CLASS, F.array(F.lit("settings"))))
 def scattered_settings(facts):
     from gneiss.operators.crossfile import descendants, home, outside_home
 
@@ -399,7 +428,7 @@ def scattered_settings(facts):
     roots = facts.sparkSession.createDataFrame([("BaseSettings",)], "name string")
     members = c.join(descendants(edges, roots).where("depth > 0").select("name"), "name", "left_semi").select("name", "line", "path", F.lit("production").alias("role"))
     homes = home(members, "role", "path")
-    return outside_home(members, homes, "role", "path").withColumn("evidence", F.col("name"))
+    return outside_home(members, homes, "role", "path").withColumn("evidence", F.col("name")).withColumn("unit", F.lit("settings"))
 
 
 @rule("SA-GREENLET-ATTR-AFTER-COMMIT", "async", "medium", "candidate", refs="fw:sqlalchemy", framework="sqlalchemy")

@@ -151,15 +151,20 @@ def parallel_sibling(facts):
     return near_twins(s, 2).select("path", "line", F.col("n").cast("string").alias("evidence"))
 
 
-def across(facts: DataFrame, condition: Column) -> DataFrame:
-    shapes = facts.where(condition).select("path", "line", "name", F.col("sig").alias("shape_hash"))
-    often = shapes.groupBy("shape_hash").agg(F.countDistinct("path").alias("n_paths")).where("n_paths >= 2")
-    return shapes.join(often, "shape_hash").withColumn("evidence", F.col("name"))
+def across(rule_id: str, condition) -> None:
+    """A rule for shapes that stand in two files or more."""
 
+    def run(facts: DataFrame) -> DataFrame:
+        shapes = facts.where(condition()).select("path", "line", "name", F.col("sig").alias("shape_hash"))
+        often = shapes.groupBy("shape_hash").agg(F.countDistinct("path").alias("n_paths")).where("n_paths >= 2")
+        return shapes.join(often, "shape_hash").withColumn("evidence", F.col("name")).withColumn("unit", F.col("shape_hash"))
 
-rule("TS-XFILE-DUP-COMPONENT", R, "low", "candidate", "typescript", across=True)(lambda facts: across(facts, COMPONENT & (number("size") >= 40)))
-rule("TS-XFILE-DUP-FUNCTION", R, "low", "candidate", "typescript", across=True)(lambda facts: across(facts, (F.col("kind") == "function") & (F.col("n") >= 3)))
-rule("TS-XFILE-DUP-JSX-BLOCK", R, "low", "candidate", "typescript", across=True)(lambda facts: across(facts, ELEMENT & (number("size") >= 5)))
+    rule(rule_id, R, "low", "candidate", "typescript", units=lambda: F.when(condition() & F.col("sig").isNotNull(), F.array("sig")))(run)
+
+
+across("TS-XFILE-DUP-COMPONENT", lambda: COMPONENT & (number("size") >= 40))
+across("TS-XFILE-DUP-FUNCTION", lambda: (F.col("kind") == "function") & (F.col("n") >= 3))
+across("TS-XFILE-DUP-JSX-BLOCK", lambda: ELEMENT & (number("size") >= 5))
 
 # design system: silent until configured
 DESIGN: dict = {"ui_paths": (), "components": (), "primitives": {}}

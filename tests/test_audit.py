@@ -197,6 +197,56 @@ def test_an_edit_gives_what_a_full_audit_gives(spark, tmp_path):
     assert {"PY-DEAD-SYMBOL", "PY-TEST-UNUSED-FIXTURE"} <= {r[2] for r in full}
 
 
+def test_random_edits_and_settings_give_what_a_full_audit_gives(spark, tmp_path, monkeypatch):
+    """Files come, change and go, rules are switched off and on again, and the log is compacted on the way."""
+    import random
+
+    from gneiss.sources import index as I
+
+    monkeypatch.setattr(I, "MOST_PUTS", 2)
+    r = random.Random(5)
+    names = [f"app/m{i}.py" for i in range(7)] + [f"web/c{i}.tsx" for i in range(3)]
+
+    def source(path):
+        k, n = r.randrange(4), r.randrange(7)
+        if path.endswith("tsx"):
+            return f"export function C{n}({{ a }}) {{\n  const b = use{k}(a)\n  return <section><h4>{{b}}</h4></section>\n}}\n"
+        return f"# see m{n}.py\nfrom app.m{n} import _f{k}\n\n\ndef _f{n}():\n    return _f{k}()\n\n\nclass M{n}(BaseModel):\n    x{k}: int\n    y: int\n" + ("class S(BaseSettings):\n    pass\n" if k else "")
+
+    frame = lambda d: spark.createDataFrame(sorted(d.items()), "path string, text string")
+    rows = lambda df: sorted(map(tuple, df.select("path", "line", "rule_id", "severity", "verdict_kind", "evidence").collect()))
+    index, now = Index(spark, f"file://{tmp_path}/index"), {p: source(p) for p in names}
+    off = {"rules": {"PY-XFILE-PRIVATE-USED": {"enabled": False}, "PY-XFILE-DUP-MODEL": {"severity": "high"}, "PY-TYPING-MISSING-HINTS": {"enabled": False}}}
+    for step, config in enumerate(({}, off, {})):
+        if step:
+            for p in r.sample(names, 3):
+                now[p] = source(p)
+            now.pop(r.choice(sorted(now)))
+        got = rows(A.incremental(spark, index, "r", frame(now), config))
+        assert not step or got == rows(A.audit(spark, frame(now), config)), step
+    assert any(kind == "base" for _, kind, _ in index.log("findings", "r"))
+
+
+def test_a_write_to_the_index_costs_what_it_changes(spark, tmp_path):
+    index = Index(spark, f"file://{tmp_path}/index")
+    rows = spark.range(5000).selectExpr("concat('p', id % 500) path", "cast(id as int) line", "false whole_file", "array('a') codes")
+    index.put("directives", "a/b", rows)
+    new = spark.createDataFrame([("p1", 7, True, ["b"])], "path string, line int, whole_file boolean, codes array<string>")
+    index.put("directives", "a/b", new, spark.createDataFrame([("p1",), ("p2",), ("none",)], "path string"))
+    (_, _, first), (_, kind, last) = index.log("directives", "a/b")
+    assert kind == "put" and spark.read.parquet(last).count() == 4 and spark.read.parquet(first).count() == 5000
+    got = index.read("directives", "a/b")
+    assert got.count() == 5000 - 20 + 1 and got.where("path = 'p2'").isEmpty() and [r["line"] for r in got.where("path = 'p1'").collect()] == [7]
+    index.compact("directives", "a/b")
+    assert index.read("directives", "a/b").count() == 4981 and index.read("directives", "other").isEmpty()
+    # a write that was not completed does not count
+    new.write.parquet(index.path("directives", "a/b") + "/0000000009-put-x")
+    import os
+
+    os.remove(f"{tmp_path}/index/v{index.version}/directives/a%2Fb/0000000009-put-x/_SUCCESS")
+    assert index.read("directives", "a/b").count() == 4981
+
+
 def test_scanner_versions_are_part_of_the_ledger(spark):
     from gneiss.operators import ledger
 
