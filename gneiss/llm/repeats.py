@@ -352,7 +352,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op6_repeats(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return out.select("doc_id", "n_removed", "n_spans", "n_bytes", "kept_sha256", spans.alias("spans"))  # the decisions first
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", spans.alias("spans"))
 
 
 ORACLE = r"""
