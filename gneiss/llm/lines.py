@@ -82,7 +82,7 @@ def templates(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def dropped_positions(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, gone): the 0-based lines that go from each text."""
+    """(key, gone, n_gone): which lines go from each text, as a mark 0 or 1 for each line up to the last that goes."""
     lines = scratch.save(parsed(docs), "lines")
     counts = scratch.save(lines.groupBy("leaf", "line").agg(F.countDistinct("key").alias("n")), "counts")
     general = templates(docs, scratch)
@@ -91,9 +91,13 @@ def dropped_positions(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # a line that occurs as often by itself has its own form as template, too
     texts = scratch.save(texts.select("template"), "recurring", 1)
     bad = scratch.save(frequent.union(general.join(texts, "template", "left_semi").select("line")).distinct(), "bad", 1)
-    gone = lines.join(bad, "line", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("gone"))
-    gone = scratch.save(gone, "gone", 1)
-    for name in ("lines", "counts", "busy", "places", "shapes", "common", "templates"):
+    gone = lines.join(bad, "line", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    gone = scratch.save(gone, "gone_at", 1)
+    # a step per line that goes, so a text of any number of lines costs in proportion to it
+    before = F.concat(F.array(F.lit(-1)), F.slice("at", F.lit(1), F.size("at") - 1))
+    marks = F.zip_with("at", before, lambda g, p: F.concat(F.repeat(F.lit("0"), g - p - 1), F.lit("1")))
+    gone = scratch.save(gone.select("key", F.array_join(marks, "").alias("gone"), F.size("at").alias("n_gone")), "gone", 1)
+    for name in ("lines", "counts", "busy", "places", "shapes", "common", "templates", "gone_at"):
         scratch.remove(name)
     return gone
 
@@ -101,14 +105,14 @@ def dropped_positions(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def drop_templates(docs: DataFrame, counts_as: str | None = None) -> DataFrame:
     """docs with recurring lines taken out of text; with counts_as also a struct of that name: n_lines, n_dropped."""
     scratch = Scratch(docs.sparkSession, "lines")
-    key, of, gone = fresh(docs, "key", "of", "gone")
-    places = dropped_positions(docs.select("text"), scratch).toDF(of, gone)
+    key, of, gone, n_gone = fresh(docs, "key", "of", "gone", "n_gone")
+    places = dropped_positions(docs.select("text"), scratch).toDF(of, gone, n_gone)
     joined = docs.withColumn(key, text_key()).join(places, F.col(key) == F.col(of), "left")
     lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    left = F.array_join(F.zip_with(lines, F.split(gone, ""), lambda x, mark: F.when(mark.eqNullSafe("1"), F.lit(None)).otherwise(x)), "\n")  # nulls are left out
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     some = F.col(gone).isNotNull() & F.col("text").isNotNull()
-    info = F.struct(n.cast("long").alias("n_lines"), F.when(some, F.size(gone)).otherwise(0).cast("long").alias("n_dropped"))
+    info = F.struct(n.cast("long").alias("n_lines"), F.when(some, F.col(n_gone)).otherwise(0).cast("long").alias("n_dropped"))
     columns = [F.when(some, left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*columns, *([info.alias(counts_as)] if counts_as else []))
 

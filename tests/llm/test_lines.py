@@ -1,4 +1,5 @@
 from gneiss.llm import lines
+from gneiss.llm import lines as lines_op
 from textgen import prose
 
 
@@ -47,3 +48,14 @@ def test_very_long_texts_ties_and_clashing_columns(spark, rng):
     got = {r["doc_id"]: r for r in lines.drop_templates(df).collect()}
     assert all("Subscribe" not in got[i]["text"] and tuple(got[i])[2:] == tuple(range(len(names))) for i in range(5))
     assert got[0]["text"].count("\n") == 19_999
+
+
+def test_many_recurring_lines_in_one_text_are_linear(spark):
+    """Texts of 100,000 lines that all recur, and one line that does not, end soon and keep that line."""
+    import time
+
+    lines = [f"recurring line {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)} of many" for i in range(100_000)]
+    rows = [(k, "\n".join([*lines[:50_000], f"only here {'x' * (k + 1)} once", *lines[50_000:]])) for k in range(6)]
+    began = time.time()
+    got = {r["doc_id"]: r["text"] for r in lines_op.drop_templates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == {k: f"only here {'x' * (k + 1)} once" for k in range(6)} and time.time() - began < 120
