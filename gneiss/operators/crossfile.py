@@ -22,11 +22,19 @@ def duplicates_by_role(shapes: DataFrame, roles: DataFrame, least: int = 2) -> D
 
 
 def elsewhere(dups: DataFrame, shown: int = 5) -> DataFrame:
-    """dups(shape_hash, role, path, line) with the sorted places of the group's other members, truncated."""
+    """dups(shape_hash, role, path, line) with the sorted places of the group's other members, the first `shown` of them and how many more.
+
+    A group hands on its first shown + 1 places and their number only; both are cut down before they are shuffled.
+    """
     place = F.concat_ws(":", "path", F.col("line").cast("string"))
-    groups = dups.groupBy("shape_hash", "role").agg(F.array_sort(F.collect_set(place)).alias("places"))
-    others = F.filter("places", lambda x: x != F.concat_ws(":", F.col("path"), F.col("line").cast("string")))
-    return dups.join(groups, ["shape_hash", "role"]).withColumn("elsewhere", truncated(others, shown)).drop("places")
+    places = dups.select("shape_hash", "role", place.alias("place")).distinct()
+    order = F.row_number().over(Window.partitionBy("shape_hash", "role").orderBy("place"))
+    first = places.withColumn("r", order).where(F.col("r") <= shown + 1).groupBy("shape_hash", "role").agg(F.sort_array(F.collect_list("place")).alias("first"))
+    groups = places.groupBy("shape_hash", "role").agg(F.count(F.lit(1)).alias("n")).join(first, ["shape_hash", "role"])
+    others = F.slice(F.filter("first", lambda x: x != F.concat_ws(":", F.col("path"), F.col("line").cast("string"))), 1, shown)
+    more = F.col("n") - 1 - shown
+    told = F.concat(F.array_join(others, ", "), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
+    return dups.join(groups, ["shape_hash", "role"]).withColumn("elsewhere", told).drop("first", "n")
 
 
 def unreferenced(defined: DataFrame, used: DataFrame, key: str) -> DataFrame:

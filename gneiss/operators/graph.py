@@ -18,7 +18,6 @@ RANKED = ("calls", "overrides", "references_type")
 DEGREE = ("calls", "references_type", "overrides", "contains", "registered_in")
 FUNCTIONS = ("function", "method")
 TEST_ROLES = ("test", "test_support")
-LOCAL_EDGES = 1_000_000
 
 
 def incident(edges: DataFrame, node: str, kinds=STRUCTURAL) -> DataFrame:
@@ -204,42 +203,25 @@ def pagerank(nodes: DataFrame, edges: DataFrame, kinds=RANKED, damping: float =
         base = ids.join(chosen, "node_id", "left").select("node_id", F.coalesce("own", F.lit(0.0)).alias("p"))
         if base.where("p > 0").isEmpty():
             base = ids.withColumn("p", F.lit(1.0))
-    if e.count() + ids.count() <= LOCAL_EDGES:
-        return _pagerank_local(base, e, damping, iterations)
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # edges lie by their source and nodes by their id, in as many parts: a round shuffles only what flows over edges, summed up before
+    e = e.repartition(parts, "src").checkpoint()
     total = base.agg(F.sum("p").alias("t"))
     has_out = e.select(F.col("src").alias("node_id"), F.lit(True).alias("has_out")).distinct()
-    state = base.join(F.broadcast(total)).select("node_id", (F.col("p") / F.col("t")).alias("p")).join(has_out, "node_id", "left").withColumn("rank", F.col("p")).checkpoint()
+    state = base.join(F.broadcast(total)).select("node_id", (F.col("p") / F.col("t")).alias("p")).join(has_out, "node_id", "left").withColumn("rank", F.col("p"))  # one row
+    state = state.repartition(parts, "node_id").checkpoint()
     for _ in range(iterations):
-        flow = e.join(state.select(F.col("node_id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("rank") * F.col("share")).alias("inflow"))
-        lost = state.agg(F.coalesce(F.sum(F.when(F.col("has_out").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
+        now = state.select("node_id", "rank")
+        flow = e.join(now.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("rank") * F.col("share")).alias("inflow"))
+        # what nodes without out edges hold goes back to the start; it is one number a round
+        lost = state.where("has_out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         new = F.lit(1 - damping) * F.col("p") + damping * F.coalesce("inflow", F.lit(0.0)) + damping * F.col("lost") * F.col("p")
         state = state.join(flow, "node_id", "left").join(F.broadcast(lost)).select("node_id", "p", "has_out", new.alias("rank"))
-        # the state is read three times a round, so its plan is cut each round
         state = state.checkpoint()
     whole = state.agg(F.sum("rank").alias("whole"))
     return state.join(F.broadcast(whole)).select("node_id", (F.col("rank") / F.col("whole")).alias("rank"))
 
 
-def _pagerank_local(base: DataFrame, edges: DataFrame, damping: float, iterations: int) -> DataFrame:
-    """The same recurrence over arrays in one task, for graphs of at most LOCAL_EDGES nodes and distinct edges; the sum is the same."""
-    rows = base.select("node_id", F.lit(None).cast("string").alias("dst"), "p").unionByName(edges.select(F.col("src").alias("node_id"), "dst", F.col("share").alias("p")))
-
-    def rank(pdf):
-        import numpy as np
-
-        nodes, links = pdf[pdf.dst.isna()], pdf[pdf.dst.notna()]
-        at = {n: i for i, n in enumerate(nodes.node_id)}
-        p = nodes.p.to_numpy() / nodes.p.sum()
-        src, dst = links.node_id.map(at).to_numpy(int), links.dst.map(at).to_numpy(int)
-        share, dangling = links.p.to_numpy(), ~np.isin(np.arange(len(p)), src)
-        r = p
-        for _ in range(iterations):
-            r = (1 - damping) * p + damping * np.bincount(dst, r[src] * share, len(p)) + damping * r[dangling].sum() * p
-        return nodes.assign(rank=r / r.sum())[["node_id", "rank"]]
-
-    return rows.groupBy().applyInPandas(rank, "node_id string, rank double")
-
-
 UNIT_ITEMS = 2048
 UNIT = "node {0}, other {0}, weight double"
 
@@ -420,13 +402,14 @@ def outline(nodes: list[dict], edges: list[dict]) -> str:
             inner.add(e["dst"])
     out: list[str] = []
 
+    relations: dict[str, dict[str, list[str]]] = {}
+    for e in edges:
+        if e["kind"] != "contains":
+            relations.setdefault(e["src"], {}).setdefault(e["kind"], []).append(e["dst"])
+
     def walk(i: str, depth: int) -> None:
         out.append("  " * depth + f"{names[i].get('kind', '?')} {i}")
-        groups: dict[str, list[str]] = {}
-        for e in edges:
-            if e["src"] == i and e["kind"] != "contains":
-                groups.setdefault(e["kind"], []).append(e["dst"])
-        out.extend("  " * (depth + 1) + f"{k}: {', '.join(sorted(v))}" for k, v in sorted(groups.items()))
+        out.extend("  " * (depth + 1) + f"{k}: {', '.join(sorted(v))}" for k, v in sorted(relations.get(i, {}).items()))
         for c in sorted(children.get(i, [])):
             walk(c, depth + 1)
 

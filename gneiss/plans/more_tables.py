@@ -80,15 +80,21 @@ def rules_in_force(spark, sf):
     return config.plan(files, config.matrix(spark, rules, settings), ["src/*"]).select("path", "rule_id", "severity", "verdict")
 
 
-@query(values("merged, one, same, other", [('{"a": {"b": 1, "c": [2]}, "d": 3}', True, True, True)]))
+@query("""SELECT p_partkey, concat('{"a": {"b": ', p_size, ', "c": ["', p_brand, '"]}, "d": "', p_name, '"}') AS merged, true AS one, true AS same, p_size <> 7 AS other FROM part""")
 def configuration_layers(spark, sf):
+    """Two layers of settings per row of part, merged, and fingerprints of what is in force: the order of keys does not matter, values do."""
     import json
 
     from gneiss.sources.config import deep_merge, rule_fingerprint
 
-    merged = json.dumps(deep_merge({"a": {"b": 1, "c": [1]}}, {"a": {"c": [2]}, "d": 3}))
-    a, b, c = rule_fingerprint("1", {"x": 1, "y": 2}), rule_fingerprint("1", {"y": 2, "x": 1}), rule_fingerprint("2", {"x": 1, "y": 2})
-    return spark.createDataFrame([(merged, len(a) == 16, a == b, a != c)], "merged string, one boolean, same boolean, other boolean")
+    def layered(batches):
+        for pdf in batches:
+            merged = [json.dumps(deep_merge({"a": {"b": int(n), "c": [int(k)]}}, {"a": {"c": [brand]}, "d": name})) for k, n, brand, name in zip(pdf.p_partkey, pdf.p_size, pdf.p_brand, pdf.p_name, strict=True)]
+            prints = [(rule_fingerprint("1", {"x": 1, "y": int(n)}), rule_fingerprint("1", {"y": int(n), "x": 1}), rule_fingerprint("1", {"x": 1, "y": 7})) for n in pdf.p_size]
+            yield pdf[["p_partkey"]].assign(merged=merged, one=[len(p[0]) == 16 for p in prints], same=[p[0] == p[1] for p in prints], other=[p[0] != p[2] for p in prints])
+
+    rows = table(spark, sf, "part").select("p_partkey", "p_size", "p_brand", "p_name")
+    return rows.mapInPandas(layered, "p_partkey long, merged string, one boolean, same boolean, other boolean")
 
 
 @query(f"""WITH {F_SQL}, d AS (SELECT *, row_number() OVER (ORDER BY seq) AS k FROM f) SELECT file, line FROM d WHERE NOT (line % 7 = 0) AND NOT (line % 5 = 0 AND rule_id IN ('view', 'click'))""")
@@ -130,12 +136,18 @@ def text_tests(spark, sf):
         F.array_join(C.referenced_names(F.when(F.col("p_size") % 2 == 0, "pkg.mod:attr").otherwise("not a name")), ",").alias("named"), C.any_glob(F.concat(F.lit("a/b"), text("p_partkey")), even).alias("glob_hit"))
 
 
-@query(values("word, stem", [("consistency", "consist"), ("hopping", "hop"), ("hoping", "hope"), ("ties", "tie"), ("happy", "happi"), ("relational", "relat"), ("controlling", "control"), ("items", "item"), ("skies", "sky")]))
+STEMS = [("economy", "economi"), ("economies", "economi"), ("large", "larg"), ("larges", "larg"), ("medium", "medium"), ("mediums", "medium"), ("promo", "promo"), ("promos", "promo"), ("small", "small"), ("smalls", "small"), ("standard", "standard"), ("standards", "standard")]
+
+
+@query(f"""WITH w AS (SELECT p_partkey, lower(p_type) AS t FROM part), x AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN t WHEN t LIKE '%y' THEN concat(left(t, -1), 'ies') ELSE concat(t, 's') END AS word FROM w)
+SELECT p_partkey, x.word, stem FROM x JOIN ({values("word, stem", STEMS)}) s ON x.word = s.word""")
 def stems(spark, sf):
     from gneiss.functions.stem import stemmed
 
-    words = "consistency hopping hoping ties happy relational controlling items skies".split()
-    return spark.createDataFrame([(w,) for w in words], "word string").withColumn("stem", stemmed(F.col("word")))
+    t = F.lower("p_type")
+    many = F.when(t.endswith("y"), F.concat(F.expr("left(lower(p_type), length(p_type) - 1)"), F.lit("ies"))).otherwise(F.concat(t, F.lit("s")))
+    words = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, t).otherwise(many).alias("word"))
+    return words.withColumn("stem", stemmed(F.col("word")))
 
 
 # ---------------------------------------------------------------- findings, reports, scanners
@@ -379,79 +391,80 @@ def naming_inconsistencies(spark, sf):
     return graph.naming_inconsistencies(v, ("reads", "writes")).select("first", "second")
 
 
-CLIQUES = [(f"{g}{i}", f"{g}{j}") for g in "abc" for i in range(5) for j in range(i + 1, 5)] + [("a0", "b0"), ("b1", "c1")]
-
-
-@query(values("node_id, cluster_id", [(f"{g}{i}", "abc".index(g)) for g in "abc" for i in range(5)] + [("z", 3)]))
+@query("""WITH g AS (SELECT concat('p', p_partkey) AS node_id, p_brand, p_size FROM part), c AS (SELECT p_brand, p_size, count(*) AS n, min(node_id) AS least FROM g GROUP BY p_brand, p_size)
+SELECT node_id, cluster_id FROM (SELECT p_brand, p_size, (row_number() OVER (ORDER BY n DESC, least) - 1)::INT AS cluster_id FROM c) JOIN g USING (p_brand, p_size)""")
 def concept_clusters(spark, sf):
-    e = spark.createDataFrame([(a, b, "calls", 1.0) for a, b in CLIQUES], "src string, dst string, kind string, weight double")
-    v = spark.createDataFrame([(f"{g}{i}",) for g in "abc" for i in range(5)] + [("z",)], "node_id string")
-    return communities.clusters(v, e)
+    """Parts of one brand and size call the first of them: each such star is a component, and merging it to its end gains, so it is a cluster."""
+    p = table(spark, sf, "part").select(F.concat(F.lit("p"), text("p_partkey")).alias("node_id"), "p_brand", "p_size")
+    hub = p.groupBy("p_brand", "p_size").agg(F.min("node_id").alias("dst"))
+    e = p.join(hub, ["p_brand", "p_size"]).where("node_id <> dst").select(F.col("node_id").alias("src"), "dst", F.lit("calls").alias("kind"), F.lit(1.0).alias("weight"))
+    return communities.clusters(p.select("node_id"), e)
 
 
 # ---------------------------------------------------------------- facts of sources
 
-SOURCES = {
-    "pkg/__init__.py": "from .core import thing as renamed\nfrom .star import *\n", "pkg/star.py": "from pkg.deep import *\n", "pkg/deep.py": "def far():\n    return 2\n",
-    "pkg/core.py": "def thing():\n    return 1\n\n\nclass Base:\n    def go(self):\n        return thing()\n",
-    "use.py": "from pkg import renamed, far\n\n\ndef a():\n    return renamed()\n\n\ndef b():\n    return far()\n",
-    "chain.py": "from pkg.core import Base\n\n\nclass A(Base):\n    x = 1\n\n\nclass B(A):\n    def go(self):\n        return 0\n\n\nclass C(B):\n    def run(self):\n        return self.go()\n",
-    "typed.py": "from pkg.core import Base\n\n\ndef on(item: Base | None):\n    return item.go()\n\n\ndef give(run):\n    return run(on)\n",
-    "routes.py": "from app import site\n\n\n@site.get('/')\nasync def home(a, b=1) -> str:\n    if a and b:\n        return 'x'\n    for i in a:\n        print(i)\n    return 'y'\n", "app.py": "site = make()\n",
-}
+# a file per row of part; rows whose size is below their key build on the file that the size names
+ALONE = "{async}def f{k}(a, b=1) -> int:\n    if a and b:\n        return 1\n    for i in a:\n        print(i)\n    return 0\n\n\nclass C{k}:\n    def go(self):\n        return {size}\n"
+LINKED = "from src.m{size} import f{size}, C{size}\n\n\n{async}def f{k}(a, b=1) -> int:\n    if a and b:\n        return f{size}(a)\n    for i in a:\n        print(i)\n    return 0\n\n\nclass C{k}(C{size}):\n    def go(self):\n        return {size}\n"
 
 
-def source_facts(spark) -> DataFrame:
+def source_facts(spark, sf) -> DataFrame:
     from gneiss.facts.python import facts
 
-    return facts(spark.createDataFrame(sorted(SOURCES.items()), "path string, text string")).checkpoint()
+    made = F.when(F.col("p_size") < F.col("p_partkey"), LINKED).otherwise(ALONE)
+    for mark, value in (("{k}", text("p_partkey")), ("{size}", text("p_size")), ("{async}", F.when(F.col("p_size") % 2 == 0, "async ").otherwise(""))):
+        made = F.replace(made, F.lit(mark), value)
+    files = table(spark, sf, "part").select(F.concat(F.lit("src/m"), "p_partkey", F.lit(".py")).alias("path"), made.alias("text"))
+    return facts(files).checkpoint()
 
 
-@query(values("src, dst, kind", [
-    ("use.py::a", "pkg/core.py::thing", "calls"), ("use.py::b", "pkg/deep.py::far", "calls"), ("pkg/core.py::Base.go", "pkg/core.py::thing", "calls"), ("chain.py::C.run", "chain.py::B.go", "calls"), ("typed.py::on", "pkg/core.py::Base.go", "calls"),
-    ("typed.py::give", "typed.py::on", "callback_arg"), ("routes.py::home", "app.py", "registered_in"), ("typed.py::on", "pkg/core.py::Base", "references_type"),
-    ("chain.py::A", "pkg/core.py::Base", "inherits"), ("chain.py::B", "chain.py::A", "inherits"), ("chain.py::C", "chain.py::B", "inherits"),
-    ("chain.py", "pkg/core.py", "imports"), ("pkg/__init__.py", "pkg/core.py", "imports"), ("pkg/__init__.py", "pkg/star.py", "imports"), ("pkg/star.py", "pkg/deep.py", "imports"), ("routes.py", "app.py", "imports"), ("typed.py", "pkg/core.py", "imports"), ("use.py", "pkg/__init__.py", "imports"),
-]))
+@query("""WITH p AS (SELECT concat('src/m', p_partkey, '.py') AS a, concat('src/m', p_size, '.py') AS b, p_partkey AS k, p_size AS t FROM part WHERE p_size < p_partkey)
+SELECT a AS src, b AS dst, 'imports' AS kind FROM p UNION ALL SELECT concat(a, '::f', k), concat(b, '::f', t), 'calls' FROM p UNION ALL SELECT concat(a, '::C', k), concat(b, '::C', t), 'inherits' FROM p
+UNION ALL SELECT concat(a, '::C', k, '.go'), concat(b, '::C', t, '.go'), 'overrides' FROM p""")
 def structural_edges(spark, sf):
-    f = source_facts(spark)
+    f = source_facts(spark, sf)
     return resolve.edges(f, resolve.nodes(f).checkpoint()).where("kind <> 'contains'").select("src", "dst", "kind")
 
 
-@query(values("symbol, kind, arg_count, return_type, is_async, complexity", [
-    ("thing", "function", 0, None, False, 1), ("Base.go", "method", 0, None, False, 1), ("far", "function", 0, None, False, 1), ("a", "function", 0, None, False, 1), ("b", "function", 0, None, False, 1), ("B.go", "method", 0, None, False, 1), ("C.run", "method", 0, None, False, 1),
-    ("on", "function", 1, None, False, 1), ("give", "function", 1, None, False, 1), ("home", "function", 2, "str", True, 4),
-]))
+@query("""SELECT concat('f', p_partkey) AS symbol, 'function' AS kind, 2 AS arg_count, 'int' AS return_type, p_size % 2 = 0 AS is_async, 4 AS complexity FROM part
+UNION ALL SELECT concat('C', p_partkey, '.go'), 'method', 0, NULL, false, 1 FROM part""")
 def definitions(spark, sf):
     from gneiss.facts import profile
 
-    f = source_facts(spark)
+    f = source_facts(spark, sf)
     m = profile.manifest(f).where("kind <> 'class'").select("path", "line", "symbol", "kind", "arg_count", "return_type", "is_async")
     c = f.where("kind = 'function'").select("path", "line", F.col("args")["complexity"].cast("int").alias("complexity"))
     return m.join(c, ["path", "line"]).drop("path", "line")
 
 
-@query(values("node_id, profile", [("routes.py::home", "async,branches,calls_io"), ("typed.py::on", ""), ("pkg/core.py::thing", "")]))
+@query("""SELECT concat('src/m', p_partkey, '.py::f', p_partkey) AS node_id, CASE WHEN p_size % 2 = 0 THEN 'async,branches,calls_io' ELSE 'branches,calls_io' END AS profile FROM part
+UNION ALL SELECT concat('src/m', p_partkey, '.py::C', p_partkey, '.go'), '' FROM part""")
 def behaviour_profiles(spark, sf):
     from gneiss.facts import profile
 
-    p = profile.profiles(source_facts(spark)).where(F.col("node_id").isin("routes.py::home", "typed.py::on", "pkg/core.py::thing"))
-    return p.select("node_id", F.array_join(F.array_sort("profile"), ",").alias("profile"))
+    return profile.profiles(source_facts(spark, sf)).select("node_id", F.array_join(F.array_sort("profile"), ",").alias("profile"))
 
 
-@query(values("n, same_shape", [(7, True)]))
+@query("SELECT count(*) AS n FROM part GROUP BY p_size % 5")
 def clone_signatures(spark, sf):
-    """Functions alike but for names and constants have one signature."""
+    """Functions alike but for names and constants have one signature: there are as many as different methods called."""
     from gneiss.facts.python import facts
 
-    body = "def {0}({1}):\n    {2} = {1}.load({3})\n    return {2} + {4}\n"
-    rows = [(f"f{i}.py", body.format(f"f{i}", f"a{i}", f"b{i}", i, i * 2)) for i in range(7)]
-    f = facts(spark.createDataFrame(rows, "path string, text string")).where("kind = 'function'")
-    return f.agg(F.count(F.lit(1)).cast("int").alias("n"), (F.countDistinct("sig") == 1).alias("same_shape"))
+    made = F.lit("def f{k}(a{k}):\n    b{k} = a{k}.load{m}({k})\n    return b{k} + {size}\n")
+    for mark, value in (("{k}", text("p_partkey")), ("{size}", text("p_size")), ("{m}", (F.col("p_size") % 5).cast("string"))):
+        made = F.replace(made, F.lit(mark), value)
+    files = table(spark, sf, "part").select(F.concat(F.lit("f"), "p_partkey", F.lit(".py")).alias("path"), made.alias("text"))
+    return facts(files).where("kind = 'function'").groupBy("sig").agg(F.count(F.lit(1)).alias("n")).select("n")
 
 
-@query(values("line", [("module a",), ("  function a::f",), ("    calls: a::g",), ("  function a::g",)]))
+@query("""SELECT concat('module ', r_name) AS line FROM region UNION ALL SELECT concat('  nation ', r_name, '::', n_name) FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT concat('    calls: ', (SELECT r_name FROM region q WHERE q.r_regionkey = (n_nationkey % 5))) FROM nation""")
 def graph_outline(spark, sf):
-    nodes = [{"node_id": "a", "kind": "module"}, {"node_id": "a::f", "kind": "function"}, {"node_id": "a::g", "kind": "function"}]
-    edges = [{"src": "a", "dst": "a::f", "kind": "contains"}, {"src": "a", "dst": "a::g", "kind": "contains"}, {"src": "a::f", "dst": "a::g", "kind": "calls"}]
-    return spark.createDataFrame([(x,) for x in graph.outline(nodes, edges).split("\n")], "line string")
+    """Regions contain nations, and a nation calls a region: an outline of those 30 nodes."""
+    r = table(spark, sf, "region").select("r_regionkey", "r_name")
+    n = table(spark, sf, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("src"), F.concat("r_name", F.lit("::"), "n_name").alias("dst"))
+    nodes = r.select(F.col("r_name").alias("node_id"), F.lit("module").alias("kind")).union(n.select("dst", F.lit("nation")))
+    calls = n.join(r, F.col("n_nationkey") % 5 == F.col("r_regionkey")).select(F.col("dst").alias("src"), F.col("r_name").alias("dst"), F.lit("calls").alias("kind"))
+    edges = n.select("src", "dst", F.lit("contains").alias("kind")).union(calls)
+    lines = graph.outline([x.asDict() for x in nodes.collect()], [x.asDict() for x in edges.collect()]).split("\n")
+    return spark.createDataFrame([(x,) for x in lines], "line string")
