@@ -6,7 +6,9 @@ at most the current step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.core import dot, jaccard, object_tokens, smooth_idf, squared_distance, verb
@@ -204,24 +206,36 @@ def pagerank(nodes: DataFrame, edges: DataFrame, kinds=RANKED, damping: float =
         if base.where("p > 0").isEmpty():
             base = ids.withColumn("p", F.lit(1.0))
     parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # edges lie by their source and nodes by their id, in as many parts: a round shuffles only what flows over edges, summed up before
-    e = e.repartition(parts, "src").checkpoint()
     total = base.agg(F.sum("p").alias("t"))
     has_out = e.select(F.col("src").alias("node_id"), F.lit(True).alias("has_out")).distinct()
     state = base.join(F.broadcast(total)).select("node_id", (F.col("p") / F.col("t")).alias("p")).join(has_out, "node_id", "left").withColumn("rank", F.col("p"))  # one row
-    state = state.repartition(parts, "node_id").checkpoint()
-    for _ in range(iterations):
-        now = state.select("node_id", "rank")
-        flow = e.join(now.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("rank") * F.col("share")).alias("inflow"))
-        # what nodes without out edges hold goes back to the start; it is one number a round
-        lost = state.where("has_out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        new = F.lit(1 - damping) * F.col("p") + damping * F.coalesce("inflow", F.lit(0.0)) + damping * F.col("lost") * F.col("p")
-        state = state.join(flow, "node_id", "left").join(F.broadcast(lost)).select("node_id", "p", "has_out", new.alias("rank"))
-        state = state.checkpoint()
+    # edges lie by their source and nodes by their id, in as many parts: a round shuffles only what flows over edges, summed up before
+    with dealt_once(ids.sparkSession):
+        e, state = e.repartition(parts, "src").checkpoint(), state.repartition(parts, "node_id").checkpoint()
+        for _ in range(iterations):
+            now = state.select(F.col("node_id").alias("src"), "rank")
+            flow = e.join(now, "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("rank") * F.col("share")).alias("inflow"))
+            # what nodes without out edges hold goes back to the start; it is one number a round
+            lost = state.where("has_out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+            new = F.lit(1 - damping) * F.col("p") + damping * F.coalesce("inflow", F.lit(0.0)) + damping * F.col("lost") * F.col("p")
+            # the state is read three times a round, so its plan is cut each round
+            state = state.join(flow, "node_id", "left").join(F.broadcast(lost)).select("node_id", "p", "has_out", new.alias("rank")).checkpoint()
     whole = state.agg(F.sum("rank").alias("whole"))
     return state.join(F.broadcast(whole)).select("node_id", (F.col("rank") / F.col("whole")).alias("rank"))
 
 
+@contextmanager
+def dealt_once(spark: SparkSession):
+    """Within it, a checkpoint keeps how its rows are dealt: a plan that is changed while it runs tells nothing of that."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 UNIT_ITEMS = 2048
 UNIT = "node {0}, other {0}, weight double"
 

@@ -60,16 +60,53 @@ def test_greedy_modularity_finds_cliques(spark):
     e = spark.createDataFrame([(a, b, "calls", 1.0) for a, b, _ in links], "src string, dst string, kind string, weight double")
     got = {r["node_id"]: r["cluster_id"] for r in communities.clusters(v, e).collect()}
     assert got == label
-    communities.LOCAL_EDGES, old = 0, communities.LOCAL_EDGES
-    try:
-        far = {r["node_id"]: r["cluster_id"] for r in communities.clusters(v, e).collect()}
-    finally:
-        communities.LOCAL_EDGES = old
+    # the plan for giant components, on all of them
+    far = {r["node_id"]: r["cluster_id"] for r in communities.clusters(v, e, giant=1).collect()}
     assert far == label
     alone = v.union(spark.createDataFrame([("zz",)], "node_id string"))
     assert {r["node_id"]: r["cluster_id"] for r in communities.clusters(alone, e).collect()} == {**label, "zz": 3}
 
 
+def test_components_are_merged_as_the_whole_graph_is(spark):
+    r = random.Random(9)
+    pairs = {(min(a, b), max(a, b)) for c in range(12) for _ in range(c * 2) for a, b in [(f"c{c}n{r.randrange(6)}", f"c{c}n{r.randrange(6)}")] if a != b}
+    links = [(a, b, r.choice([0.5, 0.6, 0.9])) for a, b in sorted(pairs)]
+    nodes = sorted({x for a, b, _ in links for x in (a, b)})
+    v = spark.createDataFrame([(n,) for n in nodes], "node_id string")
+    e = spark.createDataFrame([(a, b, "name_similar", w) for a, b, w in links], "src string, dst string, kind string, weight double")
+    assert {x["node_id"]: x["cluster_id"] for x in communities.clusters(v, e).collect()} == communities.greedy_modularity(nodes, links)
+    from gneiss.operators.components import components
+
+    least = {}
+    for a, b, _ in links:  # components by hand
+        least.setdefault(a, a), least.setdefault(b, b)
+    for _ in nodes:
+        for a, b, _ in links:
+            least[a] = least[b] = min(least[a], least[b])
+    chain = [(f"k{i:03}", f"k{i + 1:03}") for i in range(60)]
+    frame = spark.createDataFrame([(a, b) for a, b, _ in links] + chain, "a string, b string")
+    assert {x["node"]: x["component"] for x in components(frame).collect()} == least | {n: "k000" for p in chain for n in p}
+
+
+def test_a_round_of_ranks_leaves_edges_in_place(spark):
+    """No exchange stands between the checkpointed edges and their join with the ranks."""
+    v = spark.range(200).selectExpr("cast(id as string) node_id")
+    e = spark.range(800).selectExpr("cast(id % 200 as string) src", "cast((id * 7) % 200 as string) dst", "'calls' kind")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    seen, old = [], type(v).checkpoint
+    try:
+        type(v).checkpoint = lambda self, *a, **k: (seen.append(self._jdf.queryExecution().executedPlan().toString()), old(self, *a, **k))[1]
+        graph.pagerank(v, e, iterations=2).count()
+    finally:
+        type(v).checkpoint = old
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = next(x for x in reversed(seen) if "inflow" in x and "SortMergeJoin [src" in x)
+    lines = join.split("\n")
+    at = next(i for i, x in enumerate(lines) if "SortMergeJoin [src" in x)
+    side = lines[at + 1 : at + 4]
+    assert any("Scan ExistingRDD" in x for x in side) and not any("Exchange" in x for x in side), side
+
+
 def test_latent_vectors_both_ways(spark):
     r = random.Random(1)
     rows = [(f"d{i}", f"{'xyz'[i % 3]}{r.randrange(6)}") for i in range(24) for _ in range(8)]
