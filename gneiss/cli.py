@@ -24,8 +24,6 @@ from gneiss.sources import files as S
 from gneiss.sources import reports as R
 from gneiss.sources.index import Index
 
-MOST_ROWS = 1000
-
 
 def session() -> SparkSession:
     spark = SparkSession.builder.appName("gneiss").config("spark.driver.memory", "4g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
@@ -40,8 +38,9 @@ def tree(spark: SparkSession, args) -> DataFrame:
     return S.audited(S.read_tree(spark, args.root, only).select("path", "text"), target=args.target or "", vendored=args.vendored)
 
 
-def rows(df: DataFrame, n: int = MOST_ROWS) -> list[dict]:
-    return [json.loads(x) for x in df.limit(n).toJSON().collect()]
+def rows(df: DataFrame, n: int | None = None) -> list[dict]:
+    """All rows, or the first n; held a partition at a time on their way."""
+    return [json.loads(x) for x in (df if n is None else df.limit(n)).toJSON().toLocalIterator()]
 
 
 def known_rules(spark, names: list[str]) -> list[str]:
@@ -168,13 +167,19 @@ def graph_command(spark, args) -> int:
     elif args.action == "overview":
         out = graph.overview(nodes, edges, named, graph.god_concepts(nodes, edges))
     elif args.action == "search":
-        out = rows(graph.search(nodes, args.symbol, args.limit))
+        out = rows(graph.search(nodes, args.symbol, args.limit or 20))
     elif args.action == "clusters":
         out = rows(named.orderBy(F.desc("member_count"), "cluster_id"), args.limit)
     elif args.action == "concept":
         out = rows(graph.concept(nodes, named, args.symbol), args.limit)
-    elif args.action == "export":
-        payload = R.graph_payload(*graph.visible(nodes, edges, args.kind, args.symbol), args.most)
+    elif args.action in ("export", "ego", "cluster"):
+        if args.action == "export":
+            view = graph.visible(nodes, edges, args.kind, args.symbol)
+        elif args.action == "ego":
+            view = graph.ego(nodes, edges, graph.resolve(nodes, args.symbol).select("node_id"), args.depth)
+        else:
+            view = graph.cluster_subgraph(nodes, edges, int(args.symbol))
+        payload = R.graph_payload(*view, args.most)
         print({"dot": lambda: R.dot(payload), "text": lambda: graph.outline(payload["nodes"], payload["edges"]), "json": lambda: json.dumps(payload, default=str), "html": lambda: R.graph_page(payload)}[args.format]())
         return 0
     else:
@@ -182,7 +187,7 @@ def graph_command(spark, args) -> int:
         if not found:
             out = {}
         elif args.action == "related":
-            out = rows(graph.related(nodes, edges, found[0], args.limit))
+            out = rows(graph.related(nodes, edges, found[0], args.limit or 10))
         elif args.action == "usages":
             out = {"resolved": found[0], "ambiguous": found[1:], "usages": rows(graph.usages(nodes, edges, found[0]))}
         else:
@@ -206,7 +211,7 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--vendored", action="store_true", help="also installed and built packages")
         s.add_argument("--index", required=index, default=None)
         s.add_argument("--repo", default="default")
-        s.add_argument("--limit", type=int, default=50)
+        s.add_argument("--limit", type=int, help="only so many rows; all where it is not given (20 of a search, 10 of what is related)")
         return s
 
     s = add("scan", scan)
@@ -244,7 +249,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--line", type=int)
     add("index", index_command, index=True, target=False).add_argument("action", choices=["list", "forget"])
     s = add("graph", graph_command)
-    s.add_argument("action", choices=["build", "overview", "search", "usages", "neighbors", "related", "concept", "clusters", "export"])
+    s.add_argument("action", choices=["build", "overview", "search", "usages", "neighbors", "related", "concept", "clusters", "export", "ego", "cluster"])
     s.add_argument("symbol", nargs="?", default="")
     s.add_argument("--depth", type=int, default=1)
     s.add_argument("--format", choices=["dot", "text", "json", "html"], default="dot")

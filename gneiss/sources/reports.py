@@ -56,6 +56,15 @@ def summary(findings: DataFrame) -> dict:
     return {"totals": totals(f), "by_rule": by("rule_id"), "by_file": by("file"), "count": next((r["n"] for r in rows if r["level"] == 3), 0)}
 
 
+def full(findings: DataFrame, most: int | None = None) -> dict:
+    """All findings, or the worst `most`; `count` says how many there are."""
+    f = _file(findings)
+    n, rows = totals(f), list(first(worst_first(f), most))
+    rules = {r["rule_id"]: {"category": r["category"], "severity": r["severity"], "verdict": r["verdict_kind"]} for r in rows}
+    shown = [{"file": r["path"], "line": r["line"], "rule": r["rule_id"], "severity": r["severity"], "evidence": r["evidence"]} for r in rows]
+    return {"totals": n, "count": sum(n.values()), "shown": len(rows), "rules": rules, "findings": shown}
+
+
 def compact(findings: DataFrame, most: int = 50) -> dict:
     """The worst findings, with what is said of a rule said once."""
     f = _file(findings)
@@ -202,6 +211,6 @@ def worst_severity(findings: DataFrame) -> int:
 
 # how findings are shown, by name; a plugin may add a format
 REPORTERS = {
-    "json": lambda findings, most=None: json.dumps(compact(findings, 50 if most is None else most)), "summary": lambda findings, most=None: json.dumps(summary(findings)),
+    "json": lambda findings, most=None: json.dumps(full(findings, most)), "compact": lambda findings, most=None: json.dumps(compact(findings, 50 if most is None else most)), "summary": lambda findings, most=None: json.dumps(summary(findings)),
     "sarif": lambda findings, most=None: sarif(findings), "markdown": lambda findings, most=None: markdown(findings), "html": lambda findings, most=None: html_tree(findings),
 }

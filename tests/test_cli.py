@@ -38,3 +38,21 @@ def test_commands(spark, capsys, repo, tmp_path_factory):
     assert use["resolved"] == "app/util.py::helper" and any(u["kind"] == "calls" for u in use["usages"])
     assert json.loads(run(spark, capsys, "graph", repo, "overview")[1])["nodes"] == 4
     assert "digraph" in run(spark, capsys, "graph", repo, "export")[1]
+    near = json.loads(run(spark, capsys, "graph", repo, "ego", "helper", "--format", "json")[1])
+    assert "app/util.py::helper" in json.dumps(near["nodes"]) and "app/main.py::digest" in json.dumps(near["nodes"])
+
+
+def test_a_second_scan_parses_only_what_has_changed(spark, capsys, repo, tmp_path_factory, monkeypatch):
+    from pathlib import Path
+
+    from gneiss.plans import audit
+
+    index, parsed, facts_of = "file://" + str(tmp_path_factory.mktemp("index")), [], audit.facts_of
+    monkeypatch.setattr(audit, "facts_of", lambda files: (parsed.append(sorted(r["path"] for r in files.select("path").collect())), facts_of(files))[1])
+    run(spark, capsys, "scan", repo, "--index", index, "--format", "json")
+    Path(repo, "app", "util.py").write_text("def helper(data):\n    return eval(data)\n")
+    second = json.loads(run(spark, capsys, "scan", repo, "--index", index, "--format", "json")[1])
+    whole = json.loads(run(spark, capsys, "scan", repo, "--format", "json")[1])
+    assert parsed == [["app/main.py", "app/util.py"], ["app/util.py"], ["app/main.py", "app/util.py"]]
+    key = lambda x: (x["file"], x["line"], x["rule"], x["evidence"])
+    assert sorted(second["findings"], key=key) == sorted(whole["findings"], key=key) and second["count"] == second["shown"] > 0
