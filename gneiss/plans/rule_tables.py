@@ -31,14 +31,21 @@ def text(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-SIZE, KEY = F.expr("p_size"), F.expr("p_partkey")
+def size():
+    return F.col("p_size")
+
+
+def key():
+    return F.col("p_partkey")
+
+
 # rule: source by size, and in SQL which sizes have the finding
 SIZED = {
-    "PY-OOP-LONG-PARAM-LIST": (lambda: text("def f(", listed(SIZE, lambda i: text("a", i), ", "), "):\n    return 1\n"), "p_size >= 7"),
-    "PY-OOP-HIGH-COMPLEXITY": (lambda: text("def f(x, y):\n", listed(SIZE, lambda i: text("    if x > ", i, ":\n        y += 1\n"), ""), "    return y\n"), "p_size + 1 > 10"),
-    "PY-OOP-CONSTRUCTOR-WALL": (lambda: text("x = Thing(", listed(SIZE, lambda i: text("a", i, "=", i), ", "), ")\n"), "p_size >= 12"),
-    "PY-STYLE-FILE-SIZE": (lambda: F.repeat(F.lit("x = 1\n"), SIZE * 20), "p_size * 20 > 800"),
-    "TS-STYLE-FILE-SIZE": (lambda: F.repeat(F.lit("x()\n"), SIZE * 20), "p_size * 20 > 800"),
+    "PY-OOP-LONG-PARAM-LIST": (lambda: text("def f(", listed(size(), lambda i: text("a", i), ", "), "):\n    return 1\n"), "p_size >= 7"),
+    "PY-OOP-HIGH-COMPLEXITY": (lambda: text("def f(x, y):\n", listed(size(), lambda i: text("    if x > ", i, ":\n        y += 1\n"), ""), "    return y\n"), "p_size + 1 > 10"),
+    "PY-OOP-CONSTRUCTOR-WALL": (lambda: text("x = Thing(", listed(size(), lambda i: text("a", i, "=", i), ", "), ")\n"), "p_size >= 12"),
+    "PY-STYLE-FILE-SIZE": (lambda: F.repeat(F.lit("x = 1\n"), size() * 20), "p_size * 20 > 800"),
+    "TS-STYLE-FILE-SIZE": (lambda: F.repeat(F.lit("x()\n"), size() * 20), "p_size * 20 > 800"),
 }
 REFERRED = "p_partkey IN (SELECT p_size FROM part)"
 ALIKE = "p_size IN (SELECT p_size FROM part GROUP BY p_size HAVING count(*) > 1)"
@@ -79,7 +86,7 @@ def all_cases() -> dict[str, list[Case]]:
 def filled(template, braces: bool):
     """A template column with the row's key, size and brand; doubled braces stand for one where braces is set."""
     out = template
-    for mark, value in (("{k}", KEY), ("{size}", SIZE), ("{brand}", F.col("p_brand"))):
+    for mark, value in (("{k}", key()), ("{size}", size()), ("{brand}", F.col("p_brand"))):
         out = F.replace(out, F.lit(mark), value.cast("string"))
     return F.replace(F.replace(out, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}")) if braces else out
 
@@ -93,7 +100,7 @@ def files_of(spark, sf: str, language: str, cases: list[Case]) -> DataFrame:
     label = LABELS.get(language, "")
     rows = [(k, rule, bad_path, bad + label, good_path, good + label) for k, (rule, bad_path, bad, good_path, good) in enumerate(cases)]
     templates = spark.createDataFrame(rows, "k int, rule_id string, bad_path string, bad string, good_path string, good string")
-    files = part_of(spark, sf).withColumn("k", (KEY % len(rows)).cast("int")).join(F.broadcast(templates), "k")  # a catalogue of fixed size
+    files = part_of(spark, sf).withColumn("k", (key() % len(rows)).cast("int")).join(F.broadcast(templates), "k")  # a catalogue of fixed size
     side = lambda a, b: F.when(F.expr(WITH), F.col(a)).otherwise(F.col(b))
     return files.select("p_partkey", "rule_id", filled(side("bad_path", "good_path"), False).alias("path"), filled(side("bad", "good"), language == "lines").alias("text"))
 
@@ -138,7 +145,7 @@ def run_all(plans, spark, sf: str) -> DataFrame:
 def scattered(spark, sf: str) -> DataFrame:
     """Settings classes, a file per brand: those outside the brand that has most."""
     rows = part_of(spark, sf)
-    files = rows.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list(text("class S", KEY, "(BaseSettings):\n    pass\n"))), "\n\n").alias("text"))
+    files = rows.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list(text("class S", key(), "(BaseSettings):\n    pass\n"))), "\n\n").alias("text"))
     found = findings_in(files.select(text("src/", F.regexp_replace("p_brand", r"\W", "_"), ".py").alias("path"), "text"), "python", ["PY-CONFIG-SCATTERED-SETTINGS"])
     hits = found.select(F.regexp_extract("evidence", r"^S(\d+)$", 1).cast("long").alias("p_partkey")).distinct().withColumn("hit", F.lit(True))
     return rows.join(hits, "p_partkey", "left").select("p_partkey", F.lit("PY-CONFIG-SCATTERED-SETTINGS").alias("rule_id"), F.coalesce("hit", F.lit(False)).alias("found"))
