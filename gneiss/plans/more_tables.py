@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions import core as C
-from gneiss.operators import communities, crossfile, findings, graph, ledger, resolve
+from gneiss.operators import communities, crossfile, findings, graph, ledger, patterns, resolve
 from gneiss.plans.tables import EDGES_SQL, F_SQL, L_SQL, NODES_SQL, document_lines, event_findings, query, star_graph, table
 
 
@@ -468,3 +468,27 @@ def graph_outline(spark, sf):
     edges = n.select("src", "dst", F.lit("contains").alias("kind")).union(calls)
     lines = graph.outline([x.asDict() for x in nodes.collect()], [x.asDict() for x in edges.collect()]).split("\n")
     return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+# ---------------------------------------------------------------- many patterns at once
+
+
+@query("""WITH i AS (SELECT concat('part::', p_partkey) AS id, concat(p_name, ' ', p_brand, ' ', p_type) AS t FROM part UNION ALL SELECT concat('doc::', doc_id), concat(source, '/', lang, '/', doc_id) FROM documents),
+q AS (SELECT DISTINCT lower(x) AS term FROM (SELECT upper(substr(p_name, 3, 6)) AS x FROM part UNION ALL SELECT substr(p_brand, 6) FROM part UNION ALL SELECT concat('/', doc_id) FROM documents UNION ALL SELECT substr(p_type, 1, 1) FROM part))
+SELECT term, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM q JOIN i ON contains(lower(t), term) GROUP BY term""")
+def substring_search(spark, sf):
+    part, docs = table(spark, sf, "part"), table(spark, sf, "documents")
+    items = part.select(F.concat(F.lit("part::"), text("p_partkey")).alias("key"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+    items = items.union(docs.select(F.concat(F.lit("doc::"), text("doc_id")), F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), text("doc_id"))))
+    terms = part.select(F.explode(F.array(F.upper(F.substring("p_name", 3, 6)), F.expr("substr(p_brand, 6)"), F.substring("p_type", 1, 1))).alias("term")).union(docs.select(F.concat(F.lit("/"), text("doc_id"))))
+    hits = patterns.containing(items, terms)
+    return hits.groupBy(F.col("pattern").alias("term")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_id"), F.max("key").alias("last_id"))
+
+
+@query(f"""WITH {PATH_SQL}, g AS (SELECT DISTINCT unnest([concat('*/f', p_partkey, '*'), concat('f', p_size, '?.[mp]*'), concat('[!s]*', p_partkey, '.md'), 'src/*', '*']) AS pattern FROM part)
+SELECT pattern, count(*) AS n, min(path) AS first_path, max(path) AS last_path FROM g JOIN p ON path GLOB pattern OR regexp_extract(path, '[^/]*$') GLOB pattern GROUP BY pattern""")
+def glob_matches(spark, sf):
+    made = [F.format_string("*/f%d*", "p_partkey"), F.format_string("f%d?.[mp]*", "p_size"), F.format_string("[!s]*%d.md", "p_partkey"), F.lit("src/*"), F.lit("*")]
+    rows = part_paths(spark, sf)
+    hits = patterns.globbed(rows.select("path"), rows.select(F.explode(F.array(*made)).alias("pattern")))
+    return hits.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
