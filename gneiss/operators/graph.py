@@ -352,12 +352,77 @@ def tf_idf(tokens: DataFrame, document: str = "node_id", token: str = "token") -
     return w.join(norm, document).select(document, token, (F.col("w") / F.col("norm")).alias("weight"))
 
 
+MOST_PIVOTS = 256
+
+
+def angles(vectors, others):
+    """The angle between each of the unit vectors and each of the others."""
+    import numpy as np
+
+    return np.arccos(np.clip(vectors @ others.T, -1.0, 1.0))
+
+
+def near_blocks(unit: DataFrame, threshold: float, block: int) -> DataFrame:
+    """x, y, blk, node_id, v: unit vectors unit(node_id, v) dealt to the pairs of blocks in which a cosine of at least threshold can be.
+
+    A cell is what is nearest to one of at most MOST_PIVOTS vectors, and is cut into blocks of about `block` rows.  Of each cell the
+    smallest and largest angle to each pivot are known; angles keep the triangle inequality, so a vector whose angle to some pivot is
+    further than the threshold's angle outside a cell's range has no partner in that cell and is not sent there.
+    """
+    import numpy as np
+
+    rows = unit.count()
+    order = F.xxhash64("node_id")
+    chosen = unit.orderBy(order, "node_id").limit(min(MOST_PIVOTS, max(1, -(-rows // block)))).select("v").collect()  # at most MOST_PIVOTS
+    if not chosen:
+        return unit.select(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("blk"), "node_id", "v")
+    pivots = np.array([r["v"] for r in chosen])
+    kind = dict(unit.dtypes)["node_id"]
+
+    def place(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            if len(pdf):
+                a = angles(np.stack(pdf.v.to_list()), pivots)
+                yield pd.DataFrame({"node_id": pdf.node_id, "v": pdf.v, "cell": a.argmin(1), "away": list(a)})
+
+    placed = unit.mapInPandas(place, f"node_id {kind}, v array<double>, cell int, away array<double>").checkpoint()
+    ranges = [F.min(F.col("away")[i]).alias(f"lo{i}") for i in range(len(pivots))] + [F.max(F.col("away")[i]).alias(f"hi{i}") for i in range(len(pivots))]
+    found = sorted(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *ranges).collect())  # a row a pivot
+    cells = np.array([r["cell"] for r in found])
+    low = np.array([[r[f"lo{i}"] for i in range(len(pivots))] for r in found])
+    high = np.array([[r[f"hi{i}"] for i in range(len(pivots))] for r in found])
+    cuts = np.array([-(-r["n"] // block) for r in found])
+    first = np.concatenate([[0], np.cumsum(cuts)[:-1]])
+    widest = np.arccos(np.clip(threshold - 1e-6, -1.0, 1.0)) + 1e-6  # weights are rounded to six digits
+
+    def deal(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            away = np.stack(pdf.away.to_list())
+            own = np.searchsorted(cells, pdf.cell.to_numpy())
+            mine = first[own] + pdf.cut.to_numpy() % cuts[own]
+            for c in range(len(cells)):
+                gap = np.maximum(low[c] - away, away - high[c]).max(1)
+                at = np.nonzero(gap <= widest)[0]
+                for o in range(first[c], first[c] + cuts[c]):
+                    if len(at):
+                        yield pd.DataFrame({"x": np.minimum(mine[at], o), "y": np.maximum(mine[at], o), "blk": mine[at], "node_id": pdf.node_id.iloc[at], "v": pdf.v.iloc[at]})
+
+    cut = placed.withColumn("cut", F.pmod(order, F.lit(1 << 30)).cast("int"))
+    return cut.mapInPandas(deal, f"x int, y int, blk int, node_id {kind}, v array<double>")
+
+
 def cosine_neighbours(vectors: DataFrame, threshold: float = 0.45, k: int = 8, block: int = 2048) -> DataFrame:
-    """src, dst, weight from vectors(node_id, v): exact, block against block; a task holds two blocks and hands on the k best of each row."""
-    n = max(1, -(-vectors.count() // block))
-    unit = vectors.select("node_id", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("norm")).where("norm > 0")
-    unit = unit.select("node_id", F.transform("v", lambda x: x.cast("double") / F.col("norm")).alias("v"), F.pmod(F.xxhash64("node_id"), F.lit(n)).cast("int").alias("blk"))
-    rows = unit.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("blk", "o").alias("x"), F.greatest("blk", "o").alias("y"), "blk", "node_id", "v")
+    """src, dst, weight from vectors(node_id, v): exact, block against block, without the pairs of blocks that the threshold rules
+    out; a task holds two blocks and hands on the k best of each row.  A vector that is null, holds null or is all zeros has no neighbours."""
+    unit = vectors.where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).select("node_id", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("norm")).where("norm > 0")
+    unit = unit.select("node_id", F.transform("v", lambda x: x.cast("double") / F.col("norm")).alias("v"))
+    rows = near_blocks(unit, threshold, block)
 
     def compare(key, pdf):
         import numpy as np

@@ -48,3 +48,45 @@ def test_plan_with_many_overrides(spark):
     matrix = spark.createDataFrame(rows, "rule_id string, role string, layer int, glob string, enabled boolean, rank int, verdict string, fingerprint string")
     few = sorted(map(tuple, config.plan(files, matrix, globs, few=1000).collect()))
     assert few == sorted(map(tuple, config.plan(files, matrix, globs, few=0).collect())) and len(few) == 81
+
+
+def clustered_vectors(spark, n=3000, dim=24, centres=12, spread=0.05):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    middle = np.linalg.qr(rng.normal(size=(dim, dim)))[0][:centres]
+    share = np.where(rng.random(n) < 0.34, 0, rng.integers(0, centres, n))  # one centre holds a third of all rows
+    v = middle[share] + rng.normal(size=(n, dim)) * spread
+    v[7], v[8] = v[9], 0.0
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    return v, spark.createDataFrame([*rows, (n, None), (n + 1, [None] * dim)], "node_id long, v array<double>")
+
+
+def test_cosine_neighbours_against_plain_code(spark):
+    import numpy as np
+
+    from gneiss.operators import graph
+
+    v, table = clustered_vectors(spark)
+    with np.errstate(invalid="ignore"):
+        u = v / np.linalg.norm(v, axis=1)[:, None]
+    s = np.round(np.nan_to_num(u) @ np.nan_to_num(u).T, 6)
+    want = set()
+    for i in range(len(v)):
+        best = sorted((j for j in range(len(v)) if j != i and s[i, j] >= 0.9), key=lambda j: (-s[i, j], -j))[:8]
+        want |= {(min(i, j), max(i, j)) for j in best}
+    got = {(r["src"], r["dst"]) for r in graph.cosine_neighbours(table, 0.9, 8, block=100).collect()}
+    # pairs whose sixth digit depends on the order of addition can stand on either side of a tie
+    assert len(got ^ want) <= len(want) // 500, len(got ^ want)
+
+
+def test_cosine_visits_only_blocks_in_reach(spark):
+    from gneiss.operators import graph
+
+    v, table = clustered_vectors(spark)
+    unit = table.where("node_id < 3000 and node_id <> 8")
+    norm = graph.F.sqrt(graph.dot(graph.F.col("v"), graph.F.col("v")))
+    unit = unit.select("node_id", graph.F.transform("v", lambda x: x / norm).alias("v"))
+    near, all_of = graph.near_blocks(unit, 0.8, 100).count(), graph.near_blocks(unit, -1.0, 100).count()
+    assert all_of >= 30 * 2999 and near < all_of / 2, (near, all_of)
+    assert not graph.cosine_neighbours(table.limit(0)).count()
