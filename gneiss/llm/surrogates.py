@@ -2,10 +2,11 @@
 
 Entities are found by one pattern over the whole text.  Each distinct entity gets a keyed replacement of its own kind:
 a digit stands for a digit and a letter for a letter of its script, case and class (vowel or consonant); separators stay; an
-address keeps its top-level domain and equal domains stay equal; octets keep their width and range; a phone number keeps
+address keeps its top-level domain, equal domains stay equal and different ones different; octets keep their width and range; a phone number keeps
 its country code, a credential the prefix of its issuer, an IBAN its country; a card number and an IBAN keep right check
 digits if they had them; a given name of the lists becomes another one of the same gender and script, in an order drawn from
-the key; other given names and surnames are rewritten letter by letter, in their script.  The key makes replacements
+the key; other given names and surnames are rewritten letter by letter, in their script, with hyphens, apostrophes and
+particles as they were.  The key makes replacements
 reproducible and secret; the caller brings it.
 
 A person is found by a title, a listed given name or a phrase that introduces a name; from then on the surname and the given
@@ -48,7 +49,11 @@ PREFIX = r"^(akia|gh[pousr]_|sk-|xox[abpr]-)"
 GAP = r"[^\p{L}\p{N}\n]{0,6}"
 TITLE = "|".join(TITLES)
 GIVEN = "|".join(n for names in NAMES.values() for n in names)
-CAPITAL = r"\p{Lu}\p{Ll}+"
+PARTICLES = "van von der den de di da del della la le du ten ter zu".split()
+CAPITAL = r"(?:\p{Lu}['’]|Mc|Mac)?\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)*"
+SURNAME = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{CAPITAL}"
+SHOUTED = "|".join(n.upper() for names in NAMES.values() for n in names)
+LAST = r"(\p{L}+(?:[-'’]\p{L}+)*)$"  # a surname without its particles
 # the kinds in the order in which they are tried
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,254}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
@@ -61,7 +66,7 @@ KINDS = {
     "ssn": r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
     "card": r"(?<!\p{N})\d(?:[ -]?\d){12,18}(?!\p{N})",
     "local_phone": r"(?<![\p{N}-])(?:\(?\d{3}\)?[-. ])?\d{3}-\d{4}(?![\p{N}-])",
-    "person": rf"(?<!\p{{L}})(?:(?:{TITLE})\.? {CAPITAL}(?: {CAPITAL})?|(?:{GIVEN}) {CAPITAL}|(?<=(?:{'|'.join(INTRODUCTIONS)}) ){CAPITAL} {CAPITAL})(?!\p{{L}})",
+    "person": rf"(?<!\p{{L}})(?:(?:{TITLE})\.? (?:{CAPITAL} )?{SURNAME}|(?:{GIVEN}) {SURNAME}|(?:{SHOUTED}) \p{{Lu}}{{2,}}(?:[-'’]\p{{Lu}}{{2,}})*|(?<=(?:{'|'.join(INTRODUCTIONS)}) ){CAPITAL} {SURNAME})(?!\p{{L}})",
 }
 # what an entity of a kind can begin with: tested first, so most places in a text cost one look at one character
 BEGINS = {
@@ -87,7 +92,7 @@ def normal_form(kind: Column, raw: Column) -> Column:
         F.when(kind == "phone", F.concat(code, F.lit(":"), F.substring(digits, F.length(code) + 1, F.length(digits))))
         .when(kind.isin(*DIGITS_ONLY), digits)
         .when(kind == "iban", F.lower(F.regexp_replace(raw, " ", "")))
-        .when(kind == "person", F.lower(F.regexp_extract(raw, r"(\p{L}+)$", 1)))
+        .when(kind == "person", F.lower(F.regexp_extract(raw, LAST, 1)))
         .otherwise(plain)
     )
 
@@ -139,9 +144,10 @@ def mod_97(account: Column) -> Column:
 
 def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
     hexes = stream(F.lit(key), kind, norm, draw.cast("string"))
-    domain = F.substring_index(norm, "@", -1)
-    host, top = F.regexp_extract(domain, r"^(.*)\.", 1), F.regexp_extract(domain, r"\.[^.]*$", 0)
-    email = F.concat(rewrite(F.substring_index(norm, "@", 1), hexes), F.lit("@"), rewrite(host, stream(F.lit(key), F.lit("domain"), domain)), top)
+    longer = F.repeat(F.lit("x"), (draw / 8).cast("int"))  # short ones have too few forms
+    host, top = F.regexp_extract(norm, r"^(.*)\.", 1), F.regexp_extract(norm, r"\.[^.]*$", 0)
+    domain = F.concat(rewrite(F.concat(host, longer), hexes), top)
+    email = F.concat(rewrite(F.concat(F.substring_index(norm, "@", 1), longer), hexes), F.lit("@"), F.substring_index(norm, "@", -1))  # its domain is an entity of its own
     octet = lambda o, i: F.when(F.length(o) == 1, byte(hexes, i) % 9 + 1).when(F.length(o) == 2, byte(hexes, i) % 90 + 10).otherwise(byte(hexes, i) % 156 + 100).cast("string")
     ipv4 = F.array_join(F.transform(F.split(norm, r"\."), octet), ".")
     code = F.substring_index(norm, ":", 1)
@@ -157,14 +163,14 @@ def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
     right = F.lpad((F.lit(98) - mod_97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0")
     iban = F.concat(country, F.when(mod_97(norm) == 1, right).otherwise(F.substring(digits, 3, 2)), account)
     return (
-        F.when(kind == "email", email).when(kind == "credential", credential).when(kind == "iban", iban).when(kind == "ipv4", ipv4).when(kind == "phone", phone).when(kind == "card", card).when(kind == "given", name)
+        F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "credential", credential).when(kind == "iban", iban).when(kind == "ipv4", ipv4).when(kind == "phone", phone).when(kind == "card", card).when(kind == "given", name)
         .when(kind.isin("hex", "ipv6"), rewrite(norm, hexes, HEXES)).otherwise(digits)
     )
 
 
 def given_name(raw: Column) -> Column:
     title = F.regexp_extract(raw, rf"^(?:{TITLE})\.? ", 0)
-    return F.regexp_extract(F.substring(raw, F.length(title) + 1, F.length(raw)), rf"^({CAPITAL}) ", 1)
+    return F.regexp_extract(F.substring(raw, F.length(title) + 1, F.length(raw)), rf"^({CAPITAL}|\p{{Lu}}{{2,}}(?:[-'’]\p{{Lu}}{{2,}})*) ", 1)
 
 
 LISTED = [n for names in NAMES.values() for n in names]
@@ -177,11 +183,13 @@ def found_in(docs: DataFrame) -> DataFrame:
     given name that is on no list; kind given_name is a given name by itself.
     """
     first = docs.where("text is not null").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text", F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1)).alias("first"))
-    persons = F.filter("first", lambda r: r.rlike(r"^[\p{L}\p{M}. ]+$"))
-    surnames = F.array_distinct(F.transform(persons, lambda r: F.regexp_extract(r, r"(\p{L}+)$", 1)))
-    givens = F.array_distinct(F.filter(F.transform(persons, given_name), lambda g: g != ""))
+    persons = F.filter("first", lambda r: r.rlike(r"^[\p{L}\p{M}. '’-]+$") & ~r.rlike(PREFIX))
+    quiet = lambda n: F.when(n == F.upper(n), F.initcap(n)).otherwise(n)
+    surnames = F.array_distinct(F.transform(persons, lambda r: quiet(F.regexp_extract(r, LAST, 1))))
+    givens = F.array_distinct(F.filter(F.transform(persons, lambda r: quiet(given_name(r))), lambda g: g != ""))
     names = first.select("*", surnames.alias("surnames"), givens.alias("givens"))
     bare = F.array_distinct(F.concat("surnames", "givens", F.transform("surnames", F.upper), F.transform("givens", F.upper)))
+    bare = F.reverse(F.array_sort(bare))  # of two names that begin alike the longer one is tried first
     pattern = F.when(F.size("surnames") > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?=\p{Lu})(?:"), F.array_join(bare, "|"), F.lit(r")(?!\p{L})")))
     names = names.withColumn("pattern", pattern)
     raws = F.when(F.col("pattern").isNull(), F.col("first")).otherwise(F.regexp_extract_all("text", F.concat(F.lit("("), "pattern", F.lit(")")), F.lit(1)))
@@ -195,9 +203,13 @@ def found_in(docs: DataFrame) -> DataFrame:
 
 
 def distinct_surrogates(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """(kind, norm, surrogate): no two entities of a kind share one, and none is an entity itself or a listed given name."""
+    """(kind, norm, surrogate): no two entities of a kind share one, and none is an entity itself or a listed given name.
+
+    A mail domain is an entity too.  Addresses are kept apart within their domain, and domains from each other, so whole addresses are.
+    """
     given = entities.where("given is not null").select(F.lit("given").alias("kind"), F.col("given").alias("norm"))
-    entities = scratch.save(entities.where("kind <> 'given_name'").select("kind", "norm").union(given).distinct(), "entities")
+    domains = entities.where("kind = 'email'").select(F.lit("domain").alias("kind"), F.substring_index("norm", "@", -1).alias("norm"))
+    entities = scratch.save(entities.where("kind <> 'given_name'").select("kind", "norm").union(given).union(domains).distinct(), "entities")
     listed = entities.sparkSession.createDataFrame([("given", n.lower()) for n in LISTED], "kind string, norm string")
     taken = entities.union(listed)
     drawn = entities.withColumn("draw", F.lit(0))
@@ -208,12 +220,23 @@ def distinct_surrogates(entities: DataFrame, key: str, scratch: Scratch) -> Data
         real = drawn.join(taken.withColumnRenamed("norm", "surrogate"), ["kind", "surrogate"], "left_semi").select("kind", "norm")
         again = scratch.save(late.union(real).distinct(), f"again{k}")
         if not again.limit(1).count():
-            return drawn.select("kind", "norm", "surrogate")
+            return with_domains(drawn.select("kind", "norm", "surrogate"))
         again = again.withColumn("more", F.lit(1))
         drawn = drawn.join(again, ["kind", "norm"], "left").select("kind", "norm", (F.col("draw") + F.coalesce("more", F.lit(0))).alias("draw"))
     raise RuntimeError(f"some kind has too few forms to keep its entities apart in {MOST_DRAWS} draws")
 
 
+MOST_SENT = 100_000  # domains that are sent to all executors; more are joined by a shuffle
+
+
+def with_domains(chosen: DataFrame) -> DataFrame:
+    """chosen(kind, norm, surrogate) with each address's domain replaced by that domain's surrogate; domains themselves go."""
+    hosts = chosen.where("kind = 'domain'").select(F.col("norm").alias("host"), F.col("surrogate").alias("new_host"))
+    emails = chosen.where("kind = 'email'").withColumn("host", F.substring_index("norm", "@", -1)).join(F.broadcast(hosts) if hosts.count() <= MOST_SENT else hosts, "host")
+    emails = emails.select("kind", "norm", F.concat(F.substring_index("surrogate", "@", 1), F.lit("@"), "new_host").alias("surrogate"))
+    return chosen.where("kind not in ('domain', 'email')").unionByName(emails)
+
+
 def exchanged(key: str) -> dict[str, str]:
     """Each listed given name's replacement, in lower case: the next one of its gender and script in an order drawn from the key."""
     out = {}
@@ -242,9 +265,10 @@ def written(kind: Column, raw: Column, new: Column, new_given: Column, key: str)
 
     names = F.create_map(*[F.lit(x) for pair in exchanged(key).items() for x in pair])
     called = lambda g: cased(g, F.coalesce(F.element_at(names, F.lower(g)), new_given))
-    last, given = F.regexp_extract(raw, r"(\p{L}+)$", 1), given_name(raw)
+    last, given = F.regexp_extract(raw, LAST, 1), given_name(raw)
+    particles = F.regexp_extract(raw, rf"(?:^| )((?:(?:{'|'.join(PARTICLES)}) )+)[^ ]+$", 1)
     title = F.regexp_extract(raw, rf"^(?:{TITLE})\.? ", 0)
-    person = F.concat(title, F.when(given == "", F.lit("")).otherwise(F.concat(called(given), F.lit(" "))), cased(last, new))
+    person = F.concat(title, F.when(given == "", F.lit("")).otherwise(F.concat(called(given), F.lit(" "))), particles, cased(last, new))
     return (
         F.when(kind.isin(*DIGITS_ONLY), in_turn(F.regexp_replace(new, r"\D", ""), r"^\d$")).when(kind == "iban", in_turn(new, r"^[\p{L}\p{N}]$"))
         .when(kind == "person", person).when(kind == "given_name", called(raw)).otherwise(cased(raw, new))

@@ -68,6 +68,35 @@ def test_no_mention_of_a_found_person_stays(spark):
     assert m[1] == m[3] != "Kasper" and m[2] != "Lang" and out[3] == texts[3]
 
 
+def test_domains_stay_distinct(spark):
+    hosts = [f"{a}{b}.com" for a in "abcdefghij" for b in "0123456789"] + [f"{a}.org" for a in "abcdefghijklmnopqrstuvwxyz"]
+    out = [r["text"] for r in run(spark, [f"mail {u}@{h} now" for h in hosts for u in ("info", "Ann.Lee", "x")])]
+    new = [x.split()[1].lower() for x in out]
+    assert len(set(new)) == 3 * len(hosts) and all(x.startswith("mail ") and x.endswith(" now") for x in out)
+    moved = {}
+    for i, x in enumerate(new):
+        assert moved.setdefault(hosts[i // 3], x.split("@")[1]) == x.split("@")[1]
+    assert len(set(moved.values())) == len(hosts) and not set(moved.values()) & set(hosts)
+    assert all(a.rsplit(".", 1)[1] == b.rsplit(".", 1)[1] for a, b in moved.items())
+
+
+def test_whole_names_are_replaced(spark):
+    texts = ["Mrs Anne-Marie Dupont-Morel came. Dupont-Morel left, Anne-Marie stayed.", "Mr O'Brien and O'Brien's dog", "John van der Berg; later Berg", "JOHN SMITH signed. Smith paid.", "Ms McDonald", "Mr de Vries van Dam", "Mr Dupont, Mr Dupont-Morel: Dupont-Morel, Dupont"]
+    out = [r["text"] for r in run(spark, texts)]
+    m = re.fullmatch(r"Mrs (\w+-\w+) (\w+-\w+) came\. (\w+-\w+) left, (\w+-\w+) stayed\.", out[0])
+    assert m[1] == m[4] and m[2] == m[3] and not re.search("Anne|Marie|Dupont|Morel", out[0]) and re.fullmatch("[A-Z][a-z]+-[A-Z][a-z]+", m[2])
+    m = re.fullmatch(r"Mr ([A-Z]'[A-Z][a-z]+) and ([A-Z]'[A-Z][a-z]+)'s dog", out[1])
+    assert m[1] == m[2] != "O'Brien"
+    m = re.fullmatch(r"(\w+) van der (\w+); later (\w+)", out[2])
+    assert m[1] in s.NAMES[("latin", "m")] and m[1] != "John" and m[2] == m[3] != "Berg"
+    m = re.fullmatch(r"([A-Z]+) ([A-Z]+) signed\. (\w+) paid\.", out[3])
+    assert m[1].capitalize() in s.NAMES[("latin", "m")] and m[1] != "JOHN" and m[2] == m[3].upper() != "SMITH"
+    assert re.fullmatch(r"Ms \w+", out[4]) and "McDonald" not in out[4]
+    assert re.match(r"Mr de \w+", out[5]) and "Vries" not in out[5]
+    m = re.fullmatch(r"Mr (\w+), Mr (\S+): (\S+), (\w+)", out[6])
+    assert m[1] == m[4] != "Dupont" and m[2] == m[3] and "Dupont" not in out[6] and "Morel" not in out[6]
+
+
 def remainder(iban):
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
