@@ -167,14 +167,15 @@ def again_across(facts: DataFrame, units: DataFrame, whole: list[str]) -> DataFr
 
 
 def incremental(spark: SparkSession, index, repo: str, files: DataFrame, config: dict | None = None, whole: bool = True, versions: dict[str, str] | None = None,
-                antivirus: DataFrame | None = None, dependencies: DataFrame | None = None, graph: bool = False) -> DataFrame:
+                antivirus: DataFrame | None = None, dependencies: DataFrame | None = None, graph: bool = False, removed: DataFrame | None = None) -> DataFrame:
     """Runs only what has changed, and returns the repository's findings: those that a full audit would give.
 
     Changed files are parsed, and their facts take the place of the old ones.  A rule of one file runs on it again if the file or the
     rule's fingerprint changed.  A rule across files compares facts by units (a name, a signature); the units of the changed files' old and
     new facts are looked at again, over the facts of all files that share one, and their old findings are retracted.  So what is
     shuffled grows with the units that a change touches, and a change of such a rule's fingerprint runs it over all facts.
-    whole: files are the whole repository, and what is not among them is pruned; else they are added to what is known.
+    whole: files are the whole repository, and what is not among them is pruned; else they are added to what is known, less the paths of
+    removed(path).
     versions: what else a rule's results depend on, as {rule: version of a scanner and its signatures}.
     Findings of scanners and of the graph are those of this run.
     """
@@ -185,9 +186,11 @@ def incremental(spark: SparkSession, index, repo: str, files: DataFrame, config:
     seen = index.read("files", repo).select("path", F.col("sha256").alias("sha")).checkpoint()
     stale = ledger.stale_facts(hashes, seen.withColumnRenamed("sha", "content_hash")).checkpoint()
     gone = seen.select("path").join(hashes, "path", "left_anti").checkpoint() if whole else seen.select("path").limit(0)
+    if removed is not None and not whole:
+        gone = seen.select("path").join(removed, "path", "left_semi").join(hashes, "path", "left_anti").checkpoint()
     touched = stale.unionByName(gone).distinct()
     changed = files.join(stale, "path", "left_semi")
-    known = hashes.select("path") if whole else hashes.select("path").union(seen.select("path")).distinct()
+    known = hashes.select("path") if whole else hashes.select("path").union(seen.select("path")).distinct().join(gone, "path", "left_anti")
     before = index.read("facts", repo).drop("repo").join(touched, "path", "left_semi").checkpoint()
     fresh = facts_of(changed).checkpoint()
     index.put("facts", repo, fresh, touched)

@@ -280,6 +280,28 @@ def merged_log(spark, sf):
     return ledger.merged(table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), o, ["k"])
 
 
+@query("""WITH ev AS (SELECT o_custkey AS k, o_orderkey AS version, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS sha, o_orderpriority AS r1 FROM orders),
+t AS (SELECT ev.*, c_custkey IS NOT NULL AS known FROM ev LEFT JOIN customer ON c_custkey = k WHERE version = (SELECT max(e.version) FROM ev e WHERE e.k = ev.k)),
+s AS (SELECT *, CASE WHEN known AND sha = 'O' THEN 'rule' ELSE 'content' END AS why FROM t WHERE sha IS NOT NULL)
+SELECT concat('c', k) AS path, version, NULL AS rule_id, NULL AS fingerprint, 'gone' AS reason FROM t WHERE sha IS NULL AND known
+UNION ALL SELECT concat('c', k), version, 'R1', r1, why FROM s WHERE why = 'content' OR r1 <> '1-URGENT'
+UNION ALL SELECT concat('c', k), version, 'R2', 'x', why FROM s UNION ALL SELECT concat('c', k), version, 'R3', NULL, 'off' FROM s WHERE known""")
+def keyed_ledger(spark, sf):
+    """Orders as a stream of versions of their customer's file, over a ledger that holds all customers: what must run, what is off, which
+    files are gone.  Every seventh order is a deletion."""
+    from gneiss.streaming.ledger import own_folder, rules_due, run_to_table
+
+    schema = table(spark, sf, "orders").schema
+    o = spark.readStream.schema(schema).parquet(f"{sf}/orders.parque[t]")  # a pattern: the table may be one file
+    path = lambda c: F.concat(F.lit("c"), text(c)).alias("path")
+    sha = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus"))
+    rules = F.create_map(F.lit("R1"), F.col("o_orderpriority"), F.lit("R2"), F.lit("x"))
+    events = o.select(F.lit("r").alias("repo"), path("o_custkey"), F.col("o_orderkey").alias("version"), sha.alias("sha"), rules.alias("rules"))
+    ran = F.create_map(F.lit("R1"), F.lit("1-URGENT"), F.lit("R3"), F.lit("y"))
+    known = table(spark, sf, "customer").select(F.lit("r").alias("repo"), path("c_custkey"), F.lit(-1).cast("long").alias("version"), F.lit("O").alias("sha"), ran.alias("rules"))
+    return run_to_table(spark, rules_due(events, known), own_folder(spark, "keyed-ledger")).select("path", "version", "rule_id", "fingerprint", "reason")
+
+
 # ---------------------------------------------------------------- the graph
 
 
