@@ -440,6 +440,30 @@ def source_facts(spark, sf) -> DataFrame:
     return facts(files).checkpoint()
 
 
+# a module per row of part: up to the tenth it defines a helper; the others re-export the helper of the module that their size names, by name
+# and renamed, or with a star, and call it; all call it through the module's name too
+HELPERS = "def help{k}(s, x):\n    s.refresh(x)\n"
+PASSING = "from .m{size} import help{size} as help{k}\nfrom src import m{size}\n\n\ndef go{k}(s, x):\n    help{k}(s, x)\n    m{size}.help{size}(s, x)\n"
+STARRED = "from src.m{size} import *\nimport src.m{size} as other\n\n\ndef go{k}(s, x):\n    other.help{size}(s, x)\n"
+
+
+@query("""WITH RECURSIVE m AS (SELECT p_partkey AS k, p_size AS t, CASE WHEN p_partkey <= 10 THEN 0 WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS how FROM part),
+w(a, name, place, here, steps) AS (SELECT k, n, t, t, 1 FROM m, (VALUES ('help'), ('mod')) x(n) WHERE how > 0 AND (how = 1 OR n = 'mod')
+  UNION SELECT w.a, w.name, m.t, CASE m.how WHEN 1 THEN m.t ELSE w.here END, w.steps + 1 FROM w JOIN m ON m.k = w.place WHERE w.steps < 4 AND (m.how = 2 OR (m.how = 1 AND w.here = m.k))),
+f AS (SELECT w.a, w.name, w.here, min(w.steps) AS steps FROM w JOIN m ON m.k = w.place AND m.how = 0 AND w.here = m.k GROUP BY ALL)
+SELECT concat('src/m', a, '.py') AS path, CASE WHEN name = 'help' THEN concat('help', a) WHEN m.how = 1 THEN concat('m', m.t, '.help', m.t) ELSE concat('other.help', m.t) END AS name, concat('src/m', here, '.py::help', here) AS dst, steps::INT AS steps
+FROM f JOIN m ON m.k = f.a""")
+def callee_resolution(spark, sf):
+    """Calls of helpers through up to four modules that pass them on; chains that run in a circle or are longer give no row."""
+    from gneiss.facts.python import facts
+
+    k, body = F.col("p_partkey"), F.when(F.col("p_partkey") <= 10, HELPERS).when(F.col("p_partkey") % 3 == 0, STARRED).otherwise(PASSING)
+    for mark, value in (("{k}", text("p_partkey")), ("{size}", text("p_size"))):
+        body = F.replace(body, F.lit(mark), value)
+    files = table(spark, sf, "part").select(F.concat(F.lit("src/m"), k, F.lit(".py")).alias("path"), body.alias("text"))
+    return resolve.callees(facts(files).checkpoint())
+
+
 @query("""WITH p AS (SELECT concat('src/m', p_partkey, '.py') AS a, concat('src/m', p_size, '.py') AS b, p_partkey AS k, p_size AS t FROM part WHERE p_size < p_partkey)
 SELECT a AS src, b AS dst, 'imports' AS kind FROM p UNION ALL SELECT concat(a, '::f', k), concat(b, '::f', t), 'calls' FROM p UNION ALL SELECT concat(a, '::C', k), concat(b, '::C', t), 'inherits' FROM p
 UNION ALL SELECT concat(a, '::C', k, '.go'), concat(b, '::C', t, '.go'), 'overrides' FROM p""")

@@ -208,3 +208,27 @@ def test_the_graph_is_stored_and_follows_the_files(spark, tmp_path):
     payload = reports.graph_payload(nodes, edges, 3, hit)
     assert len(payload["nodes"]) == 3 and "a.py::g" in reports.graph_page(payload) and "digraph" in reports.dot(payload)
     assert [n["findings"][0]["rule_id"] for n in reports.graph_payload(nodes, edges, None, hit)["nodes"] if n["findings"]] == ["GRAPH-GOD-CONCEPT"]
+
+
+def test_callees_through_re_exports(spark):
+    tree = {
+        "app/use.py": "from pkg import go as run, _hidden, listed, both, ring, deep, cls\nimport pkg.core as c\nfrom pkg import core\nfrom . import near\n\n\ndef f():\n    run(); _hidden(); listed(); both(); ring(); deep(); cls()\n    c.go(); core.go(); near.here(); f(); x.go()\n",
+        "app/near.py": "def here():\n    pass\n",
+        "app/__init__.py": "",
+        "pkg/__init__.py": "from .core import *\nfrom .named import listed\nfrom .one import both\nfrom .two import both\nfrom .ring import ring\nfrom .d1 import deep\nfrom .core import K as cls\n",
+        "pkg/core.py": "def go():\n    pass\n\n\ndef _hidden():\n    pass\n\n\nclass K:\n    def go(self):\n        pass\n",
+        "pkg/named.py": "from .more import *\n",
+        "pkg/more.py": "__all__ = ['listed']\n\n\ndef listed():\n    pass\n\n\ndef other():\n    pass\n",
+        "pkg/one.py": "def both():\n    pass\n",
+        "pkg/two.py": "def both():\n    pass\n",
+        "pkg/ring.py": "from .gnir import ring\n",
+        "pkg/gnir.py": "from .ring import ring\n",
+        **{f"pkg/d{i}.py": f"from .d{i + 1} import deep\n" for i in range(1, 4)},
+        "pkg/d4.py": "def deep():\n    pass\n",
+    }
+    f = facts(spark.createDataFrame(sorted(tree.items()), "path string, text string")).checkpoint()
+    got = lambda depth: {(r["name"], r["dst"], r["steps"]) for r in resolve.callees(f, depth).where("path = 'app/use.py'").collect()}
+    near = {("run", "pkg/core.py::go", 2), ("both", "pkg/one.py::both", 2), ("both", "pkg/two.py::both", 2), ("c.go", "pkg/core.py::go", 1), ("core.go", "pkg/core.py::go", 1), ("near.here", "app/near.py::here", 1)}
+    assert got(4) == near | {("listed", "pkg/more.py::listed", 3)}
+    assert got(5) == got(4) | {("deep", "pkg/d4.py::deep", 5)} and got(2) == near
+    assert resolve.callees(f.limit(0)).isEmpty()
