@@ -461,7 +461,8 @@ def callee_resolution(spark, sf):
     for mark, value in (("{k}", text("p_partkey")), ("{size}", text("p_size"))):
         body = F.replace(body, F.lit(mark), value)
     files = table(spark, sf, "part").select(F.concat(F.lit("src/m"), k, F.lit(".py")).alias("path"), body.alias("text"))
-    return resolve.callees(facts(files).checkpoint())
+    # short rows become files to parse, so a split of the table is much work: dealt over all cores
+    return resolve.callees(facts(files.repartition(4 * spark.sparkContext.defaultParallelism, "path")).checkpoint())
 
 
 @query("""WITH p AS (SELECT concat('src/m', p_partkey, '.py') AS a, concat('src/m', p_size, '.py') AS b, p_partkey AS k, p_size AS t FROM part WHERE p_size < p_partkey)
