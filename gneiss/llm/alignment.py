@@ -7,7 +7,7 @@ A token of a group is linked with every B token of it, and the links' id pairs a
 1. ``tokens``: a text is cut where one blank stands between marks that are no white space.  No token of either vocabulary crosses
    such a place (A's pattern starts a pre-token there, B has no piece with a blank after another mark; checked when a model is
    loaded), so its tokens, groups and links are those of its chunks in turn.  Chunks that were not met before are encoded
-   and their overlap graph is handed to union-find, all at once; short ones are kept.  The documents of about BLOCK_BYTES of text
+   and their overlap graph is handed to union-find, all at once; short ones that were met lately are kept.  The documents of about BLOCK_BYTES of text
    are a block: it hands on each different pair once, with the number of its documents, and for each document which of these it holds
    how often.  So what is shuffled to count pairs has been combined over a block's documents.  The rows are written.
 2. ``counts``: documents per pair over all blocks, and whether a pair is its A id's most frequent one.
@@ -22,22 +22,24 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import Scratch, lean, utf8
+from gneiss.llm.common import Scratch, lean, slices, utf8
 
 VOCABULARY_A = "byte_bpe_50k.json"
 MODEL_B = "piece_bpe_32k.model"
 BLOCK_BYTES = 4 << 20
-STEP_BYTES = 256 << 10
-KEPT_CHUNKS = 200_000
+STEP_BYTES = 1024 << 10
+KEPT_CHUNKS = 300_000
 KEPT_LENGTH = 32
 WIDE_GROUP = 64
-CHUNKS = re.compile(r"(?<! ) (?=\S)")
+JOINED_BYTES = 50_000
+CHUNKS = re.compile(r" (?<!  )(?=\S)")
 PLAIN = re.compile("[\0-ɏ‐-‧€]*")
 #: of byte-level vocabularies: contractions, letters, digits, other marks, each with a blank before it; white space
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -91,6 +93,9 @@ class Pairs:
         self.bytes_b = [self.piece(i) for i in range(self.sp.get_piece_size())]
         if any(re.search(rb"[^ ] ", x) for x in self.bytes_b):
             raise ValueError("a piece has a blank after another mark, so texts can't be cut at blanks")
+        digits = [str(i).encode() for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.digits = np.array(digits).view(np.uint8).reshape(len(digits), -1)
+        self.len_digits = np.array([len(x) for x in digits], np.int64)
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.shift = max(len(self.bytes_b) - 1, 1).bit_length()
         with open(vocabulary, encoding="utf-8") as f:
@@ -102,7 +107,8 @@ class Pairs:
 
             ranks = {self.bytes_a[i]: i for i in range(256 + len(joined))}
             self.fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, tuple | None] = {}
+        self.known: dict[str, tuple | None] = {}  # chunks without their first blank
+        self.before: dict[str, tuple | None] = {}  # what was known until `known` was begun anew
 
     def piece(self, i: int) -> bytes:
         text = self.sp.id_to_piece(i)
@@ -114,33 +120,54 @@ class Pairs:
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
+    def tokens_a(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The chunks in another order, their A ids, and how many each has.  Where CHUNKS would cut chunks apart again, many are encoded as
+        one text, whose tokens are theirs in turn."""
+        fast = self.fast is not None
+        apart = [fast and c[-1] != " " and not c[1:2].isspace() and len(c) < JOINED_BYTES and (c.isascii() or PLAIN.fullmatch(c) is not None) for c in chunks]
+        joined, alone = (chunks, []) if all(apart) else (list(compress(chunks, apart)), [c for c, x in zip(chunks, apart, strict=True) if not x])
+        ids, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        each = [self.ids_a(c) for c in alone]
+        off = np.concatenate([[0], np.cumsum([len(c.encode()) for c in joined])]).astype(np.int64)
+        for i, j in slices(off, JOINED_BYTES):
+            x = self.fast.encode_to_numpy("".join(joined[i:j]), disallowed_special=()).astype(np.int64)
+            ends = np.cumsum(self.len_a[x])
+            last = np.searchsorted(ends, off[i + 1 : j + 1] - off[i])
+            if last[-1] != len(x) - 1 or not np.array_equal(ends[last], off[i + 1 : j + 1] - off[i]):
+                raise ValueError("a token crosses a place where texts are cut")
+            ids.append(x)
+            many.append(np.diff(last, prepend=-1))
+        ids.append(np.fromiter(chain.from_iterable(each), np.int64))
+        many.append(np.array([len(x) for x in each], np.int64))
+        return joined + alone, np.concatenate(ids), np.concatenate(many)
+
     def learn(self, chunks: list[str]) -> dict[str, tuple | None]:
         """What is to be known of each chunk (each starts with a blank)."""
-        out, good, each_a, each_b = {}, [], [], []
-        a, b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        for c, y in zip(chunks, self.sp.encode([c[1:] for c in chunks], num_threads=1), strict=True):
-            x, raw = self.ids_a(c), c.encode()
-            if b"".join(map(a, x)) == raw == b"".join(map(b, y)):
-                good.append(c)
-                each_a.append(x)
-                each_b.append(y)
-            else:
-                out[c] = None
-        if not good:
+        if not chunks:
+            return {}
+        chunks, ids_a, many_a = self.tokens_a(chunks)
+        each_b = self.sp.encode([c[1:] for c in chunks], num_threads=1)
+        ids_b, many_b = np.fromiter(chain.from_iterable(each_b), np.int64), np.array([len(x) for x in each_b], np.int64)
+        raw = [c.encode() for c in chunks]
+        same = reproduced(raw, ids_a, many_a, self.bytes_a, self.len_a) & reproduced(raw, ids_b, many_b, self.bytes_b, self.len_b)
+        out: dict[str, tuple | None] = dict.fromkeys(compress(chunks, ~same))
+        if out:
+            ids_a, ids_b = ids_a[np.repeat(same, many_a)], ids_b[np.repeat(same, many_b)]
+            chunks, many_a, many_b = list(compress(chunks, same)), many_a[same], many_b[same]
+        if not chunks:
             return out
-        off_a, off_b = (np.concatenate([[0], np.cumsum([len(x) for x in e])]) for e in (each_a, each_b))
-        ids_a, ids_b = (np.fromiter((i for x in e for i in x), np.int64, int(o[-1])) for e, o in ((each_a, off_a), (each_b, off_b)))
+        off_a, off_b = (np.concatenate([[0], np.cumsum(m)]) for m in (many_a, many_b))
         n = len(ids_a)
         u, v = overlaps(np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b]))
         root = components(n + len(ids_b), u, v + n)
         # a component's smallest node is its first A token, and its tokens of either side are consecutive
         first = np.flatnonzero(root[:n] == np.arange(n))
         group_a, group_b = np.searchsorted(first, root[:n]), np.searchsorted(first, root[n:])
-        many_a, many_b = np.bincount(group_a), np.bincount(group_b)
-        start_b = np.cumsum(many_b) - many_b
+        wide_a, wide_b = np.bincount(group_a), np.bincount(group_b)
+        start_b = np.cumsum(wide_b) - wide_b
         groups = np.searchsorted(first, off_a)
-        wide = (many_a * many_b) > WIDE_GROUP * WIDE_GROUP
-        each = np.where(wide, 0, many_b)[group_a]  # links of each A token
+        wide = (wide_a * wide_b) > WIDE_GROUP * WIDE_GROUP
+        each = np.where(wide, 0, wide_b)[group_a]  # links of each A token
         at = np.cumsum(each) - each
         mine = np.repeat(np.arange(n), each)
         other = np.repeat(start_b[group_a], each) + np.arange(len(mine)) - np.repeat(at, each)
@@ -148,17 +175,20 @@ class Pairs:
         cut = np.append(at, len(keys))[off_a]
         # the groups as text, in order: A ids, B ids; what follows an id depends on whether it is its side's last
         where_a = np.arange(n) + start_b[group_a]
-        where_b = np.arange(len(ids_b)) + np.cumsum(many_a)[group_b]
-        names = [""] * (n + len(ids_b))
+        where_b = np.arange(len(ids_b)) + np.cumsum(wide_a)[group_b]
         last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
-        for ids, where, last, mark in ((ids_a, where_a, last_a, "|"), (ids_b, where_b, last_b, ";")):
-            for i, w, e in zip(ids.tolist(), where.tolist(), last.tolist(), strict=True):
-                names[w] = f"{i}{mark if e else ','}"
-        raw, bounds = keys.tobytes(), zip(good, off_a.tolist(), off_a[1:].tolist(), off_b.tolist(), off_b[1:].tolist(), cut.tolist(), cut[1:].tolist(), groups.tolist(), groups[1:].tolist(), strict=False)
-        for c, a0, a1, b0, b1, k0, k1, g0, g1 in bounds:
-            out[c] = (a1 - a0, b1 - b0, g1 - g0, k1 - k0, raw[8 * k0 : 8 * k1], "".join(names[a0 + b0 : a1 + b1])[:-1].encode(), ())
+        ids, written = np.empty(n + len(ids_b), np.int64), np.empty((n + len(ids_b), self.digits.shape[1] + 1), np.uint8)
+        ids[where_a], ids[where_b] = ids_a, ids_b
+        written[:, :-1] = self.digits[ids]
+        written[where_a, -1], written[where_b, -1] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
+        names = written[written != 0].tobytes()
+        name_cut = np.concatenate([[0], np.cumsum(self.len_digits[ids] + 1)])[off_a + off_b].tolist()
+        raw, cut, key_cut = keys.tobytes(), cut.tolist(), (8 * cut).tolist()
+        rows = zip(chunks, many_a.tolist(), many_b.tolist(), np.diff(groups).tolist(), cut, cut[1:], key_cut, key_cut[1:], name_cut, name_cut[1:], strict=False)
+        for c, n_a, n_b, n_groups, c0, c1, k0, k1, s0, s1 in rows:
+            out[c] = (n_a, n_b, n_groups, c1 - c0, raw[k0:k1], names[s0 : s1 - 1], ())
         for g in np.flatnonzero(wide):  # links of a wide group: by its different ids and how often they occur
-            c = good[int(np.searchsorted(off_a, first[g], side="right")) - 1]
+            c = chunks[int(np.searchsorted(off_a, first[g], side="right")) - 1]
             x, nx = np.unique(ids_a[group_a == g], return_counts=True)
             y, ny = np.unique(ids_b[group_b == g], return_counts=True)
             found = ((x[:, None] << self.shift) | y[None, :]).ravel(), (nx[:, None] * ny[None, :]).ravel()
@@ -166,14 +196,26 @@ class Pairs:
             out[c] = (*old[:3], old[3] + int(found[1].sum()), *old[4:6], (*old[6], found))
         return out
 
-    def lookup(self, chunks: set[str]) -> dict[str, tuple | None]:
-        missing = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(missing) > KEPT_CHUNKS:
-            self.known, missing = {}, list(chunks)
-        new = self.learn(missing)
-        rest = {c: x for c, x in new.items() if len(c) > KEPT_LENGTH}
-        self.known.update((c, x) for c, x in new.items() if len(c) <= KEPT_LENGTH)
-        return rest
+    def lookup(self, chunks: set[str]) -> list[str]:
+        """Sees to it that the chunks (without their first blank) are in `known`; gives those too long to stay there.  Of about KEPT_CHUNKS
+        the half that was not met lately goes."""
+        if len(self.known) >= KEPT_CHUNKS // 2:
+            self.before, self.known = self.known, {}
+        missing = chunks.difference(self.known)
+        new = missing.difference(self.before)
+        self.known.update((c, self.before[c]) for c in missing - new)
+        self.known.update((c[1:], x) for c, x in self.learn([" " + c for c in new]).items())
+        return [c for c in new if len(c) >= KEPT_LENGTH]
+
+
+def reproduced(raw: list[bytes], ids: np.ndarray, many: np.ndarray, table: list[bytes], lengths: np.ndarray) -> np.ndarray:
+    """Whether each of the texts is its tokens' bytes, joined."""
+    parts = list(map(table.__getitem__, ids.tolist()))
+    ends = np.concatenate([[0], np.cumsum(lengths[ids])])[np.cumsum(many)]
+    if np.array_equal(ends, np.cumsum([len(r) for r in raw])) and b"".join(parts) == b"".join(raw):
+        return np.ones(len(raw), bool)
+    cut = np.cumsum(many).tolist()
+    return np.array([b"".join(parts[a:z]) == r for r, a, z in zip(raw, [0, *cut], cut, strict=False)], bool)
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -272,20 +314,22 @@ def tokens(docs: DataFrame, vocabulary: str | None = None, model: str | None = N
                 j, room = i, STEP_BYTES
                 while j < len(ids) and (room > 0 or j == i):
                     room, j = room - sizes[j], j + 1
-                split = [[" " + c for c in CHUNKS.split(" " + t)] if t else [] for t in texts[i:j].to_pylist()]
-                for s in split:  # the first chunk has its blank already
-                    if s:
+                split = [CHUNKS.split(" " + t) if t else [] for t in texts[i:j].to_pylist()]
+                for s in split:  # each chunk is without its first blank
+                    if s and s[0]:
                         s[0] = s[0][1:]
-                        if not s[0]:  # the text starts with a mark: the cut was before it
-                            del s[0]
-                rest = known.lookup({c for s in split for c in s})
+                    elif s:  # the text starts with a mark: the cut was before it
+                        del s[0]
+                long_ones = known.lookup(set().union(*split))
                 get = known.known.get
                 for k, s in enumerate(split):
                     block = block or Block(known.shift)
-                    block.add(ids[i + k], [rest[c] if c in rest else x for c, x in zip(s, map(get, s), strict=True)] if rest else list(map(get, s)), sizes[i + k])
+                    block.add(ids[i + k], list(map(get, s)), sizes[i + k])
                     if block.size >= BLOCK_BYTES:
                         yield from block.close((part << 32) + closed)
                         block, closed = None, closed + 1
+                for c in long_ones:
+                    del known.known[c]
                 i = j
         if block:
             yield from block.close((part << 32) + closed)

@@ -1,4 +1,8 @@
+from collections import Counter
+from types import SimpleNamespace
+
 import numpy as np
+import public_tokenizers
 import pytest
 from plain_alignment import by_hand
 
@@ -65,3 +69,30 @@ def test_components(n, edges):
 def test_short_bytes():
     v = np.array([0, 1, 254, 255, 256, 70_000, 3])
     assert alignment.long(alignment.short(v), len(v)).tolist() == v.tolist()
+
+
+def test_chunks_met_lately_are_not_encoded_again(monkeypatch):
+    pairs, learned = alignment.Pairs(public_tokenizers.path(alignment.VOCABULARY_A), public_tokenizers.path(alignment.MODEL_B)), Counter()
+    learn = pairs.learn
+    monkeypatch.setattr(pairs, "learn", lambda chunks: learned.update(c.strip() for c in chunks) or learn(chunks))
+    monkeypatch.setattr(alignment, "KEPT_CHUNKS", 40)
+    for step in range(30):
+        now = {"common", *(f"w{step}x{i}" for i in range(7))}
+        pairs.lookup(now)
+        assert now <= pairs.known.keys() and len(pairs.known) + len(pairs.before) <= 40 + 2 * len(now)
+    assert learned["common"] == 1 and learned["w3x3"] == 1
+
+
+@pytest.mark.parametrize("most", [50_000, 20])
+def test_chunks_encoded_together(monkeypatch, most):
+    monkeypatch.setattr(alignment, "JOINED_BYTES", most)
+    pairs = alignment.pairs_of(None, None)
+    chunks = [" plain", " don't", " 'll", "  two", " end ", " a\n", " a\n\n", " \x1cb", " 漢字", " über", " it's\tso", " " + "ab" * 40, " x", " 1234567", " ---", "   "]
+    got, ids, many = pairs.tokens_a(chunks)
+    ends = np.cumsum(many)
+    assert sorted(got) == sorted(chunks)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, many)] == [pairs.slow.encode(c, add_special_tokens=False).ids for c in got]
+    calls, fast = [], pairs.fast
+    monkeypatch.setattr(pairs, "fast", SimpleNamespace(encode_to_numpy=lambda *a, **k: calls.append(1) or fast.encode_to_numpy(*a, **k), encode_ordinary=lambda *a: calls.append(1) or fast.encode_ordinary(*a)))
+    pairs.learn([f" w{i}" for i in range(1000)])
+    assert len(calls) < 1000
