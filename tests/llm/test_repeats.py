@@ -51,3 +51,14 @@ def test_odd_rows(spark, odd, none):
     got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(odd).collect())
     assert got == sorted((i or 0, *x) for (i, _), x in zip(rows, brute([t for _, t in rows]), strict=True))
     assert repeats.remove_repeats(none).count() == 0
+
+
+def test_planted_passages_show_in_the_columns_of_the_contract(spark, rng, tmp_path):
+    passages = [prose(rng, 120) for _ in range(4)]
+    short = " ".join(prose(rng, 60).split()[:51])[:399]
+    texts = [prose(rng, 40 + 10 * i) + (passages[i % 4] if i < 20 else short if i < 24 else "") + prose(rng, 30) for i in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = repeats.op6_repeats(spark, str(tmp_path))
+    assert out.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    removed = {r["doc_id"]: r["n_removed"] for r in out.collect()}
+    assert all(removed[i] >= len(passages[i % 4]) for i in range(20)) and not any(removed[i] for i in range(20, 40))
