@@ -62,3 +62,24 @@ def test_planted_passages_show_in_the_columns_of_the_contract(spark, rng, tmp_pa
     assert out.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     removed = {r["doc_id"]: r["n_removed"] for r in out.collect()}
     assert all(removed[i] >= len(passages[i % 4]) for i in range(20)) and not any(removed[i] for i in range(20, 40))
+
+
+def test_hot_windows_are_a_row_per_bucket_and_a_task_per_bucket(spark, rng):
+    """Many texts share an anchor: their entries are not a row per text and bucket, and no task has two buckets."""
+    passage, buckets = prose(rng, 120), 40
+    texts = [prose(rng, 80) + passage + prose(rng, 60) for _ in range(60)]
+    at = [[{"pos": len(t) // 2, "h": 1, "hot": True}] for t in texts]
+    rows = [(hashlib.md5(t.encode()).digest(), t, a) for t, a in zip(texts, at, strict=True)]
+    ctx = repeats.contexts(spark.createDataFrame(rows, "key binary, text string, at array<struct<pos:int,h:long,hot:boolean>>").coalesce(1), buckets)
+    assert ctx.where(f"kind = {repeats.WINDOW_KIND}").count() == buckets
+    tasks = [{r["h"] for r in p} for p in repeats.dealt(ctx, buckets).rdd.glom().collect()]
+    assert len(tasks) == buckets and {len(t) for t in tasks} == {1}
+
+
+def test_hot_windows_that_meet_only_in_their_bucket(spark, rng, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", 3)
+    monkeypatch.setattr(repeats, "HELD_ENTRIES", 1)
+    texts = corpus(rng)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in sorted(repeats.remove_repeats(df).collect(), key=lambda r: r["doc_id"])]
+    assert got == brute([(t or "").encode() for t in texts])
