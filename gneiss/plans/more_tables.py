@@ -430,14 +430,15 @@ ALONE = "{async}def f{k}(a, b=1) -> int:\n    if a and b:\n        return 1\n
 LINKED = "from src.m{size} import f{size}, C{size}\n\n\n{async}def f{k}(a, b=1) -> int:\n    if a and b:\n        return f{size}(a)\n    for i in a:\n        print(i)\n    return 0\n\n\nclass C{k}(C{size}):\n    def go(self):\n        return {size}\n"
 
 
-def source_facts(spark, sf) -> DataFrame:
+def source_facts(spark, sf, *kinds: str) -> DataFrame:
+    from gneiss.facts import dealt
     from gneiss.facts.python import facts
 
     made = F.when(F.col("p_size") < F.col("p_partkey"), LINKED).otherwise(ALONE)
     for mark, value in (("{k}", text("p_partkey")), ("{size}", text("p_size")), ("{async}", F.when(F.col("p_size") % 2 == 0, "async ").otherwise(""))):
         made = F.replace(made, F.lit(mark), value)
-    files = table(spark, sf, "part").select(F.concat(F.lit("src/m"), "p_partkey", F.lit(".py")).alias("path"), made.alias("text"))
-    return facts(files).checkpoint()
+    files = dealt(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey").select(F.concat(F.lit("src/m"), "p_partkey", F.lit(".py")).alias("path"), made.alias("text"))
+    return facts(files, kinds or None).checkpoint()
 
 
 # a module per row of part: up to the tenth it defines a helper; the others re-export the helper of the module that their size names, by name
@@ -495,13 +496,14 @@ def behaviour_profiles(spark, sf):
 @query("SELECT count(*) AS n FROM part GROUP BY p_size % 5")
 def clone_signatures(spark, sf):
     """Functions alike but for names and constants have one signature: there are as many as different methods called."""
+    from gneiss.facts import dealt
     from gneiss.facts.python import facts
 
     made = F.lit("def f{k}(a{k}):\n    b{k} = a{k}.load{m}({k})\n    return b{k} + {size}\n")
     for mark, value in (("{k}", text("p_partkey")), ("{size}", text("p_size")), ("{m}", (F.col("p_size") % 5).cast("string"))):
         made = F.replace(made, F.lit(mark), value)
-    files = table(spark, sf, "part").select(F.concat(F.lit("f"), "p_partkey", F.lit(".py")).alias("path"), made.alias("text"))
-    return facts(files).where("kind = 'function'").groupBy("sig").agg(F.count(F.lit(1)).alias("n")).select("n")
+    files = dealt(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey").select(F.concat(F.lit("f"), "p_partkey", F.lit(".py")).alias("path"), made.alias("text"))
+    return facts(files, ("function",)).where("kind = 'function'").groupBy("sig").agg(F.count(F.lit(1)).alias("n")).select("n")
 
 
 @query("""SELECT concat('module ', r_name) AS line FROM region UNION ALL SELECT concat('  nation ', r_name, '::', n_name) FROM nation JOIN region ON n_regionkey = r_regionkey
