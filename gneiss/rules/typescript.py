@@ -49,9 +49,9 @@ def last(c: Column) -> Column:
     return F.element_at(F.split(c, r"\."), -1)
 
 
-def ts(rule_id: str, category: str, severity: str, verdict: str, condition: Column, evidence: Column | None = None, refs: str = "") -> None:
+def ts(rule_id: str, category: str, severity: str, verdict: str, condition: Column, evidence: Column | None = None, refs: str = "", reads: str = "") -> None:
     shown = evidence if evidence is not None else F.coalesce(ARGS["all"], NAME)
-    rule(rule_id, category, severity, verdict, "typescript", refs, when=lambda: (condition, shown))(lambda facts: facts.where(condition).withColumn("evidence", shown))
+    rule(rule_id, category, severity, verdict, "typescript", refs, when=lambda: (condition, shown), reads=reads)(lambda facts: facts.where(condition).withColumn("evidence", shown))
 
 
 EVAL = CALL & (NAME.isin("eval", "window.eval") | (NAME == "Function"))
@@ -78,7 +78,7 @@ ts("TS-MAL-REMOTE-EXEC", "malware", "blocking", "auto", EVAL & F.exists("names",
 ts("TS-SECRET-DETECTED", "secrets", "high", "auto", LITERAL & NAME.rlike(sig.CREDENTIALS))
 
 # style
-ts("TS-STYLE-FILE-SIZE", "style", "low", "auto", (F.col("kind") == "module") & (F.col("n") > 800), F.col("n").cast("string"))
+ts("TS-STYLE-FILE-SIZE", "style", "low", "auto", (F.col("kind") == "module") & (F.col("n") > 800), F.col("n").cast("string"), reads="module")
 
 
 @rule("TS-STYLE-DUPLICATE-IMPORT", "style", "low", "auto", "typescript")
@@ -151,7 +151,7 @@ def parallel_sibling(facts):
     return near_twins(s, 2).select("path", "line", F.col("n").cast("string").alias("evidence"))
 
 
-def across(rule_id: str, condition) -> None:
+def across(rule_id: str, condition, reads: str) -> None:
     """A rule for shapes that stand in two files or more."""
 
     def run(facts: DataFrame) -> DataFrame:
@@ -159,12 +159,12 @@ def across(rule_id: str, condition) -> None:
         often = shapes.groupBy("shape_hash").agg(F.countDistinct("path").alias("n_paths")).where("n_paths >= 2")
         return shapes.join(often, "shape_hash").withColumn("evidence", F.col("name")).withColumn("unit", F.col("shape_hash"))
 
-    rule(rule_id, R, "low", "candidate", "typescript", units=lambda: F.when(condition() & F.col("sig").isNotNull(), F.array("sig")))(run)
+    rule(rule_id, R, "low", "candidate", "typescript", units=lambda: F.when(condition() & F.col("sig").isNotNull(), F.array("sig")), reads=reads)(run)
 
 
-across("TS-XFILE-DUP-COMPONENT", lambda: COMPONENT & (number("size") >= 40))
-across("TS-XFILE-DUP-FUNCTION", lambda: (F.col("kind") == "function") & (F.col("n") >= 3))
-across("TS-XFILE-DUP-JSX-BLOCK", lambda: ELEMENT & (number("size") >= 5))
+across("TS-XFILE-DUP-COMPONENT", lambda: COMPONENT & (number("size") >= 40), "component")
+across("TS-XFILE-DUP-FUNCTION", lambda: (F.col("kind") == "function") & (F.col("n") >= 3), "function")
+across("TS-XFILE-DUP-JSX-BLOCK", lambda: ELEMENT & (number("size") >= 5), "element")
 
 # design system: silent until configured
 DESIGN: dict = {"ui_paths": (), "components": (), "primitives": {}}

@@ -46,3 +46,22 @@ def test_rows_are_handed_on_some_at_a_time(spark, most):
     files = spark.createDataFrame([(f"{i}.py", "" if i % 3 else None) for i in range(20)], "path string, text string").coalesce(1)
     got = python.rows_of(files, python.facts_of, most)
     assert sorted(r["path"] for r in got.collect()) == sorted(f"{i}.py" for i in range(20))
+
+
+def test_rules_read_no_other_kinds_than_they_say(spark):
+    """What a rule finds over the kinds of facts that it names is what it finds over all."""
+    from pyspark.sql import functions as F
+
+    from gneiss.rules import base
+
+    files = [(f"src/m{i}.py" if i % 3 else f"tests/test_{i}.py", t) for i, t in enumerate(SOURCES)]
+    whole = python.facts(spark.createDataFrame(files, "path string, text string")).checkpoint()
+    by_kinds = {}
+    for r in base.load().values():
+        if r.language == "python" and r.reads:
+            by_kinds.setdefault(r.reads, []).append(r.rule_id)
+    assert base.kinds_read([base.RULES["PY-STYLE-FILE-SIZE"], base.RULES["PY-STYLE-INLINE-IMPORT"]]) == ("import", "module")
+    assert base.kinds_read([base.RULES["PY-STYLE-FILE-SIZE"], base.RULES["PY-STYLE-LONG-COMMENT"]]) is None
+    for kinds, rules in by_kinds.items():
+        rows = lambda facts: sorted(map(str, base.findings(facts, "python", rules).collect()))  # noqa: B023, E731
+        assert rows(whole) == rows(whole.where(F.col("kind").isin(*kinds))), kinds
