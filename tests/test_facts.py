@@ -27,7 +27,7 @@ def test_code_is_that_of_unparse():
 def test_facts_of_some_kinds_are_those_of_all():
     for source in SOURCES:
         whole = python.facts_of("a.py", source)
-        for kinds in ({"module"}, {"function"}, {"call", "class"}, {"symbol_def", "comment", "block"}, {"if", "assign", "literal"}):
+        for kinds in ({"module"}, {"function"}, {"call", "class"}, {"symbol_def", "comment", "block"}, {"if", "assign", "literal"}, {"if", "assign", "import", "except", "raise", "return"}):
             assert python.facts_of("a.py", source, frozenset(kinds)) == [r for r in whole if r[1] in kinds or r[1] == "error" and "error" in kinds]
     source = "const a = go(`x${b}`)\n// c\nexport function M() {\n  return <p>{a}</p>\n}\n"
     for kinds in ({"module"}, {"component", "call"}):
