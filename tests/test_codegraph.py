@@ -232,3 +232,31 @@ def test_callees_through_re_exports(spark):
     assert got(4) == near | {("listed", "pkg/more.py::listed", 3)}
     assert got(5) == got(4) | {("deep", "pkg/d4.py::deep", 5)} and got(2) == near
     assert resolve.callees(f.limit(0)).isEmpty()
+
+
+def test_usage_similar_with_copies_against_plain_code(spark):
+    """Copies stand behind one of them; each node's k best are still those of all pairs."""
+    draw = random.Random(5)
+    kinds = [(draw.sample("abcdefg", draw.randint(0, 5)), draw.sample("xyz", draw.randint(0, 2))) for _ in range(25)]
+    rows = [(i, *draw.choice(kinds)) for i in range(160)]
+    items = spark.createDataFrame(rows, "node_id long, callees array<string>, types array<string>")
+    different = {(frozenset(c), frozenset(t)) for _, c, t in rows}
+    assert graph.one_of_each(items)[0].count() == len(different) < 30
+    part = lambda a, b: len(a & b) / len(a | b) if a | b else 0
+    for threshold, k in ((0.5, 3), (0.3, 2), (0.5, 30)):
+        want = set()
+        for i, c, t in rows:
+            near = [(round(0.6 * part(set(c), set(d)) + 0.4 * part(set(t), set(u)), 6), j) for j, d, u in rows if i != j]
+            want |= {(min(i, j), max(i, j), w) for w, j in sorted((x for x in near if x[0] >= threshold), reverse=True)[:k]}
+        assert {(r["src"], r["dst"], round(r["weight"], 6)) for r in graph.usage_similar(items, threshold, k).collect()} == want
+
+
+def test_naming_inconsistencies_of_many_alike(spark):
+    """Nodes alike in cluster, verb and objects are compared once; all their pairs come out, the smaller id first."""
+    rows = [(f"n{i:03}", ("get", "load", "send")[i % 3] + ("_user_name", "_name_user", "_order")[i // 3 % 3], "m", i, i // 9 % 2) for i in range(90)]
+    v = spark.createDataFrame(rows, "node_id string, name string, module string, line int, cluster_id int")
+    v = v.withColumn("kind", F.lit("function")).withColumn("role", F.lit("production")).withColumn("profile", F.when(F.col("name").startswith("send"), F.array(F.lit("writes"))).otherwise(F.array(F.lit("reads"))))
+    words = lambda r: frozenset(r[1].split("_")[1:])
+    want = sorted((a[4], a[0], b[0], a[3]) for a in rows for b in rows if a[0] < b[0] and a[4] == b[4] and words(a) == words(b) and {a[1].split("_")[0], b[1].split("_")[0]} == {"get", "load"})
+    got = graph.naming_inconsistencies(v, ("reads", "writes"))
+    assert sorted((r["cluster_id"], r["first"], r["second"], r["line"]) for r in got.collect()) == want
