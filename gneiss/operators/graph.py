@@ -165,17 +165,34 @@ def verb_vectors(functions: DataFrame, attributes, least: int = 5) -> DataFrame:
 def naming_inconsistencies(nodes: DataFrame, attributes, least: int = 5, overlap: float = 0.6, distance: float = 0.15) -> DataFrame:
     """Pairs of one cluster with different verbs that behave alike on much the same object.
 
-    nodes also have profile array<string>.  Pairs are blocked by cluster and shared object token.
+    nodes also have profile array<string>.  What makes a pair is the cluster, the verb and the objects, so kinds of nodes are compared, one
+    for all nodes that are alike in these; they are blocked by cluster and shared object token.  Only pairs of the result are made of nodes.
     """
     prod = nodes.where(F.col("kind").isin(*FUNCTIONS) & ~F.coalesce("role", F.lit("production")).isin(*TEST_ROLES)).withColumn("verb", verb(F.col("name")))
     verbs = verb_vectors(prod, attributes, least).select("verb", "vector")
-    m = prod.where("cluster_id is not null").join(verbs, "verb").withColumn("objects", object_tokens(F.col("name"))).where(F.size("objects") > 0)
-    keyed = rare_first(m.select("node_id", F.transform("objects", lambda o: F.concat_ws("\x1f", F.col("cluster_id").cast("string"), o)).alias("tokens")), overlap)
-    side = lambda p: keyed.select("token", "before", "node_id").join(m.select("node_id", F.struct("cluster_id", "node_id", "name", "module", "line", "verb", "vector", "objects").alias(p)), "node_id").select("token", F.col("before").alias(f"{p}_before"), p)
+    m = prod.where("cluster_id is not null").join(verbs, "verb").withColumn("objects", F.array_sort(F.array_distinct(object_tokens(F.col("name"))))).where(F.size("objects") > 0)
+    alike = ["cluster_id", "verb", "objects"]
+    kinds = m.groupBy(*alike).agg(F.min("node_id").alias("node_id"), F.first("vector").alias("vector")).checkpoint()
+    keyed = rare_first(kinds.select("node_id", F.transform("objects", lambda o: F.concat_ws("\x1f", F.col("cluster_id").cast("string"), o)).alias("tokens")), overlap)
+    side = lambda p: keyed.select("token", "before", "node_id").join(kinds.select("node_id", F.struct("node_id", "verb", "vector", "objects").alias(p)), "node_id").select("token", F.col("before").alias(f"{p}_before"), p)
     # a pair is handled at its rarest common word
     pairs = side("a").join(side("b"), "token").where("a.node_id < b.node_id and a.verb <> b.verb").where(~F.arrays_overlap("a_before", "b_before"))
     ok = (jaccard(F.col("a.objects"), F.col("b.objects")) >= overlap) & (squared_distance(F.col("a.vector"), F.col("b.vector")) <= distance)
-    return pairs.where(ok).select(F.col("a.cluster_id").alias("cluster_id"), F.col("a.node_id").alias("first"), F.col("b.node_id").alias("second"), F.col("a.module").alias("module"), F.col("a.line").alias("line"))
+    pairs = pairs.where(ok).select(F.col("a.node_id").alias("a"), F.col("b.node_id").alias("b"))
+    each = m.join(kinds.select(*alike, F.col("node_id").alias("of")), alike).select("of", "cluster_id", "node_id", "module", "line").checkpoint()
+    # the pairs of two kinds are made in many tasks: a few rows on each side become many
+    parts = 4 * nodes.sparkSession.sparkContext.defaultParallelism
+    left = pairs.join(each.withColumnRenamed("of", "a"), "a").select("b", "cluster_id", F.struct("node_id", "module", "line").alias("x"))
+    right = each.select(F.col("of").alias("b"), F.struct("node_id", "module", "line").alias("y"))
+    both = dealt_join(left, right, parts)
+    first, second = F.least("x", "y"), F.greatest("x", "y")
+    return both.select("cluster_id", first["node_id"].alias("first"), second["node_id"].alias("second"), first["module"].alias("module"), first["line"].alias("line"))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, parts: int, slots: int = 16) -> DataFrame:
+    """left(b, ...) joined with right(b, y): the rows of one b on the left are dealt over some slots, to each of which goes a copy of the right's."""
+    dealt = left.withColumn("slot", F.pmod(F.xxhash64("x"), F.lit(slots)).cast("int")).repartition(parts, "b", "slot")
+    return dealt.join(right.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))), ["b", "slot"])
 
 
 def rare_first(sets: DataFrame, least: float) -> DataFrame:
