@@ -274,3 +274,24 @@ def test_edit_of_one_file(spark, tmp_path):
 def test_invalid_bytes_are_replaced_alone(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("né ".encode() + b"\xff" + "ü\n".encode())
     assert S.read_files(spark, str(tmp_path), ["a.txt"]).first()["text"] == "né \ufffdü\n"
+
+
+def test_rules_without_facts_are_not_planned(spark, monkeypatch):
+    """Rules that read none of the kinds that there are, or are for another language, are left out; files to parse are dealt over all cores."""
+    from gneiss.plans import audit as A
+    from gneiss.rules import base
+
+    base.load()
+    dealt, facts_of = [], A.facts_of
+    monkeypatch.setattr(A, "facts_of", lambda files: (dealt.append(files.rdd.getNumPartitions()), facts_of(files))[1])
+    files = spark.createDataFrame([("a.py", "import os\n\n\ndef f(x):\n    import re\n    return re.sub(x, x, x)\n")], "path string, text string").coalesce(1)
+    found = A.audit(spark, files)
+    assert dealt[0] >= 4 * spark.sparkContext.defaultParallelism and {"PY-STYLE-INLINE-IMPORT", "PY-TYPING-MISSING-HINTS"} <= {r["rule_id"] for r in found.collect()}
+    facts = facts_of(files).checkpoint()
+    kinds = A.kinds_in(facts)
+    assert set(kinds) == {"python"} and {"module", "import", "function", "call"} <= kinds["python"]
+    assert A.applicable("typescript", kinds) == [] and A.applicable("python", None) is None
+    some = set(A.applicable("python", kinds))
+    assert {"PY-STYLE-INLINE-IMPORT", "PY-STYLE-LONG-COMMENT"} <= some and not {"PY-CORRECT-BROAD-EXCEPT", "PY-OOP-GOD-CLASS"} & some
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(A.of_facts(facts, False, kinds)) == rows(A.of_facts(facts, False))
